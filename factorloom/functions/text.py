@@ -62,3 +62,15 @@ def headline_score(text, bull, bear) -> Column:
 def buzz(n, full_at: float = 50.0) -> Column:
     x = F.coalesce(col(n).cast("double"), F.lit(0.0))
     return F.least(F.lit(1.0), F.log1p(x) / F.log1p(F.lit(full_at)))
+
+# Headline words counted as good and bad news.
+BULL_WORDS = (
+    "beat", "beats", "exceed", "exceeds", "upgrade", "upgrades", "upgraded", "buy", "outperform", "strong",
+    "record", "rally", "surge", "gain", "growth", "bullish", "profit", "revenue", "raise", "raises", "tops",
+    "jump", "soar", "boom", "positive", "breakthrough", "approval", "approved", "expands",
+)
+BEAR_WORDS = (
+    "miss", "misses", "downgrade", "downgrades", "sell", "underperform", "concern", "decline", "weak", "loss",
+    "cut", "fall", "drop", "recession", "layoff", "lawsuit", "fine", "warning", "risk", "volatile", "below",
+    "disappoints", "halt", "investigation", "fraud", "bankruptcy", "default",
+)

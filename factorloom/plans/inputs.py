@@ -23,7 +23,7 @@ query(
     statement("scored", "SELECT ticker, market, sector, cap_tier, round(market_cap, 2) AS market_cap, quality_raw::BIGINT AS quality_raw, "
               + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in FACTORS) + " FROM scored"),
 )(
-    lambda t: t.scored.select(
+    lambda t: t.gathered.select(
         "ticker", "market", "sector", "cap_tier", F.round("market_cap", 2).alias("market_cap"),
         F.col("quality_raw").cast("long").alias("quality_raw"), *[r6(f).alias(f) for f in US_FACTORS],
     )
@@ -32,5 +32,5 @@ query(
     "view_entries",
     statement("entries", "SELECT ticker, final_score, badge, pipeline, round(coverage, 6) AS coverage, round(npr_spike, 6) AS npr_spike, round(atr, 6) AS atr FROM entries"),
 )(
-    lambda t: t.entries.select("ticker", "final_score", "badge", "pipeline", r6("coverage").alias("coverage"), r6("npr_spike").alias("npr_spike"), r6("atr").alias("atr"))
+    lambda t: t.entries_plan.select("ticker", "final_score", "badge", "pipeline", r6("coverage").alias("coverage"), r6("npr_spike").alias("npr_spike"), r6("atr").alias("atr"))
 )

@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 from .config import WEIGHTS
 from .functions import consensus, fundamentals, ownership, price, regime, text
 from .functions.common import r6, ratio
-from .session import configure
+from .session import configure, new_path
 
 AS_OF = dt.date(2001, 11, 5)
 NEWS_AS_OF = dt.date(2024, 1, 31)
 US_FACTORS = tuple(WEIGHTS["US"])
+_STORED: dict = {}
 
 _S = {"l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "s": T.StringType(), "t": T.TimestampType()}
 
@@ -300,7 +301,7 @@ class Tables:
         )
 
     @cached_property
-    def scored(self) -> DataFrame:
+    def gathered(self) -> DataFrame:
         """Wide factor rows per part: the left-join gather of all inputs, then pure expressions."""
         wide = (
             self.parts.join(self.part_stats, "pid", "left").join(self.news_by_part, "pid", "left")
@@ -341,14 +342,38 @@ class Tables:
             ),
         })
 
+    def stored(self, label: str, build) -> DataFrame:
+        """A view written once per session and folder to the shared folder, then read as a table.
+
+        Scoring and ranking are separate steps: the second reads the first one's table, so a
+        many-pass ranking never repeats the scan of the raw tables, and a lost executor costs a
+        re-read instead of a recomputation.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, label)
+        if key not in _STORED:
+            df = build()
+            path = new_path(self.spark, label)
+            df.write.parquet(path)
+            _STORED[key] = (path, df.schema)
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     @cached_property
     def entries(self) -> DataFrame:
-        """Ranked-list entries: scored rows with final_score, badge and the display inputs."""
+        return self.stored("entries", lambda: self.entries_plan)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return self.entries
+
+    @cached_property
+    def entries_plan(self) -> DataFrame:
+        """Ranked-list entries: gathered rows with final_score, badge and the display inputs."""
         w = WEIGHTS["US"]
         present = reduce(add, [F.when(F.col(f).isNotNull(), v).otherwise(0.0) for f, v in w.items()])
         total = reduce(add, [F.coalesce(F.col(f), F.lit(0.0)) * v for f, v in w.items()])
         score = F.coalesce(r6(F.try_divide(total, present) * 1.25), F.lit(0.0))
-        return self.scored.withColumn("final_score", F.least(F.lit(1.0), score)).withColumns({
+        return self.gathered.withColumn("final_score", F.least(F.lit(1.0), score)).withColumns({
             "badge": regime.badge("final_score"),
             "pipeline": F.when(F.col("market") == "USA", "US").otherwise("INTL"),
             "coverage": present,
