@@ -191,6 +191,18 @@ VIEWS = {
         FROM scored) z"""),
     "ls": (("scored",), "SELECT pid, ticker, market, sector, cap_tier, factor, score FROM (" + " UNION ALL ".join(
         f"SELECT pid, ticker, market, sector, cap_tier, '{f}' AS factor, {f}::DOUBLE AS score FROM scored" for f in FACTORS) + ") z"),
+    "snaps": (("bars", "bench", "uni"), """
+        SELECT sid, ticker, d, market, sector, cap_tier, mom, vz, rev, val, fwd, bench_fwd, fwd - bench_fwd AS fwd_x,
+               round(0.5 * (greatest(-0.6, least(0.6, mom)) + 0.6) / 1.2 + 0.3 * greatest(0.0, least(1.0, (coalesce(vz, 0.0) + 3.0) / 6.0)) + 0.2 * greatest(0.0, least(1.0, val / 2.0)), 6) AS score
+        FROM (SELECT sid, d, (lag(close, 1) OVER w / lag(close, 12) OVER w - 1) - (lag(bench, 1) OVER w / lag(bench, 12) OVER w - 1) AS mom,
+                     CASE WHEN count(*) OVER f < 20 THEN NULL WHEN stddev_pop(volume) OVER f <= 1e-12 THEN 0.0 ELSE (volume - avg(volume) OVER f) / stddev_pop(volume) OVER f END AS vz,
+                     -(close / lag(close, 1) OVER w - 1) AS rev, bench / close AS val, lead(close, 3) OVER w / close - 1 AS fwd, lead(bench, 3) OVER w / bench - 1 AS bench_fwd
+              FROM bars JOIN bench USING (d) WINDOW w AS (PARTITION BY sid ORDER BY d), f AS (PARTITION BY sid ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) z
+        JOIN uni USING (sid) WHERE mom IS NOT NULL"""),
+    "sl": (("snaps",), " UNION ALL ".join(f"SELECT sid, d, market, fwd_x, '{f}' AS factor, {f}::DOUBLE AS score FROM snaps" for f in ("mom", "vz", "rev", "val"))),
+    "sig": (("snaps",), """
+        SELECT sid, d + (sid % 28)::INT AS anchor, CASE WHEN score >= 0.62 THEN 'HIGH BUY' ELSE 'TACTICAL BUY' END AS badge, cap_tier, market, score,
+               CASE WHEN year(d) % 2 = 0 THEN 'v1' ELSE 'v2' END AS era FROM snaps WHERE score >= 0.52"""),
     "vix": ((), """
         SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS d,
                ((sum(CAST(round(l_tax * 100) AS BIGINT)) * 31 + sum(CAST(l_quantity AS BIGINT) % 7) * 7 + count(*)) % 450)::DOUBLE / 10.0 AS vix

@@ -264,16 +264,16 @@ def _(t):
 def quotes(t):
     """Events with the previous event of the same user as the standing quote.
 
-    The quote is looked up per (user, day) plus the last one of earlier days, so no window spans
-    more than one user's day.
+    The quote is looked up per (user, hour) plus the last one of earlier hours, so a busy user is
+    split over its hours and the carry runs over one row per hour.
     """
     from pyspark.sql import Window
 
-    e = t.events.select("event_id", "user_id", "ts", F.to_date("ts").alias("d"))
-    day = Window.partitionBy("user_id", "d").orderBy("ts", "event_id")
+    e = t.events.select("event_id", "user_id", "ts", F.date_trunc("hour", "ts").alias("d"))
+    hour = Window.partitionBy("user_id", "d").orderBy("ts", "event_id")
     ends = e.groupBy("user_id", "d").agg(F.max("ts").alias("last"))
     carry = ends.select("user_id", "d", F.lag("last").over(Window.partitionBy("user_id").orderBy("d")).alias("carry"))
-    return e.join(carry, ["user_id", "d"]).withColumn("quoted", F.coalesce(F.lag("ts").over(day), "carry"))
+    return e.join(carry, ["user_id", "d"]).withColumn("quoted", F.coalesce(F.lag("ts").over(hour), "carry"))
 
 
 @query("P29_us_session", f"SELECT event_id, {SESSION} AS open FROM {NY} z")

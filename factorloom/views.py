@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 
 from .config import WEIGHTS
 from .functions import consensus, fundamentals, ownership, price, regime, text
-from .functions.common import r6, ratio
+from .functions.common import r6, ratio, unit
+from .operators import ts
 from .session import configure, new_path
 
 AS_OF = dt.date(2001, 11, 5)
 NEWS_AS_OF = dt.date(2024, 1, 31)
 US_FACTORS = tuple(WEIGHTS["US"])
+SNAP_FACTORS = ("mom", "vz", "rev", "val")
 _STORED: dict = {}
 
 _S = {"l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "s": T.StringType(), "t": T.TimestampType()}
@@ -397,6 +399,45 @@ class Tables:
 
     # --- snapshots -----------------------------------------------------------------------
 
+    @cached_property
+    def snaps(self) -> DataFrame:
+        return self.stored("snaps", lambda: self.snaps_plan)
+
+    @cached_property
+    def snaps_plan(self) -> DataFrame:
+        """Monthly snapshots per supplier: point-in-time factors, a score and the 3-bar forward label."""
+        w = ts.by_key()
+        lag = lambda c, n: F.lag(c, n).over(w)
+        rows = ts.volume_zscore(ts.with_bench(self.bars, self.bench_bars), 20).withColumns({
+            "mom": ts.change(lag("close", 1), lag("close", 12)) - ts.change(lag("bench", 1), lag("bench", 12)),
+            "rev": -ts.change("close", lag("close", 1)),
+            "val": ratio("bench", "close"),
+            "fwd": ts.change(F.lead("close", 3).over(w), "close"),
+            "bench_fwd": ts.change(F.lead("bench", 3).over(w), "bench"),
+        }).withColumnRenamed("volume_z", "vz").where("mom IS NOT NULL")
+        score = (
+            0.5 * price.momentum("mom") + 0.3 * unit((F.coalesce("vz", F.lit(0.0)) + 3.0) / 6.0) + 0.2 * unit(F.col("val") / 2.0)
+        )
+        u = self.universe.select("sid", "ticker", "market", "sector", "cap_tier")
+        return rows.withColumn("score", F.round(score, 6)).join(u, "sid").select(
+            "sid", "ticker", "d", "market", "sector", "cap_tier", *SNAP_FACTORS, "score", "fwd", "bench_fwd",
+            (F.col("fwd") - F.col("bench_fwd")).alias("fwd_x"),
+        )
+
+    @cached_property
+    def snaps_long(self) -> DataFrame:
+        ids = ["sid", "d", "market", "fwd_x"]
+        return self.snaps.select(*ids, *SNAP_FACTORS).unpivot(ids, list(SNAP_FACTORS), "factor", "score")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """Buy signals from the snapshots: sid, anchor, badge, cap_tier, market, era, score."""
+        badge = F.when(F.col("score") >= 0.62, "HIGH BUY").when(F.col("score") >= 0.52, "TACTICAL BUY")
+        return self.snaps.withColumn("badge", badge).where("badge IS NOT NULL").select(
+            "sid", F.date_add("d", (F.col("sid") % 28).cast("int")).alias("anchor"), "badge", "cap_tier", "market", "score",
+            F.when(F.year("d") % 2 == 0, "v1").otherwise("v2").alias("era"),
+        )
+
     @cached_property
     def vix(self) -> DataFrame:
         """Monthly volatility index stand-in: d, vix, from the dispersion of event values by day."""
