@@ -86,7 +86,7 @@ def factor_correlations(long: DataFrame, factors: list[str], max_null: float = 0
     stats = long.groupBy("market", "factor").agg(F.avg(F.col("score").isNull().cast("int")).alias("none_rate"))
     median = percentiles(long, ["market", "factor"], "score", {"med": 0.5})
     known = stats.where(F.col("none_rate") <= max_null).join(median, ["market", "factor"])
-    filled = long.join(known, ["market", "factor"]).withColumn("score", F.coalesce("score", "med"))
+    filled = long.join(known, ["market", "factor"]).withColumn("score", F.round(F.coalesce("score", "med"), 9))
     ranked = with_average_rank(filled.select("ticker", "market", "factor", "score"), ["market", "factor"], "score", "r")
     wide = ranked.groupBy("market", "ticker").agg(
         *[F.max(F.when(F.col("factor") == f, F.col("r"))).alias(f) for f in factors],

@@ -231,7 +231,7 @@ def _(t):
 
 
 CLUSTER_SQL = """SELECT cid AS pid, count(DISTINCT member) AS members FROM ctx WHERE type <> 'Exchange' AND age <= 900 GROUP BY cid HAVING count(DISTINCT member) >= 3"""
-CONV_SQL = "least(1.0, (members - 3) / 2.0 * 0.40 + 0.60)"
+CONV_SQL = "(CASE WHEN members IS NOT NULL THEN least(1.0, (members - 3) / 2.0 * 0.40 + 0.60) END)"
 
 
 def clusters(t, lookback=900):
