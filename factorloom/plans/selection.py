@@ -397,7 +397,7 @@ def _(t):
     return sizing.cap_sectors(sizing.score_proportional(top20(t), ["market"]), ["market"]).select("ticker", F.round("weight", 8).alias("weight"))
 
 
-@query("X09_liquidity_ceiling", statement("sec", "SELECT ticker, round(k / sum(k) OVER (PARTITION BY market), 8) AS weight FROM (SELECT *, CASE WHEN adv_usd > 0 THEN least(w2, least(0.10, 0.03 * adv_usd / 100000.0)) ELSE w2 END AS k FROM sec) z", extra=SEC))
+@query("X09_liquidity_ceiling", statement("sec", "SELECT ticker, round(kk / sum(kk) OVER (PARTITION BY market), 8) AS weight FROM (SELECT *, CASE WHEN adv_usd > 0 THEN least(w2, least(0.10, 0.03 * adv_usd / 100000.0)) ELSE w2 END AS kk FROM sec) z", extra=SEC))
 def _(t):
     w = sizing.cap_sectors(sizing.score_proportional(top20(t), ["market"]), ["market"]).withColumn("adv", c("adv_usd"))
     return sizing.cap_liquidity(w, ["market"], F.lit(100000.0)).select("ticker", F.round("weight", 8).alias("weight"))
