@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CELLS = 4096
 
 
@@ -81,6 +83,15 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     )
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Left-join group statistics back; AQE broadcasts them once measured small, else splits hot keys."""
-    return df.join(stats, keys, "left")
+SMALL_ROWS = 100_000
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Left-join group statistics back onto the rows.
+
+    The statistics are written out first, which is one row per group, and counted. Up to
+    `small_rows` of them are broadcast, so the rows are not shuffled by a key that a few buckets
+    dominate; more than that takes the shuffle join, where AQE splits hot keys.
+    """
+    table = materialize(stats, "group-stats")
+    return df.join(F.broadcast(table) if table.count() <= small_rows else table, keys, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import ratio
+from .distribution import attach
 
 KEY, DAY = "sid", "d"
 
@@ -205,4 +206,4 @@ def leverage_key(df: DataFrame, keys: list[str], alpha: float = 0.15) -> DataFra
     tilt = F.coalesce(F.when(z.isNotNull(), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), z))), F.lit(0.0))
     boost = F.when((F.col("_n") >= 2) & (F.col("_s") > 0), 1.0 + alpha * tilt).otherwise(1.0)
     key = F.round(F.coalesce("adv_usd", F.lit(0.0)) * boost, 4)
-    return df.join(s, keys, "left").withColumn("leverage_key", key).drop("_n", "_m", "_s")
+    return attach(df, s, keys).withColumn("leverage_key", key).drop("_n", "_m", "_s")

@@ -29,8 +29,8 @@ N = lambda: F.count(F.lit(1))
     FROM (SELECT CASE WHEN cid % 50 = 0 THEN 'N/A' ELSE ticker END AS ticker, type, age FROM ctx) z WHERE age <= 1095 AND type <> 'Exchange' AND ticker NOT IN ('N/A', '--', '', 'NONE', 'NO TICKER') GROUP BY ticker"""))
 def _(t):
     kind = F.lower("type")
-    tx = t.congress_tx.withColumn("ticker", F.upper(F.trim(F.when(c("cid") % 50 == 0, "n/a ").otherwise(c("ticker")))))
-    ok = tx.where((c("age") <= 1095) & (kind.contains("purchase") | kind.contains("sale")) & ~c("ticker").isin("N/A", "--", "", "NONE", "NO TICKER"))
+    tx = t.congress_rows(1095).withColumn("ticker", F.upper(F.trim(F.when(c("cid") % 50 == 0, "n/a ").otherwise(c("ticker")))))
+    ok = tx.where((kind.contains("purchase") | kind.contains("sale")) & ~c("ticker").isin("N/A", "--", "", "NONE", "NO TICKER"))
     buy = kind.contains("purchase")
     return ok.groupBy("ticker").agg(count_when(buy).alias("purchases"), count_when(~buy).alias("sales"), N().alias("total"))
 
@@ -38,25 +38,25 @@ def _(t):
 @query("A02_congress_summary", statement("ctx", """SELECT cid, count(*) FILTER (type = 'Purchase') AS purchases, count(*) FILTER (type = 'Sale (Full)') AS sales, count(*) FILTER (type = 'Purchase') - count(*) FILTER (type = 'Sale (Full)') AS net,
     min(age) AS recency_days, array_to_string(list_sort(list(DISTINCT member)), ',') AS members FROM ctx WHERE age <= 1460 AND type <> 'Exchange' GROUP BY cid"""))
 def _(t):
-    s = events.congress_summary(t.congress_tx, "cid", 1460)
+    s = events.congress_summary(t.congress_rows(1460), "cid", 1460)
     return s.select("cid", "purchases", "sales", "net", c("recency_days").cast("long"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
 @query("A03_insider_purchases", statement("tx", "SELECT pid, round(sum(value_c) / 100.0, 2) AS usd, min(age) AS recency FROM tx WHERE code = 'P' AND shares > 0 AND value_c > 0 AND age <= 365 GROUP BY pid"))
 def _(t):
-    p = t.insider_tx.where("code = 'P' AND shares > 0 AND value_c > 0 AND age <= 365")
+    p = t.insider_rows(365, "P").where("shares > 0 AND value_c > 0")
     return p.groupBy("pid").agg(F.round(F.sum("value_c") / 100.0, 2).alias("usd"), F.min("age").cast("long").alias("recency"))
 
 
 @query("A04_insider_sides", statement("tx", "SELECT pid, insider_id, code AS side, d FROM tx WHERE code IN ('P', 'S') AND age <= 90"))
 def _(t):
-    return t.insider_tx.where("code IN ('P', 'S') AND age <= 90").select("pid", "insider_id", c("code").alias("side"), "d")
+    return t.insider_rows(90).where("code IN ('P', 'S')").select("pid", "insider_id", c("code").alias("side"), "d")
 
 
 @query("A05_purchase_windows", statement("tx", """SELECT pid, count(*) FILTER (age <= 30) AS n30, count(*) FILTER (age BETWEEN 31 AND 180) AS n31_180, sum(value_c)::BIGINT AS total_c, coalesce(sum(value_c) FILTER (is_ceo), 0)::BIGINT AS csuite_c
     FROM tx WHERE code = 'P' AND age <= 180 GROUP BY pid"""))
 def _(t):
-    p = t.insider_tx.where("code = 'P' AND age <= 180")
+    p = t.insider_rows(180, "P")
     return p.groupBy("pid").agg(
         count_when(c("age") <= 30).alias("n30"), count_when(c("age") > 30).alias("n31_180"), F.sum("value_c").alias("total_c"),
         F.coalesce(F.sum(F.when(c("is_ceo"), c("value_c"))), F.lit(0).cast("long")).alias("csuite_c"),
@@ -84,7 +84,7 @@ def _(t):
         SELECT pid, sum(abs(v)) AS rep FROM (SELECT pid, v, row_number() OVER (PARTITION BY pid ORDER BY q DESC) AS rn FROM (SELECT pid, date_trunc('quarter', d) AS q, sum(value_c) AS v FROM tx WHERE code = 'S' GROUP BY 1, 2) a) b WHERE rn <= 4 GROUP BY pid) r USING (pid)
     WHERE cr * 15 < 25 AND px_low > 0 AND px1 < 3.0 * px_low AND market_cap > 0 ORDER BY rep / 100.0 / market_cap DESC, ticker LIMIT 10"""))
 def _(t):
-    quarters = t.insider_tx.where("code = 'S'").groupBy("pid", F.date_trunc("quarter", "d").alias("q")).agg(F.sum("value_c").alias("v"))
+    quarters = t.insider_rows(code="S").groupBy("pid", F.date_trunc("quarter", "d").alias("q")).agg(F.sum("value_c").alias("v"))
     rep = events.newest_n(quarters, ["pid"], [F.desc("q")], 4).groupBy("pid").agg(F.sum(F.abs("v")).alias("rep"))
     e = t.entries.where("cr * 15 < 25 AND px_low > 0 AND px1 < 3.0 * px_low AND market_cap > 0").join(rep, "pid")
     y = c("rep") / 100.0 / c("market_cap")

@@ -140,7 +140,7 @@ CONGRESS_SQL = """SELECT cid, count(*) FILTER (type = 'Purchase') AS p, count(*)
 
 @query("F27_congress_score", statement("ctx", f"SELECT c_custkey AS cid, round({congress('p', 's', 'r')}, 6) AS score FROM customer LEFT JOIN ({CONGRESS_SQL.format(a=730, b=180)}) z ON c_custkey = cid"))
 def _(t):
-    s = events.congress_summary(t.congress_tx, "cid", 730)
+    s = events.congress_summary(t.congress_rows(730), "cid", 730)
     j = t.customer.select(c("c_custkey").alias("cid")).join(s, "cid", "left")
     return j.select("cid", r6(ownership.congress("purchases", "sales", "recency_days")).alias("score"))
 
@@ -148,7 +148,7 @@ def _(t):
 @query("F28_congress_surge", statement("ctx", f"""SELECT cid, round(CASE WHEN p30 / greatest(1.0, p * 30.0 / 180.0) > 1 THEN 1.0 + 0.25 * least(1.0, (p30 / greatest(1.0, p * 30.0 / 180.0) - 1.0) / 2.0) ELSE 1.0 END, 6) AS multiplier
     FROM ({CONGRESS_SQL.format(a=1460, b=365)}) z"""))
 def _(t):
-    kind = t.congress_tx.where((c("age") <= 1460) & c("type").isin("Purchase", "Sale (Full)"))
+    kind = t.congress_rows(1460).where(c("type").isin("Purchase", "Sale (Full)"))
     buy = c("type") == "Purchase"
     s = kind.groupBy("cid").agg(count_when(buy).alias("p"), count_when(buy & (c("age") <= 365)).alias("p30"))
     return s.select("cid", r6(ownership.congress_surge("p30", "p")).alias("multiplier"))
@@ -366,7 +366,7 @@ def _(t):
     FROM tx WHERE age <= 730 GROUP BY pid HAVING count(*) FILTER (age <= 365) >= 4) z ON p_partkey = pid"""))
 def _(t):
     recent = c("age") <= 365
-    s = t.insider_tx.where("age <= 730").groupBy("pid").agg(
+    s = t.insider_rows(730).groupBy("pid").agg(
         count_when(recent).alias("ih"), (count_when(recent) - count_when(~recent)).alias("dih"),
         count_when(c("code") == "P").alias("inc"), count_when(c("code") == "S").alias("red"),
     ).where("ih >= 4")

@@ -221,7 +221,7 @@ def _(t):
 
     symbol = F.when(c("pid") % 3 == 0, c("ticker")).otherwise(joins.base_symbol("ticker"))
     names = t.parts.where("pid % 7 <> 0").select("pid", symbol.alias("symbol"))
-    recent = t.insider_tx.where("d >= DATE'2001-04-01' AND d < DATE'2001-10-01'").groupBy("pid", F.to_date(F.date_trunc("quarter", "d")).alias("q")).agg(
+    recent = t.insider_rows(218).where("d >= DATE'2001-04-01' AND d < DATE'2001-10-01'").groupBy("pid", F.to_date(F.date_trunc("quarter", "d")).alias("q")).agg(
         F.count(F.lit(1)).alias("ih"), count_when(c("code") == "P").alias("inc"), count_when(c("code") == "S").alias("red")
     )
     held = recent.join(names, "pid").drop("pid")
@@ -236,7 +236,7 @@ CONV_SQL = "(CASE WHEN members IS NOT NULL THEN least(1.0, (members - 3) / 2.0 *
 
 def clusters(t, lookback=900):
     """Names traded by at least three distinct members, with the cluster's conviction."""
-    s = t.congress_tx.where((c("age") <= lookback) & (c("type") != "Exchange")).select("cid", "member").distinct()
+    s = t.congress_rows(lookback).where(c("type") != "Exchange").select("cid", "member").distinct()
     k = s.groupBy(c("cid").alias("pid")).agg(F.count(F.lit(1)).alias("members")).where("members >= 3")
     return k.withColumn("conviction", F.least(F.lit(1.0), (c("members") - 3) / 2.0 * 0.40 + 0.60))
 

@@ -318,17 +318,13 @@ def _(t):
 def _(t):
     rows = t.stored("boosted", lambda: boosted(t).select("ticker", "pid", "market", "final_score", "boosted", "boost"))
     after = ranking.top_per(rows, ["market"], 20, "boosted", "boosted_rank").where("boost > 0")
-    from ..operators.positions import positions
-
-    before = positions(rows.select("market", "pid", "final_score"), ["market"], "final_score", "pid")
-    # Rank ties go to the smaller ticker text; recount only the names that share a score with a listed one.
     listed = after.select("market", "ticker", "final_score", "boosted", "boosted_rank", "boost")
-    above = before.groupBy("market", "final_score").agg(F.min("pos0").alias("above"))
-    tied = rows.join(listed.select("market", "final_score").distinct(), ["market", "final_score"], "left_semi").select("market", "final_score", "ticker")
-    w = Window.partitionBy("market", "final_score").orderBy("ticker")
-    place = tied.withColumn("k", F.row_number().over(w)).join(above, ["market", "final_score"]).select("market", "ticker", (c("above") + c("k")).cast("long").alias("shadow_rank"))
-    j = listed.join(place, ["market", "ticker"]).where("shadow_rank > boosted_rank")
-    return j.select("ticker", long("boosted_rank"), "shadow_rank", r6(c("boosted") - c("final_score")).alias("score_delta"))
+    # At most 20 listed names per market: broadcast, and count for each the rows that rank before it.
+    mine = F.broadcast(listed.select("market", c("ticker").alias("t"), c("final_score").alias("s")))
+    ahead = (c("final_score") > c("s")) | ((c("final_score") == c("s")) & (c("ticker") < c("t")))
+    before = rows.join(mine, "market").where(ahead).groupBy("market", c("t").alias("ticker")).agg(N().alias("before"))
+    j = listed.join(before, ["market", "ticker"], "left").withColumn("shadow_rank", F.coalesce("before", F.lit(0)) + 1).where("shadow_rank > boosted_rank")
+    return j.select("ticker", long("boosted_rank"), long("shadow_rank"), r6(c("boosted") - c("final_score")).alias("score_delta"))
 
 
 # --- exits and sizing ------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from ..operators import events, joins
 from ..oracles.base import US, statement
 from ..session import new_path
 from ..sources import readers, writers
+from ..views import AS_OF, midnight
 from .predicates import LISTS, lists
 from .registry import query
 
@@ -103,7 +104,7 @@ def _(t):
 @query("S07_filings_xml", statement("tx", "SELECT pid, count(*) AS n, round(sum(shares * (value_c / 100.0)), 2) AS value FROM tx WHERE code = 'P' GROUP BY pid"))
 def _(t):
     path = new_path(t.spark, "filings")
-    p = t.insider_tx.where("code = 'P'")
+    p = t.insider_rows(code="P")
     # A filing holds one owner's transactions of one day.
     one = p.groupBy("pid", "insider_id", "d").agg(F.collect_list(F.struct(c("code"), c("shares").cast("double").alias("shares"), (c("value_c") / 100.0).alias("price"), c("d").cast("string").alias("day"))).alias("tx"))
     one.select(
@@ -122,7 +123,7 @@ ROLE = "CASE l_linenumber WHEN 1 THEN 'Chief Executive Officer' WHEN 2 THEN 'CFO
 def _(t):
     n = c("l_linenumber")
     title = F.when(n == 1, "Chief Executive Officer").when(n == 2, "CFO").when(n == 3, "Director").otherwise("Analyst")
-    rows = t.lineitem.where((c("l_linestatus") == "F") & (F.datediff(F.lit(dt.date(2001, 11, 5)), F.to_date("l_shipdate")) <= 900)).withColumnRenamed("l_partkey", "pid")
+    rows = t.lineitem.where((c("l_linestatus") == "F") & (c("l_shipdate") >= F.lit(midnight(AS_OF, 900)))).withColumnRenamed("l_partkey", "pid")
     top = events.newest_n(rows, ["pid"], [F.desc("l_shipdate"), F.desc("l_orderkey"), F.desc("l_linenumber"), F.desc("l_extendedprice")], 10)
     key = readers.is_key_role(title)
     buy, sell = key & (c("l_returnflag") == "A"), key & (c("l_returnflag") == "R")

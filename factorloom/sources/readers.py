@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +66,12 @@ def sniff_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A missing dump reads as an empty table of the right shape."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+    try:
+        return spark.read.json(path, schema=schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.json(path, schema=schema)
 
 
 FORM4 = (

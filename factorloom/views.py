@@ -59,6 +59,11 @@ def days_before(as_of: dt.date, when) -> Column:
     return F.datediff(F.lit(as_of), F.to_date(F.col(when)))
 
 
+def midnight(as_of: dt.date, days: int) -> dt.datetime:
+    """Start of the day `days` before as_of."""
+    return dt.datetime.combine(as_of - dt.timedelta(days=days), dt.time())
+
+
 def count_when(cond) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
@@ -168,10 +173,21 @@ class Tables:
 
     # --- transactions, filings, estimates ------------------------------------------------
 
-    @cached_property
+    @property
     def insider_tx(self) -> DataFrame:
-        """Insider transactions: pid, insider_id, code P/S/O, shares, price, value_c, d, age, is_ceo."""
-        return self.lineitem.select(
+        return self.insider_rows()
+
+    def insider_rows(self, max_age: int | None = None, code: str | None = None) -> DataFrame:
+        """Insider transactions: pid, insider_id, code P/S/O, shares, value_c, d, age, is_ceo.
+
+        Age and side are filtered on the raw columns, so they reach the scan.
+        """
+        rows = self.lineitem
+        if max_age is not None:
+            rows = rows.where(F.col("l_shipdate") >= F.lit(midnight(AS_OF, max_age)))
+        if code is not None:
+            rows = rows.where(F.col("l_returnflag") == {"P": "A", "S": "R"}[code])
+        return rows.select(
             F.col("l_partkey").alias("pid"),
             F.col("l_suppkey").alias("insider_id"),
             F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("O").alias("code"),
@@ -182,11 +198,17 @@ class Tables:
             (F.col("l_linenumber") == 1).alias("is_ceo"),
         )
 
-    @cached_property
+    @property
     def congress_tx(self) -> DataFrame:
+        return self.congress_rows()
+
+    def congress_rows(self, max_age: int | None = None) -> DataFrame:
         """Politicians' trades: cid, ticker, member, type, d, age."""
         status = F.col("o_orderstatus")
-        return self.orders.select(
+        rows = self.orders
+        if max_age is not None:
+            rows = rows.where(F.col("o_orderdate") >= F.lit(midnight(AS_OF, max_age)))
+        return rows.select(
             F.col("o_custkey").alias("cid"),
             F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"),
             (F.col("o_orderkey") % 50).alias("member"),
