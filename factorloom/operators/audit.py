@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import WEIGHTS
@@ -15,52 +13,66 @@ from .quality import IntegrityError, TICKER_FORMAT, region_of
 FOREIGN = ("EUROPE", "ASIA")
 
 
-def _found(df: DataFrame, code: str) -> DataFrame:
-    return df.select(F.lit(code).alias("code"), "bucket", "ticker")
+def _foreign() -> Column:
+    return F.col("market").isin(*FOREIGN)
+
+
+def _listed() -> Column:
+    return F.col("bucket").startswith("top_buys")
 
 
-def score_range(lists: DataFrame) -> DataFrame:
-    return _found(lists.where(F.col("final_score").isNull() | ~F.col("final_score").between(0.0, 1.0)), "A_SCORE_RANGE")
+def score_range() -> Column:
+    return F.col("final_score").isNull() | ~F.col("final_score").between(0.0, 1.0)
 
 
-def badge_mismatch(lists: DataFrame) -> DataFrame:
-    return _found(lists.where(~F.col("badge").eqNullSafe(regime.badge("final_score"))), "B_BADGE")
+def badge_mismatch() -> Column:
+    return ~F.col("badge").eqNullSafe(regime.badge("final_score"))
 
 
-def unsorted(lists: DataFrame) -> DataFrame:
-    """A row with a higher score than the row before it in its bucket; a bucket is a published list."""
-    w = Window.partitionBy("bucket").orderBy("pos")
-    ranked = lists.where(F.col("bucket").startswith("top_buys")).withColumn("prev", F.lag("final_score").over(w))
-    return _found(ranked.where(F.col("prev") < F.col("final_score")), "C_SORTING")
+def unsorted() -> Column:
+    """A higher score than the row before it in the bucket; a bucket is a published list of bounded length."""
+    prev = F.lag("final_score").over(Window.partitionBy("bucket").orderBy("pos"))
+    return _listed() & (prev < F.col("final_score"))
 
 
-def geographic_leak(lists: DataFrame) -> DataFrame:
-    dotted = F.contains("ticker", F.lit("."))
-    return _found(lists.where(dotted != F.col("market").isin(*FOREIGN)), "D_GEOGRAPHY")
+def geographic_leak() -> Column:
+    return F.contains("ticker", F.lit(".")) != _foreign()
 
 
-def congress_leak(lists: DataFrame) -> DataFrame:
-    return _found(lists.where(F.col("market").isin(*FOREIGN) & (F.col("congress") > 0)), "E_CONGRESS")
+def congress_leak() -> Column:
+    return _foreign() & (F.col("congress") > 0)
 
 
-def over_ceiling(lists: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+def over_ceiling(tolerance: float = 1e-4) -> Column:
     """Foreign scores cannot exceed the weight their region's available factors add up to."""
     top = {r: round(sum(w for f, w in WEIGHTS[r].items() if f not in ("congress", "transcript_tone")), 6) for r in ("US", "EU", "ASIA")}
-    ceiling = lookup(top, region_of("ticker"))
-    return _found(lists.where(F.col("market").isin(*FOREIGN) & (F.col("final_score") > ceiling + tolerance)), "E2_CEILING")
+    return _foreign() & (F.col("final_score") > lookup(top, region_of("ticker")) + tolerance)
+
+
+def bad_format() -> Column:
+    return _listed() & ~F.col("ticker").rlike(TICKER_FORMAT)
+
+
+def overlay_missing(vix: str = "vix", tolerance: float = 1e-4) -> Column:
+    limit = regime.vol_multiplier(vix)
+    return (limit < 1.0) & (F.col("final_score") > limit + tolerance)
 
 
 def bad_vix(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vix").isNull() | ~F.col("vix").between(0.0, 200.0))
 
 
-def bad_format(lists: DataFrame) -> DataFrame:
-    return _found(lists.where(F.col("bucket").startswith("top_buys") & ~F.col("ticker").rlike(TICKER_FORMAT)), "G_FORMAT")
+CHECKS = {
+    "A_SCORE_RANGE": score_range, "B_BADGE": badge_mismatch, "C_SORTING": unsorted, "D_GEOGRAPHY": geographic_leak,
+    "E_CONGRESS": congress_leak, "E2_CEILING": over_ceiling, "G_FORMAT": bad_format, "I_OVERLAY": overlay_missing,
+}
 
 
-def overlay_missing(lists: DataFrame, vix: str = "vix", tolerance: float = 1e-4) -> DataFrame:
-    limit = regime.vol_multiplier(vix)
-    return _found(lists.where((limit < 1.0) & (F.col("final_score") > limit + tolerance)), "I_OVERLAY")
+def violations(lists: DataFrame, codes: tuple[str, ...] = tuple(CHECKS)) -> DataFrame:
+    """Broken checks of all list rows, from one pass: code, bucket, ticker."""
+    flagged = lists.select("bucket", "ticker", *[CHECKS[k]().alias(k) for k in codes])
+    found = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in codes]))
+    return flagged.select(F.explode(found).alias("code"), "bucket", "ticker")
 
 
 def single_name(block: DataFrame) -> DataFrame:
@@ -79,12 +91,6 @@ def single_name(block: DataFrame) -> DataFrame:
     return block.withColumn("code", code)
 
 
-def violations(lists: DataFrame) -> DataFrame:
-    """All list checks side by side: code, bucket, ticker."""
-    checks = (score_range, badge_mismatch, unsorted, geographic_leak, congress_leak, over_ceiling, bad_format, overlay_missing)
-    return reduce(DataFrame.unionByName, [check(lists) for check in checks])
-
-
 def audit(lists: DataFrame) -> None:
     """Raise on the first violation in check order."""
     first = violations(lists).orderBy("code", "bucket", "ticker").limit(1).collect()

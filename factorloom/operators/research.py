@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import ratio
 from . import joins, xs
-from .distribution import percentiles, with_average_rank
+from .distribution import attach, percentiles, with_average_rank
 
 
 def snapshot_ic(long: DataFrame, label: str = "fwd", keys=("d", "factor"), score: str = "score") -> DataFrame:
@@ -52,17 +52,20 @@ def backtest(signals: DataFrame, bars: DataFrame, bench: DataFrame, horizons: li
     signals: sid, anchor, market and any labels. Returns are missing when the exit bar is; alpha is
     for US names only.
     """
-    own = joins.offset_prices(signals, bars, [0, *horizons])
-    entry = own.where("k = 0").select("sid", "anchor", F.col("price").alias("entry_price"))
-    exits = own.where("k > 0").withColumnRenamed("k", "horizon").withColumnRenamed("price", "exit_price").drop("bar_no")
+    nb = joins.numbered_bars(bars).select("sid", "bar_no", "close")
+    at = joins.entry_bar(signals, bars)
+    own = signals.join(at, ["sid", "anchor"]).join(nb.withColumnRenamed("close", "entry_price"), ["sid", "bar_no"], "left")
+    legs = own.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("exit_no", F.col("bar_no") + F.col("horizon")).drop("bar_no")
+    exits = legs.join(nb.select("sid", F.col("bar_no").alias("exit_no"), F.col("close").alias("exit_price")), ["sid", "exit_no"], "left").drop("exit_no")
     days = signals.select(F.lit(0).cast("long").alias("sid"), "anchor").distinct()
     ref_bars = bench.select(F.lit(0).cast("long").alias("sid"), "d", F.col("bench").alias("close"))
-    ref = joins.offset_prices(days, ref_bars, [0, *horizons]).select("anchor", "k", F.col("price").alias("p"))
-    ref = ref.where("k > 0").withColumnRenamed("k", "horizon").join(ref.where("k = 0").select("anchor", F.col("p").alias("p0")), "anchor")
-    j = exits.join(entry, ["sid", "anchor"]).join(ref, ["anchor", "horizon"], "left")
+    priced = joins.offset_prices(days, ref_bars, [0, *horizons])  # one row per calendar day and horizon
+    ref = priced.groupBy("anchor").agg(*[F.max(F.when(F.col("k") == h, F.col("price"))).alias(f"p{h}") for h in (0, *horizons)])
+    p = F.coalesce(*[F.when(F.col("horizon") == h, F.col(f"p{h}")) for h in horizons])
+    j = exits.join(ref, "anchor", "left").withColumn("p", p)
     net = ratio("exit_price", "entry_price") - 1.0 - cost
     bench_ret = F.when((F.col("market") == "USA") & F.col("exit_price").isNotNull(), ratio("p", "p0") - 1.0)
-    return j.withColumns({"ret": net, "bench_ret": bench_ret}).withColumn("alpha", F.col("ret") - F.col("bench_ret")).drop("p", "p0")
+    return j.withColumns({"ret": net, "bench_ret": bench_ret}).withColumn("alpha", F.col("ret") - F.col("bench_ret")).drop("p", "p0", *[f"p{h}" for h in horizons])
 
 
 def horizon_stats(trades: DataFrame, keys: list[str], ret: str = "ret") -> DataFrame:
@@ -85,8 +88,8 @@ def factor_correlations(long: DataFrame, factors: list[str], max_null: float = 0
     """
     stats = long.groupBy("market", "factor").agg(F.avg(F.col("score").isNull().cast("int")).alias("none_rate"))
     median = percentiles(long, ["market", "factor"], "score", {"med": 0.5})
-    known = stats.where(F.col("none_rate") <= max_null).join(median, ["market", "factor"])
-    filled = long.join(known, ["market", "factor"]).withColumn("score", F.round(F.coalesce("score", "med"), 9))
+    known = stats.where(F.col("none_rate") <= max_null).join(median, ["market", "factor"]).select("market", "factor", "none_rate", "med")
+    filled = attach(long, known, ["market", "factor"]).where("none_rate IS NOT NULL").withColumn("score", F.round(F.coalesce("score", "med"), 9))
     ranked = with_average_rank(filled.select("ticker", "market", "factor", "score"), ["market", "factor"], "score", "r")
     wide = ranked.groupBy("market", "ticker").agg(
         *[F.max(F.when(F.col("factor") == f, F.col("r"))).alias(f) for f in factors],

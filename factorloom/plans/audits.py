@@ -44,21 +44,21 @@ G = f"SELECT 'G_FORMAT' AS code, bucket, ticker FROM pl WHERE bucket LIKE 'top_b
 I1 = f"SELECT 'I_OVERLAY' AS code, bucket, ticker FROM pl WHERE {VOL} < 1.0 AND final_score > {VOL} + 1e-4"
 
 
-def check(name, fn, sql):
+def check(name, sql, *codes):
     @query(name, statement("pl", sql, extra=PLANT))
     def _(t):
-        return fn(planted(t))
-
-
-check("Q01_score_range", audit.score_range, A)
-check("Q02_badge", audit.badge_mismatch, B)
-check("Q03_sorting", audit.unsorted, C)
-check("Q04_geography", audit.geographic_leak, D)
-check("Q05_congress_leak", audit.congress_leak, E1)
-check("Q06_ceiling", audit.over_ceiling, E2)
-check("Q08_ticker_format", audit.bad_format, G)
-check("Q10_overlay", audit.overlay_missing, I1)
-check("Q11_all_violations", audit.violations, " UNION ALL ".join((A, B, C, D, E1, E2, G, I1)))
+        return audit.violations(planted(t), codes or tuple(audit.CHECKS))
+
+
+check("Q01_score_range", A, "A_SCORE_RANGE")
+check("Q02_badge", B, "B_BADGE")
+check("Q03_sorting", C, "C_SORTING")
+check("Q04_geography", D, "D_GEOGRAPHY")
+check("Q05_congress_leak", E1, "E_CONGRESS")
+check("Q06_ceiling", E2, "E2_CEILING")
+check("Q08_ticker_format", G, "G_FORMAT")
+check("Q10_overlay", I1, "I_OVERLAY")
+check("Q11_all_violations", " UNION ALL ".join((A, B, C, D, E1, E2, G, I1)))
 
 
 @query("Q07_vix_range", statement("vix", "SELECT d, v AS vix FROM (SELECT d, CASE month(d) WHEN 3 THEN NULL WHEN 5 THEN vix + 200 WHEN 8 THEN -vix - 1 ELSE vix END AS v FROM vix) z WHERE v IS NULL OR v NOT BETWEEN 0 AND 200"))

@@ -142,12 +142,17 @@ PILLAR_VIEWS = {
 
 def pillar_rows(t):
     """Pillar scores of all names, stored once: reports read them many times."""
-    return t.stored("pillars", lambda: composite.pillar_scores(bundles.all_pillar_inputs(t.entries, t.estimates), list(PILLAR_SQL)))
+    return t.stored("pillars", lambda: composite.pillar_scores(pillar_inputs(t), list(PILLAR_SQL)))
+
+
+def pillar_inputs(t):
+    """The wide factor bundle, stored: neutralising it takes several passes."""
+    return t.stored("pillar-inputs", lambda: bundles.all_pillar_inputs(t.entries, t.estimates))
 
 
 @query("C08_pillar_engine", statement("v3", "SELECT ticker, region, " + ", ".join(f"round({k}, 6) AS {k}" for k in ("fundamental", "consensus", "alternative", "coverage")) + ", round(final_v3, 6) AS final_score, low_coverage FROM v3", extra=PILLAR_VIEWS))
 def _(t):
-    s = composite.pillar_scores(bundles.all_pillar_inputs(t.entries, t.estimates), list(PILLAR_SQL))
+    s = composite.pillar_scores(pillar_inputs(t), list(PILLAR_SQL))
     return s.select("ticker", "region", *[r6(k).alias(k) for k in ("fundamental", "consensus", "alternative", "coverage", "final_score")], "low_coverage")
 
 

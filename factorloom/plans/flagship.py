@@ -6,6 +6,7 @@ from ..functions import price
 from ..functions.common import r6, unit
 from ..operators import composite, ranking, ts, xs
 from ..oracles.base import clip, statement
+from ..session import materialize
 from .registry import query
 from .windows import NEUTRAL_VIEW
 
@@ -14,7 +15,6 @@ WEIGHTS = {"momentum_long": 0.6, "volume_attention": 0.25, "reversal": 0.15}
 
 def bar_scores(t):
     """Newest bar of every name with its three price factors, long."""
-    w = ts.by_key()
     bars = ts.volume_zscore(ts.price_features(ts.momentum_excess(t.bars, t.bench_bars, 12, 1), 12, 1, 1, 3, 3, 12), 20)
     last = ranking.top_per(bars.withColumn("k", F.lit(1)).withColumnRenamed("sid", "ticker"), ["ticker"], 1, "d").withColumnRenamed("ticker", "sid")
     u = t.universe.select("sid", "ticker", "market", "sector", "cap_tier")
@@ -25,7 +25,6 @@ def bar_scores(t):
         unit(0.5 - F.col("volume_z") / 6.0).alias("reversal"),
     )
     ids = ["ticker", "market", "sector", "cap_tier"]
-    assert w is not None
     return wide.unpivot(ids, list(WEIGHTS), "factor", "score")
 
 
@@ -43,7 +42,7 @@ FLAG = {
 
 @query("flagship_top_by_market", statement("fcomp", "SELECT market, pos, ticker, final_score FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY final_score DESC, ticker) AS pos FROM fcomp) z WHERE pos <= 5", extra=FLAG))
 def _(t):
-    neutral = xs.neutralise(bar_scores(t))
+    neutral = xs.neutralise(materialize(bar_scores(t), "bar-scores"))
     weights = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     m = composite.weighted_mean(neutral.withColumn("weight", weights[F.col("factor")]), ["ticker", "market"], "neutral")
     ranked = ranking.top_per(m.withColumn("final_score", r6("composite")), ["market"], 5)

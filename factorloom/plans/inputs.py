@@ -11,7 +11,7 @@ query("view_universe", statement("uni", "SELECT sid, ticker, market, sector, cap
     lambda t: t.universe.withColumn("market_cap", F.round("market_cap", 2))
 )
 query("view_bars", statement("bars", "SELECT sid, d, close, high, low, volume FROM bars"))(
-    lambda t: t.bars
+    lambda t: t.bars_plan.drop("traded_c")
 )
 query("view_statements", statement("stm", "SELECT ticker, d, filing_date, round(revenue, 2) AS revenue, round(op_income, 2) AS op_income, n FROM stm"))(
     lambda t: t.statements.select("ticker", "d", "filing_date", F.round("revenue", 2).alias("revenue"), F.round("op_income", 2).alias("op_income"), "n")
