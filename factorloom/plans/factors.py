@@ -16,12 +16,17 @@ from .registry import query
 c = F.col
 
 
+def digits(name):
+    """Output digits; the dividend score is a short decimal that often ends in a five at digit seven."""
+    return 9 if name.endswith("dividend_sustain") else 6
+
+
 def scorer(name, expr, sql):
     """A scorer that is one expression over the prepared rows."""
 
-    @query(name, statement("entries", f"SELECT ticker, round(({sql})::DOUBLE, 6) + 0.0 AS score FROM entries"))
+    @query(name, statement("entries", f"SELECT ticker, round(({sql})::DOUBLE, {digits(name)}) + 0.0 AS score FROM entries"))
     def _(t):
-        return t.entries.select("ticker", r6(expr()).alias("score"))
+        return t.entries.select("ticker", (F.round(expr(), digits(name)) + 0.0).alias("score"))
 
 
 scorer("F01_momentum", lambda: price.momentum("mom_ret", F.lit(0.05)), f"coalesce(({clip('mom_ret - 0.05', -0.6, 0.6)} + 0.6) / 1.2, 0.0)")
@@ -337,22 +342,22 @@ def _(t):
 
 def bundle(name, region):
     names = bundles.region_factors(region)
-    sql = "SELECT ticker, " + ", ".join(f"round({n}, 6) AS {n}" for n in names) + f" FROM pin WHERE region = '{region}'"
+    sql = "SELECT ticker, " + ", ".join(f"round({n}, {digits(n)}) AS {n}" for n in names) + f" FROM pin WHERE region = '{region}'"
 
     @query(name, statement("pin", sql, extra=FACTOR_VIEWS))
     def _(t):
         p = bundles.all_pillar_inputs(t.entries, t.estimates).where(c("region") == region)
-        return p.select("ticker", *[r6(n).alias(n) for n in names])
+        return p.select("ticker", *[F.round(n, digits(n)).alias(n) for n in names])
 
 
 bundle("F48_pillar_inputs_us", "US")
 bundle("F49_pillar_inputs_intl", "EU")
 
 
-@query("F50_all_factors", statement("pin", "SELECT ticker, market, " + ", ".join(f"round({n}, 6) AS {n}" for n in PILLAR_SQL) + " FROM pin", extra=FACTOR_VIEWS))
+@query("F50_all_factors", statement("pin", "SELECT ticker, market, " + ", ".join(f"round({n}, {digits(n)}) AS {n}" for n in PILLAR_SQL) + " FROM pin", extra=FACTOR_VIEWS))
 def _(t):
     p = bundles.all_pillar_inputs(t.entries, t.estimates)
-    return p.select("ticker", "market", *[r6(n).alias(n) for n in PILLAR_SQL])
+    return p.select("ticker", "market", *[F.round(n, digits(n)).alias(n) for n in PILLAR_SQL])
 
 
 @query("F51_price_only", statement("entries", "SELECT ticker, round(momentum_long, 6) AS momentum_long, round(volume_attention, 6) AS volume_attention, NULL::DOUBLE AS insider_conviction, NULL::DOUBLE AS analyst_consensus FROM entries"))

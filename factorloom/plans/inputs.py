@@ -30,7 +30,7 @@ query(
 )
 query(
     "view_entries",
-    statement("entries", "SELECT ticker, final_score, badge, pipeline, round(coverage, 6) AS coverage, round(npr_spike, 6) AS npr_spike, round(atr, 6) AS atr FROM entries"),
+    statement("entries", "SELECT ticker, final_score, badge, pipeline, round(coverage, 6) AS coverage, round(npr_spike, 6) AS npr_spike, atr FROM entries"),
 )(
-    lambda t: t.entries_plan.select("ticker", "final_score", "badge", "pipeline", r6("coverage").alias("coverage"), r6("npr_spike").alias("npr_spike"), r6("atr").alias("atr"))
+    lambda t: t.entries_plan.select("ticker", "final_score", "badge", "pipeline", r6("coverage").alias("coverage"), r6("npr_spike").alias("npr_spike"), "atr")
 )

@@ -12,6 +12,7 @@ from ..oracles.base import BADGE, FACTORS, statement
 from ..oracles.factors import FACTOR_VIEWS, PILLAR_SQL
 from ..views import US_FACTORS
 from .composites import DATED, dated, values
+from .factors import digits
 from .registry import query
 
 def c(name):
@@ -140,7 +141,7 @@ EU_MASK = bundles.region_factors("EU")
 LEAK = [f for f in PILLAR_SQL if f not in EU_MASK]
 
 
-@query("P11_region_isolation", statement("entries vel", "SELECT ticker, " + ", ".join(f"round({PILLAR_SQL[f]}, 6) AS {f}" for f in EU_MASK) + ", concat_ws(',', " + ", ".join(
+@query("P11_region_isolation", statement("entries vel", "SELECT ticker, " + ", ".join(f"round({PILLAR_SQL[f]}, {digits(f)}) AS {f}" for f in EU_MASK) + ", concat_ws(',', " + ", ".join(
     f"CASE WHEN ({PILLAR_SQL[f]}) IS NOT NULL THEN '{f}' END" for f in sorted(LEAK)) + ") AS leaked FROM entries LEFT JOIN vel USING (pid) WHERE region = 'EU'", extra=FACTOR_VIEWS))
 def _(t):
     from ..operators import events
@@ -149,7 +150,7 @@ def _(t):
     cols = bundles.factor_columns()
     rows = wide.select("ticker", *[e.alias(n) for n, e in cols.items()])
     leaked = F.array_join(F.array_compact(F.array(*[F.when(c(f).isNotNull(), F.lit(f)) for f in sorted(LEAK)])), ",")
-    return rows.select("ticker", *[r6(f).alias(f) for f in EU_MASK], leaked.alias("leaked"))
+    return rows.select("ticker", *[F.round(f, digits(f)).alias(f) for f in EU_MASK], leaked.alias("leaked"))
 
 
 @query("P12_factor_blackout", statement("parts ls", """
@@ -281,10 +282,10 @@ def _(t):
     return t.events.select("event_id", quality.is_us_session("ts").alias("open"))
 
 
-@query("P30_quote_age", f"SELECT event_id, round(epoch(ts - quoted), 3) AS age_seconds FROM {NY} z")
+@query("P30_quote_age", f"SELECT event_id, (epoch_us(ts) - epoch_us(quoted)) / 1e6 AS age_seconds FROM {NY} z")
 def _(t):
     age = (F.unix_micros("ts") - F.unix_micros("quoted")) / 1e6
-    return quotes(t).select("event_id", F.round(age, 3).alias("age_seconds"))
+    return quotes(t).select("event_id", age.alias("age_seconds"))
 
 
 @query("P31_series_age", statement("daily", "SELECT uid, DATE '2024-01-31' - max(d) AS age_days, DATE '2024-01-31' - max(d) > 4 AS stale FROM daily GROUP BY uid"))
@@ -384,10 +385,10 @@ def _(t):
     return s.select(F.coalesce("a", "b").alias("vix"), "n")
 
 
-@query("P42_data_age", "SELECT event_id, round(epoch(TIMESTAMP '2024-01-31' - ts) / 3600, 4) AS age_hours, epoch(TIMESTAMP '2024-01-31' - ts) / 3600 > 25 AS stale FROM events")
+@query("P42_data_age", "SELECT event_id, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3.6e9 AS age_hours, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3.6e9 > 25 AS stale FROM events")
 def _(t):
     age = (F.unix_micros(F.lit(dt.datetime(2024, 1, 31)).cast("timestamp")) - F.unix_micros(F.try_to_timestamp(F.col("ts").cast("string")))) / 3.6e9
-    return t.events.select("event_id", F.round(age, 4).alias("age_hours"), (age > 25).alias("stale"))
+    return t.events.select("event_id", age.alias("age_hours"), (age > 25).alias("stale"))
 
 
 @query("P43_missing_factor_set", statement("scored", "SELECT ticker, " + MISSING.replace("'congress' END", "'congress' END") + " AS missing FROM scored"))

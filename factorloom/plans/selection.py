@@ -349,11 +349,11 @@ def _(t):
     return t.entries.select("ticker", r6(price.breakout_target("px", "target_price", "atr", "rsi", c("vwap_ratio") * 1.1)).alias("extended_target"))
 
 
-@query("X04_exit_anchors", statement("entries", f"""SELECT ticker, round(atr, 6) AS atr_14, round(CASE WHEN px <> 0 AND atr <> 0 THEN px - 2.5 * atr END, 6) AS batch_floor, round((target_price - px) / px * 100, 6) AS upside_pct,
+@query("X04_exit_anchors", statement("entries", f"""SELECT ticker, atr AS atr_14, round(CASE WHEN px <> 0 AND atr <> 0 THEN px - 2.5 * atr END, 6) AS batch_floor, round((target_price - px) / px * 100, 6) AS upside_pct,
     ({BREAK}) IS NOT NULL AS breakout_extension, round({BREAK}, 6) AS extended_target FROM entries WHERE px > 0"""))
 def _(t):
     a = t.entries.where("px > 0").select("ticker", price.exit_anchors("px", "target_price", "atr", "rsi", c("vwap_ratio") * 1.1).alias("a"))
-    return a.select("ticker", r6("a.atr_14").alias("atr_14"), r6("a.batch_floor").alias("batch_floor"), r6("a.upside_pct").alias("upside_pct"), "a.breakout_extension", r6("a.extended_target").alias("extended_target"))
+    return a.select("ticker", c("a.atr_14"), r6("a.batch_floor").alias("batch_floor"), r6("a.upside_pct").alias("upside_pct"), "a.breakout_extension", r6("a.extended_target").alias("extended_target"))
 
 
 @query("X05_equal_anchors", statement("entries", "SELECT ticker, market, round(1.0 / count(*) OVER (PARTITION BY market), 8) AS weight FROM entries WHERE market_cap > 10e9"))

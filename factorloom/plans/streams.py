@@ -69,14 +69,19 @@ TRANSITION_SQL = "SELECT event_id, user_id, prev, event_type FROM (SELECT *, lag
 
 
 def staged(t, df, day, cuts, label):
-    """The rows as files in time order, one append per span: what a feed would have delivered."""
+    """(path, deliveries): the rows as a feed would bring them, one append per span in time order."""
     path = new_path(t.spark, label)
     bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = df if lo is None else df.where(c(day) >= F.lit(lo))
-        part = part if hi is None else part.where(c(day) < F.lit(hi))
-        part.repartition(4).write.mode("append").parquet(path)
-    return path
+
+    def delivery(lo, hi):
+        def go():
+            part = df if lo is None else df.where(c(day) >= F.lit(lo))
+            part = part if hi is None else part.where(c(day) < F.lit(hi))
+            part.write.mode("append").parquet(path)
+
+        return go
+
+    return path, [delivery(lo, hi) for lo, hi in zip(bounds, bounds[1:])]
 
 
 CUTS = [dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 21)]
@@ -84,7 +89,7 @@ CUTS = [dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 21)]
 
 @query("R04_transition_stream", TRANSITION_SQL)
 def _(t):
-    path = staged(t, t.events, "ts", CUTS, "feed")
+    path, feed = staged(t, t.events, "ts", CUTS, "feed")
     state = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("last", T.StringType()), T.StructField("ts", T.TimestampType())])
     out = T.StructType([T.StructField(n, k) for n, k in (("event_id", T.LongType()), ("user_id", T.LongType()), ("prev", T.StringType()), ("event_type", T.StringType()))])
 
@@ -94,8 +99,7 @@ def _(t):
         merged = before.unionByName(newest).groupBy("user_id").agg(F.max_by("last", "ts").alias("last"), F.max("ts").alias("ts"))
         return merged, found.select("event_id", "user_id", "prev", "event_type")
 
-    stream = jobs.file_stream(t.spark, path, SCHEMAS["events"], files_per_batch=4)
-    return jobs.run_with_state(stream, state, out, "transitions", step).drop("batch")
+    return jobs.run_with_state(lambda: jobs.file_stream(t.spark, path, SCHEMAS["events"]), state, out, "transitions", step, feed).drop("batch")
 
 
 @query("R04_transition_batch", TRANSITION_SQL)
@@ -120,7 +124,7 @@ def _(t):
 
 @query("R05_failure_streak_stream", STREAK_SQL)
 def _(t):
-    path = staged(t, t.events, "ts", CUTS, "feed")
+    path, feed = staged(t, t.events, "ts", CUTS, "feed")
     state = T.StructType([T.StructField("feed", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("run", T.TimestampType())])
     out = T.StructType([T.StructField("feed", T.LongType()), T.StructField("run", T.TimestampType()), T.StructField("streak", T.LongType()), T.StructField("escalate", T.BooleanType())])
 
@@ -130,8 +134,7 @@ def _(t):
         merged = before.unionByName(newest).groupBy("feed").agg(F.max_by("streak", "run").alias("streak"), F.max("run").alias("run"))
         return merged, s.select("feed", "run", "streak", "escalate")
 
-    stream = jobs.file_stream(t.spark, path, SCHEMAS["events"], files_per_batch=4)
-    return jobs.run_with_state(stream, state, out, "streaks", step).drop("batch")
+    return jobs.run_with_state(lambda: jobs.file_stream(t.spark, path, SCHEMAS["events"]), state, out, "streaks", step, feed).drop("batch")
 
 
 @query("R06_tenure_batch", statement("snaps", """SELECT market, ticker, d, row_number() OVER (PARTITION BY market, ticker, m - rn ORDER BY m) AS run FROM (SELECT *, row_number() OVER (PARTITION BY market, ticker ORDER BY m) AS rn FROM (
@@ -147,7 +150,7 @@ YEARS = [dt.date(y, 1, 1) for y in range(1997, 2002)]
 @query("R06_tenure_stream")
 def _(t):
     """Yearly desks with cooldown: tenure carried over the runs, names on cooldown sit one run out."""
-    path = staged(t, t.snaps.select("sid", "ticker", "market", "d", "score"), "d", YEARS, "desks")
+    path, feed = staged(t, t.snaps.select("sid", "ticker", "market", "d", "score"), "d", YEARS, "desks")
     fields = (("sid", T.LongType()), ("ticker", T.StringType()), ("market", T.StringType()), ("d", T.DateType()), ("score", T.DoubleType()))
     state = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("tenure", T.IntegerType())])
     out = T.StructType([T.StructField(n, k) for n, k in (("market", T.StringType()), ("ticker", T.StringType()), ("action", T.StringType()), ("tenure", T.IntegerType()), ("year", T.IntegerType()))])
@@ -157,8 +160,8 @@ def _(t):
         moves = ranking.cooled_top_n(desk, before, 5, 2, ["market"])
         return ranking.update_tenure(before, moves), moves.select("market", "ticker", "action", "tenure", "year")
 
-    stream = jobs.file_stream(t.spark, path, T.StructType([T.StructField(n, k) for n, k in fields]), files_per_batch=4)
-    return jobs.run_with_state(stream, state, out, "tenure", step).drop("batch")
+    schema = T.StructType([T.StructField(n, k) for n, k in fields])
+    return jobs.run_with_state(lambda: jobs.file_stream(t.spark, path, schema), state, out, "tenure", step, feed).drop("batch")
 
 
 @query("R07_dead_feed_streak", """SELECT user_id, DATE '2024-01-31' - max(CAST(ts AS DATE)) FILTER (event_type = 'purchase') AS dead_days, count(*) FILTER (event_type = 'purchase') = 0 AS never FROM events GROUP BY user_id""")

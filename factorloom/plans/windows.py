@@ -31,10 +31,10 @@ def neutral_long(t):
 
 
 @query("W01_winsorise", statement("entries", """
-    SELECT ticker, round(greatest(lo, least(hi, px)), 6) AS winsorised FROM entries
+    SELECT ticker, round(greatest(lo, least(hi, px)), 8) AS winsorised FROM entries
     JOIN (SELECT market, quantile_cont(px, 0.01) AS lo, quantile_cont(px, 0.99) AS hi FROM entries GROUP BY market) q USING (market)"""))
 def _(t):
-    return xs.winsorise(t.entries, ["market"], "px").select("ticker", r6("winsorised").alias("winsorised"))
+    return xs.winsorise(t.entries, ["market"], "px").select("ticker", F.round("winsorised", 8).alias("winsorised"))
 
 
 @query("W02_winsorise_min_max", statement("entries", """

@@ -7,7 +7,7 @@ Every batch writes to a path named by its batch id and overwrites it, so a repla
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,15 +66,16 @@ def route(stream: DataFrame, code: str, label: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 
-def run_with_state(stream: DataFrame, state_schema: T.StructType, out_schema: T.StructType, label: str,
-                   step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+def run_with_state(make_stream: Callable[[], DataFrame], state_schema: T.StructType, out_schema: T.StructType, label: str,
+                   step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+                   deliveries: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
     """Carry a keyed state table across micro-batches: step(batch, state) -> (new state, output).
 
     Batch n reads the state of batch n-1 and writes its own; both are plain tables, so state of any
-    size is partitioned and joined like other data.
+    size is partitioned and joined like other data. Each delivery brings files and is followed by one
+    availableNow run on the same checkpoint, as a scheduled job would do.
     """
-    spark = stream.sparkSession
-    base = new_path(spark, label)
+    base, spark = None, None
 
     def save(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -83,8 +84,12 @@ def run_with_state(stream: DataFrame, state_schema: T.StructType, out_schema: T.
         state.write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
         out.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
-    q.awaitTermination()
+    for deliver in deliveries:
+        deliver()
+        stream = make_stream()
+        spark = stream.sparkSession
+        base = base or new_path(spark, label)
+        stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
     return spark.read.schema(T.StructType([*out_schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 

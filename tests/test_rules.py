@@ -151,5 +151,5 @@ def test_state_survives_batches(spark):
         merged = before.unionByName(new).groupBy("k").agg(F.max_by("streak", "run").alias("streak"), F.max("run").alias("run"))
         return merged, s.select("k", "run", "streak")
 
-    got = jobs.run_with_state(jobs.file_stream(spark, path, schema, files_per_batch=1), state, out, "streak-test", step)
+    got = jobs.run_with_state(lambda: jobs.file_stream(spark, path, schema, files_per_batch=1), state, out, "streak-test", step)
     assert sorted((r["k"], r["run"], r["streak"]) for r in got.collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 0), (1, 5, 1), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
