@@ -66,3 +66,14 @@ def as_double(x) -> Column:
 def r6(x) -> Column:
     """Output rounding; adding 0.0 turns -0.0 into 0.0."""
     return F.round(col(x), 6) + F.lit(0.0)
+
+
+def metric_cell(x) -> Column:
+    """Number from a cell that may hold JSON text: {"score": n}, [n, ...] or plain n; blank or unreadable is 0, null stays missing."""
+    s = F.trim(col(x))
+    value = (
+        F.when(s.startswith("{"), F.get_json_object(s, "$.score"))
+        .when(s.startswith("["), F.get_json_object(s, "$[0]"))
+        .otherwise(s)
+    )
+    return F.when(col(x).isNotNull(), F.coalesce(value.try_cast("double"), F.lit(0.0)))

@@ -74,3 +74,8 @@ BEAR_WORDS = (
     "cut", "fall", "drop", "recession", "layoff", "lawsuit", "fine", "warning", "risk", "volatile", "below",
     "disappoints", "halt", "investigation", "fraud", "bankruptcy", "default",
 )
+
+
+def narrative(parts, n: int = 3, sep: str = " · ") -> Column:
+    """The first n present parts in evidence order, joined; missing parts are skipped."""
+    return F.array_join(F.slice(F.array_compact(F.array(*parts)), 1, n), sep)

@@ -138,35 +138,52 @@ def _moves(bars: DataFrame) -> DataFrame:
     ).where("x IS NOT NULL")
 
 
-def _wilder_sums(seq: Column, period: int) -> Column:
-    """Running Wilder sums of an array: seed of the first `period` values, then s - s/p + x."""
-    seed = F.aggregate(F.slice(seq, 1, period), F.lit(0.0), lambda a, v: a + v)
-    tail = F.slice(seq, F.lit(period + 1), F.greatest(F.size(seq) - period, F.lit(0)))
-    step = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) * (1.0 - 1.0 / period) + v))
-    return F.aggregate(tail, F.array(seed), step)
-
-
-def _adx_of(seqs: dict[str, Column], period: int) -> Column:
-    s = {k: _wilder_sums(v, period) for k, v in seqs.items()}
-    zipped = F.arrays_zip(s["tr"].alias("tr"), s["pdm"].alias("pdm"), s["mdm"].alias("mdm"))
-    dx = F.transform(
-        zipped,
-        lambda z: F.when(z["tr"] <= 0, 0.0).otherwise(
-            F.coalesce(100.0 * F.abs(F.try_divide(z["pdm"] - z["mdm"], z["pdm"] + z["mdm"])), F.lit(0.0))
-        ),
-    )
-    seed = F.aggregate(F.slice(dx, 1, period), F.lit(0.0), lambda a, v: a + v) / period
-    tail = F.slice(dx, F.lit(period + 1), F.greatest(F.size(dx) - period, F.lit(0)))
-    smooth = F.aggregate(tail, seed, lambda a, v: (a * (period - 1) + v) / period)
-    return F.when(F.size(dx) >= period, smooth)
+def _wilder(first: Column, before: Column, value: Column, period: int) -> Column:
+    """Running Wilder sum: plain sum while seeding, then s - s/p + x."""
+    return F.when(first, before + value).otherwise(before * (1.0 - 1.0 / period) + value)
+
+
+def _adx_of(moves: Column, period: int) -> Column:
+    """One fold over an array of moves, carrying three smoothed sums and the smoothed index."""
+    zero, none = F.lit(0.0), F.lit(0)
+    start = F.struct(none.alias("i"), zero.alias("t"), zero.alias("a"), zero.alias("b"), none.alias("m"), zero.alias("adx"))
+
+    def sums(acc, v):
+        seed = acc["i"] < period
+        return F.struct(
+            (acc["i"] + 1).alias("i"), _wilder(seed, acc["t"], v["tr"], period).alias("t"), _wilder(seed, acc["a"], v["pdm"], period).alias("a"),
+            _wilder(seed, acc["b"], v["mdm"], period).alias("b"), acc["m"].alias("m"), acc["adx"].alias("adx"),
+        )
+
+    def index(acc):
+        dx = F.when(acc["t"] <= 0, 0.0).otherwise(F.coalesce(100.0 * F.abs(F.try_divide(acc["a"] - acc["b"], acc["a"] + acc["b"])), zero))
+        smooth = F.when(acc["m"] < period, acc["adx"] + dx / period).otherwise((acc["adx"] * (period - 1) + dx) / period)
+        ready = acc["i"] >= period
+        return F.struct(
+            acc["i"].alias("i"), acc["t"].alias("t"), acc["a"].alias("a"), acc["b"].alias("b"),
+            (acc["m"] + F.when(ready, 1).otherwise(0)).alias("m"), F.when(ready, smooth).otherwise(acc["adx"]).alias("adx"),
+        )
+
+    # The inner one-element transform names the new sums once, so the index reads them instead of rebuilding them.
+    step = lambda acc, v: F.element_at(F.transform(F.array(sums(acc, v)), index), 1)
+    return F.aggregate(moves, start, step, lambda acc: F.when(acc["m"] >= period, acc["adx"]))
+
+
+def _wilder_mean(values: Column, period: int) -> Column:
+    """Wilder average of an array: mean of the first `period` values, then (a (p-1) + x) / p."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("a"))
+
+    def step(acc, x):
+        a = F.when(acc["i"] < period, acc["a"] + x / period).otherwise((acc["a"] * (period - 1) + x) / period)
+        return F.struct((acc["i"] + 1).alias("i"), a.alias("a"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["a"])
 
 
 def adx(bars: DataFrame, period: int = 14) -> DataFrame:
     """Trend strength per key; the folded arrays hold one value per calendar period."""
     m = _moves(bars).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(DAY, "tr", "pdm", "mdm"))).alias("m"))
-    seqs = {k: F.col("m").getField(k) for k in ("tr", "pdm", "mdm")}
-    value = F.when(F.size("m") >= 2 * period, _adx_of(seqs, period))
-    return m.select(KEY, value.alias("adx"))
+    return m.select(KEY, F.when(F.size("m") >= 2 * period, _adx_of(F.col("m"), period)).alias("adx"))
 
 
 def windowed_technicals(bars: DataFrame, window: int, period: int) -> DataFrame:
@@ -176,16 +193,10 @@ def windowed_technicals(bars: DataFrame, window: int, period: int) -> DataFrame:
     f = by_key().rowsBetween(-(window - 2), 0)
     m = _moves(bars).select(KEY, DAY, F.collect_list(F.struct("tr", "pdm", "mdm", "x")).over(f).alias("m"))
     full = m.where(F.size("m") >= 2 * period)
-    seqs = {k: F.col("m").getField(k) for k in ("tr", "pdm", "mdm")}
-
-    def wilder_mean(side):
-        xs = F.transform("m", lambda s: F.greatest(side * s["x"], F.lit(0.0)))
-        return F.element_at(_wilder_sums(xs, period), -1) / period
-
-    g, l = wilder_mean(F.lit(1.0)), wilder_mean(F.lit(-1.0))
-    return full.select(
-        KEY, DAY, rsi_reversion(rsi_from_averages(g, l)).alias("rsi_score"), adx_score(_adx_of(seqs, period)).alias("adx_score")
-    )
+    g = _wilder_mean(F.transform("m", lambda s: F.greatest(s["x"], F.lit(0.0))), period)
+    l = _wilder_mean(F.transform("m", lambda s: F.greatest(-s["x"], F.lit(0.0))), period)
+    folded = full.select(KEY, DAY, g.alias("g"), l.alias("l"), _adx_of(F.col("m"), period).alias("adx"))
+    return folded.select(KEY, DAY, rsi_reversion(rsi_from_averages("g", "l")).alias("rsi_score"), adx_score("adx").alias("adx_score"))
 
 
 def bench_returns(bench: DataFrame) -> DataFrame:

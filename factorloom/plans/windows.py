@@ -243,7 +243,30 @@ def _(t):
     )
 
 
-@query("W22_windowed_technicals")
+MOVES = """SELECT sid, d, i, x, tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS pdm, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS mdm FROM (
+    SELECT sid, d, row_number() OVER w - 1 AS i, close - lag(close) OVER w AS x, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn,
+           greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY sid ORDER BY d)) z WHERE i >= 1"""
+
+
+def wilder_sql(source, keys, p):
+    """SQL of the smoothed index: running sums and their mean as discounted sums."""
+    k = f"({p - 1} / {p}.0)"
+    run = lambda v: f"pow({k}, i) * sum({v} * pow({k}, -greatest(i, {p}))) OVER (PARTITION BY {keys} ORDER BY i ROWS UNBOUNDED PRECEDING)"
+    return f"""SELECT {keys}, CASE WHEN max(n) >= {2 * p} THEN sum(dx / {p} * pow({k}, n - {p - 1} - greatest(i - {p - 1}, {p}))) END AS adx FROM (SELECT *, CASE WHEN t > 1e-12 THEN coalesce(100.0 * abs(a - b) / nullif(a + b, 0), 0.0) ELSE 0.0 END AS dx FROM (
+        SELECT *, {run('tr')} AS t, {run('pdm')} AS a, {run('mdm')} AS b, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}) s WHERE i >= {p}) q GROUP BY {keys}"""
+
+
+TECH_VIEWS = {
+    "mv": (("bars",), MOVES),
+    "win": (("mv",), "SELECT e.sid, e.d AS e, m.i - greatest(e.i - 34, 1) + 1 AS i, m.x, m.tr, m.pdm, m.mdm FROM mv e JOIN mv m ON m.sid = e.sid AND m.i <= e.i AND m.i > e.i - 35"),
+    "wrsi": (("win",), """SELECT sid, e, n, sum(greatest(x, 0.0) / 6 * pow(5 / 6.0, n - greatest(i, 6))) AS g, sum(greatest(-x, 0.0) / 6 * pow(5 / 6.0, n - greatest(i, 6))) AS l
+        FROM (SELECT *, count(*) OVER (PARTITION BY sid, e) AS n FROM win) z WHERE n >= 12 GROUP BY 1, 2, 3"""),
+}
+
+
+@query("W22_windowed_technicals", statement("win wrsi", f"""
+    SELECT sid, e AS d, round(0.5 + (50 - CASE WHEN g = 0 AND l = 0 THEN 50.0 WHEN l = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + g / l) END) / 100, 6) AS rsi_score,
+           round(coalesce(greatest(0.0, least(50.0, adx)) / 50, 0.0), 6) AS adx_score FROM wrsi JOIN ({wilder_sql('win', 'sid, e', 6)}) a USING (sid, e)""", extra=TECH_VIEWS))
 def _(t):
     return ts.windowed_technicals(t.bars, window=36, period=6).select("sid", "d", r6("rsi_score").alias("rsi_score"), r6("adx_score").alias("adx_score"))
 
@@ -272,7 +295,8 @@ def _(t):
     return r.select("sid", r6("rsi").alias("rsi"), r6(price.rsi_reversion("rsi")).alias("score"))
 
 
-@query("W25_adx_trend")
+@query("W25_adx_trend", statement("bars mv", f"""
+    SELECT sid, round(CASE WHEN adx IS NULL THEN 0.0 ELSE greatest(0.0, least(50.0, adx)) / 50 END, 6) AS score FROM (SELECT DISTINCT sid FROM mv) u LEFT JOIN ({wilder_sql('mv', 'sid', 14)}) a USING (sid)""", extra=TECH_VIEWS))
 def _(t):
     return ts.adx(t.bars, 14).select("sid", r6(price.adx_score("adx")).alias("score"))
 
