@@ -28,8 +28,9 @@ def _(t):
 
 
 @query("F18_evidence_line", statement("entries", """
-    SELECT ticker, array_to_string(list_slice(list_filter([CASE WHEN buy_c > 0 THEN 'Insider $' || (buy_c // 100) END, CASE WHEN surprise_pct < 0 AND surprise_days <= 90 THEN 'EPS miss' WHEN surprise_pct IS NOT NULL AND surprise_days <= 90 THEN 'EPS beat ' || surprise_days || 'd ago' END,
-        CASE WHEN buys_1y > 0 AND market = 'USA' THEN buys_1y || 'x congress buy' END, CASE WHEN mom_ret > 0.05 THEN 'momentum up' WHEN mom_ret < -0.05 THEN 'momentum down' END], x -> x IS NOT NULL), 1, 3), ' · ') AS line FROM entries"""))
+    SELECT ticker, concat_ws(' · ', a, b, k, CASE WHEN a IS NULL OR b IS NULL OR k IS NULL THEN m END) AS line FROM (SELECT ticker, CASE WHEN buy_c > 0 THEN 'Insider $' || (buy_c // 100) END AS a,
+        CASE WHEN surprise_pct < 0 AND surprise_days <= 90 THEN 'EPS miss' WHEN surprise_pct IS NOT NULL AND surprise_days <= 90 THEN 'EPS beat ' || surprise_days || 'd ago' END AS b,
+        CASE WHEN buys_1y > 0 AND market = 'USA' THEN buys_1y || 'x congress buy' END AS k, CASE WHEN mom_ret > 0.05 THEN 'momentum up' WHEN mom_ret < -0.05 THEN 'momentum down' END AS m FROM entries) z"""))
 def _(t):
     text = lambda n: c(n).cast("string")
     fresh = c("surprise_days") <= 90
