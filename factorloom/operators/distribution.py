@@ -24,20 +24,26 @@ def _spread(value) -> Column:
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, cells: int = CELLS) -> DataFrame:
-    """(keys, value, cnt, less, n): rows per value, rows strictly below it, rows in the group."""
+    """(keys, value, cnt, less, n): rows per value, rows strictly below it, rows in the group.
+
+    Without keys the whole table is one group.
+    """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("cnt"))
     )
-    limits = counts.groupBy(*keys).agg(
-        F.min(_spread(value)).alias("_lo"), F.max(_spread(value)).alias("_hi"), F.sum("cnt").alias("n")
-    )
+    bounds = [F.min(_spread(value)).alias("_lo"), F.max(_spread(value)).alias("_hi"), F.sum("cnt").alias("n")]
+    if keys:
+        ranged = counts.join(counts.groupBy(*keys).agg(*bounds), keys)
+    else:
+        ranged = counts.withColumn("_b", counts.agg(F.struct(*bounds)).scalar()).select(value, "cnt", "_b.*")
     width = F.col("_hi") - F.col("_lo")
     cell = F.when(
         width > 0, F.least(F.lit(cells - 1), F.floor((_spread(value) - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * cells))
     ).otherwise(0)
-    placed = counts.join(limits, keys).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    group = keys or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*keys, "_cell").agg(F.sum("cnt").alias("_m"))
         .withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")

@@ -106,8 +106,8 @@ def _(t):
     SELECT ticker, CAST(floor(100.0 * (SELECT count(*) FROM entries b WHERE b.final_score <= a.final_score) / (SELECT count(*) FROM entries)) AS BIGINT) AS percentile
     FROM entries a"""))
 def _(t):
-    e = t.entries.select("ticker", "final_score", F.lit(0).alias("all"))
-    r = distribution.value_ranks(e, ["all"], "final_score")
+    e = t.entries.select("ticker", "final_score")
+    r = distribution.value_ranks(e, [], "final_score")
     pct = F.floor(100.0 * (F.col("less") + F.col("cnt")) / F.col("n")).cast("long")
     return e.join(r.select("final_score", pct.alias("percentile")), "final_score").select("ticker", "percentile")
 

@@ -8,6 +8,7 @@ Money is summed in whole cents and quantities in whole units, which keeps sums e
 from __future__ import annotations
 
 import datetime as dt
+import math
 from functools import cached_property, reduce
 from operator import add
 
@@ -140,7 +141,7 @@ class Tables:
     def bars(self) -> DataFrame:
         """The bars table: written once, bucketed and sorted by name, so that every window over a
         name's bars and every join on the name starts without a shuffle."""
-        return self.stored("bars", lambda: self.bars_plan, bucket="sid", order="d")
+        return self.stored("bars", lambda: self.bars_plan, bucket="sid", order="d", source=self.lineitem)
 
     @cached_property
     def bars_plan(self) -> DataFrame:
@@ -369,12 +370,14 @@ class Tables:
             ),
         })
 
-    def stored(self, label: str, build, bucket: str | None = None, order: str | None = None) -> DataFrame:
+    def stored(self, label: str, build, bucket: str | None = None, order: str | None = None,
+               source: DataFrame | None = None) -> DataFrame:
         """A view written once per session and folder to the shared folder, then read as a table.
 
         Scoring and ranking are separate steps: the second reads the first one's table, so a
         many-pass ranking never repeats the scan of the raw tables, and a lost executor costs a
-        re-read instead of a recomputation. With `bucket` the table is bucketed on that key.
+        re-read instead of a recomputation. With `bucket` the table is bucketed on that key, into as
+        many buckets as there are cores, or one per 32 million source rows where that is more.
         """
         key = (self.spark.sparkContext.applicationId, self.folder, label)
         if key not in _STORED:
@@ -383,7 +386,7 @@ class Tables:
                 df.write.parquet(path)
                 _STORED[key] = (path, df.schema)
             else:
-                n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                n = max(self.spark.sparkContext.defaultParallelism, math.ceil(source.count() / 32e6))
                 table = "factorloom_" + path.rsplit("/", 1)[-1].replace("-", "_")
                 sorted_rows = df.repartition(n, bucket).sortWithinPartitions(bucket, order)
                 sorted_rows.write.bucketBy(n, bucket).sortBy(bucket, order).option("path", path).format("parquet").saveAsTable(table)

@@ -45,6 +45,14 @@ def test_nulls_are_left_out(spark):
     assert row["m"] == 2.0
 
 
+def test_whole_table_as_one_group(skewed):
+    pdf, df = skewed
+    got = distribution.value_ranks(df, [], "x").toPandas().set_index("x")
+    rank = pdf["x"].rank(method="min") - 1
+    assert all(got.loc[x, "less"] == r for x, r in zip(pdf["x"], rank))
+    assert set(got["n"]) == {len(pdf)}
+
+
 def test_positions_break_ties_by_number(skewed):
     pdf, df = skewed
     got = positions(df, ["k"], "x", "id").toPandas()
