@@ -26,15 +26,17 @@ def _spread(value) -> Column:
 def value_ranks(df: DataFrame, keys: list[str], value: str, cells: int = CELLS) -> DataFrame:
     """(keys, value, cnt, less, n): rows per value, rows strictly below it, rows in the group.
 
-    Without keys the whole table is one group.
+    Without keys the whole table is one group. The counts are written out once: the rows behind them
+    are read a single time, and the only shuffle after that is the one that brings a cell together.
     """
-    counts = (
+    counts = materialize(
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("cnt"))
+        .groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("cnt")),
+        "value-counts",
     )
     bounds = [F.min(_spread(value)).alias("_lo"), F.max(_spread(value)).alias("_hi"), F.sum("cnt").alias("n")]
     if keys:
-        ranged = counts.join(counts.groupBy(*keys).agg(*bounds), keys)
+        ranged = attach(counts, counts.groupBy(*keys).agg(*bounds), keys)
     else:
         ranged = counts.withColumn("_b", counts.agg(F.struct(*bounds)).scalar()).select(value, "cnt", "_b.*")
     width = F.col("_hi") - F.col("_lo")
@@ -59,10 +61,14 @@ def average_rank() -> Column:
     return F.col("less") + (F.col("cnt") + 1) / 2.0
 
 
+def rank_table(df: DataFrame, keys: list[str], value: str, name: str, cells: int = CELLS) -> DataFrame:
+    """(keys, value, name, name_n): average rank per distinct value and the group size."""
+    return value_ranks(df, keys, value, cells).select(*keys, value, average_rank().alias(name), F.col("n").alias(f"{name}_n"))
+
+
 def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str, cells: int = CELLS) -> DataFrame:
     """Attach the average rank; the rank table has one row per value, so skewed values split under AQE."""
-    ranks = value_ranks(df, keys, value, cells).select(*keys, value, average_rank().alias(name), F.col("n").alias(f"{name}_n"))
-    return df.join(ranks, [*keys, value], "left")
+    return df.join(rank_table(df, keys, value, name, cells), [*keys, value], "left")
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], cells: int = CELLS) -> DataFrame:
