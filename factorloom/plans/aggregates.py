@@ -158,13 +158,13 @@ RANKED_RM = """SELECT *, rank() OVER (PARTITION BY market ORDER BY s) + (count(*
 
 @query("A11_region_metrics", statement("rm", f"""
     SELECT market, n, score_mean, score_sigma, coverage_mean, low_coverage_count, mix AS top20_currency_mix, round(ic, 6) AS ic FROM (
-        SELECT market, count(*) AS n, round(avg(s), 6) AS score_mean, round(stddev_pop(s), 6) AS score_sigma, round(avg(coverage), 6) AS coverage_mean, count(*) FILTER (low_coverage) AS low_coverage_count FROM rm WHERE s IS NOT NULL GROUP BY market) a
+        SELECT market, count(*) AS n, round(avg(s), 9) AS score_mean, round(stddev_pop(s), 6) AS score_sigma, round(avg(coverage), 6) AS coverage_mean, count(*) FILTER (low_coverage) AS low_coverage_count FROM rm WHERE s IS NOT NULL GROUP BY market) a
     JOIN (SELECT market, string_agg(ccy || ':' || k, ',' ORDER BY ccy) AS mix FROM (SELECT market, ccy, count(*) AS k FROM (SELECT market, {CCY} AS ccy, row_number() OVER (PARTITION BY market ORDER BY s DESC, ticker) AS rn FROM rm WHERE s IS NOT NULL) q WHERE rn <= 20 GROUP BY 1, 2) w GROUP BY market) b USING (market)
     LEFT JOIN (SELECT market, CASE WHEN count(*) >= 5 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM ({RANKED_RM}) z GROUP BY market) d USING (market)""", extra=REGION_VIEW))
 def _(t):
     rows = region_rows(t).where("s IS NOT NULL")
     s = rows.groupBy("market").agg(
-        N().alias("n"), r6(F.avg("s")).alias("score_mean"), r6(F.stddev_pop("s")).alias("score_sigma"), r6(F.avg("coverage")).alias("coverage_mean"),
+        N().alias("n"), F.round(F.avg("s"), 9).alias("score_mean"), r6(F.stddev_pop("s")).alias("score_sigma"), r6(F.avg("coverage")).alias("coverage_mean"),
         count_when(c("low_coverage")).alias("low_coverage_count"),
     )
     top = ranking.top_per(rows, ["market"], 20, "s").groupBy("market", quality.currency_of("ticker").alias("ccy")).agg(N().alias("k"))

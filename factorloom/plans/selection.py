@@ -170,9 +170,9 @@ def _(t):
     return d.orderBy(*ranking.order_by_score()).select("ticker", "bucket", "final_score")
 
 
-@query("T14_score_population", statement("lists", "SELECT count(*) AS n, count(DISTINCT ticker) AS names, round(avg(final_score), 6) AS mean FROM lists", extra=LISTS))
+@query("T14_score_population", statement("lists", "SELECT count(*) AS n, count(DISTINCT ticker) AS names, round(avg(final_score), 9) AS mean FROM lists", extra=LISTS))
 def _(t):
-    return lists(t).agg(N().alias("n"), F.countDistinct("ticker").alias("names"), r6(F.avg("final_score")).alias("mean"))
+    return lists(t).agg(N().alias("n"), F.countDistinct("ticker").alias("names"), F.round(F.avg("final_score"), 9).alias("mean"))
 
 
 @query("T15_sector_heat", statement("entries", "SELECT sector, pos, ticker FROM (SELECT sector, ticker, row_number() OVER (PARTITION BY sector ORDER BY final_score DESC, ticker) AS pos FROM entries) z WHERE pos <= 2"))

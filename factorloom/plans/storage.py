@@ -155,7 +155,7 @@ def _(t):
     return t.spark.read.schema(f"{SNAP_ROWS}, snapshot_date date").parquet(path).groupBy("snapshot_date").agg(N().alias("n"))
 
 
-@query("S11_backfill_artefacts", statement("snaps", "SELECT d AS snapshot_date, count(*) AS n, round(sum(score), 4) AS total FROM snaps WHERE d >= DATE '2000-01-01' GROUP BY d"))
+@query("S11_backfill_artefacts", statement("snaps", "SELECT d AS snapshot_date, count(*) AS n, round(sum(score), 6) AS total FROM snaps WHERE d >= DATE '2000-01-01' GROUP BY d"))
 def _(t):
     src, dst = new_path(t.spark, "artefacts"), new_path(t.spark, "backfill")
     t.snaps.where("d >= DATE'2000-01-01'").select("sid", "ticker", "score", F.date_format("d", "yyyy-MM-dd").alias("run")).write.partitionBy("run").json(src)
@@ -163,7 +163,7 @@ def _(t):
     dated = found.withColumn("snapshot_date", F.to_date(F.regexp_extract(F.input_file_name(), r"run=(\d{4}-\d{2}-\d{2})", 1)))
     writers.write_snapshot(dated, dst)
     back = t.spark.read.schema(f"{SNAP_ROWS}, snapshot_date date").parquet(dst)
-    return back.groupBy("snapshot_date").agg(N().alias("n"), F.round(F.sum("score"), 4).alias("total"))
+    return back.groupBy("snapshot_date").agg(N().alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
 def archive(t):
@@ -211,10 +211,10 @@ def _(t):
     return t.spark.read.csv(path, header=True, schema="sid long, d date, score double, fwd double")
 
 
-@query("S17_json_report", statement("snaps", "SELECT market, count(*) AS n, round(avg(score), 6) AS mean FROM snaps GROUP BY market"))
+@query("S17_json_report", statement("snaps", "SELECT market, count(*) AS n, round(avg(score), 9) AS mean FROM snaps GROUP BY market"))
 def _(t):
     path = new_path(t.spark, "report")
-    stats = t.snaps.groupBy("market").agg(F.struct(N().alias("n"), r6(F.avg("score")).alias("mean")).alias("stats"))
+    stats = t.snaps.groupBy("market").agg(F.struct(N().alias("n"), F.round(F.avg("score"), 9).alias("mean")).alias("stats"))
     writers.write_report(stats, path)
     return t.spark.read.schema("market string, stats struct<n long, mean double>").json(path).select("market", "stats.*")
 
