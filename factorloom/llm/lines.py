@@ -59,7 +59,8 @@ def dedup_lines(docs: DataFrame, key: str, text: str, min_docs: int = 10) -> Dat
     common = materialize(exploded.groupBy("h").count().where(F.col("count") >= min_docs).select("h"), "common-lines")
     hits = exploded.join(sized(common, 64), "h", "left_semi")
     marks = materialize(hits.groupBy(F.col("k").alias(ref)).agg(F.collect_set("h").alias(bad)), "line-marks")
-    j = docs.join(marks, docs[key].eqNullSafe(marks[ref]), "left").drop(ref)
+    # the marks grow with the documents, so they are never broadcast
+    j = docs.hint("merge").join(marks.hint("merge"), docs[key].eqNullSafe(marks[ref]), "left").drop(ref)
     lines = F.arrays_zip(_lines(F.col(text)).alias("l"), _hashes(F.col(text)).alias("h"))
     stay = F.filter(lines, lambda x: x["h"].isNull() | ~F.array_contains(F.col(bad), x["h"]))
     texts = F.when(F.col(bad).isNull(), _lines(F.col(text))).otherwise(F.transform(stay, lambda x: x["l"]))
