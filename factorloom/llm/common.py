@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import re
 import string
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,13 +22,42 @@ ORACLES: dict[str, str] = {}
 BROADCAST_BYTES = 32 << 20
 
 
+_shipped: set[str] = set()
+
+
+def store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of an address; a path without scheme is local or mounted."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), re.sub("^file:", "", path))
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings, and this package as a zip for the Python workers, once per application.
+
+    Executors need not have the package installed; the zip lies in the shared folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root, raw = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        path = f"{new_path(spark, 'package')}.zip"
+        fs, at = store(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(at) as f:
+            f.write(raw.getvalue())
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return configure(spark)
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of (spark, folder) under a name, with its statement where SQL can say it."""
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: fn(configure(spark), folder)
+        QUERIES[name] = lambda spark, folder: fn(prepare(spark), folder)
         if sql is not None:
             ORACLES[name] = sql
         return fn
