@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import query, table
 
-REMEMBER, SHORT = 600_000, 64
+REMEMBER, SHORT = 500_000, 64
 NO_PAIR = 1 << 62
 
 
@@ -113,19 +113,26 @@ class Encoder(dict):
 _encoders: dict = {}
 
 
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The worker's encoder for these ranks, kept from task to task."""
+    key = (id(ranks), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(ranks, pattern)
+    return _encoders[key]
+
+
 def encode(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, name: str) -> DataFrame:
     """Add the array `name` of token ids to every row; null and empty texts have none."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        key = (id(shared.value), pattern)
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(shared.value, pattern)
-        return pd.Series([_encoders[key].encode(x) for x in texts])
+        encoder = _encoder(shared.value, pattern)
+        return pd.Series([encoder.encode(x) for x in texts])
 
-    return docs.withColumn(name, ids(F.col(text)))
+    # said to be non-deterministic, or Spark would evaluate it anew inside every function of its result
+    return docs.withColumn(name, ids.asNondeterministic()(F.col(text)))
 
 
 def decode(docs: DataFrame, ids: str, ranks: dict[bytes, int], name: str) -> DataFrame:
