@@ -1,59 +1,54 @@
 """Exact ranks and percentiles of unbounded groups, without sorting a group in one task.
 
-A group's values are first reduced to (value, count), so ties, however heavy, are one row. The
-values are then split into cells by a monotone function of the value that depends only on the
-group's minimum and maximum: the same rows always fall in the same cell, so a recomputed stage
-agrees with the first run. Cell totals give each cell its offset (at most `cells` rows per group),
-and only the values inside one cell are ever sorted together.
+A group's values are first reduced to (value, count), so ties, however heavy, are one row. The distinct values of all
+groups are then dealt out by range: a cell is one range partition of (keys, value), and its borders come from a sample of the values
+themselves, so close values with one far outlier spread as evenly as any others. The dealt rows are written once, so
+a recomputed task sees the same cells. Cell totals give each cell its offset, and only the values inside one cell are ever
+sorted together. Values keep their type, and a null group key is a group of its own.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-CELLS = 4096
+#: Distinct values that one cell should hold.
+CELL_ROWS = 500_000
+#: Written statistics of at most so many bytes are broadcast.
+SMALL_BYTES = 32 << 20
 
 
-def _spread(value) -> Column:
-    """Order-preserving scale that keeps long tails from sharing one cell."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.signum(v) * F.log1p(F.abs(v))
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from the left side."""
+    other = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    cond = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return left.join(other, cond, how).drop(*[f"_on_{k}" for k in keys])
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, cells: int = CELLS) -> DataFrame:
-    """(keys, value, cnt, less, n): rows per value, rows strictly below it, rows in the group.
+def value_ranks(df: DataFrame, keys: list[str], value: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(keys, value, cnt, less, n): rows per value, rows strictly below it, rows in the group; null values are left out.
 
-    Without keys the whole table is one group. The counts are written out once: the rows behind them
-    are read a single time, and the only shuffle after that is the one that brings a cell together.
+    Without keys the whole table is one group.
     """
-    counts = materialize(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("cnt")),
-        "value-counts",
-    )
-    bounds = [F.min(_spread(value)).alias("_lo"), F.max(_spread(value)).alias("_hi"), F.sum("cnt").alias("n")]
-    if keys:
-        ranged = attach(counts, counts.groupBy(*keys).agg(*bounds), keys)
-    else:
-        ranged = counts.withColumn("_b", counts.agg(F.struct(*bounds)).scalar()).select(value, "cnt", "_b.*")
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(
-        width > 0, F.least(F.lit(cells - 1), F.floor((_spread(value) - F.col("_lo")) / F.nullif(width, F.lit(0.0)) * cells))
-    ).otherwise(0)
-    placed = ranged.withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")), "value-counts")
+    spark = df.sparkSession
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(counts.count() / cell_rows))
+    dealt = counts.repartitionByRange(cells, *keys, value).withColumn("_cell", F.spark_partition_id())
+    dealt = materialize(dealt, "value-cells")
     group = keys or [F.lit(0)]
+    # one row per group and cell: at most `cells` rows in any window
     before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*keys, "_cell").agg(F.sum("cnt").alias("_m"))
-        .withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+        dealt.groupBy(*keys, "_cell").agg(F.sum("cnt").alias("_m"))
+        .withColumns({"_off": F.coalesce(F.sum("_m").over(before), F.lit(0)), "n": F.sum("_m").over(Window.partitionBy(*group))}).drop("_m")
     )
     inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, [*keys, "_cell"]).select(
-        *keys, value, "cnt", (F.col("_off") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))).alias("less"), "n"
-    )
+    ranked = dealt.withColumn("_in", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    return join_on(ranked, offsets, [*keys, "_cell"]).select(*keys, value, "cnt", (F.col("_off") + F.col("_in")).alias("less"), "n")
 
 
 def average_rank() -> Column:
@@ -61,19 +56,19 @@ def average_rank() -> Column:
     return F.col("less") + (F.col("cnt") + 1) / 2.0
 
 
-def rank_table(df: DataFrame, keys: list[str], value: str, name: str, cells: int = CELLS) -> DataFrame:
+def rank_table(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, value, name, name_n): average rank per distinct value and the group size."""
-    return value_ranks(df, keys, value, cells).select(*keys, value, average_rank().alias(name), F.col("n").alias(f"{name}_n"))
+    return value_ranks(df, keys, value).select(*keys, value, average_rank().alias(name), F.col("n").alias(f"{name}_n"))
 
 
-def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str, cells: int = CELLS) -> DataFrame:
-    """Attach the average rank; the rank table has one row per value, so skewed values split under AQE."""
-    return df.join(rank_table(df, keys, value, name, cells), [*keys, value], "left")
+def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Attach the average rank, null for a null value; the rank table has one row per value, so skewed values split under AQE."""
+    return join_on(df, rank_table(df, keys, value, name), [*keys, value], "left")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], cells: int = CELLS) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per group: one row of keys plus one column per point."""
-    r = value_ranks(df, keys, value, cells)
+    r = value_ranks(df.withColumn(value, F.col(value).cast("double")), keys, value)
 
     def value_at(index: Column) -> Column:
         return F.max(F.when((F.col("less") <= index) & (index < F.col("less") + F.col("cnt")), F.col(value)))
@@ -95,15 +90,13 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     )
 
 
-SMALL_ROWS = 100_000
-
-
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Left-join group statistics back onto the rows.
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left", small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Join group statistics back onto the rows, null keys included.
 
-    The statistics are written out first, which is one row per group, and counted. Up to
-    `small_rows` of them are broadcast, so the rows are not shuffled by a key that a few buckets
-    dominate; more than that takes the shuffle join, where AQE splits hot keys.
+    The statistics are written out first, which is one row per group, and counted. If those rows, at 16 bytes a column, stay
+    below `small_bytes`, they are broadcast, so the rows are not shuffled by a key that a few buckets dominate; more
+    than that takes the shuffle join, where AQE splits hot keys.
     """
     table = materialize(stats, "group-stats")
-    return df.join(F.broadcast(table) if table.count() <= small_rows else table, keys, "left")
+    small = table.count() * 16 * len(table.columns) <= small_bytes
+    return join_on(df, F.broadcast(table) if small else table, keys, how)

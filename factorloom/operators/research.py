@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import ratio
+from ..session import materialize
 from . import joins, xs
 from .distribution import attach, percentiles, with_average_rank
 
@@ -116,7 +117,7 @@ def factor_correlations(long: DataFrame, factors: list[str], max_null: float = 0
 
 def turnover(prev_curr: DataFrame, keys: list[str], prev: str, curr: str, n: int) -> DataFrame:
     """Rank autocorrelation and top-n churn per key over names present in both snapshots."""
-    both = prev_curr.where(F.col(prev).isNotNull() & F.col(curr).isNotNull())
+    both = materialize(prev_curr.where(F.col(prev).isNotNull() & F.col(curr).isNotNull()), "turnover-pairs")
     rho = xs.spearman(both, keys, prev, curr, "autocorrelation")
 
     def top(score):

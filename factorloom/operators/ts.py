@@ -41,8 +41,8 @@ def volume_velocity(bars: DataFrame, key: str = KEY, short: int = 5, long: int =
 
 
 def with_bench(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """Only sessions both sides traded; the benchmark has one row per period."""
-    return bars.join(bench, DAY)
+    """Only sessions both sides traded; the benchmark has one row per period and is broadcast once measured, so bars stay where they are."""
+    return attach(bars, bench, [DAY], "inner")
 
 
 def rolling_beta(bars: DataFrame, bench: DataFrame, window: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distribution import attach, percentiles, rank_table, with_average_rank
+from ..session import materialize
+from .distribution import attach, join_on, percentiles, rank_table, with_average_rank
 
 MIN_BUCKET = 5
 FLAT_STD = 1e-9
@@ -110,7 +111,8 @@ def percent_rank(df: DataFrame, keys: list[str], value: str, name: str = "pct")
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, name: str = "rho") -> DataFrame:
     """Rank correlation per group over rows with both values; constant input gives null."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double"), F.col(b).cast("double"))
-    ranked = pairs.join(rank_table(pairs, keys, a, "_ra"), [*keys, a]).join(rank_table(pairs, keys, b, "_rb"), [*keys, b])
+    pairs = materialize(pairs, "rank-pairs")  # read three times: for either side's ranks and for the join
+    ranked = join_on(join_on(pairs, rank_table(pairs, keys, a, "_ra"), [*keys, a]), rank_table(pairs, keys, b, "_rb"), [*keys, b])
     return pearson(ranked, keys, "_ra", "_rb", name)
 
 

@@ -70,11 +70,16 @@ def bulk_rows(t):
 @query("S03_mixed_bulk_dumps", statement("parts", "SELECT pid AS row_id, ticker AS symbol, market_cap AS price FROM parts"))
 def _(t):
     rows, path = bulk_rows(t), new_path(t.spark, "bulk")
-    rows.where("row_id % 3 = 0").write.json(f"{path}/nd")
-    rows.where("row_id % 3 = 1").write.csv(f"{path}/csv")
-    array = rows.where("row_id % 3 = 2").select(F.concat(F.to_json(F.struct(*rows.columns)), F.lit(",")).alias("value"))
-    array.unionByName(t.spark.range(3).select(F.element_at(F.array(F.lit("["), F.lit("]"), F.lit("{broken")), c("id").cast("int") + 1).alias("value"))).write.text(f"{path}/arr")
-    return readers.sniff_bulk(t.spark, f"{path}/*", BULK)
+    turn = lambda k: rows.where(c("row_id") % 4 == k)
+    broken = t.spark.range(3).select(F.element_at(F.array(F.lit("{broken"), F.lit(""), F.lit('{"row_id": 1, "sym')), c("id").cast("int") + 1).alias("value"))
+    turn(0).select(F.to_json(F.struct(*rows.columns)).alias("value")).unionByName(broken).write.text(f"{path}/lines")
+    other = turn(1).select("price", F.concat(F.lit("x, "), "symbol").alias("note, quoted"), c("symbol").alias("Symbol"), "row_id")
+    other.write.csv(f"{path}/csv", header=True, quoteAll=True)
+    # one array a file, of at most 5,000 rows
+    for k, pretty in ((2, "false"), (3, "true")):
+        chunks = turn(k).groupBy(F.floor(c("row_id") / 20_000).alias("chunk")).agg(F.to_json(F.collect_list(F.struct(*rows.columns)), {"pretty": pretty}).alias("value"))
+        chunks.repartition("chunk").write.partitionBy("chunk").text(f"{path}/array{k}")
+    return readers.sniff_bulk(t.spark, path, BULK).where("bad IS NULL").drop("bad")
 
 
 @query("S04_cell_coercion", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN TRY_CAST(event_id AS BIGINT) END AS as_long, CASE WHEN event_id % 4 = 1 THEN value END AS as_double, CASE WHEN event_id % 4 = 2 THEN event_type END AS as_text FROM events""")

@@ -24,12 +24,12 @@ N = lambda: F.count(F.lit(1))
 
 
 def events_stream(t):
-    return jobs.file_stream(t.spark, t.folder, SCHEMAS["events"], "events.parquet")
+    return jobs.file_stream(t.spark, f"{t.folder}/events.parquet", SCHEMAS["events"])
 
 
 @query("R01_sliding_article_counts", """SELECT CAST(start AS TIMESTAMP) AS start, user_id, count(*) AS n FROM (SELECT user_id, unnest(generate_series(CAST(ts AS DATE) - INTERVAL 6 DAY, CAST(ts AS DATE), INTERVAL 1 DAY)) AS start FROM events) z GROUP BY 1, 2""")
 def _(t):
-    return jobs.windowed_counts(events_stream(t), "user_id", "ts", "7 days", "1 day", "2 days", "article-counts")
+    return jobs.windowed_counts(events_stream(t), "user_id", "ts", 7, "1 day", "article-counts")
 
 
 def window_sql(days, slide):
@@ -39,11 +39,9 @@ def window_sql(days, slide):
 
 @query("R02_rolling_purchase_counts", f"SELECT * FROM ({window_sql(30, 30)}) a UNION ALL SELECT * FROM ({window_sql(180, 30)}) b")
 def _(t):
-    parts = []
-    for days in (30, 180):
-        buys = jobs.file_stream(t.spark, t.folder, SCHEMAS["lineitem"], "lineitem.parquet").where("l_returnflag = 'A'").select(c("l_partkey").alias("pid"), "l_shipdate")
-        n = jobs.windowed_counts(buys, "pid", "l_shipdate", f"{days} days", "30 days", "30 days", f"purchases-{days}")
-        parts.append(n.select("pid", F.lit(days).alias("days"), "start", "n"))
+    buys = jobs.file_stream(t.spark, f"{t.folder}/lineitem.parquet", SCHEMAS["lineitem"]).where("l_returnflag = 'A'").select(c("l_partkey").alias("pid"), "l_shipdate")
+    slots = jobs.slot_counts(buys, "pid", "l_shipdate", "30 days", "purchases")
+    parts = [jobs.sliding(slots, "pid", days // 30, "30 days").select("pid", F.lit(days).alias("days"), "start", "n") for days in (30, 180)]
     return parts[0].unionByName(parts[1])
 
 

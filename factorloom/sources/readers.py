@@ -41,27 +41,38 @@ def coerce_cell(x) -> Column:
     )
 
 
-def read_bulk(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
-    """One bulk dump in its own format; lines that do not parse are dropped."""
-    if fmt == "csv":
-        return spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED")
-    if fmt == "json_array":
-        return spark.read.json(path, schema=schema, multiLine=True, mode="DROPMALFORMED")
-    return spark.read.json(path, schema=schema, mode="DROPMALFORMED")
-
-
 def sniff_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Dumps of mixed format in one folder: the first character of each line tells how to read it.
+    """Dumps of mixed format below one folder, each file read as what it is; adds `bad`, the text of what did not parse.
 
-    Works line by line, so a dump of any size splits over tasks; a JSON array must hold one object per line.
+    The first line that is not blank tells the format of a file: `[` or a lone `{` is JSON over several lines, `{` one JSON object a line, anything
+    else CSV with a header, whose cells are matched by name. Files of one format, and CSV files of one header, are read together, so
+    the driver sees one short line per file. Rows without a value in any column are left out unless they are bad.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"))
-    body = F.regexp_replace(F.regexp_replace("line", r"^\[\s*|\s*\]$", ""), r",$", "")
-    parsed = lines.select(
-        F.when(body.startswith("{"), F.from_json(body, schema, {"mode": "PERMISSIVE"}))
-        .otherwise(F.from_csv(F.col("line"), schema, {"mode": "PERMISSIVE"})).alias("r")
-    ).select("r.*")
-    return parsed.dropna(subset=[parsed.columns[0]])
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    seen = lines.select(F.col("_metadata.file_path").alias("file"), F.substring(F.trim("value"), 1, 4000).alias("line"), place.alias("place"))
+    looks = seen.where("line <> ''").groupBy("file").agg(F.min_by("line", "place").alias("line")).collect()
+    groups: dict[tuple, list] = {}
+    for r in looks:
+        kind = ("array",) if r["line"][0] == "[" or r["line"] == "{" else ("lines",) if r["line"][0] == "{" else ("csv", r["line"])
+        groups.setdefault(kind, []).append(r["file"])
+    fields = spark.createDataFrame([], schema).schema
+    out = spark.createDataFrame([], f"{schema}, bad string")
+    for kind, files in sorted(groups.items()):
+        if kind[0] == "csv":
+            raw = spark.read.csv(files, header=True, mode="PERMISSIVE")
+            there = {n.strip().lower(): n for n in raw.columns}
+            cells = [(F.col(f"`{there[f.name.lower()]}`") if f.name.lower() in there else F.lit(None).cast("string")).alias(f.name) for f in fields]
+            typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields]
+            wrong = F.lit(False)
+            for f in fields:
+                wrong = wrong | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+            rows = raw.select(*cells).select(*typed, F.when(wrong, F.concat_ws(",", *[f.name for f in fields])).alias("bad"))
+        else:
+            reader = spark.read.option("multiLine", kind[0] == "array").option("columnNameOfCorruptRecord", "bad")
+            rows = reader.schema(f"{schema}, bad string").json(files, mode="PERMISSIVE").select(*fields.names, "bad")
+        out = out.unionByName(rows)
+    return out.dropna(how="all")
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:

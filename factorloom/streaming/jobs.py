@@ -16,39 +16,45 @@ from pyspark.sql import types as T
 from ..session import new_path
 
 
-def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of a Parquet table as a stream; the table may be a folder of part files or a single file.
+
+    The path is given as a pattern that matches nothing else: a plain one would have to be a folder.
+    """
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "update") -> DataFrame:
-    """Run the query to its end; returns every batch's rows with their batch id."""
-    spark = stream.sparkSession
-    base = new_path(spark, label)
+def slot_counts(events: DataFrame, key: str, ts: str, slide: str, label: str) -> DataFrame:
+    """(slot, key, n) over all rows of a stream, whatever their order: counts per key and tumbling slot.
+
+    Counts are additive, so every micro-batch writes those of its own rows and the reader sums them up. No row can be too late: there is
+    no watermark and no state to drop it from.
+    """
+    spark, base = events.sparkSession, new_path(events.sparkSession, label)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        n = batch.groupBy(F.window(ts, slide).alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n"))
+        n.select(F.col("w.start").alias("slot"), key, "n").write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
-    q.awaitTermination()
-    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    events.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    schema = T.StructType([T.StructField("slot", T.TimestampType()), events.schema[key], T.StructField("n", T.LongType()), T.StructField("batch", T.LongType())])
+    written = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    return written.groupBy("slot", key).agg(F.sum("n").alias("n"))
 
 
-def latest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Final value per key of an update-mode output; one aggregate, no ordering of a key's history."""
-    rest = [x for x in rows.columns if x not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")
+def sliding(slots: DataFrame, key: str, slots_per_window: int, slide: str) -> DataFrame:
+    """(start, key, n): windows of so many slots, one starting at every slot; windows without a row are left out."""
+    back = F.sequence(F.lit(0), F.lit(slots_per_window - 1))
+    starts = F.transform(back, lambda i: F.col("slot") - i * F.expr(f"INTERVAL {slide}"))
+    return slots.select(F.explode(starts).alias("start"), key, "n").groupBy("start", key).agg(F.sum("n").alias("n"))
 
 
-def windowed_counts(events: DataFrame, key: str, ts: str, length: str, slide: str, lateness: str, label: str) -> DataFrame:
-    """Sliding event-time counts per key with a watermark."""
-    counts = events.withWatermark(ts, lateness).groupBy(F.window(ts, length, slide), F.col(key)).agg(F.count(F.lit(1)).alias("n"))
-    flat = counts.select(F.col("window.start").alias("start"), key, "n")
-    return latest_per_key(run_to_table(flat, label), ["start", key])
+def windowed_counts(events: DataFrame, key: str, ts: str, slots_per_window: int, slide: str, label: str) -> DataFrame:
+    """Sliding event-time counts per key over all rows of a stream."""
+    return sliding(slot_counts(events, key, ts, slide, label), key, slots_per_window, slide)
 
 
 def route(stream: DataFrame, code: str, label: str) -> DataFrame:

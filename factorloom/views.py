@@ -272,14 +272,13 @@ class Tables:
 
     @cached_property
     def part_stats(self) -> DataFrame:
-        """All per-part aggregates in one pass over lineitem.
+        """All per-part aggregates: one grouped sum by part, which combines map-side however hot a part is.
 
-        Two levels, (part, supplier) then part: the first level combines on the map side and splits
-        a hot part over its suppliers, and it turns distinct-trader counts into plain sums.
+        Distinct traders come from a narrow second pass over one year: the distinct (part, trader, side), then counts.
         """
         flag, age, line = F.col("l_returnflag"), F.col("age"), F.col("l_linenumber")
         c, q = F.col("c"), F.col("q")
-        buy, sell = flag == "A", flag == "R"
+        buy, sell, pid = flag == "A", flag == "R", F.col("l_partkey").alias("pid")
         src = self.lineitem.select(
             "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber",
             cents("l_extendedprice").alias("c"), F.col("l_quantity").cast("long").alias("q"),
@@ -301,17 +300,16 @@ class Tables:
             "r4": count_when(line.isin(5, 6)), "r5": count_when(line == 7),
             "buys_1y": count_when(buy & year1), "sells_1y": count_when(sell & year1),
         }
-        pair = src.groupBy("l_partkey", "l_suppkey").agg(
+        total = src.groupBy(pid).agg(
             *[e.alias(k) for k, e in sums.items()],
             F.min(F.when(buy & year1, age)).alias("buy_age"),
             F.max("unit_price").alias("px_high"), F.min("unit_price").alias("px_low"),
         )
-        return pair.groupBy(F.col("l_partkey").alias("pid")).agg(
-            *[F.sum(k).alias(k) for k in sums],
-            F.min("buy_age").alias("buy_age"),
-            count_when(F.col("buys_1y") > 0).alias("buyers"), count_when(F.col("sells_1y") > 0).alias("sellers"),
-            F.max("px_high").alias("px_high"), F.min("px_low").alias("px_low"),
-        )
+        since = F.col("l_shipdate") >= F.lit(midnight(AS_OF, 365))
+        traders = self.lineitem.where(since & flag.isin("A", "R")).select(pid, "l_suppkey", "l_returnflag").distinct()
+        both = traders.groupBy("pid").agg(count_when(buy).alias("buyers"), count_when(sell).alias("sellers"))
+        zero = F.lit(0).cast("long")
+        return total.join(both, "pid", "left").withColumns({"buyers": F.coalesce("buyers", zero), "sellers": F.coalesce("sellers", zero)})
 
     @cached_property
     def news_by_part(self) -> DataFrame:

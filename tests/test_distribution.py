@@ -29,11 +29,12 @@ def test_average_rank(skewed):
     assert np.allclose(got, want)
 
 
-@pytest.mark.parametrize("cells", [1, 3, 4096])
-def test_percentiles(skewed, cells):
+@pytest.mark.parametrize("rows", [10, 400, 500_000])
+def test_percentiles(skewed, monkeypatch, rows):
+    monkeypatch.setattr(distribution, "CELL_ROWS", rows)
     pdf, df = skewed
     points = {"p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = distribution.percentiles(df, ["k"], "x", points, cells).toPandas().set_index("k")
+    got = distribution.percentiles(df, ["k"], "x", points).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         for n, p in points.items():
             assert got.loc[k, n] == pytest.approx(np.percentile(g["x"], p * 100), rel=1e-9, abs=1e-12)
@@ -80,7 +81,30 @@ def test_broadcast_only_below_the_bound(spark):
     df = spark.range(100).select(F.col("id").alias("k"))
     stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     small = distribution.attach(df, stats, ["k"])
-    large = distribution.attach(df, stats, ["k"], small_rows=10)
+    large = distribution.attach(df, stats, ["k"], small_bytes=10)
     hinted = lambda d: "ResolvedHint (strategy=broadcast)" in d._jdf.queryExecution().analyzed().toString()
     assert hinted(small) and not hinted(large)
     assert small.count() == large.count() == 100
+
+
+def test_one_outlier_does_not_fill_a_cell(spark):
+    rng = np.random.default_rng(3)
+    x = np.append(1000 + rng.random(200_000) / 100, 1e9)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x}))
+    got = distribution.value_ranks(df, ["k"], "x", cell_rows=5000)
+    spread = got.sparkSession.read.parquet(got.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_cell").count().toPandas()["count"]
+    assert len(spread) >= 30 and spread.max() <= 3 * spread.mean()
+    out = got.orderBy("x").toPandas()
+    assert (out["less"].to_numpy() == np.arange(len(x))).all()
+
+
+def test_null_keys_and_long_ids_stay(spark):
+    big = 2**60
+    rows = [("a", big + 1, 1.0), ("a", big, 1.0), (None, big + 3, 2.0), (None, big + 2, 2.0), (None, big + 4, None)]
+    df = spark.createDataFrame(rows, "k string, id long, x double")
+    got = {(r["k"], r["id"]): (r["pos0"], r["n"], r["x"]) for r in positions(df, ["k"], "x", "id").collect()}
+    assert got == {("a", big): (0, 2, 1.0), ("a", big + 1): (1, 2, 1.0), (None, big + 2): (0, 3, 2.0), (None, big + 3): (1, 3, 2.0), (None, big + 4): (2, 3, None)}
+    ranked = {r["id"]: r["r"] for r in distribution.with_average_rank(df, ["k"], "x", "r").collect()}
+    assert ranked == {big: 1.5, big + 1: 1.5, big + 2: 1.5, big + 3: 1.5, big + 4: None}
+    bounded = xs.winsorise(df.withColumn("x", F.col("x") * 1.0), ["k"], "x", 0.0, 1.0, "w").where("k IS NULL AND x IS NOT NULL")
+    assert {r["w"] for r in bounded.collect()} == {2.0}

@@ -153,3 +153,40 @@ def test_state_survives_batches(spark):
 
     got = jobs.run_with_state(lambda: jobs.file_stream(spark, path, schema, files_per_batch=1), state, out, "streak-test", step)
     assert sorted((r["k"], r["run"], r["streak"]) for r in got.collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 0), (1, 5, 1), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
+
+
+def test_streams_count_every_row_of_a_table_of_files(spark, tmp_path):
+    """Four files out of time order, all in one batch and one file a batch; a lone file too."""
+    from factorloom.streaming import jobs
+    from factorloom.views import SCHEMAS
+
+    events = spark.read.schema(SCHEMAS["events"]).parquet("/root/testdata/sf0.001/events.parquet")
+    folder, lone = str(tmp_path / "events.parquet"), str(tmp_path / "one")
+    events.withColumn("p", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition(4, "p").drop("p").write.parquet(folder)
+    events.coalesce(1).write.parquet(lone)
+    file = next(str(p) for p in (tmp_path / "one").iterdir() if p.name.startswith("part-"))
+    days = events.select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_trunc("day", "ts") - i * F.expr("INTERVAL 1 DAY"))).alias("start"))
+    want = {tuple(r) for r in days.groupBy("start", "user_id").count().collect()}
+    for path, files in ((folder, None), (folder, 1), (file, None)):
+        got = jobs.windowed_counts(jobs.file_stream(spark, path, SCHEMAS["events"], files), "user_id", "ts", 7, "1 day", "stream-test")
+        assert {tuple(r) for r in got.collect()} == want
+        assert jobs.route(jobs.file_stream(spark, path, SCHEMAS["events"], files), "event_type", "route-test").count() == events.count()
+
+
+def test_bulk_files_are_read_by_what_they_are(spark, tmp_path):
+    from factorloom.sources import readers
+
+    files = {
+        "a.json": '[{"row_id": 1, "symbol": "A", "price": 1.5}, {"row_id": 2, "symbol": "B"}, {"price": 3, "row_id": 3}]',
+        "b.json": '\n[\n {\n  "row_id": 4,\n  "symbol": "D"\n }\n]\n',
+        "c.json": '{"row_id": 5, "symbol": "E"}\n{broken\n\n{"row_id": 6}\n',
+        "d.csv": 'price,"Symbol",extra,row_id\n1.5,"F, G",x,7\n,"H",y,8\n',
+        "e.csv": "row_id,symbol\n9,I\nnine,J\n",
+        "f.json": "[{broken",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    rows = readers.sniff_bulk(spark, str(tmp_path), "row_id long, symbol string, price double").collect()
+    good = {(r["row_id"], r["symbol"], r["price"]) for r in rows if r["bad"] is None}
+    assert good == {(1, "A", 1.5), (2, "B", None), (3, None, 3.0), (4, "D", None), (5, "E", None), (6, None, None), (7, "F, G", 1.5), (8, "H", None), (9, "I", None)}
+    assert len([r for r in rows if r["bad"] is not None]) == 3
