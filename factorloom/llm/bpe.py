@@ -5,8 +5,10 @@ holds the rank of that piece joined with the next one. A segment tree keeps the
 leftmost pair of least rank; a merge updates the leaves of the merged piece, of the vanished one and of the left neighbour,
 each along one path to the root. A match of n bytes takes O(n log n), also where it is a single run of millions of letters.
 
-Ranks are read on the driver and broadcast: a vocabulary file of fixed size. Texts stream through Arrow batches, one at a time; a worker
-remembers the ids of matches it has seen, in a dictionary of at most REMEMBER short matches that starts anew when it is full.
+Short matches that were not seen before are merged many at a time: the same trees as rows of one table, one merge of every row per step.
+
+Ranks are read on the driver and broadcast: a vocabulary file of fixed size. Texts stream through Arrow batches, about CHUNK characters at a time;
+a worker remembers the ids of short matches it has seen, in a dictionary that starts anew once it has REMEMBER of them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import types as T
 
 from .common import query, table
 
-REMEMBER, SHORT = 500_000, 64
+#: Characters encoded together; matches remembered, and the longest that is.
+CHUNK, REMEMBER, SHORT = 1 << 20, 250_000, 48
 NO_PAIR = 1 << 62
 
 
@@ -54,36 +57,35 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
 
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                break
-            tree[k] = least
-            k >>= 1
-
-    def pair(i: int) -> int:
-        """The leaf of the piece at i: its rank with the next piece."""
-        j = after[i]
-        if j == n:
-            return NO_PAIR
-        rank = ranks.get(piece[i : after[j]])
-        return NO_PAIR if rank is None else (rank << shift) | i
-
-    while tree[1] != NO_PAIR:
-        i = tree[1] & mask
-        j = after[i]
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        put(j, NO_PAIR)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+    get = ranks.get
+    while (top := tree[1]) != NO_PAIR:
+        i = top & mask
+        j, p = after[i], before[i]
+        k = after[i] = after[j]
+        # three leaves change: the merged piece, the vanished one, and the left neighbour
+        tree[size + j] = tree[size + i] = NO_PAIR
+        if k < n:
+            before[k] = i
+            rank = get(piece[i : after[k]])
+            if rank is not None:
+                tree[size + i] = (rank << shift) | i
+        if p >= 0:
+            rank = get(piece[p:k])
+            tree[size + p] = NO_PAIR if rank is None else (rank << shift) | p
+        else:
+            p = i
+        # their paths to the root, level by level; where paths meet they go on as one
+        x, y, z = (size + p) >> 1, (size + i) >> 1, (size + j) >> 1
+        while z:
+            a, b = tree[2 * z], tree[2 * z + 1]
+            tree[z] = a if a < b else b
+            if y != z:
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a < b else b
+            if x != y:
+                a, b = tree[2 * x], tree[2 * x + 1]
+                tree[x] = a if a < b else b
+            x, y, z = x >> 1, y >> 1, z >> 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -91,23 +93,106 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Encoder(dict):
-    """Ids per match, remembered; looking up a match that is not there encodes it."""
+class Merger:
+    """The same merges for many matches at once: one row of a tree table per match, one merge of every row per step."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        joined = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        pairs = np.array(sorted(joined), np.int64).reshape(-1, 2)
+        self.pair, self.rank = np.append(pairs[:, 0], NO_PAIR), np.append(pairs[:, 1], 0)
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """(rank, position) of the joined tokens, NO_PAIR where they do not join or are not real."""
+        key = left << 32 | right
+        place = np.searchsorted(self.pair, key)
+        return np.where(real & (self.pair[place] == key), self.rank[place] << 6 | at, NO_PAIR)
+
+    def rows(self, pieces: list[bytes], size: int) -> list[list[int]]:
+        """Ids of matches of at most `size` bytes, a power of two up to 64."""
+        w, step = len(pieces), np.arange(size)
+        raw = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in pieces), np.uint8).reshape(w, size)
+        n = np.fromiter(map(len, pieces), np.int64, w)
+        ids, live = self.single[raw], step < n[:, None]
+        after, before = np.tile(step + 1, (w, 1)), np.tile(step - 1, (w, 1))
+        tree = np.full((w, 2 * size), NO_PAIR, np.int64)
+        tree[:, size:-1] = self.leaf(ids[:, :-1], ids[:, 1:], step[:-1], step[1:] < n[:, None])
+        k = size
+        while k > 1:
+            tree[:, k // 2 : k] = np.minimum(tree[:, k : 2 * k : 2], tree[:, k + 1 : 2 * k : 2])
+            k //= 2
+        flat, rows = tree.reshape(-1), np.arange(w)
+        while True:
+            top = tree[rows, 1]
+            rows, top = rows[top != NO_PAIR], top[top != NO_PAIR]
+            if not len(rows):
+                break
+            i, token = top & 63, top >> 6
+            j, p = after[rows, i], before[rows, i]
+            k = after[rows, j]
+            ids[rows, i], after[rows, i], live[rows, j] = token, k, False
+            more, less = k < n[rows], p >= 0
+            before[rows[more], k[more]] = i[more]
+            base = rows * (2 * size)
+            flat[base + size + j] = NO_PAIR
+            flat[base + size + i] = self.leaf(token, ids[rows, np.minimum(k, size - 1)], i, more)
+            q = np.where(less, p, i)
+            value = self.leaf(ids[rows, q], token, q, less)
+            flat[(base + size + q)[less]] = value[less]
+            for node in ((size + j) >> 1, (size + i) >> 1, (size + q) >> 1):
+                while node[0]:
+                    at = base + node
+                    flat[at] = np.minimum(flat[at + node], flat[at + node + 1])
+                    node = node >> 1
+        tokens, ends = ids[live].tolist(), np.cumsum(live.sum(1)).tolist()
+        return [tokens[a:b] for a, b in zip([0, *ends], ends)]
+
+    def many(self, pieces: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        classes: dict[int, list[int]] = {}
+        for at, x in enumerate(pieces):
+            whole = self.ranks.get(x)
+            if whole is not None:
+                out[at] = [whole]
+            elif len(x) > 64:
+                out[at] = merge(x, self.ranks)
+            else:
+                classes.setdefault(max(4, 1 << (len(x) - 1).bit_length()), []).append(at)
+        for size, places in classes.items():
+            for start in range(0, len(places), 1 << 14):
+                some = places[start : start + (1 << 14)]
+                for at, ids in zip(some, self.rows([pieces[at] for at in some], size)):
+                    out[at] = ids
+        return out
+
+
+class Encoder:
+    """Ids of texts; the ids of matches are remembered from batch to batch."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-
-    def __missing__(self, match: str) -> list[int]:
-        ids = merge(match.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(match) <= SHORT:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[match] = ids
-        return ids
+        self.split, self.merger, self.seen = regex.compile(pattern).findall, Merger(ranks), {}
+
+    def encode_all(self, texts: list) -> list[np.ndarray]:
+        out, start = [], 0
+        while start < len(texts):
+            parts, chars = [], 0
+            while start < len(texts) and (not parts or chars < CHUNK):
+                parts.append(self.split(texts[start] or ""))
+                chars += len(texts[start] or "")
+                start += 1
+            if len(self.seen) > REMEMBER:
+                self.seen.clear()
+            new = list(set(chain.from_iterable(parts)).difference(self.seen))
+            fresh = dict(zip(new, self.merger.many([x.encode("utf-8", "surrogatepass") for x in new])))
+            self.seen.update((k, v) for k, v in fresh.items() if len(k) <= SHORT)
+            long = {k: v for k, v in fresh.items() if len(k) > SHORT}
+            find = self.seen.__getitem__ if not long else (lambda k: long[k] if k in long else self.seen[k])
+            out += [np.fromiter(chain.from_iterable(map(find, x)), np.int32) for x in parts]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.split(text or ""))), np.int32)
+        return self.encode_all([text])[0]
 
 
 _encoders: dict = {}
@@ -129,7 +214,7 @@ def encode(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, na
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
         encoder = _encoder(shared.value, pattern)
-        return pd.Series([encoder.encode(x) for x in texts])
+        return pd.Series(encoder.encode_all(list(texts)))
 
     # said to be non-deterministic, or Spark would evaluate it anew inside every function of its result
     return docs.withColumn(name, ids.asNondeterministic()(F.col(text)))

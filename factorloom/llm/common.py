@@ -19,7 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: A table of at most so many bytes (measured, see `sized`) may be broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
+#: Texts are long, so Arrow batches are kept short, and broadcasts below a fraction of what a small driver holds.
+SQL_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
+}
 
 
 _shipped: set[str] = set()
@@ -48,7 +54,10 @@ def prepare(spark: SparkSession) -> SparkSession:
             f.write(raw.getvalue())
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
-    return configure(spark)
+    configure(spark)
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def query(name: str, sql: str | None = None):

@@ -43,8 +43,16 @@ def test_long_runs(encoder):
 def test_the_dictionary_of_matches_stays_small(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 3)
     own = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
-    text = "qwzx wxyq zzqx qqqx xxqz wwwq"
-    assert own.encode(text).tolist() == OTHER.encode_ordinary(text) and len(own) <= 3
+    for text in ("qwzx wxyq zzqx qqqx xxqz wwwq", "a", "qqqq wwww"):
+        assert own.encode(text).tolist() == OTHER.encode_ordinary(text) and len(own.seen) <= 6
+
+
+def test_single_and_joint_merges_agree():
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("aebzqé 中\n1") for _ in range(rng.randint(1, 40))).encode() for _ in range(3000)]
+    joint = bpe.Merger(RANKS).many(pieces)
+    assert joint == [bpe.merge(x, RANKS) for x in pieces]
+    assert [b"".join(OTHER.decode_single_token_bytes(i) for i in ids) for ids in joint] == pieces
 
 
 def test_query_and_edges(spark, frame):
