@@ -10,6 +10,12 @@ from ..session import materialize
 MOST_ROUNDS = 60
 
 
+def _settled(e: DataFrame) -> bool:
+    """Is every vertex either a leaf with one edge or a centre without one?"""
+    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("v"), F.lit(0).alias("leaf")))).alias("x"))
+    return ends.groupBy("x.v").agg(F.sum("x.leaf").alias("up"), F.min("x.leaf").alias("leaf")).where("up > 1 OR (up = 1 AND leaf = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, c) for every vertex of edges (a, b), c being the smallest vertex of its component.
 
@@ -17,15 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder, so plans stay short and a lost executor costs one round. Loops, repeated edges and null ends are ignored.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = materialize(e, "edges"), None
+    e = materialize(e, "edges")
     for _ in range(MOST_ROUNDS):
-        sign = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if sign == before or not sign[0]:
+        if _settled(e):
             break
-        before = sign
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        # one row per edge: a larger neighbour moves to the smallest vertex around
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(parent, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(parent.select("a", F.col("m").alias("b")))
         e = materialize(small.distinct(), "edges")

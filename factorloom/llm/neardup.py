@@ -6,13 +6,16 @@ its value there, so a pair of similarity J shares 1.25 J children on average and
 exhaustively; larger ones branch on. Links are confirmed on the full shingle sets.
 
 Only components are wanted, so no node emits all its pairs when it need not:
-1. In every first node each vertex is paired with the smallest vertex there. Groups of copies, however large, mostly fall into one component
-   through a number of pairs linear in their size.
+1. In every first node each vertex meets the smallest vertex there; the one it meets most often is its pair. Groups of copies, however large,
+   mostly fall into one component through one pair per vertex.
 2. Nodes whose vertices are all in one component are done. In small ones the pairs between components are compared; large ones branch on, and their
-   vertices are compared with the smallest of the other components, for ROUNDS rounds.
+   vertices are compared with the vertex of another component they meet most often, for ROUNDS rounds.
 3. What is then still large and not of one component is compared exactly: the vertices outside the node's largest component against
-   all vertices of the node.
-A pair is looked at in full only if its signatures agree in half their places, which a pair of similarity 0.8 misses with a chance below 1e-8, and
+   all vertices of the node, in tiles of BLOCK by BLOCK vertices with their full sets. A tile answers with links that join components, at most one
+   fewer than its vertices. That is done as soon as it takes no more than WORK comparisons of
+   signatures per vertex of the table, so most tables need no second round. Of the first nodes, those of EXACT coordinates take part: a pair of
+   similarity 0.8 that only ever meets in large nodes is missed by all of them with a chance of 0.2^EXACT.
+A pair is looked at in full only if its signatures agree in AGREE places, which a pair of similarity 0.8 misses with a chance below 2e-6, and
 if the sizes allow the similarity. First nodes alone are missed by a pair of similarity 0.8 with a chance of 0.2^20.
 
 Text is read where sets are made: once for signatures, and again only for vertices of candidate pairs. What is written is narrow.
@@ -31,8 +34,8 @@ from ..session import materialize
 from .common import fresh, query, sized, table
 from .graph import components
 
-TREES, SIGNATURE, SMALL, ROUNDS = 16, 64, 32, 4
-AGREE = SIGNATURE // 2
+TREES, SIGNATURE, SMALL, ROUNDS, WORK, BLOCK, EXACT = 16, 64, 32, 4, 2000, 128, 8
+AGREE = 35  # of SIGNATURE places
 _RNG = np.random.default_rng(20240501)
 _MASKS, _ODD = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64), _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 
@@ -142,14 +145,95 @@ def _sketch_of(width: int):
 
 def _links_of(percent: int):
     @F.pandas_udf(T.BooleanType())
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+    def links(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([linked(x, y, percent) for x, y in zip(a, b)])
+
+    return links
+
+
+LINK = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+def tile_candidates(a: tuple, b: tuple, percent: int) -> np.ndarray:
+    """Pairs of two blocks (vertices, components, sizes, signatures) that components, sizes and signatures allow, as a matrix."""
+    (_, ca, na, ga), (_, cb, nb, gb) = ([np.asarray(x) for x in side[:3]] + [_matrix(side[3])] for side in (a, b))
+    agree = np.stack([(gb == row).sum(1) for row in ga])
+    return (agree >= AGREE) & (ca[:, None] != cb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
+
+
+def tile_links(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links that join components, between two blocks of (vertices, components, sizes, signatures, sets)."""
+    (va, ca, na, _, sa), (vb, cb, nb, _, sb) = a, b
+    na, nb, may = np.asarray(na), np.asarray(nb), tile_candidates(a[:4], b[:4], percent)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    some, others = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    both = np.zeros(may.shape, np.int64)
+    both[np.ix_(some, others)] = intersections([sa[i] for i in some], [sb[j] for j in others])
+    may &= 100 * both >= percent * (na[:, None] + nb[None, :] - both)
+    out = []
+    for i, j in zip(*np.nonzero(may)):
+        x, y = find(int(ca[i])), find(int(cb[j]))
+        if x != y:
+            parent[x] = y
+            out.append((int(va[i]), int(vb[j])))
+    return out
+
+
+def intersections(a: list[bytes], b: list[bytes], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b.
+
+    The shingles that both sides have become columns of two 0/1 matrices, some columns at a time; their product counts exactly.
+    """
+    total = np.zeros((len(a), len(b)), np.int64)
+    if not a or not b:
+        return total
+    x, y = (np.concatenate([np.frombuffer(s, np.uint64) for s in side]) for side in (a, b))
+    shared = np.intersect1d(x, y)
+    rows, cols = (np.repeat(np.arange(len(side)), [len(s) // 8 for s in side]) for side in (a, b))
+    px, py = np.searchsorted(shared, x), np.searchsorted(shared, y)
+    ix, iy = px < len(shared), py < len(shared)
+    ix[ix], iy[iy] = shared[px[ix]] == x[ix], shared[py[iy]] == y[iy]
+    for start in range(0, len(shared), columns):
+        ends = min(columns, len(shared) - start)
+        left, right = np.zeros((len(a), ends), np.float32), np.zeros((len(b), ends), np.float32)
+        kx, ky = ix & (px >= start) & (px < start + ends), iy & (py >= start) & (py < start + ends)
+        left[rows[kx], px[kx] - start] = 1
+        right[cols[ky], py[ky] - start] = 1
+        total += (left @ right.T).astype(np.int64)
+    return total
+
+
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Do two sets, as sorted 64-bit integers, reach the similarity?"""
+    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+    return 100 * both >= percent * (len(x) // 8 + len(y) // 8 - both)
+
+
+def _likely_of(percent: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def likely(va: pd.Series, ca: pd.Series, na: pd.Series, ga: pd.Series, vb: pd.Series, cb: pd.Series, nb: pd.Series, gb: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b):
-            both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            out.append(100 * both >= percent * (len(x) // 8 + len(y) // 8 - both))
+        for t in zip(va, ca, na, ga, vb, cb, nb, gb):
+            may = tile_candidates(t[:4], t[4:], percent)
+            out.append(np.concatenate((np.asarray(t[0])[may.any(1)], np.asarray(t[4])[may.any(0)])))
         return pd.Series(out)
 
-    return linked
+    return likely
+
+
+def _tiles_of(percent: int):
+    @F.pandas_udf(LINK)
+    def tiles(va: pd.Series, ca: pd.Series, na: pd.Series, ga: pd.Series, sa: pd.Series, vb: pd.Series, cb: pd.Series, nb: pd.Series, gb: pd.Series, sb: pd.Series) -> pd.Series:
+        both = zip(va, ca, na, ga, sa, vb, cb, nb, gb, sb)
+        return pd.Series([[{"a": x, "b": y} for x, y in tile_links(t[:5], t[5:], percent)] for t in both])
+
+    return tiles
 
 
 class _Join:
@@ -162,7 +246,7 @@ class _Join:
         self.rows = materialize(rows.select("k", "t", "s.*"), "sketches")
         one = self.rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("k", "t")).alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.vertices = materialize(one.select(F.monotonically_increasing_id().alias("v"), "digest", "w.k", "w.t", "n", "sig"), "vertices")
-        self.sigs = self.vertices.select("v", "sig")
+        self.sigs, self.size = self.vertices.select("v", "sig"), self.vertices.count()
         self.labels: DataFrame | None = None
 
     def fits(self, a: str, b: str):
@@ -173,26 +257,32 @@ class _Join:
         """Add the component so far as c."""
         if self.labels is None:
             return rows.withColumn("c", F.col("v"))
-        return rows.join(self.labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        return rows.join(sized(self.labels, 40), "v", "left").withColumn("c", F.coalesce("c", "v"))
 
     def by_signature(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose signatures agree in half their places."""
+        """Pairs (a, b) whose signatures agree in AGREE places."""
         x, y = self.sigs.select(F.col("v").alias("a"), F.col("sig").alias("sa")), self.sigs.select(F.col("v").alias("b"), F.col("sig").alias("sb"))
         return pairs.join(x, "a").join(y, "b").where(_agree("sa", "sb")).select("a", "b")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Compare pairs (a, b) on full sets and merge the labels of linked ones."""
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            return
-        used = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        used = materialize(self.vertices.join(used, "v", "left_semi").select("v", "k", "t"), "compared")
+    def sets(self, used: DataFrame) -> DataFrame:
+        """(v, s): the full sets of the vertices `used` (v, any number of times), from one more look at the texts."""
+        used = materialize(self.vertices.join(used.distinct(), "v", "left_semi").select("v", "k", "t"), "compared")
         wanted = sized(used.select("v", F.col("k").alias("_k"), F.col("t").alias("_t")), 40)
         texts = self.docs.select(F.col(self.key).alias("k"), F.col(self.text).alias("x")).withColumn("t", F.xxhash64("x"))
         found = texts.join(wanted, F.col("t").eqNullSafe(F.col("_t")) & F.col("k").eqNullSafe(F.col("_k")))
-        sets = materialize(found.select("v", _sets_of(self.width)("x").alias("s")).dropDuplicates(["v"]), "sets")
-        j = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-        links = materialize(j.where(_links_of(self.percent)("sa", "sb")).select("a", "b"), "links")
+        return materialize(found.select("v", _sets_of(self.width)("x").alias("s")).dropDuplicates(["v"]), "sets")
+
+    def confirm(self, pairs: DataFrame, links: DataFrame | None = None) -> None:
+        """Compare pairs (a, b) on full sets and merge the labels of linked ones, and of further links."""
+        pairs = materialize(pairs, "pairs")
+        if not pairs.isEmpty():
+            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("v")))
+            j = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+            found = j.where(_links_of(self.percent)("sa", "sb")).select("a", "b")
+            links = found if links is None else links.unionByName(found)
+        if links is None:
+            return
+        links = materialize(links, "links")
         if links.isEmpty():
             return
         ends = self.label(links.select("b", F.col("a").alias("v"))).select("b", F.col("c").alias("a"))
@@ -206,34 +296,62 @@ class _Join:
             self.labels = materialize(old.unionByName(new), "labels")
 
     def run(self) -> None:
-        nodes = materialize(self.vertices.select("v", "n", F.explode(_roots("sig")).alias("node")), "nodes")
+        nodes = materialize(self.vertices.select("v", "n", F.posexplode(_roots("sig")).alias("i", "node")), "nodes")
         # 1: every vertex with the smallest of its node
         heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("v", "n")).alias("p")).where("size > 1")
-        met = materialize(nodes.join(heads, "node").select("node", "v", "n", "size", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
-        pairs = met.where((F.col("v") != F.col("b")) & self.fits("n", "bn")).select(F.col("v").alias("a"), "b").distinct()
-        self.confirm(self.by_signature(pairs))
-        rows = met.select("node", "v", "n")
+        met = materialize(nodes.join(heads, "node").select("node", "i", "v", "n", "size", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
+        self.confirm(self.by_signature(self.nearest(met.where((F.col("v") != F.col("b")) & self.fits("n", "bn")).select("v", "b"))))
+        rows = met.select("node", "i", "v", "n")
         for turn in range(ROUNDS + 1):
             # 2: nodes of several components
-            here = self.label(rows).select("node", "v", "n", "c")
+            here = self.label(rows).select("node", "i", "v", "n", "c")
             state = here.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
             open_ = materialize(here.join(state, "node").join(self.sigs, "v"), "open-nodes")
             if open_.isEmpty():
                 return
-            small, large = open_.where(F.col("size") <= SMALL), materialize(open_.where(F.col("size") > SMALL), "large-nodes")
+            small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
             pairs = self.across(small, small)
-            if turn == ROUNDS:
-                # 3: the exact rest
-                count = large.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m"))
-                main = count.groupBy("node").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-                self.confirm(pairs.unionByName(self.across(large.join(main, "node").where("c <> main").drop("main"), large)).distinct())
+            exact = large if turn else large.where(F.col("i") < EXACT)
+            count = exact.groupBy("node", "size", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node", "size").agg(F.max(F.struct("m", "c")).alias("x"))
+            main = materialize(count.select("node", F.col("x.c").alias("main"), ((F.col("size") - F.col("x.m")) * F.col("size")).alias("work")), "large-nodes")
+            total = main.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
+            if turn == ROUNDS or total <= WORK * self.size:
+                self.confirm(pairs, self.tiles(exact.join(sized(main.select("node", "main"), 32), "node")) if total else None)
                 return
             # a vertex of a large node meets the smallest vertex of the smallest and of the largest other label
             ends = large.groupBy("node").agg(F.min(F.struct("c", "v", "n")).alias("x"), F.max(F.struct("c", "v", "n")).alias("y"))
             star = large.select("node", "v", "n", "c").join(ends, "node").select("v", "n", "c", F.explode(F.array("x", "y")).alias("p"))
-            star = star.where((F.col("c") != F.col("p.c")) & self.fits("n", "p.n")).select(F.greatest("v", "p.v").alias("a"), F.least("v", "p.v").alias("b")).distinct()
+            star = self.nearest(star.where((F.col("c") != F.col("p.c")) & self.fits("n", "p.n")).select("v", F.col("p.v").alias("b")))
             self.confirm(pairs.unionByName(self.by_signature(star)).distinct())
-            rows = materialize(large.select("v", "n", F.explode(_descend("node", "sig")).alias("node")).select("node", "v", "n"), "nodes")
+            rows = materialize(large.select("i", "v", "n", F.explode(_descend("node", "sig")).alias("node")), "nodes")
+
+    def tiles(self, rows: DataFrame) -> DataFrame:
+        """Links between the vertices outside a node's main component and all vertices of the node."""
+        columns = ["v", "c", "n", "sig", "s"]
+
+        def tiled(dealt: DataFrame, names: list[str]) -> DataFrame:
+            packed = [F.collect_list(x).alias(x) for x in names]
+            every = dealt.groupBy("node", "block").agg(*packed).drop("block")
+            asked = dealt.where("c <> main").groupBy("node", "block").agg(*packed).drop("block")
+            return asked.join(every.withColumnsRenamed({x: f"{x}2" for x in names}), "node")
+
+        def deal(df: DataFrame) -> DataFrame:
+            return df.withColumn("block", F.pmod(F.xxhash64("v", F.lit(5)), F.ceil(F.col("size") / BLOCK).cast("int")))
+
+        # signatures first: only vertices that some other might be linked to go on with their sets
+        likely = tiled(deal(rows), columns[:4])
+        likely = likely.select("node", F.explode(_likely_of(self.percent)(*columns[:4], *[f"{x}2" for x in columns[:4]])).alias("v")).distinct()
+        left = materialize(rows.join(likely, ["node", "v"], "left_semi").drop("size"), "likely")
+        sizes = left.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+        left = left.join(sized(sizes, 32), "node").join(self.sets(left.select("v")), "v")
+        both = tiled(deal(left), columns)
+        found = both.select(F.explode(_tiles_of(self.percent)(*columns, *[f"{x}2" for x in columns])).alias("x"))
+        return found.select("x.a", "x.b").distinct()
+
+    def nearest(self, meetings: DataFrame) -> DataFrame:
+        """Of the meetings (v, b), one pair (a, b) per v: with the b it meets most often."""
+        often = meetings.groupBy("v", "b").count().groupBy("v").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        return often.select(F.col("v").alias("a"), "b")
 
     def across(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs of one node and two components that sizes and signatures allow."""

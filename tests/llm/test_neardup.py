@@ -61,9 +61,10 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,width,small", [(1, 4, 32), (2, 5, 4)])
-def test_components_match_all_pairs(frame, monkeypatch, seed, width, small):
+@pytest.mark.parametrize("seed,width,small,work", [(1, 4, 32, 32), (2, 5, 4, 0)])
+def test_components_match_all_pairs(frame, monkeypatch, seed, width, small, work):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "WORK", work)
     rows = corpus(seed)
     out = neardup.near_duplicates(frame(rows, "doc_id long, text string"), "doc_id", "text", width=width)
     assert answer(out) == plain(rows, width)
@@ -72,6 +73,7 @@ def test_components_match_all_pairs(frame, monkeypatch, seed, width, small):
 def test_the_exact_rest(frame, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 1)
     monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
     rows = corpus(3)
     out = neardup.near_duplicates(frame(rows, "doc_id long, text string"), "doc_id", "text", width=4)
     assert answer(out) == plain(rows, 4)
