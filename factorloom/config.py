@@ -14,24 +14,24 @@ WEIGHTS = {
         "transcript_tone": 0.05, "revenue_revision": 0.03, "inst_flow_13f": 0.04,
     },
     "EU": {
-        "insider_conviction": 0.08, "insider_breadth": 0.04, "news_sentiment": 0.05,
-        "momentum_long": 0.08, "volume_attention": 0.02, "analyst_consensus": 0.07,
+        "insider_conviction": 0.08, "insider_breadth": 0.04, "congress": 0.00, "news_sentiment": 0.05,
+        "news_buzz": 0.00, "momentum_long": 0.08, "volume_attention": 0.02, "analyst_consensus": 0.07,
         "quality_piotroski": 0.10, "analyst_revision": 0.10, "price_target_upside": 0.10,
         "fcf_yield": 0.14, "amihud_shock": 0.05, "pb_value_up": 0.07, "roic_quality": 0.08,
-        "revenue_revision": 0.02,
+        "transcript_tone": 0.00, "revenue_revision": 0.02,
     },
     "ASIA": {
-        "insider_conviction": 0.08, "insider_breadth": 0.04, "news_sentiment": 0.10,
+        "insider_conviction": 0.08, "insider_breadth": 0.04, "congress": 0.00, "news_sentiment": 0.10,
         "news_buzz": 0.02, "momentum_long": 0.15, "volume_attention": 0.06,
         "analyst_consensus": 0.10, "analyst_revision": 0.05, "price_target_upside": 0.05,
         "quality_piotroski": 0.05, "fcf_yield": 0.10, "amihud_shock": 0.06,
-        "pb_value_up": 0.06, "roic_quality": 0.06, "revenue_revision": 0.02,
+        "pb_value_up": 0.06, "roic_quality": 0.06, "transcript_tone": 0.00, "revenue_revision": 0.02,
     },
     "GLOBAL": {
-        "insider_conviction": 0.28, "insider_breadth": 0.14, "news_sentiment": 0.13,
+        "insider_conviction": 0.28, "insider_breadth": 0.14, "congress": 0.00, "news_sentiment": 0.13,
         "news_buzz": 0.02, "momentum_long": 0.17, "volume_attention": 0.04,
         "analyst_consensus": 0.10, "quality_piotroski": 0.05, "analyst_revision": 0.02,
-        "price_target_upside": 0.03, "revenue_revision": 0.02,
+        "price_target_upside": 0.03, "transcript_tone": 0.00, "revenue_revision": 0.02,
     },
     "INTL_PROFILE": {
         "insider_conviction": 0.15, "insider_breadth": 0.08, "news_sentiment": 0.08,
@@ -63,15 +63,20 @@ SIGNED_FACTORS = (
 US_ONLY_FACTORS = ("congress", "inst_flow_13f", "pead_surprise", "insider_alpha", "quality_dupont", "transcript_tone")
 
 # Factors that can exist per market (weight renormalisation mask).
-_COMMON_MASK = (
-    "insider_conviction", "insider_breadth", "news_sentiment", "news_buzz", "momentum_long",
-    "volume_attention", "analyst_consensus", "analyst_revision", "price_target_upside",
-    "quality_piotroski",
-)
 MARKET_MASK = {
-    "USA": _COMMON_MASK + ("congress", "transcript_tone"),
-    "EUROPE": _COMMON_MASK,
-    "ASIA": _COMMON_MASK,
+    "USA": (
+        "insider_conviction", "insider_breadth", "news_sentiment", "news_buzz", "momentum_long",
+        "volume_attention", "analyst_consensus", "analyst_revision", "price_target_upside", "quality_piotroski",
+        "congress", "transcript_tone",
+    ),
+    "EUROPE": (
+        "insider_conviction", "insider_breadth", "news_sentiment", "news_buzz", "momentum_long",
+        "volume_attention", "analyst_consensus", "analyst_revision", "price_target_upside", "quality_piotroski",
+    ),
+    "ASIA": (
+        "insider_conviction", "insider_breadth", "news_sentiment", "news_buzz", "momentum_long",
+        "volume_attention", "analyst_consensus", "analyst_revision", "price_target_upside", "quality_piotroski",
+    ),
 }
 
 # Listing suffix -> region, and suffix -> quote currency (other suffixes quote in USD).

@@ -51,18 +51,6 @@ def transcript_tone(text, raises=RAISE_PHRASES, lowers=LOWER_PHRASES, maintains=
     )
 
 
-def headline_score(text, bull, bear) -> Column:
-    """0.5 +- 0.2 per distinct bull/bear word, in [0.1, 0.9]; neutral headlines are missing."""
-    words = F.split(F.lower(col(text)), r"\s+")
-    up = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in bull])))
-    down = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in bear])))
-    return F.when(up + down > 0, clip(0.5 + 0.2 * (up - down), 0.10, 0.90))
-
-
-def buzz(n, full_at: float = 50.0) -> Column:
-    x = F.coalesce(col(n).cast("double"), F.lit(0.0))
-    return F.least(F.lit(1.0), F.log1p(x) / F.log1p(F.lit(full_at)))
-
 # Headline words counted as good and bad news.
 BULL_WORDS = (
     "beat", "beats", "exceed", "exceeds", "upgrade", "upgrades", "upgraded", "buy", "outperform", "strong",
@@ -76,6 +64,19 @@ BEAR_WORDS = (
 )
 
 
+def headline_score(text, bull=BULL_WORDS, bear=BEAR_WORDS) -> Column:
+    """0.5 +- 0.2 per distinct bull/bear word, in [0.1, 0.9]; neutral headlines are missing."""
+    words = F.split(F.lower(col(text)), r"\s+")
+    up = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in bull])))
+    down = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in bear])))
+    return F.when(up + down > 0, clip(0.5 + 0.2 * (up - down), 0.10, 0.90))
+
+
+def buzz(n, full_at: float = 50.0) -> Column:
+    x = F.coalesce(col(n).cast("double"), F.lit(0.0))
+    return F.least(F.lit(1.0), F.log1p(x) / F.log1p(F.lit(full_at)))
+
+
 def narrative(parts, n: int = 3, sep: str = " · ") -> Column:
     """The first n present parts in evidence order, joined; missing parts are skipped."""
     return F.array_join(F.slice(F.array_compact(F.array(*parts)), 1, n), sep)

@@ -3,14 +3,14 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import COVERAGE_GATE, IC_TARGET, INSIDER_CEILING, SUFFIX_CURRENCY, gate_table
+from ..config import INSIDER_CEILING, SUFFIX_CURRENCY, gate_table
 from ..functions.common import lookup, r6, ratio
-from ..operators import distribution, events, quality, ranking, research, xs
+from ..operators import events, quality, ranking, research, xs
 from ..operators.positions import positions
-from ..oracles.base import FACTORS, statement
+from ..oracles.base import statement
 from ..views import SNAP_FACTORS, US_FACTORS, count_when
 from .composites import PILLAR_VIEWS, pillar_rows
-from .joins import BARS_NO, PREV, TURNOVER_SQL, clusters, prev_curr, trades, CLUSTER_SQL, CONV_SQL
+from .joins import BARS_NO, PREV, TURNOVER_SQL, clusters, prev_curr, trades, CLUSTER_SQL
 from .predicates import SUFFIX
 from .registry import query
 from .windows import NEUTRAL_VIEW
@@ -496,10 +496,9 @@ def _(t):
     return p.select("market", "n", r6(F.when(c("n") >= 5, c("r"))).alias("r"))
 
 
-@query("A34_raw_vs_neutral", statement("neu", "SELECT factor, count(*) AS n, round(covar_pop(score, neutral) / (stddev_pop(score) * stddev_pop(neutral)), 6) AS r FROM neu WHERE score > 0 AND factor IN ('insider_breadth', 'momentum_long', 'quality_piotroski') GROUP BY factor", extra=NEUTRAL_VIEW))
+@query("A34_raw_vs_neutral", statement("neu", "SELECT factor, count(*) AS n, round(covar_pop(score, neutral) / (stddev_pop(score) * stddev_pop(neutral)), 6) AS r FROM neu WHERE score > 0 GROUP BY factor", extra=NEUTRAL_VIEW))
 def _(t):
-    some = t.long_scores.where(c("factor").isin("insider_breadth", "momentum_long", "quality_piotroski"))
-    p = xs.pearson(xs.neutralise(some).where("score > 0"), ["factor"], "score", "neutral", "r")
+    p = xs.pearson(xs.neutralise(t.long_scores).where("score > 0"), ["factor"], "score", "neutral", "r")
     return p.select("factor", "n", r6("r").alias("r"))
 
 
@@ -533,6 +532,3 @@ def _(t):
 def _(t):
     out = research.turnover(prev_curr(t), ["d"], "prev", "curr", 20)
     return out.agg(r6(F.avg("churn")).alias("mean_churn"), r6(F.avg("autocorrelation")).alias("mean_autocorrelation"))
-
-
-assert COVERAGE_GATE and IC_TARGET and FACTORS and CONV_SQL and distribution

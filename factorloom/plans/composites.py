@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..config import MARKET_MASK, PILLARS, ROUNDTRIP_COST, SIGNED_FACTORS, WEIGHTS, market_mask, weight_table
 from ..functions import price, regime
 from ..functions.common import lookup, r6, ratio
-from ..operators import bundles, composite, distribution, ranking, xs
+from ..operators import bundles, composite, xs
 from ..oracles.base import BADGE, FACTORS, statement
 from ..oracles.factors import FACTOR_VIEWS, PILLAR_SQL
 from .registry import query
@@ -245,7 +245,7 @@ LEV_SQL = """round((0.50 * final_score + 0.30 * momentum_long + 0.20 * quality_p
 def smid_pool(entries, n, keys=()):
     boost = F.when((c("surprise_pct") > 0) & (c("surprise_days") > 0) & (c("surprise_days") <= 60), 1.10).otherwise(1.0)
     base = composite.wide_sum({"final_score": 0.50, "momentum_long": 0.30, "quality_piotroski": 0.20})
-    pool = entries.where((c("pipeline") == "US") & c("market_cap").between(300e6, 10e9)).dropDuplicates(["ticker"])
+    pool = entries.where((c("pipeline") == "US") & c("market_cap").between(300e6, 10e9))
     scored = pool.withColumn("leverage_score", F.round(base * boost, 6))
     return scored.orderBy(F.desc("leverage_score"), F.desc("final_score"), "ticker").limit(n)
 
@@ -278,6 +278,3 @@ def _(t):
     label = F.when(r <= -0.05, "STOPPED OUT").when(r <= -0.015, "MEAN REVERTED").when(r < 0, "NOISE").otherwise("")
     decayed = F.coalesce((c("surprise_pct") < 0) | (c("surprise_pct") < r * 0.5), F.lit(False))
     return t.entries.select("ticker", label.alias("label"), decayed.alias("alpha_decay"))
-
-
-assert ranking and distribution

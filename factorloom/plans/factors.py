@@ -9,8 +9,8 @@ from ..functions import consensus, fundamentals, ownership, price, text
 from ..functions.common import r6, ratio
 from ..operators import bundles, events
 from ..oracles.base import clip, congress, conviction, breadth, decay, flow13f, log_sat, statement
-from ..oracles.factors import ALPHA, C13, DIVIDEND, DUPONT, FACTOR_VIEWS, FCF, PB, PEAD, PILLAR_SQL, RESIDUAL, REVISION, ROIC, SHOCK, UPSIDE, VELOCITY
-from ..views import AS_OF, None_, count_when
+from ..oracles.factors import ALPHA, C13, DIVIDEND, DUPONT, FACTOR_VIEWS, PB, PEAD, PILLAR_SQL, RESIDUAL, REVISION, ROIC, SHOCK, UPSIDE
+from ..views import None_, count_when
 from .registry import query
 
 c = F.col
@@ -294,18 +294,33 @@ def _(t):
     return j.select("pid", r6(consensus.sentiment_with_surprise("sentiment", "surprise_pct", "days_since", "covered")).alias("score"))
 
 
-BULL, BEAR = ("the", "on", "and", "les", "die"), ("of", "with", "that", "de", "und")
-
-
 def has(words):
     return " + ".join(f"(CASE WHEN list_contains(w, '{x}') THEN 1 ELSE 0 END)" for x in words)
 
 
-@query("F45_headline_lexicon", f"""SELECT source, round(avg(s), 6) AS score, count(s) AS n FROM (SELECT source, CASE WHEN up + dn > 0 THEN greatest(0.1, least(0.9, 0.5 + 0.2 * (up - dn)))::DOUBLE END AS s
-    FROM (SELECT source, {has(BULL)} AS up, {has(BEAR)} AS dn FROM (SELECT source, regexp_split_to_array(lower(text), '\\s+') AS w FROM documents) a) b) q GROUP BY source""")
+def planted_headlines(t):
+    """Documents with known words appended: one good word, two bad ones, one of each, or none, by doc_id."""
+    def word(words, k):
+        return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(k, F.lit(len(words))) + 1).cast("int"))
+
+    k = F.floor(c("doc_id") / 4)
+    end = F.when(c("doc_id") % 4 == 0, word(text.BULL_WORDS, k)).when(c("doc_id") % 4 == 1, F.concat_ws(" ", word(text.BEAR_WORDS, k), word(text.BEAR_WORDS, k + 1)))
+    return t.documents.withColumn("text", F.concat_ws(" ", "text", end.when(c("doc_id") % 4 == 2, F.concat_ws(" ", word(text.BEAR_WORDS, k), word(text.BULL_WORDS, k)))))
+
+
+def word_sql(words, k):
+    return f"([{', '.join(repr(w) for w in words)}])[1 + ({k}) % {len(words)}]"
+
+
+PLANTED_SQL = f"""SELECT source, concat_ws(' ', text, CASE doc_id % 4 WHEN 0 THEN {word_sql(text.BULL_WORDS, 'doc_id // 4')} WHEN 1 THEN {word_sql(text.BEAR_WORDS, 'doc_id // 4')} || ' ' || {word_sql(text.BEAR_WORDS, 'doc_id // 4 + 1')}
+    WHEN 2 THEN {word_sql(text.BEAR_WORDS, 'doc_id // 4')} || ' ' || {word_sql(text.BULL_WORDS, 'doc_id // 4')} END) AS text, doc_id % 4 AS kind FROM documents"""
+
+
+@query("F45_headline_lexicon", f"""SELECT source, kind, round(avg(s), 6) AS score, count(s) AS n FROM (SELECT source, kind, CASE WHEN up + dn > 0 THEN greatest(0.1, least(0.9, 0.5 + 0.2 * (up - dn)))::DOUBLE END AS s
+    FROM (SELECT source, kind, {has(text.BULL_WORDS)} AS up, {has(text.BEAR_WORDS)} AS dn FROM (SELECT source, kind, regexp_split_to_array(lower(text), '\\s+') AS w FROM ({PLANTED_SQL}) p) a) b) q GROUP BY source, kind""")
 def _(t):
-    d = t.documents.select("source", text.headline_score("text", BULL, BEAR).alias("s"))
-    return d.groupBy("source").agg(r6(F.avg("s")).alias("score"), F.count("s").alias("n"))
+    d = planted_headlines(t).select("source", (c("doc_id") % 4).alias("kind"), text.headline_score("text").alias("s"))
+    return d.groupBy("source", "kind").agg(r6(F.avg("s")).alias("score"), F.count("s").alias("n"))
 
 
 @query("F46_headline_buzz", f"SELECT source, count(*) AS n, round({log_sat('count(*)::DOUBLE', 50)}, 6) AS score FROM documents GROUP BY source")
@@ -377,6 +392,3 @@ def _(t):
     ).where("ih >= 4")
     j = t.part.select(c("p_partkey").alias("pid")).join(s, "pid", "left")
     return j.select("pid", r6(ownership.flow_13f("ih", "dih", "inc", "red", c("dih") / 2.0)).alias("score"))
-
-
-assert AS_OF and VELOCITY and FCF

@@ -2,13 +2,12 @@
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import REGION_MARKET, ROUNDTRIP_COST
 from ..functions import price, regime
 from ..functions.common import lookup, r6, ratio
-from ..operators import events, joins, quality, ranking, research, ts
+from ..operators import events, joins, quality, research, ts
 from ..oracles.base import BADGE, clip, flow13f, statement
 from ..views import count_when
 from .composites import PILLAR_VIEWS, pillar_rows
@@ -288,6 +287,3 @@ def _(t):
     last = events.newest_n(v, ["uid"], [F.desc("d")], 1)
     core = t.customer.where("c_mktsegment = 'MACHINERY'").select(c("c_custkey").alias("uid"))
     return last.join(core, "uid", "left_anti").orderBy(F.desc(F.round("velocity", 9)), "uid").limit(20).select("uid", r6("velocity").alias("velocity"))
-
-
-assert Window and ranking

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import ASIA_SUFFIXES, EU_SUFFIXES, SUFFIX_CURRENCY, WEIGHTS, weight_table
 from ..functions import ownership, regime
-from ..functions.common import r6, ratio
+from ..functions.common import r6
 from ..operators import bundles, quality, ranking
 from ..oracles.base import BADGE, FACTORS, statement
 from ..oracles.factors import FACTOR_VIEWS, PILLAR_SQL
@@ -313,12 +313,16 @@ def _(t):
     return lists(t).where("market = 'USA' AND badge = 'TACTICAL BUY'").select("bucket", c("pos").cast("long"), "ticker")
 
 
-@query("P36_point_lookup", statement("entries lists", """
+LOOKUP = "P18"
+
+
+@query("P36_point_lookup", statement("entries lists", f"""
     SELECT coalesce(s.ticker, r.ticker) AS ticker, s.final_score, r.buckets FROM entries s FULL JOIN (SELECT ticker, count(*) AS buckets FROM lists GROUP BY ticker) r ON s.ticker = r.ticker
-    WHERE coalesce(s.ticker, r.ticker) LIKE 'P1%'""", extra=LISTS))
+    WHERE coalesce(s.ticker, r.ticker) = '{LOOKUP}'""", extra=LISTS))
 def _(t):
-    r = lists(t).groupBy("ticker").agg(F.count(F.lit(1)).alias("buckets"))
-    return t.entries.select("ticker", "final_score").join(r, "ticker", "full").where(c("ticker").startswith("P1"))
+    """One name, filtered on both sides of the join."""
+    r = lists(t).where(c("ticker") == LOOKUP).groupBy("ticker").agg(F.count(F.lit(1)).alias("buckets"))
+    return t.entries.where(c("ticker") == LOOKUP).select("ticker", "final_score").join(r, "ticker", "full")
 
 
 @query("P37_schema_upgrade", statement("scored", """
@@ -397,6 +401,3 @@ def _(t):
     tagged = F.transform("missing", lambda f: F.concat(f, F.lit(":no_data")))
     names = F.array_distinct(F.transform(tagged, lambda s: F.split_part(s, F.lit(":"), F.lit(1))))
     return m.select("ticker", F.array_join(names, ",").alias("missing"))
-
-
-assert ratio

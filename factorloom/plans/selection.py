@@ -4,13 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ownership, price, regime
-from ..functions.common import r6, ratio
-from ..operators import events, quality, ranking, research, sizing, ts
-from ..oracles.base import BADGE, US, FACTORS, statement
+from ..functions.common import r6
+from ..operators import quality, ranking, research, sizing, ts
+from ..oracles.base import BADGE, US, statement
 from .aggregates import ADV_SQL, COV_VIEWS, dollar_volume, pools
 from .composites import LEV_SQL, W_US, dated, DATED, smid_pool, VOL, w_us
 from .joins import BOOST, boosted
-from .predicates import EXT, LISTS, OFF, REGION, SURVIVES, WHALE, lists, off_desk
+from .predicates import LISTS, OFF, REGION, SURVIVES, WHALE, lists, off_desk
 from .registry import query
 from .windows import LEVERAGE_SQL
 
@@ -120,7 +120,7 @@ def _(t):
 def screen(t, lo=300e6, hi=10e9, min_adv=20000.0):
     """Screened candidates: cap band, volume and dollar-volume gates, one row per ticker."""
     ok = c("market_cap").between(lo, hi) & (c("q_1y") > 0) & (c("adv_usd").isNull() | (c("adv_usd") >= min_adv))
-    return t.entries.where(ok).dropDuplicates(["ticker"])
+    return t.entries.where(ok)
 
 
 SCREEN = "market_cap BETWEEN {lo} AND {hi} AND q_1y > 0 AND (adv_usd IS NULL OR adv_usd >= 20000.0)"
@@ -152,7 +152,7 @@ def _(t):
 
 @query("T13_large_mid_screen", statement("entries", "SELECT ticker FROM entries WHERE market_cap >= 2e9 AND market = 'EUROPE'"))
 def _(t):
-    return t.entries.where("market_cap >= 2e9 AND market = 'EUROPE'").dropDuplicates(["ticker"]).select("ticker")
+    return t.entries.where("market_cap >= 2e9 AND market = 'EUROPE'").select("ticker")
 
 
 @query("T13_volume_panel", statement("daily", "SELECT d, sum(volume)::BIGINT AS total, count(*) AS names, max(CASE WHEN uid = 7 THEN volume END)::BIGINT AS v7 FROM daily GROUP BY d"))
@@ -428,6 +428,3 @@ def sizing_run(top, keys, score):
     w = sizing.cap_sectors(sizing.score_proportional(top, keys, score), keys)
     vol = w.groupBy(*keys).agg(F.sqrt(F.sum(0.04 * c("weight") * c("weight")) + 1e-10).alias("vol"))
     return sizing.target_volatility(w, vol, keys)
-
-
-assert EXT and US and FACTORS and events and ratio

@@ -2,12 +2,11 @@
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import WEIGHTS
 from ..functions.common import r6
-from ..operators import events, joins
+from ..operators import events
 from ..oracles.base import US, statement
 from ..session import new_path
 from ..sources import readers, writers
@@ -160,10 +159,10 @@ def _(t):
     return t.spark.read.schema(f"{SNAP_ROWS}, snapshot_date date").parquet(path).groupBy("snapshot_date").agg(N().alias("n"))
 
 
-@query("S11_backfill_artefacts", statement("snaps", "SELECT d AS snapshot_date, count(*) AS n, round(sum(score), 6) AS total FROM snaps WHERE d >= DATE '2000-01-01' GROUP BY d"))
+@query("S11_backfill_artefacts", statement("snaps", "SELECT d AS snapshot_date, count(*) AS n, round(sum(score), 6) AS total FROM snaps GROUP BY d"))
 def _(t):
     src, dst = new_path(t.spark, "artefacts"), new_path(t.spark, "backfill")
-    t.snaps.where("d >= DATE'2000-01-01'").select("sid", "ticker", "score", F.date_format("d", "yyyy-MM-dd").alias("run")).write.partitionBy("run").json(src)
+    t.snaps.select("sid", "ticker", "score", F.date_format("d", "yyyy-MM-dd").alias("run")).write.partitionBy("run").json(src)
     found = t.spark.read.schema(SNAP_ROWS).option("recursiveFileLookup", "true").json(src)
     dated = found.withColumn("snapshot_date", F.to_date(F.regexp_extract(F.input_file_name(), r"run=(\d{4}-\d{2}-\d{2})", 1)))
     writers.write_snapshot(dated, dst)
@@ -268,6 +267,3 @@ def _(t):
 def _(t):
     quotes = t.parts.where("pid % 6 <> 0").select("ticker", "market_cap")
     return t.parts.select("ticker").join(quotes, "ticker", "left").select("ticker", F.coalesce("market_cap", F.lit(0.0)).alias("market_cap"))
-
-
-assert Window and joins

@@ -7,6 +7,7 @@ from ..functions import price
 from ..functions.common import r6, ratio
 from ..operators import distribution, ts, xs
 from ..oracles.base import statement
+from ..views import US_FACTORS
 from .registry import query
 
 NEUTRAL = """
@@ -70,11 +71,9 @@ def _(t):
     return neutral_long(t).select("ticker", "factor", r6("neutral").alias("neutral"), "level")
 
 
-@query("W05_neutral_factors_wide", statement("neu", """
-    SELECT ticker, round(max(neutral) FILTER (factor = 'momentum_long'), 6) AS momentum_long, round(max(neutral) FILTER (factor = 'insider_breadth'), 6) AS insider_breadth,
-           round(max(neutral) FILTER (factor = 'quality_piotroski'), 6) AS quality_piotroski FROM neu GROUP BY ticker""", extra=NEUTRAL_VIEW))
+@query("W05_neutral_factors_wide", statement("neu", "SELECT ticker, " + ", ".join(f"round(max(neutral) FILTER (factor = '{f}'), 6) AS {f}" for f in US_FACTORS) + " FROM neu GROUP BY ticker", extra=NEUTRAL_VIEW))
 def _(t):
-    names = ["momentum_long", "insider_breadth", "quality_piotroski"]
+    names = list(US_FACTORS)
     wide = neutral_long(t).groupBy("ticker").pivot("factor", names).agg(F.max("neutral"))
     return wide.select("ticker", *[r6(n).alias(n) for n in names])
 
@@ -96,9 +95,9 @@ def _(t):
 
 @query("W12_average_rank", statement("ls", """
     SELECT ticker, factor, (rank() OVER (PARTITION BY factor ORDER BY score) + (count(*) OVER (PARTITION BY factor, score) - 1) / 2.0)::DOUBLE AS avg_rank
-    FROM ls WHERE score IS NOT NULL AND factor IN ('transcript_tone', 'insider_conviction', 'quality_piotroski')"""))
+    FROM (SELECT ticker, factor, round(score, 9) AS score FROM ls) x WHERE score IS NOT NULL"""))
 def _(t):
-    some = t.long_scores.where(F.col("factor").isin("transcript_tone", "insider_conviction", "quality_piotroski") & F.col("score").isNotNull())
+    some = t.long_scores.where(F.col("score").isNotNull()).select("ticker", "factor", F.round("score", 9).alias("score"))
     return distribution.with_average_rank(some, ["factor"], "score", "avg_rank").select("ticker", "factor", "avg_rank")
 
 
@@ -191,10 +190,10 @@ def _(t):
     return ts.rolling_beta(t.bars, t.bench_bars, 12).select("sid", "d", r6("beta").alias("beta"))
 
 
-@query("J07_aligned_sessions", statement("bars bench", "SELECT sid, count(*) AS sessions, round(sum(close - bench), 4) AS gap FROM bars JOIN bench USING (d) WHERE d >= DATE '1998-01-01' GROUP BY sid"))
+@query("J07_aligned_sessions", statement("bars bench", "SELECT sid, count(*) AS sessions, round(sum(close - bench), 4) AS gap FROM bars JOIN bench USING (d) GROUP BY sid"))
 def _(t):
     return (
-        t.bars.join(t.bench_bars, "d").where("d >= DATE'1998-01-01'").groupBy("sid")
+        ts.with_bench(t.bars, t.bench_bars).groupBy("sid")
         .agg(F.count(F.lit(1)).alias("sessions"), F.round(F.sum(F.col("close") - F.col("bench")), 4).alias("gap"))
     )
 
