@@ -42,9 +42,42 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder for one written table."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for one written table; drop_tables() knows it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    """Spark's own file system for a path, and the path as it wants it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def version(spark: SparkSession, folder: str) -> int:
+    """Newest change of what lies directly in a folder: a file's own time, or that of a folder of part files."""
+    fs, where = _files(spark, folder)
+    return max((s.getModificationTime() for s in fs.listStatus(where)), default=0)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete every table that this application wrote through new_path, and its catalog entries; returns how many.
+
+    Results that still read them must have been used up.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for t in spark.catalog.listTables():
+        if t.name.startswith("factorloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    for path in paths:
+        fs, where = _files(spark, path)
+        fs.delete(where, True)
+    return len(paths)
 
 
 def materialize(df, label: str):

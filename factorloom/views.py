@@ -20,7 +20,7 @@ from .config import WEIGHTS
 from .functions import consensus, fundamentals, ownership, price, regime, text
 from .functions.common import r6, ratio, unit
 from .operators import ts
-from .session import configure, new_path
+from .session import configure, new_path, version
 
 AS_OF = dt.date(2001, 11, 5)
 NEWS_AS_OF = dt.date(2024, 1, 31)
@@ -370,14 +370,14 @@ class Tables:
 
     def stored(self, label: str, build, bucket: str | None = None, order: str | None = None,
                source: DataFrame | None = None) -> DataFrame:
-        """A view written once per session and folder to the shared folder, then read as a table.
+        """A view written once per session, folder and version of it to the shared folder, then read as a table.
 
         Scoring and ranking are separate steps: the second reads the first one's table, so a
         many-pass ranking never repeats the scan of the raw tables, and a lost executor costs a
         re-read instead of a recomputation. With `bucket` the table is bucketed on that key, into as
         many buckets as there are cores, or one per 32 million source rows where that is more.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, label)
+        key = (self.spark.sparkContext.applicationId, self.folder, version(self.spark, self.folder), label)
         if key not in _STORED:
             df, path = build(), new_path(self.spark, label)
             if bucket is None:

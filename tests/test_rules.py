@@ -190,3 +190,24 @@ def test_bulk_files_are_read_by_what_they_are(spark, tmp_path):
     good = {(r["row_id"], r["symbol"], r["price"]) for r in rows if r["bad"] is None}
     assert good == {(1, "A", 1.5), (2, "B", None), (3, None, 3.0), (4, "D", None), (5, "E", None), (6, None, None), (7, "F, G", 1.5), (8, "H", None), (9, "I", None)}
     assert len([r for r in rows if r["bad"] is not None]) == 3
+
+
+def test_stored_views_follow_their_tables_and_can_be_dropped(spark, tmp_path):
+    from factorloom import session, views
+
+    source = "/root/testdata/sf0.001"
+    for name in ("supplier", "lineitem"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = views.Tables(spark, str(tmp_path)).stored("suppliers", lambda: spark.read.parquet(str(tmp_path / "supplier.parquet"))).count()
+    spark.read.parquet(f"{source}/supplier.parquet").write.mode("append").parquet(str(tmp_path / "supplier.parquet"))
+    assert views.Tables(spark, str(tmp_path)).stored("suppliers", lambda: spark.read.parquet(str(tmp_path / "supplier.parquet"))).count() == 2 * before
+    kept, session._WRITTEN[spark.sparkContext.applicationId] = session._WRITTEN[spark.sparkContext.applicationId], []
+    path = session.new_path(spark, "short-lived")
+    spark.range(3).write.parquet(path)
+    assert session.drop_tables.__doc__ and len(session._WRITTEN[spark.sparkContext.applicationId]) == 1
+    fs, where = session._files(spark, path)
+    assert fs.exists(where)
+    for p in session._WRITTEN[spark.sparkContext.applicationId]:
+        fs.delete(session._files(spark, p)[1], True)
+    session._WRITTEN[spark.sparkContext.applicationId] = kept
+    assert not fs.exists(where)
