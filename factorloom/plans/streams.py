@@ -145,7 +145,23 @@ def _(t):
 YEARS = [dt.date(y, 1, 1) for y in range(1997, 2002)]
 
 
-@query("R06_tenure_stream")
+def tenure_sql(n=5, most=2):
+    """The desk runs chained: each reads the state of the one before."""
+    steps, bounds = ["s0 AS (SELECT NULL::VARCHAR AS ticker, 0 AS tenure WHERE false)"], [None, *YEARS, None]
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]), 1):
+        span = " AND ".join([f"d >= DATE '{lo}'"] * (lo is not None) + [f"d < DATE '{hi}'"] * (hi is not None))
+        steps += [
+            f"j{i} AS MATERIALIZED (SELECT k.*, coalesce(s.tenure, 0) AS ten FROM (SELECT market, ticker, round(avg(score), 9) AS f, max(year(d)) AS yr FROM snaps WHERE {span} GROUP BY 1, 2) k LEFT JOIN s{i - 1} s USING (ticker))",
+            f"p{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY f DESC, ticker) AS pos FROM j{i} WHERE ten < {most}) z WHERE pos <= {n})",
+            f"e{i} AS MATERIALIZED (SELECT market, count(*) AS k, arg_max(f, pos) AS lf, arg_max(ticker, pos) AS lt FROM p{i} GROUP BY 1)",
+            f"m{i} AS MATERIALIZED (SELECT market, ticker, 'selected' AS action, ten, yr FROM p{i} UNION ALL SELECT market, ticker, 'cooldown', ten, yr FROM j{i} LEFT JOIN e{i} USING (market) WHERE ten >= {most} AND (k IS NULL OR k < {n} OR f > lf OR (f = lf AND ticker < lt)))",
+            f"s{i} AS MATERIALIZED (SELECT ticker, CASE WHEN action = 'cooldown' THEN 0 ELSE coalesce(s.tenure, 0) + 1 END AS tenure FROM (SELECT DISTINCT ticker, action FROM m{i}) a LEFT JOIN s{i - 1} s USING (ticker))",
+        ]
+    body = " UNION ALL ".join(f"SELECT market, ticker, action, ten::INT AS tenure, yr::INT AS year FROM m{i}" for i in range(1, len(YEARS) + 2))
+    return statement("snaps", "") + ", " + ", ".join(steps) + " " + body
+
+
+@query("R06_tenure_stream", tenure_sql())
 def _(t):
     """Yearly desks with cooldown: tenure carried over the runs, names on cooldown sit one run out."""
     path, feed = staged(t, t.snaps.select("sid", "ticker", "market", "d", "score"), "d", YEARS, "desks")
