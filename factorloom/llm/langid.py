@@ -3,8 +3,8 @@
 A text becomes a vector of hashed letter n-grams (one to three letters, words padded by a blank), weighted
 (1 + log count) x inverse document frequency and scaled to length 1. Each language has several centroids, found by
 clustering; a text gets the language of the centroid with the largest cosine. It is rejected if it has no
-letter, or if it has at least 2^(FIRST_BUCKET - 1) letters and lies farther from its centroid than any learned text of its length
-did, plus a margin; shorter texts are too noisy to be rejected for their distance.
+letter, or if it has at least 2^(FIRST_BUCKET - 1) letters and lies farther from its centroid than any learned text of about its
+length did, plus a margin; shorter texts are too noisy to be rejected for their distance.
 
 Document frequencies come from every learned row: each task adds up one array of DIMS counts. Centroids
 are clustered on a bounded sample: about SAMPLE rows per language, drawn by hash of the key, so
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .common import fresh, query, sized, table
 
-DIMS, SAMPLE, CLUSTERS, MARGIN, NONE = 8192, 400, 3, 0.15, "und"
+DIMS, SAMPLE, CLUSTERS, MARGIN, NONE = 8192, 400, 3, 0.25, "und"
 #: Texts whose number of letters has as many bits share a distance limit; a limit needs so many learned texts.
 BUCKETS, FIRST_BUCKET, LEAST = 24, 7, 20
 ONE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, key: str, text: str, label: str, dims: int = DIMS, samp
     limits = np.ones(BUCKETS)
     for b, d in near.items():
         if b >= FIRST_BUCKET and len(d) >= LEAST:
-            limits[b] = min(1.0, max(d) + MARGIN)
+            limits[b] = min(1.0, max(x for c in (b - 1, b, b + 1) for x in near.get(c, [0.0])) + MARGIN)
     return {"idf": idf, "centroids": np.concatenate(parts) if parts else np.zeros((0, dims), np.float32), "langs": langs, "limits": limits, "dims": dims}
 
 

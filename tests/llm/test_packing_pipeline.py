@@ -37,7 +37,7 @@ def test_pieces_and_conflicts(frame, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 50)
     rng = random.Random(2)
     rows = [(i, rng.choice([0, 3, 17, 40, 99, 100, 101, 250]), rng.choice(["a", "a", "b", "c", None]), rng.choice(["x", None, str(i)]), 1) for i in range(200)]
-    rows += [(None, None, None, None, None), (7, 250, "a", "x", 1), (7, 250, "a", "x", 1), (8, 12, "b", "x", 1), (8, 12, "b", "x", 1)]
+    rows += [(None, None, None, None, None), (507, 250, "a", "x", 1), (507, 250, "a", "x", 1), (508, 12, "b", "x", 1), (508, 12, "b", "x", 1)]
     out = packing.pack(frame(rows, ITEMS), "k", "n", "s", "c", 100).collect()
     lengths = Counter()
     for k, n, *_ in rows:
