@@ -8,6 +8,7 @@ from ..config import INSIDER_CEILING
 from ..functions import consensus, fundamentals, ownership, price, text
 from ..functions.common import r6, ratio
 from ..operators import bundles, events
+from ..operators.distribution import attach
 from ..oracles.base import clip, congress, conviction, breadth, decay, flow13f, log_sat, statement
 from ..oracles.factors import ALPHA, C13, DIVIDEND, DUPONT, FACTOR_VIEWS, PB, PEAD, PILLAR_SQL, RESIDUAL, REVISION, ROIC, SHOCK, UPSIDE
 from ..views import None_, count_when
@@ -125,7 +126,7 @@ query("F14_earnings_growth", growth_sql("o", "o", 0.50))(lambda t: growth(t, "op
     FROM entries JOIN (SELECT market, sector, sum(c_all)::DOUBLE / sum(q_all)::DOUBLE / 100.0 AS spe FROM entries GROUP BY 1, 2) s USING (market, sector)"""))
 def _(t):
     spe = t.entries.groupBy("market", "sector").agg((F.sum("c_all") / F.sum("q_all") / 100.0).alias("spe"))
-    return t.entries.select("ticker", "market", "sector", "px").join(spe, ["market", "sector"]).select("ticker", r6(fundamentals.relative_value("px", "spe")).alias("score"))
+    return attach(t.entries.select("ticker", "market", "sector", "px"), spe, ["market", "sector"], "inner").select("ticker", r6(fundamentals.relative_value("px", "spe")).alias("score"))
 
 
 # --- ownership ---------------------------------------------------------------------------
@@ -323,9 +324,9 @@ def _(t):
     return d.groupBy("source", "kind").agg(r6(F.avg("s")).alias("score"), F.count("s").alias("n"))
 
 
-@query("F46_headline_buzz", f"SELECT source, count(*) AS n, round({log_sat('count(*)::DOUBLE', 50)}, 6) AS score FROM documents GROUP BY source")
+@query("F46_headline_buzz", f"SELECT source, lang, count(*) AS n, round({log_sat('count(*)::DOUBLE', 50)}, 6) AS score FROM documents GROUP BY source, lang")
 def _(t):
-    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", "n", r6(text.buzz("n")).alias("score"))
+    return t.documents.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).select("source", "lang", "n", r6(text.buzz("n")).alias("score"))
 
 
 UP, DOWN, KEEP = ("the ", "and "), ("of ", "ing "), ("that ", "with ", "ouque")
@@ -346,11 +347,25 @@ def _(t):
     return d.withColumn("score", text.tone("n_raise", "n_lower", "n_keep"))
 
 
-@query("F47_transcript_tone_conversations", """SELECT conv_id, turn, (CASE WHEN up + dn + ke = 0 THEN NULL WHEN up > dn AND up > ke THEN 0.80 WHEN dn > up AND dn > ke THEN 0.20 ELSE 0.55 END)::DOUBLE AS score FROM (
-    SELECT conv_id, turn, """ + ", ".join("(" + " + ".join(f"len(regexp_extract_all(lower(text), '{p}'))" for p in ps) + f") AS {n}" for n, ps in
-    (("up", text.RAISE_PHRASES), ("dn", text.LOWER_PHRASES), ("ke", text.MAINTAIN_PHRASES))) + " FROM conversations WHERE length(text) > 0) z")
+PHRASES = (("n_raise", text.RAISE_PHRASES), ("n_lower", text.LOWER_PHRASES), ("n_keep", text.MAINTAIN_PHRASES))
+# turns by (conv_id + turn) % 4: a raise, two lowerings, a maintained guidance and a lowering, nothing
+PLANTED_TURNS = "CASE (conv_id + turn) % 4 WHEN 0 THEN {r} WHEN 1 THEN {l} || '; ' || {l2} WHEN 2 THEN {k} || '; ' || {l} END".format(
+    r=word_sql(text.RAISE_PHRASES, "conv_id"), l=word_sql(text.LOWER_PHRASES, "conv_id"), l2=word_sql(text.LOWER_PHRASES, "conv_id + 3"), k=word_sql(text.MAINTAIN_PHRASES, "conv_id"))
+
+
+@query("F47_transcript_tone_conversations", """SELECT conv_id, turn, up AS n_raise, dn AS n_lower, ke AS n_keep, (CASE WHEN up + dn + ke = 0 THEN NULL WHEN up > dn AND up > ke THEN 0.80 WHEN dn > up AND dn > ke THEN 0.20 ELSE 0.55 END)::DOUBLE AS score FROM (
+    SELECT conv_id, turn, """ + ", ".join("(" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in ps) + f")::BIGINT AS {n}" for n, ps in
+    (("up", text.RAISE_PHRASES), ("dn", text.LOWER_PHRASES), ("ke", text.MAINTAIN_PHRASES))) + f" FROM (SELECT conv_id, turn, lower(concat_ws(' ', text, {PLANTED_TURNS})) AS text FROM conversations) y WHERE length(text) > 0) z")
 def _(t):
-    return t.conversations.where(F.length("text") > 0).select("conv_id", "turn", text.transcript_tone("text").alias("score"))
+    def phrase(words, k):
+        return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(k, F.lit(len(words))) + 1).cast("int"))
+
+    k, id_ = (c("conv_id") + c("turn")) % 4, c("conv_id")
+    down = phrase(text.LOWER_PHRASES, id_)
+    end = F.when(k == 0, phrase(text.RAISE_PHRASES, id_)).when(k == 1, F.concat_ws("; ", down, phrase(text.LOWER_PHRASES, id_ + 3))).when(k == 2, F.concat_ws("; ", phrase(text.MAINTAIN_PHRASES, id_), down))
+    turns = t.conversations.withColumn("text", F.lower(F.concat_ws(" ", "text", end))).where(F.length("text") > 0)
+    d = turns.select("conv_id", "turn", *[text.phrase_count("text", p).cast("long").alias(n) for n, p in PHRASES])
+    return d.withColumn("score", text.tone("n_raise", "n_lower", "n_keep"))
 
 
 # --- bundles -----------------------------------------------------------------------------
