@@ -8,8 +8,8 @@ exhaustively; larger ones branch on. Links are confirmed on the full shingle set
 Only components are wanted, so no node emits all its pairs when it need not:
 1. In every first node each vertex meets the smallest vertex there; the one it meets most often is its pair. Groups of copies, however large,
    mostly fall into one component through one pair per vertex.
-2. Nodes whose vertices are all in one component are done. In small ones the pairs between components are compared; large ones branch on, and their
-   vertices are compared with the vertex of another component they meet most often, for ROUNDS rounds.
+2. Nodes whose vertices are all in one component are done. In small ones the pairs between components are compared; large ones branch on, two levels
+   a round, for at most ROUNDS rounds.
 3. What is then still large and not of one component is compared exactly: the vertices outside the node's largest component against
    all vertices of the node, in tiles of BLOCK by BLOCK vertices with their full sets. A tile answers with links that join components, at most one
    fewer than its vertices. That is done as soon as it takes no more than WORK comparisons of
@@ -34,7 +34,7 @@ from ..session import materialize
 from .common import fresh, query, sized, table
 from .graph import components
 
-TREES, SIGNATURE, SMALL, ROUNDS, WORK, BLOCK, EXACT = 16, 64, 32, 4, 2000, 128, 8
+TREES, SIGNATURE, SMALL, ROUNDS, WORK, BLOCK, EXACT = 16, 64, 32, 4, 5000, 128, 8
 AGREE = 35  # of SIGNATURE places
 _RNG = np.random.default_rng(20240501)
 _MASKS, _ODD = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64), _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
@@ -216,13 +216,13 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
 
 
 def _likely_of(percent: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def likely(va: pd.Series, ca: pd.Series, na: pd.Series, ga: pd.Series, vb: pd.Series, cb: pd.Series, nb: pd.Series, gb: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.StructType([T.StructField(x, T.ArrayType(T.LongType())) for x in "ab"]))
+    def likely(va: pd.Series, ca: pd.Series, na: pd.Series, ga: pd.Series, vb: pd.Series, cb: pd.Series, nb: pd.Series, gb: pd.Series) -> pd.DataFrame:
         out = []
         for t in zip(va, ca, na, ga, vb, cb, nb, gb):
             may = tile_candidates(t[:4], t[4:], percent)
-            out.append(np.concatenate((np.asarray(t[0])[may.any(1)], np.asarray(t[4])[may.any(0)])))
-        return pd.Series(out)
+            out.append((np.asarray(t[0])[may.any(1)], np.asarray(t[4])[may.any(0)]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return likely
 
@@ -302,27 +302,23 @@ class _Join:
         met = materialize(nodes.join(heads, "node").select("node", "i", "v", "n", "size", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
         self.confirm(self.by_signature(self.nearest(met.where((F.col("v") != F.col("b")) & self.fits("n", "bn")).select("v", "b"))))
         rows = met.select("node", "i", "v", "n")
+        waiting = None
         for turn in range(ROUNDS + 1):
             # 2: nodes of several components
             here = self.label(rows).select("node", "i", "v", "n", "c")
             state = here.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
             open_ = materialize(here.join(state, "node").join(self.sigs, "v"), "open-nodes")
-            if open_.isEmpty():
-                return
             small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
             pairs = self.across(small, small)
+            waiting = pairs if waiting is None else waiting.unionByName(pairs)
             exact = large if turn else large.where(F.col("i") < EXACT)
             count = exact.groupBy("node", "size", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node", "size").agg(F.max(F.struct("m", "c")).alias("x"))
             main = materialize(count.select("node", F.col("x.c").alias("main"), ((F.col("size") - F.col("x.m")) * F.col("size")).alias("work")), "large-nodes")
             total = main.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
             if turn == ROUNDS or total <= WORK * self.size:
-                self.confirm(pairs, self.tiles(exact.join(sized(main.select("node", "main"), 32), "node")) if total else None)
+                # 3: the exact rest
+                self.confirm(waiting.distinct(), self.tiles(exact.join(sized(main.select("node", "main"), 32), "node")) if total else None)
                 return
-            # a vertex of a large node meets the smallest vertex of the smallest and of the largest other label
-            ends = large.groupBy("node").agg(F.min(F.struct("c", "v", "n")).alias("x"), F.max(F.struct("c", "v", "n")).alias("y"))
-            star = large.select("node", "v", "n", "c").join(ends, "node").select("v", "n", "c", F.explode(F.array("x", "y")).alias("p"))
-            star = self.nearest(star.where((F.col("c") != F.col("p.c")) & self.fits("n", "p.n")).select("v", F.col("p.v").alias("b")))
-            self.confirm(pairs.unionByName(self.by_signature(star)).distinct())
             rows = materialize(large.select("i", "v", "n", F.explode(_descend("node", "sig")).alias("node")), "nodes")
 
     def tiles(self, rows: DataFrame) -> DataFrame:
@@ -331,16 +327,20 @@ class _Join:
 
         def tiled(dealt: DataFrame, names: list[str]) -> DataFrame:
             packed = [F.collect_list(x).alias(x) for x in names]
-            every = dealt.groupBy("node", "block").agg(*packed).drop("block")
-            asked = dealt.where("c <> main").groupBy("node", "block").agg(*packed).drop("block")
-            return asked.join(every.withColumnsRenamed({x: f"{x}2" for x in names}), "node")
+            every = dealt.groupBy("node", "block").agg(*packed)
+            asked = dealt.where("c <> main").groupBy("node", "block").agg(*packed)
+            return asked.join(every.withColumnsRenamed({x: f"{x}2" for x in ["block", *names]}), "node")
 
         def deal(df: DataFrame) -> DataFrame:
             return df.withColumn("block", F.pmod(F.xxhash64("v", F.lit(5)), F.ceil(F.col("size") / BLOCK).cast("int")))
 
-        # signatures first: only vertices that some other might be linked to go on with their sets
+        # signatures first: only vertices that some other might be linked to go on with their sets. A block's vertices come out
+        # once, however many tiles it is in
         likely = tiled(deal(rows), columns[:4])
-        likely = likely.select("node", F.explode(_likely_of(self.percent)(*columns[:4], *[f"{x}2" for x in columns[:4]])).alias("v")).distinct()
+        likely = likely.select("node", "block", "block2", _likely_of(self.percent)(*columns[:4], *[f"{x}2" for x in columns[:4]]).alias("x"))
+        sides = F.array(F.struct("block", F.col("x.a").alias("v")), F.struct(F.col("block2").alias("block"), F.col("x.b").alias("v")))
+        likely = likely.select("node", F.explode(sides).alias("x")).where(F.size("x.v") > 0)
+        likely = likely.groupBy("node", "x.block").agg(F.array_distinct(F.flatten(F.collect_list("x.v"))).alias("v")).select("node", F.explode("v").alias("v"))
         left = materialize(rows.join(likely, ["node", "v"], "left_semi").drop("size"), "likely")
         sizes = left.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
         left = left.join(sized(sizes, 32), "node").join(self.sets(left.select("v")), "v")
