@@ -29,8 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # one row per edge: a larger neighbour moves to the smallest vertex around
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        # one row per edge: a larger neighbour moves to the smallest vertex around; written, as it is read twice
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(parent, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(parent.select("a", F.col("m").alias("b")))
         e = materialize(small.distinct(), "edges")
