@@ -3,11 +3,11 @@
 A text becomes a vector of hashed letter n-grams (one to three letters, words padded by a blank), weighted
 (1 + log count) x inverse document frequency and scaled to length 1. Each language has several centroids, found by
 clustering; a text gets the language of the centroid with the largest cosine. It is rejected if it has no
-letter, or if it has at least 2^(FIRST_BUCKET - 1) letters and lies farther from its centroid than any learned text of about its
-length did, plus a margin; shorter texts are too noisy to be rejected for their distance.
+letter, or if it has at least 2^(FIRST_BUCKET - 1) letters and lies farther from its centroid than TAIL of the learned texts of its
+language and about its length do, plus MARGIN; shorter texts are too noisy to be rejected for their distance.
 
-Document frequencies come from every learned row: each task adds up one array of DIMS counts. Centroids
-are clustered on a bounded sample: about SAMPLE rows per language, drawn by hash of the key, so
+Document frequencies and distance limits come from every learned row: each task adds up one array of DIMS counts, and then one of
+distances per language and length. Only centroids are clustered on a bounded sample: about SAMPLE rows per language, drawn by hash of the key, so
 the driver holds at most SAMPLE x languages vectors. The model is DIMS x (CLUSTERS x languages + 1) floats, whatever the input.
 """
 
@@ -25,9 +25,11 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .common import fresh, query, sized, table
 
-DIMS, SAMPLE, CLUSTERS, MARGIN, NONE = 8192, 400, 3, 0.25, "und"
-#: Texts whose number of letters has as many bits share a distance limit; a limit needs so many learned texts.
-BUCKETS, FIRST_BUCKET, LEAST = 24, 7, 20
+DIMS, SAMPLE, CLUSTERS, MARGIN, NONE = 8192, 400, 3, 0.15, "und"
+#: Texts whose number of letters has as many bits share a distance limit per language; a limit of its own needs so many learned texts.
+BUCKETS, FIRST_BUCKET, LEAST = 24, 7, 100
+#: The share of learned texts below the limit without the margin; distances are counted in so many steps from 0 to 1.
+TAIL, STEPS = 0.99, 1000
 ONE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 
@@ -105,7 +107,7 @@ def _bucket(n: int) -> int:
 
 
 def fit(docs: DataFrame, key: str, text: str, label: str, dims: int = DIMS, sample: int = SAMPLE, clusters: int = CLUSTERS) -> dict:
-    """The model: idf, centroids, their languages, and the distance limit per length bucket.
+    """The model: idf, centroids, their languages, and the distance limits per language and length bucket.
 
     Learns from rows with a label, a key and a letter in the text; without any, the model knows no language.
     """
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, key: str, text: str, label: str, dims: int = DIMS, samp
     for r in sample_rows(rows, key, label, sample).select(label, vectors(text).alias("x")).orderBy(label, "x.n", "x.v").collect():
         if r["x"]["n"]:
             by.setdefault(r[label], []).append(r["x"])
-    parts, langs, near = [], [], {}
+    parts, langs = [], []
     for lang in sorted(by):
         x = np.zeros((len(by[lang]), dims), np.float32)
         for i, r in enumerate(by[lang]):
@@ -135,25 +137,73 @@ def fit(docs: DataFrame, key: str, text: str, label: str, dims: int = DIMS, samp
         c = _cluster(x, clusters)
         parts.append(c)
         langs += [lang] * len(c)
-        for r, d in zip(by[lang], 1 - (x @ c.T).max(1)):
-            near.setdefault(_bucket(r["n"]), []).append(float(d))
-    limits = np.ones(BUCKETS)
-    for b, d in near.items():
-        if b >= FIRST_BUCKET and len(d) >= LEAST:
-            limits[b] = min(1.0, max(x for c in (b - 1, b, b + 1) for x in near.get(c, [0.0])) + MARGIN)
-    return {"idf": idf, "centroids": np.concatenate(parts) if parts else np.zeros((0, dims), np.float32), "langs": langs, "limits": limits, "dims": dims}
+    model = {"idf": idf, "centroids": np.concatenate(parts) if parts else np.zeros((0, dims), np.float32), "langs": langs, "dims": dims}
+    return model | {"limits": distance_limits(distances(rows, text, model)) if langs else {}}
 
 
-def decide(model: dict, text: str | None) -> tuple[str, float, bool]:
-    """Language, cosine and rejection of one text."""
+def distances(docs: DataFrame, text: str, model: dict) -> dict[str, np.ndarray]:
+    """Per language of the nearest centroid, the rows at each length bucket and distance (in STEPS, rounded up), over all rows."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), sorted(set(model["langs"]))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), BUCKETS, STEPS + 1), np.int64)
+        for batch in batches:
+            for x in batch[text]:
+                lang, score, n = nearest(shared.value, x)
+                if n:
+                    total[names.index(lang), _bucket(n), int(np.ceil((1 - score) * STEPS))] += 1
+        lang, bucket, step = np.nonzero(total)
+        yield pd.DataFrame({"lang": lang, "bucket": bucket, "step": step, "n": total[lang, bucket, step]})
+
+    out = {x: np.zeros((BUCKETS, STEPS + 1), np.int64) for x in names}
+    found = docs.select(text).mapInPandas(add, "lang int, bucket int, step int, n long").groupBy("lang", "bucket", "step").agg(F.sum("n").alias("n"))
+    for r in found.collect():
+        out[names[r["lang"]]][r["bucket"], r["step"]] = r["n"]
+    return out
+
+
+def _limit(counts: np.ndarray) -> float:
+    """The distance below which TAIL of the counted texts lie, between neighbours in proportion, plus MARGIN."""
+    ends, place = np.cumsum(counts), (counts.sum() - 1) * TAIL
+    low, high = (int(np.searchsorted(ends, rank, "right")) for rank in (np.floor(place), np.ceil(place)))
+    return min(1.0, (low + (high - low) * (place - np.floor(place))) / STEPS + MARGIN)
+
+
+def distance_limits(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Limit per language and length bucket; 1, which rejects nothing, only below FIRST_BUCKET and where no learned text is as long as that.
+
+    A bucket with fewer than LEAST learned texts takes the limit of the nearest bucket of its language that has as many, of two the shorter
+    one; a language without any goes by the texts of all languages, and where those are too few as well, by all lengths together.
+    """
+
+    def filled(counts: np.ndarray) -> dict[int, float]:
+        return {b: _limit(counts[b]) for b in range(FIRST_BUCKET, BUCKETS) if counts[b].sum() >= LEAST}
+
+    every, out = sum(found.values()), {}
+    long = every[FIRST_BUCKET:].sum(0)
+    for lang, counts in found.items():
+        limits = filled(counts) or filled(every) or {FIRST_BUCKET: _limit(long) if long.any() else 1.0}
+        out[lang] = np.ones(BUCKETS)
+        for b in range(FIRST_BUCKET, BUCKETS):
+            out[lang][b] = limits[min(limits, key=lambda x: (abs(x - b), x))]
+    return out
+
+
+def nearest(model: dict, text: str | None) -> tuple[str, float, int]:
+    """Language and cosine of the nearest centroid, and the letters of one text; without a letter or any centroid, NONE and 0."""
     counts, n = ngram_counts(text, model["dims"])
     if not n or not model["langs"]:
-        return NONE, 0.0, True
+        return NONE, 0.0, 0
     at, v = _weigh(counts, model["idf"])
     cos = model["centroids"][:, at] @ v
     best = int(np.argmax(cos))
-    score = float(min(1.0, max(0.0, cos[best])))
-    return model["langs"][best], score, bool(1 - score > model["limits"][_bucket(n)])
+    return model["langs"][best], float(min(1.0, max(0.0, cos[best]))), n
+
+
+def decide(model: dict, text: str | None) -> tuple[str, float, bool]:
+    """Language, cosine and rejection of one text."""
+    lang, score, n = nearest(model, text)
+    return lang, score, not n or bool(1 - score > model["limits"][lang][_bucket(n)])
 
 
 def predict(docs: DataFrame, text: str, model: dict, name: str) -> DataFrame:
