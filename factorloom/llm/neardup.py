@@ -2,19 +2,21 @@
 
 Every text becomes its set of word shingles; equal sets are one vertex. Each of TREES independent trees branches a vertex
 recursively: a node chooses one of SIGNATURE minwise tokens, every fourth node two, and a vertex goes to the child named by
-its value there, so a pair of similarity J shares 1.25 J children on average and, at J = 0.8, does not die out. Nodes of at most SMALL vertices are compared
+its value there, so a pair of similarity J shares 1.25 J children on average. At J = 0.8 that is one, so a pair may lose all its common
+nodes below: branching finds links early, but what is missed there is settled by the first nodes, see 3. Nodes of at most SMALL vertices are compared
 exhaustively; larger ones branch on. Links are confirmed on the full shingle sets.
 
 Only components are wanted, so no node emits all its pairs when it need not:
 1. In every first node each vertex meets the smallest vertex there; the one it meets most often is its pair. Groups of copies, however large,
    mostly fall into one component through one pair per vertex.
-2. Nodes whose vertices are all in one component are done. In small ones the pairs between components are compared; large ones branch on, two levels
-   a round, for at most ROUNDS rounds.
-3. What is then still large and not of one component is compared exactly: the vertices outside the node's largest component against
-   all vertices of the node, in tiles of BLOCK by BLOCK vertices with their full sets. A tile answers with links that join components, at most one
-   fewer than its vertices. That is done as soon as it takes no more than WORK comparisons of
-   signatures per vertex of the table, so most tables need no second round. Of the first nodes, those of EXACT coordinates take part: a pair of
-   similarity 0.8 that only ever meets in large nodes is missed by all of them with a chance of 0.2^EXACT.
+2. Nodes whose vertices are all in one component are done. In small ones the pairs between components are compared. If comparing the large first nodes
+   takes more than WORK comparisons of signatures per vertex of the table, large nodes branch on first, two levels a round, for at most ROUNDS
+   rounds, and the links found below join components. Most tables need no round.
+3. Large first nodes that are still not of one component are compared exactly, however large and whatever the rounds found: the vertices outside
+   the node's largest component against all vertices of the node, in tiles of BLOCK by BLOCK vertices with their full sets. A tile answers with links
+   that join components, at most one fewer than its vertices. Of the first nodes, those of EXACT coordinates take part: a pair of
+   similarity 0.8 that only ever meets in large nodes is missed by all of them with a chance of 0.2^EXACT, 2.6e-6, for tables of any size. The work
+   grows with the square of the vertices that share a passage and are not linked.
 A pair is looked at in full only if its signatures agree in AGREE places, which a pair of similarity 0.8 misses with a chance below 2e-6, and
 if the sizes allow the similarity. First nodes alone are missed by a pair of similarity 0.8 with a chance of 0.2^20.
 
@@ -280,8 +282,11 @@ class _Join:
             j = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
             found = j.where(_links_of(self.percent)("sa", "sb")).select("a", "b")
             links = found if links is None else links.unionByName(found)
-        if links is None:
-            return
+        if links is not None:
+            self.confirm_links(links)
+
+    def confirm_links(self, links: DataFrame) -> None:
+        """Merge the labels of linked vertices (a, b)."""
         links = materialize(links, "links")
         if links.isEmpty():
             return
@@ -301,25 +306,40 @@ class _Join:
         heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("v", "n")).alias("p")).where("size > 1")
         met = materialize(nodes.join(heads, "node").select("node", "i", "v", "n", "size", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
         self.confirm(self.by_signature(self.nearest(met.where((F.col("v") != F.col("b")) & self.fits("n", "bn")).select("v", "b"))))
-        rows = met.select("node", "i", "v", "n")
-        waiting = None
+        rows, waiting = met.select("node", "i", "v", "n"), None
         for turn in range(ROUNDS + 1):
             # 2: nodes of several components
-            here = self.label(rows).select("node", "i", "v", "n", "c")
-            state = here.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-            open_ = materialize(here.join(state, "node").join(self.sigs, "v"), "open-nodes")
+            open_ = self.open_nodes(rows)
             small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
             pairs = self.across(small, small)
             waiting = pairs if waiting is None else waiting.unionByName(pairs)
-            exact = large if turn else large.where(F.col("i") < EXACT)
-            count = exact.groupBy("node", "size", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node", "size").agg(F.max(F.struct("m", "c")).alias("x"))
-            main = materialize(count.select("node", F.col("x.c").alias("main"), ((F.col("size") - F.col("x.m")) * F.col("size")).alias("work")), "large-nodes")
-            total = main.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
-            if turn == ROUNDS or total <= WORK * self.size:
-                # 3: the exact rest
-                self.confirm(waiting.distinct(), self.tiles(exact.join(sized(main.select("node", "main"), 32), "node")) if total else None)
-                return
+            if turn == 0:
+                first = large.where(F.col("i") < EXACT)
+                main, total = self.main_components(first)
+                if ROUNDS == 0 or total <= WORK * self.size:
+                    self.confirm(waiting.distinct(), self.tiles(first.join(sized(main, 32), "node")) if total else None)
+                    return
+            if turn == ROUNDS or large.isEmpty():
+                break
             rows = materialize(large.select("i", "v", "n", F.explode(_descend("node", "sig")).alias("node")), "nodes")
+        self.confirm(waiting.distinct())
+        # 3: the exact rest, by the components of now
+        first = self.open_nodes(first.select("node", "i", "v", "n"))
+        main, total = self.main_components(first)
+        if total:
+            self.confirm_links(self.tiles(first.join(sized(main, 32), "node")))
+
+    def open_nodes(self, rows: DataFrame) -> DataFrame:
+        """The rows (node, i, v, n) of nodes of several components, with component, node size and signature."""
+        here = self.label(rows).select("node", "i", "v", "n", "c")
+        state = here.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        return materialize(here.join(state, "node").join(self.sigs, "v"), "open-nodes")
+
+    def main_components(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """(node, main): the largest component of each node; and how many comparisons the others take."""
+        count = rows.groupBy("node", "size", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node", "size").agg(F.max(F.struct("m", "c")).alias("x"))
+        main = materialize(count.select("node", F.col("x.c").alias("main"), ((F.col("size") - F.col("x.m")) * F.col("size")).alias("work")), "large-nodes")
+        return main.select("node", "main"), main.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
 
     def tiles(self, rows: DataFrame) -> DataFrame:
         """Links between the vertices outside a node's main component and all vertices of the node."""

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from factorloom.llm import graph, neardup
 from factorloom.llm.common import QUERIES
@@ -79,6 +80,15 @@ def test_the_exact_rest(frame, monkeypatch):
     assert answer(out) == plain(rows, 4)
 
 
+def test_large_first_nodes_are_compared_whatever_branching_loses(frame, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "WORK", 0)
+    monkeypatch.setattr(neardup, "_descend", lambda node, sig: F.array("v"))
+    rows = corpus(3)
+    out = neardup.near_duplicates(frame(rows, "doc_id long, text string"), "doc_id", "text", width=4)
+    assert answer(out) == plain(rows, 4)
+
+
 def test_edges(frame):
     schema = "doc_id long, text string, _k string, _t string, text_hash string"
     rows = [(None, "a b c d e f", "p", None, None), (7, "a b c d e f", None, "q", None), (7, "other words are here now ok", None, None, "r"), (7, "other words are here now ok", None, None, "r"), (None, None, None, None, None), (3, "", None, None, None), (3, " \n", None, None, None)]
