@@ -91,11 +91,20 @@ def canonical_lines(text: Column) -> Column:
     """Array of canonical lines: lower case, words of letters and digits with one blank between them; copyright and empty lines are gone."""
     plain = F.lower(F.regexp_replace(text, "[©]|\\([cC]\\)", " c "))
     words = F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " "), r"(?m)^ +| +$", "")
+    return F.filter(F.split(spell(words), "\n"), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
+
+
+def spell(words: Column) -> Column:
+    """Equivalent spellings brought to one, where a pair's words have one blank between them."""
     spelled = words
     for old, new in sorted(SPELLINGS.items(), key=lambda x: -len(x[0])):
         spelled = F.regexp_replace(spelled, rf"\b{old}\b", new)
-    spelled = F.when(words.rlike(r"\b(" + "|".join(SPELLINGS) + r")\b"), spelled).otherwise(words)
-    return F.filter(F.split(spelled, "\n"), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
+    return F.when(words.rlike(r"\b(" + "|".join(SPELLINGS) + r")\b"), spelled).otherwise(words)
+
+
+def joined(lines: Column) -> Column:
+    """The whole canonical text: lines joined by blanks, and once more spelled, as a line break may lie within a pair of words."""
+    return spell(F.array_join(lines, " "))
 
 
 def digest(canonical: Column) -> Column:
@@ -110,7 +119,7 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def known_digests(known: DataFrame) -> DataFrame:
     """(known_digest, known_id): one row per digest; of equal texts the smallest identifier counts."""
-    return known.groupBy(digest(F.array_join(canonical_lines(F.col("body")), " ")).alias("known_digest")).agg(F.min("known_id").alias("known_id"))
+    return known.groupBy(digest(joined(canonical_lines(F.col("body")))).alias("known_digest")).agg(F.min("known_id").alias("known_id"))
 
 
 def scan(docs: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
@@ -134,7 +143,7 @@ def scan(docs: DataFrame, text: str, known: DataFrame | None = None) -> DataFram
         may = may | low.contains(a)
     rows = docs.withColumn(lines, F.when(may, canonical_lines(F.col(text))))
     found = F.array_compact(F.transform(F.filter(lines, has_anchor), lambda x: notice[digest(x)]))
-    rows = rows.withColumns({text_digest: digest(F.array_join(lines, " ")), ids: F.coalesce(found, F.array().cast("array<string>"))}).drop(lines)
+    rows = rows.withColumns({text_digest: digest(joined(F.col(lines))), ids: F.coalesce(found, F.array().cast("array<string>"))}).drop(lines)
     rows = rows.join(sized(whole, 160), text_digest, "left").withColumns({n: F.size(ids).cast("long"), ids: F.array_sort(F.array_distinct(ids))})
     return rows.select(*docs.columns, license_id, text_digest, ids, n)
 

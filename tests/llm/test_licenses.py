@@ -32,3 +32,9 @@ def test_lines_and_edges(frame):
 def test_every_known_text_has_an_anchor():
     for text in [*licenses.TEXTS.values(), *licenses.NOTICES]:
         assert any(a in text.lower() for a in licenses.ANCHORS)
+
+
+def test_whole_texts_match_at_every_width(frame):
+    for name in ("MIT", "BSD-2-Clause"):
+        got = found(frame, *["\n".join(textwrap.wrap(licenses.TEXTS[name], w)) for w in range(40, 121)])
+        assert [got[i][0] for i in range(81)] == [name] * 81, name
