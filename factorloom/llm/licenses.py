@@ -4,8 +4,8 @@ A text is brought to a canonical form (case, punctuation, copyright lines, comme
 spellings removed), digested as a whole and hash-joined to the digests of known licence texts. The same
 lookup runs over every single line, for one-line notices inside other documents.
 
-Only texts that hold one of ANCHORS (letters only, checked on the lower-cased text) are normalised:
-every known text holds one, and normalisation neither makes nor breaks a run of plain letters, so no
+Only texts that hold one of ANCHORS (letters only, checked on the lower-cased text) are normalised, if every known text holds
+one: normalisation neither makes nor breaks a run of plain letters, so no
 match is lost. Built-in functions only. The known table is counted
 before it is broadcast.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, query, sized, table
+from .license_texts import LONG_TEXTS
 
 # Public licence texts and one-line notices by SPDX identifier. Copyright lines are left out.
 MIT = """MIT License
@@ -58,6 +59,22 @@ TEXTS = {
     "MIT": MIT, "ISC": ISC, "BSD-2-Clause": BSD2, "Zlib": ZLIB,
     "0BSD": ISC.replace("ISC License", "BSD Zero Clause License").replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),
 }
+BSD3 = BSD2.replace("BSD 2-Clause", "BSD 3-Clause").replace("THIS SOFTWARE IS PROVIDED", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED""")
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of all whole texts known: with and without what follows the terms, links of either scheme, a blank year kept or filled in."""
+    out = [*TEXTS.items(), ("BSD-3-Clause", BSD3)]
+    for name, text in LONG_TEXTS.items():
+        # only the last line that says so ends the terms
+        head, end, tail = text.rpartition("END OF TERMS AND CONDITIONS")
+        for x in [text, head + end, head, text.replace("Copyright [yyyy]", "Copyright 2000")] if end else [text]:
+            out += [(name, x.replace("https://", "http://")), (name, x.replace("http://", "https://"))]
+    return out
+
+
 NOTICES = {
     "Released under the MIT License.": "MIT",
     "This project is licensed under the MIT License.": "MIT",
@@ -82,7 +99,7 @@ SPELLINGS = {
     "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "sub license": "sublicense", "sub licence": "sublicense",
     "utilisation": "utilization", "while": "whilst", "wilful": "willful",
 }
-#: Every known text holds one of these runs of letters.
+#: Every built-in text holds one of these runs of letters; see `scan` for others.
 ANCHORS = ("licen", "permission", "redistribut")
 COPYRIGHT_LINE = r"^(copyright( c)?( \d{4}\b| c\b| by\b|$).*|c \d{4}\b.*|all rights reserved|portions copyright .*)$"
 
@@ -113,13 +130,14 @@ def digest(canonical: Column) -> Column:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(known_id, kind, body): the built-in texts; kind is text or notice."""
-    rows = [(k, "text", v) for k, v in TEXTS.items()] + [(v, "notice", k) for k, v in NOTICES.items()]
+    rows = [(k, "text", v) for k, v in whole_texts()] + [(v, "notice", k) for k, v in NOTICES.items()]
     return spark.createDataFrame(rows, "known_id string, kind string, body string")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
-    """(known_digest, known_id): one row per digest; of equal texts the smallest identifier counts."""
-    return known.groupBy(digest(joined(canonical_lines(F.col("body")))).alias("known_digest")).agg(F.min("known_id").alias("known_id"))
+    """(known_digest, known_id): one row per digest; of equal texts the smallest identifier counts. Texts without a word are left out."""
+    rows = known.select("known_id", joined(canonical_lines(F.col("body"))).alias("_whole")).where("_whole <> ''")
+    return rows.groupBy(digest(F.col("_whole")).alias("known_digest")).agg(F.min("known_id").alias("known_id"))
 
 
 def scan(docs: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
@@ -129,20 +147,18 @@ def scan(docs: DataFrame, text: str, known: DataFrame | None = None) -> DataFram
     text, null where the text holds no anchor and so cannot be one. notice_ids: sorted identifiers of the lines that are
     known notices on their own, empty if none; n_notices: how many such lines. Null or empty texts match nothing.
     Rows and other columns stay as they are; clashing names get a trailing underscore.
-    `known` is the caller's own table like `known_licenses`: a list kept by hand, each text with one of ANCHORS. Its digests are
-    broadcast if small; its notices become a literal map.
+    `known` is the caller's own table like `known_licenses`: a list kept by hand. Its digests are broadcast if small; its notices become a
+    literal map. If any of its texts holds none of ANCHORS, all rows and lines are normalised.
     """
     known = known if known is not None else known_licenses(docs.sparkSession)
     lookup, lines, license_id, text_digest, ids, n = fresh(docs, "_known", "_lines", "license_id", "text_digest", "notice_ids", "n_notices")
     whole = known_digests(known).select(F.col("known_digest").alias(text_digest), F.col("known_id").alias(license_id))
     pairs = [F.lit(v) for r in known_digests(known.where("kind = 'notice'")).collect() for v in r]
     notice = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    low = F.lower(F.col(text))
-    may = F.lit(False)
-    for a in ANCHORS:
-        may = may | low.contains(a)
+    anchored = known.where(~has_anchor(F.lower("body"))).isEmpty()
+    may = has_anchor(F.lower(F.col(text))) if anchored else F.lit(True)
     rows = docs.withColumn(lines, F.when(may, canonical_lines(F.col(text))))
-    found = F.array_compact(F.transform(F.filter(lines, has_anchor), lambda x: notice[digest(x)]))
+    found = F.array_compact(F.transform(F.filter(lines, has_anchor) if anchored else F.col(lines), lambda x: notice[digest(x)]))
     rows = rows.withColumns({text_digest: digest(joined(F.col(lines))), ids: F.coalesce(found, F.array().cast("array<string>"))}).drop(lines)
     rows = rows.join(sized(whole, 160), text_digest, "left").withColumns({n: F.size(ids).cast("long"), ids: F.array_sort(F.array_distinct(ids))})
     return rows.select(*docs.columns, license_id, text_digest, ids, n)

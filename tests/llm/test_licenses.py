@@ -38,3 +38,20 @@ def test_whole_texts_match_at_every_width(frame):
     for name in ("MIT", "BSD-2-Clause"):
         got = found(frame, *["\n".join(textwrap.wrap(licenses.TEXTS[name], w)) for w in range(40, 121)])
         assert [got[i][0] for i in range(81)] == [name] * 81, name
+
+
+def test_longer_families(frame):
+    texts = {**licenses.LONG_TEXTS, "BSD-3-Clause": licenses.BSD3}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0"} <= texts.keys()
+    got = found(frame, *texts.values(), *["/*\n" + "\n".join(" * " + y for y in x.splitlines()) + "\n */" for x in texts.values()])
+    assert [got[i][0] for i in range(2 * len(texts))] == [*texts, *texts]
+    apache = licenses.LONG_TEXTS["Apache-2.0"]
+    got = found(frame, apache.replace("[yyyy] [name of copyright owner]", "2021 Some One"), apache.split("APPENDIX")[0], apache[:-300])
+    assert [got[i][0] for i in range(3)] == ["Apache-2.0", "Apache-2.0", None]
+
+
+def test_own_known_text_without_an_anchor(frame):
+    known = frame([("PD", "text", "Dedicated to the public domain."), ("CC", "notice", "No rights reserved"), ("X", "text", "")], "known_id string, kind string, body string")
+    docs = frame([(0, "dedicated to the\nPublic Domain", "own"), (1, "some text\nNo rights reserved.", "own"), (2, "", "own"), (3, None, "own")], DOCS)
+    got = {r["doc_id"]: (r["license_id_"], r["notice_ids"]) for r in licenses.scan(docs, "text", known).collect()}
+    assert got == {0: ("PD", []), 1: (None, ["CC"]), 2: (None, []), 3: (None, [])}
