@@ -11,9 +11,10 @@ MOST_ROUNDS = 60
 
 
 def _settled(e: DataFrame) -> bool:
-    """Is every vertex either a leaf with one edge or a centre without one?"""
-    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("v"), F.lit(0).alias("leaf")))).alias("x"))
-    return ends.groupBy("x.v").agg(F.sum("x.leaf").alias("up"), F.min("x.leaf").alias("leaf")).where("up > 1 OR (up = 1 AND leaf = 0)").isEmpty()
+    """Has every vertex that points anywhere one edge, and does none of them get pointed at?"""
+    if not e.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return e.select(F.col("b").alias("a")).distinct().join(e.select("a"), "a", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

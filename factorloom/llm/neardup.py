@@ -1,32 +1,36 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Every text becomes its set of word shingles; equal sets are one vertex. Each of TREES independent trees branches a vertex
-recursively: a node chooses one of SIGNATURE minwise tokens, every fourth node two, and a vertex goes to the child named by
-its value there, so a pair of similarity J shares 1.25 J children on average. At J = 0.8 that is one, so a pair may lose all its common
-nodes below: branching finds links early, but what is missed there is settled by the first nodes, see 3. Nodes of at most SMALL vertices are compared
-exhaustively; larger ones branch on. Links are confirmed on the full shingle sets.
+Every text becomes its set of word shingles; equal sets are one vertex. Each of TREES trees branches the vertices recursively: a node chooses one
+or two of SIGNATURE minwise tokens, by its own hash, and a vertex goes to the child named by its value there. Nodes of at most
+SMALL vertices are compared exhaustively, larger ones branch on, LEVELS levels a round.
 
-Only components are wanted, so no node emits all its pairs when it need not:
+Recall: half of the nodes choose two tokens, so a pair of similarity 0.8 shares 1.2 children on average, and its common nodes die out with a chance of 0.375
+below any node. The trees start with 20 first branches between them, each shared with a chance of 0.8, so a pair whose common nodes all stay large is
+missed with a chance of (1 - 0.8 * 0.625)^20, 1e-6; pairs of higher similarity less. All trees draw their tokens from one signature, as a set keeps it
+once; the chances take its places as independent.
+
+Only components are wanted, so no node emits all its pairs:
 1. In every first node each vertex meets the smallest vertex there; the one it meets most often is its pair. Groups of copies, however large,
    mostly fall into one component through one pair per vertex.
-2. Nodes whose vertices are all in one component are done. In small ones the pairs between components are compared. If comparing the large first nodes
-   takes more than WORK comparisons of signatures per vertex of the table, large nodes branch on first, two levels a round, for at most ROUNDS
-   rounds, and the links found below join components. Most tables need no round.
-3. Large first nodes that are still not of one component are compared exactly, however large and whatever the rounds found: the vertices outside
-   the node's largest component against all vertices of the node, in tiles of BLOCK by BLOCK vertices with their full sets. A tile answers with links
-   that join components, at most one fewer than its vertices. Of the first nodes, those of EXACT coordinates take part: a pair of
-   similarity 0.8 that only ever meets in large nodes is missed by all of them with a chance of 0.2^EXACT, 2.6e-6, for tables of any size. The work
-   grows with the square of the vertices that share a passage and are not linked.
-A pair is looked at in full only if its signatures agree in AGREE places, which a pair of similarity 0.8 misses with a chance below 2e-6, and
-if the sizes allow the similarity. First nodes alone are missed by a pair of similarity 0.8 with a chance of 0.2^20.
+2. Nodes whose vertices are all in one component are done. The rest recurse. Where one component holds half of a large node or more, as with a group
+   of copies that no token can part, its vertices are compared with the others of the node in pieces of CHUNK by CHUNK and then leave it; the others branch on.
+   What is still large after ROUNDS rounds is compared in such pieces too, so the result does not hang on a node's shrinking.
+3. Of the pairs that small nodes and pieces allow, each vertex first gives its likeliest; links found join components. What is then still between two
+   components is compared without exception.
+A pair is looked at in full only if its signatures agree in AGREE places, which a pair of similarity 0.8 misses with a chance below 2e-6, if the sizes allow
+the similarity, and if its odd sketches allow it: ODD bits that say of each shingle hash whether it came an odd number of times, so that two sketches differ in about as many
+bits as the sets in shingles; DEVIATIONS standard deviations of room are left. Links are confirmed on the full shingle sets.
 
 Text is read where sets are made: once for signatures, and again only for vertices of candidate pairs. What is written is narrow.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +40,10 @@ from ..session import materialize
 from .common import fresh, query, sized, table
 from .graph import components
 
-TREES, SIGNATURE, SMALL, ROUNDS, WORK, BLOCK, EXACT = 16, 64, 32, 4, 5000, 128, 8
+TREES, SIGNATURE, SMALL, LEVELS, ROUNDS, CHUNK, BUCKET = 16, 64, 64, 2, 12, 2048, 4096
 AGREE = 35  # of SIGNATURE places
+ODD, DEVIATIONS = 2048, 6
+WIDE = 4 * SIGNATURE + ODD // 8  # bytes of a sketch: minwise values, then the odd bits
 _RNG = np.random.default_rng(20240501)
 _MASKS, _ODD = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64), _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 
@@ -71,6 +77,22 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.fromiter((((shingles ^ m) * a).min() >> np.uint64(32) for m, a in zip(_MASKS, _ODD)), np.uint32, SIGNATURE).tobytes()
 
 
+def odd_bits(shingles: np.ndarray) -> bytes:
+    """Per place, whether an odd number of shingles fall there."""
+    return np.packbits((np.bincount((shingles & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).tobytes()
+
+
+def odd_limits(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Most bits in which the odd sketches of two linked sets with so many shingles in all can differ.
+
+    The sets differ in (100 - percent) / (100 + percent) of their shingles at most; mean and variance are those of throwing as many balls.
+    """
+    most = np.floor(sizes * ((100 - percent) / (100 + percent)) + 1e-9)
+    one, two = np.power(1 - 2 / ODD, most), np.power(1 - 4 / ODD, most)
+    variance = np.maximum(ODD + ODD * (ODD - 1) * two - (ODD * one) ** 2, 0) / 4
+    return ODD / 2 * (1 - one) + DEVIATIONS * np.sqrt(variance) + 1
+
+
 def root_coordinates(trees: int = TREES) -> list[tuple[int, int]]:
     """(tree, coordinate) of the first branches; the trees' first coordinates differ."""
     step = SIGNATURE // trees
@@ -81,8 +103,28 @@ def _child(node: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.nd
     return _mix(_mix(node + np.uint64(0x9E3779B97F4A7C15)) ^ (coordinate.astype(np.uint64) << np.uint64(32)) ^ value.astype(np.uint64))
 
 
-def _matrix(sigs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, SIGNATURE)
+def _sketches(column) -> tuple[np.ndarray, np.ndarray]:
+    """Minwise values and odd bits (as 64-bit words) of sketches, a row each."""
+    m = np.frombuffer(b"".join(column), np.uint8).reshape(-1, WIDE)
+    return np.ascontiguousarray(m[:, : 4 * SIGNATURE]).view(np.uint32), np.ascontiguousarray(m[:, 4 * SIGNATURE :]).view(np.uint64)
+
+
+def _matrix(sigs) -> np.ndarray:
+    return _sketches(sigs)[0]
+
+
+def likely(n: np.ndarray, values: np.ndarray, odd: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) may be linked, as places in i, and in how many bits their odd sketches differ."""
+    fits = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    kept, bits = [], []
+    for s in range(0, len(fits), step):
+        at = fits[s : s + step]
+        apart = np.bitwise_count(odd[i[at]] ^ odd[j[at]]).sum(1, dtype=np.int64)
+        ok = apart <= odd_limits(n[i[at]] + n[j[at]], percent)
+        at, apart = at[ok], apart[ok]
+        ok = (values[i[at]] == values[j[at]]).sum(1) >= AGREE
+        kept.append(at[ok]), bits.append(apart[ok])
+    return (np.concatenate(kept), np.concatenate(bits)) if kept else (fits, fits)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -99,7 +141,7 @@ def _branch(node: np.ndarray, rows: np.ndarray, m: np.ndarray) -> tuple[np.ndarr
     pick = _mix(node ^ np.uint64(0xD1B54A32D192ED03))
     first = (pick % np.uint64(SIGNATURE)).astype(np.int64)
     second = ((first + 1 + ((pick >> np.uint64(16)) % np.uint64(SIGNATURE - 1)).astype(np.int64)) % SIGNATURE)
-    two = (pick >> np.uint64(40)) % np.uint64(4) == 0
+    two = (pick >> np.uint64(40)) % np.uint64(2) == 0
     one = _child(node, first, m[rows, first])
     more = _child(node[two], second[two], m[rows[two], second[two]])
     return np.concatenate((one, more)), np.concatenate((rows, rows[two]))
@@ -107,19 +149,24 @@ def _branch(node: np.ndarray, rows: np.ndarray, m: np.ndarray) -> tuple[np.ndarr
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _descend(nodes: pd.Series, sigs: pd.Series) -> pd.Series:
-    """Nodes two levels below, per row."""
+    """Nodes LEVELS levels below, per row."""
     m = _matrix(sigs)
     node, rows = nodes.to_numpy().view(np.uint64), np.arange(len(m))
-    for _ in range(2):
+    for _ in range(LEVELS):
         node, rows = _branch(node, rows, m)
     order = np.argsort(rows, kind="stable")
     cuts = np.searchsorted(rows[order], np.arange(1, len(m)))
     return pd.Series(np.split(node[order].view(np.int64), cuts))
 
 
-@F.pandas_udf(T.BooleanType())
-def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series((_matrix(a) == _matrix(b)).sum(1) >= AGREE)
+def _likely_of(percent: int):
+    @F.pandas_udf(T.BooleanType())
+    def ok(na: pd.Series, a: pd.Series, nb: pd.Series, b: pd.Series) -> pd.Series:
+        (va, oa), (vb, ob), k = _sketches(a), _sketches(b), len(a)
+        at, _ = likely(np.concatenate((na, nb)), np.vstack((va, vb)), np.vstack((oa, ob)), np.arange(k), np.arange(k, 2 * k), percent)
+        return pd.Series(np.isin(np.arange(k), at))
+
+    return ok
 
 
 def _sets_of(width: int):
@@ -139,7 +186,7 @@ def _sketch_of(width: int):
         out = []
         for x in texts:
             s = shingle_set(x, width)
-            out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s) if len(s) else None))
+            out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s) + odd_bits(s) if len(s) else None))
         return pd.DataFrame(out, columns=["n", "digest", "sig"])
 
     return sketch
@@ -153,62 +200,50 @@ def _links_of(percent: int):
     return links
 
 
-LINK = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-
+def pairs_within(groups: np.ndarray, roles: np.ndarray, components: np.ndarray):
+    """Pairs (i, j) of places of one group and two components whose roles meet: 0 with 0, 1 with 2. Groups stand together; some pairs at a time."""
+    ends = np.searchsorted(groups, groups, "right")
+    furthest = int((ends - np.arange(len(groups))).max(initial=0))
+    some, held = [], 0
+    for k in range(1, furthest):
+        i = np.flatnonzero(np.arange(len(groups)) + k < ends)
+        j = i + k
+        ok = (components[i] != components[j]) & np.where(roles[i] == 0, roles[j] == 0, roles[i] + roles[j] == 3)
+        some.append((i[ok], j[ok]))
+        held += ok.sum()
+        if held > 1 << 20:
+            yield tuple(map(np.concatenate, zip(*some)))
+            some, held = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*some)))
 
-def tile_candidates(a: tuple, b: tuple, percent: int) -> np.ndarray:
-    """Pairs of two blocks (vertices, components, sizes, signatures) that components, sizes and signatures allow, as a matrix."""
-    (_, ca, na, ga), (_, cb, nb, gb) = ([np.asarray(x) for x in side[:3]] + [_matrix(side[3])] for side in (a, b))
-    agree = np.stack([(gb == row).sum(1) for row in ga])
-    return (agree >= AGREE) & (ca[:, None] != cb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
 
+CANDIDATE = "a long, b long, apart double"
 
-def tile_links(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
-    """Links that join components, between two blocks of (vertices, components, sizes, signatures, sets)."""
-    (va, ca, na, _, sa), (vb, cb, nb, _, sb) = a, b
-    na, nb, may = np.asarray(na), np.asarray(nb), tile_candidates(a[:4], b[:4], percent)
-    parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def _compare(percent: int, likeliest: bool):
+    """Likely pairs (a, b) of a bucket of nodes and pieces; the likeliest of each vertex, or all. apart: differing bits in relation to the limit."""
 
-    some, others = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
-    both = np.zeros(may.shape, np.int64)
-    both[np.ix_(some, others)] = intersections([sa[i] for i in some], [sb[j] for j in others])
-    may &= 100 * both >= percent * (na[:, None] + nb[None, :] - both)
-    out = []
-    for i, j in zip(*np.nonzero(may)):
-        x, y = find(int(ca[i])), find(int(cb[j]))
-        if x != y:
-            parent[x] = y
-            out.append((int(va[i]), int(vb[j])))
-    return out
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("g")
+        v, g, role, c, n = (t.column(x).to_numpy() for x in ("v", "g", "role", "c", "n"))
+        values, odd = _sketches(t.column("sig").to_pylist())
+        out = []
+        for i, j in pairs_within(g, role, c):
+            at, bits = likely(n, values, odd, i, j, percent)
+            i, j = i[at], j[at]
+            found = pd.DataFrame({"a": np.maximum(v[i], v[j]), "b": np.minimum(v[i], v[j]), "apart": bits / odd_limits(n[i] + n[j], percent)}).drop_duplicates(["a", "b"])
+            out.append(_likeliest(found) if likeliest else found)
+        every = pd.concat(out).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "apart": pd.Series(dtype="float64")})
+        return pa.Table.from_pandas(_likeliest(every) if likeliest else every, preserve_index=False)
 
+    return compare
 
-def intersections(a: list[bytes], b: list[bytes], columns: int = 1 << 14) -> np.ndarray:
-    """Sizes of the intersections of each set of a with each of b.
 
-    The shingles that both sides have become columns of two 0/1 matrices, some columns at a time; their product counts exactly.
-    """
-    total = np.zeros((len(a), len(b)), np.int64)
-    if not a or not b:
-        return total
-    x, y = (np.concatenate([np.frombuffer(s, np.uint64) for s in side]) for side in (a, b))
-    shared = np.intersect1d(x, y)
-    rows, cols = (np.repeat(np.arange(len(side)), [len(s) // 8 for s in side]) for side in (a, b))
-    px, py = np.searchsorted(shared, x), np.searchsorted(shared, y)
-    ix, iy = px < len(shared), py < len(shared)
-    ix[ix], iy[iy] = shared[px[ix]] == x[ix], shared[py[iy]] == y[iy]
-    for start in range(0, len(shared), columns):
-        ends = min(columns, len(shared) - start)
-        left, right = np.zeros((len(a), ends), np.float32), np.zeros((len(b), ends), np.float32)
-        kx, ky = ix & (px >= start) & (px < start + ends), iy & (py >= start) & (py < start + ends)
-        left[rows[kx], px[kx] - start] = 1
-        right[cols[ky], py[ky] - start] = 1
-        total += (left @ right.T).astype(np.int64)
-    return total
+def _likeliest(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that are the likeliest of one of their ends."""
+    ends = pd.concat((pairs.assign(v=pairs["a"]), pairs.assign(v=pairs["b"]))).sort_values(["apart", "a", "b"], kind="stable")
+    return ends.drop_duplicates("v")[["a", "b", "apart"]].drop_duplicates(["a", "b"])
 
 
 def linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -217,27 +252,6 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) // 8 + len(y) // 8 - both)
 
 
-def _likely_of(percent: int):
-    @F.pandas_udf(T.StructType([T.StructField(x, T.ArrayType(T.LongType())) for x in "ab"]))
-    def likely(va: pd.Series, ca: pd.Series, na: pd.Series, ga: pd.Series, vb: pd.Series, cb: pd.Series, nb: pd.Series, gb: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in zip(va, ca, na, ga, vb, cb, nb, gb):
-            may = tile_candidates(t[:4], t[4:], percent)
-            out.append((np.asarray(t[0])[may.any(1)], np.asarray(t[4])[may.any(0)]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return likely
-
-
-def _tiles_of(percent: int):
-    @F.pandas_udf(LINK)
-    def tiles(va: pd.Series, ca: pd.Series, na: pd.Series, ga: pd.Series, sa: pd.Series, vb: pd.Series, cb: pd.Series, nb: pd.Series, gb: pd.Series, sb: pd.Series) -> pd.Series:
-        both = zip(va, ca, na, ga, sa, vb, cb, nb, gb, sb)
-        return pd.Series([[{"a": x, "b": y} for x, y in tile_links(t[:5], t[5:], percent)] for t in both])
-
-    return tiles
-
-
 class _Join:
     """One run over a table: vertices, their labels so far, and the ways to pairs and links."""
 
@@ -248,7 +262,7 @@ class _Join:
         self.rows = materialize(rows.select("k", "t", "s.*"), "sketches")
         one = self.rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("k", "t")).alias("w"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.vertices = materialize(one.select(F.monotonically_increasing_id().alias("v"), "digest", "w.k", "w.t", "n", "sig"), "vertices")
-        self.sigs, self.size = self.vertices.select("v", "sig"), self.vertices.count()
+        self.sigs = self.vertices.select("v", "n", "sig")
         self.labels: DataFrame | None = None
 
     def fits(self, a: str, b: str):
@@ -261,10 +275,10 @@ class _Join:
             return rows.withColumn("c", F.col("v"))
         return rows.join(sized(self.labels, 40), "v", "left").withColumn("c", F.coalesce("c", "v"))
 
-    def by_signature(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose signatures agree in AGREE places."""
-        x, y = self.sigs.select(F.col("v").alias("a"), F.col("sig").alias("sa")), self.sigs.select(F.col("v").alias("b"), F.col("sig").alias("sb"))
-        return pairs.join(x, "a").join(y, "b").where(_agree("sa", "sb")).select("a", "b")
+    def allowed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and sketches allow."""
+        x, y = (self.sigs.select(F.col("v").alias(v), F.col("n").alias(f"n{v}"), F.col("sig").alias(f"s{v}")) for v in "ab")
+        return pairs.join(x, "a").join(y, "b").where(_likely_of(self.percent)("na", "sa", "nb", "sb")).select("a", "b")
 
     def sets(self, used: DataFrame) -> DataFrame:
         """(v, s): the full sets of the vertices `used` (v, any number of times), from one more look at the texts."""
@@ -274,20 +288,14 @@ class _Join:
         found = texts.join(wanted, F.col("t").eqNullSafe(F.col("_t")) & F.col("k").eqNullSafe(F.col("_k")))
         return materialize(found.select("v", _sets_of(self.width)("x").alias("s")).dropDuplicates(["v"]), "sets")
 
-    def confirm(self, pairs: DataFrame, links: DataFrame | None = None) -> None:
-        """Compare pairs (a, b) on full sets and merge the labels of linked ones, and of further links."""
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare pairs (a, b) on full sets and merge the labels of linked ones."""
         pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("v")))
-            j = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-            found = j.where(_links_of(self.percent)("sa", "sb")).select("a", "b")
-            links = found if links is None else links.unionByName(found)
-        if links is not None:
-            self.confirm_links(links)
-
-    def confirm_links(self, links: DataFrame) -> None:
-        """Merge the labels of linked vertices (a, b)."""
-        links = materialize(links, "links")
+        if pairs.isEmpty():
+            return
+        sets = self.sets(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("v")))
+        j = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
+        links = materialize(j.where(_links_of(self.percent)("sa", "sb")).select("a", "b"), "links")
         if links.isEmpty():
             return
         ends = self.label(links.select("b", F.col("a").alias("v"))).select("b", F.col("c").alias("a"))
@@ -301,86 +309,73 @@ class _Join:
             self.labels = materialize(old.unionByName(new), "labels")
 
     def run(self) -> None:
-        nodes = materialize(self.vertices.select("v", "n", F.posexplode(_roots("sig")).alias("i", "node")), "nodes")
+        nodes = materialize(self.vertices.select("v", "n", F.explode(_roots("sig")).alias("node")), "nodes")
         # 1: every vertex with the smallest of its node
         heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("v", "n")).alias("p")).where("size > 1")
-        met = materialize(nodes.join(heads, "node").select("node", "i", "v", "n", "size", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
-        self.confirm(self.by_signature(self.nearest(met.where((F.col("v") != F.col("b")) & self.fits("n", "bn")).select("v", "b"))))
-        rows, waiting = met.select("node", "i", "v", "n"), None
+        met = materialize(nodes.join(heads, "node").select("node", "v", "n", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
+        self.confirm(self.allowed(self.nearest(met.where((F.col("v") != F.col("b")) & self.fits("n", "bn")).select("v", "b"))))
+        # 2: down the trees, as long as large nodes hold several components
+        rows, leaves = met.select("node", "v"), []
         for turn in range(ROUNDS + 1):
-            # 2: nodes of several components
-            open_ = self.open_nodes(rows)
-            small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
-            pairs = self.across(small, small)
-            waiting = pairs if waiting is None else waiting.unionByName(pairs)
-            if turn == 0:
-                first = large.where(F.col("i") < EXACT)
-                main, total = self.main_components(first)
-                if ROUNDS == 0 or total <= WORK * self.size:
-                    self.confirm(waiting.distinct(), self.tiles(first.join(sized(main, 32), "node")) if total else None)
-                    return
-            if turn == ROUNDS or large.isEmpty():
+            here = self.open_nodes(rows)
+            leaves.append(materialize(self.leaves(here, turn == ROUNDS), "leaves"))
+            on = here.where((F.col("size") > SMALL) & ~F.col("leaves"))
+            if turn == ROUNDS or on.isEmpty():
                 break
-            rows = materialize(large.select("i", "v", "n", F.explode(_descend("node", "sig")).alias("node")), "nodes")
-        self.confirm(waiting.distinct())
-        # 3: the exact rest, by the components of now
-        first = self.open_nodes(first.select("node", "i", "v", "n"))
-        main, total = self.main_components(first)
-        if total:
-            self.confirm_links(self.tiles(first.join(sized(main, 32), "node")))
+            rows = materialize(on.select("node", "v").join(self.sigs, "v").select("v", F.explode(_descend("node", "sig")).alias("node")), "nodes")
+        # 3: the likeliest pair of every vertex, then whatever is still between two components
+        for likeliest in (True, False):
+            self.confirm(self.candidates(leaves, likeliest))
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
-        """The rows (node, i, v, n) of nodes of several components, with component, node size and signature."""
-        here = self.label(rows).select("node", "i", "v", "n", "c")
-        state = here.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        return materialize(here.join(state, "node").join(self.sigs, "v"), "open-nodes")
-
-    def main_components(self, rows: DataFrame) -> tuple[DataFrame, int]:
-        """(node, main): the largest component of each node; and how many comparisons the others take."""
-        count = rows.groupBy("node", "size", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node", "size").agg(F.max(F.struct("m", "c")).alias("x"))
-        main = materialize(count.select("node", F.col("x.c").alias("main"), ((F.col("size") - F.col("x.m")) * F.col("size")).alias("work")), "large-nodes")
-        return main.select("node", "main"), main.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
-
-    def tiles(self, rows: DataFrame) -> DataFrame:
-        """Links between the vertices outside a node's main component and all vertices of the node."""
-        columns = ["v", "c", "n", "sig", "s"]
-
-        def tiled(dealt: DataFrame, names: list[str]) -> DataFrame:
-            packed = [F.collect_list(x).alias(x) for x in names]
-            every = dealt.groupBy("node", "block").agg(*packed)
-            asked = dealt.where("c <> main").groupBy("node", "block").agg(*packed)
-            return asked.join(every.withColumnsRenamed({x: f"{x}2" for x in ["block", *names]}), "node")
-
-        def deal(df: DataFrame) -> DataFrame:
-            return df.withColumn("block", F.pmod(F.xxhash64("v", F.lit(5)), F.ceil(F.col("size") / BLOCK).cast("int")))
-
-        # signatures first: only vertices that some other might be linked to go on with their sets. A block's vertices come out
-        # once, however many tiles it is in
-        likely = tiled(deal(rows), columns[:4])
-        likely = likely.select("node", "block", "block2", _likely_of(self.percent)(*columns[:4], *[f"{x}2" for x in columns[:4]]).alias("x"))
-        sides = F.array(F.struct("block", F.col("x.a").alias("v")), F.struct(F.col("block2").alias("block"), F.col("x.b").alias("v")))
-        likely = likely.select("node", F.explode(sides).alias("x")).where(F.size("x.v") > 0)
-        likely = likely.groupBy("node", "x.block").agg(F.array_distinct(F.flatten(F.collect_list("x.v"))).alias("v")).select("node", F.explode("v").alias("v"))
-        left = materialize(rows.join(likely, ["node", "v"], "left_semi").drop("size"), "likely")
-        sizes = left.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-        left = left.join(sized(sizes, 32), "node").join(self.sets(left.select("v")), "v")
-        both = tiled(deal(left), columns)
-        found = both.select(F.explode(_tiles_of(self.percent)(*columns, *[f"{x}2" for x in columns])).alias("x"))
-        return found.select("x.a", "x.b").distinct()
+        """The rows (node, v) of nodes of several components: component c, the node's largest component main with m vertices, and size.
+
+        leaves: the vertex is of a component with half of the node or more, which does not branch on. left: how many do.
+        """
+        here = self.label(rows).select("node", "v", "c")
+        count = here.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.sum("m").alias("size"), F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("k"))
+        state = count.where("k > 1").select("node", "size", F.col("x.m").alias("m"), F.col("x.c").alias("main"))
+        half = (F.col("size") > SMALL) & (2 * F.col("m") >= F.col("size"))
+        open_ = here.join(state, "node").withColumn("half", half).withColumn("leaves", F.col("half") & ((F.col("c") == F.col("main")) | (F.col("size") - F.col("m") <= SMALL)))
+        return materialize(open_, "open-nodes")
+
+    def leaves(self, here: DataFrame, last: bool) -> DataFrame:
+        """What is compared: (g, v, role), g a small node or a piece of a large one. Roles: 0 meets 0, 1 meets 2."""
+        g, v = F.col("node").alias("g"), F.col("v")
+        small = here.where(F.col("size") <= SMALL).select(g, v, F.lit(0).alias("role"))
+        # the few others of a node that one component rules are a small node of their own
+        few = here.where(F.col("half") & (F.col("c") != F.col("main")) & F.col("leaves")).select(F.xxhash64("node", F.lit("few")).alias("g"), v, F.lit(0).alias("role"))
+        # the others against the main component, or in the last round against all
+        large = here.where(F.col("size") > SMALL if last else F.col("half"))
+        against = F.lit(True) if last else F.col("c") == F.col("main")
+        pieces = lambda n: F.greatest(F.ceil(n / CHUNK).cast("long"), F.lit(1).cast("long"))
+        rest, them = pieces(F.col("size") - F.col("m")), pieces(F.col("size") if last else F.col("m"))
+        part = lambda n: F.pmod(F.xxhash64("v", F.lit(5)), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        ones = large.where("c <> main").select("node", v, F.lit(1).alias("role"), part(rest).alias("i"), every(them).alias("j"))
+        twos = large.where(against).select("node", v, F.lit(2).alias("role"), every(rest).alias("i"), part(them).alias("j"))
+        tiles = ones.unionByName(twos).select(F.xxhash64("node", "i", "j").alias("g"), "v", "role")
+        return small.unionByName(few).unionByName(tiles)
+
+    def candidates(self, leaves: list[DataFrame], likeliest: bool) -> DataFrame:
+        """Likely pairs (a, b) of two components: each vertex's likeliest, or all."""
+        here = self.label(functools.reduce(DataFrame.unionByName, leaves)).select("g", "v", "role", "c")
+        state = here.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+        open_ = materialize(here.join(state, "g", "left_semi"), "open-leaves")
+        buckets = max(1, -(-open_.count() // BUCKET))
+        rows = open_.join(self.sigs, "v").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
+        found = rows.groupBy("bucket").applyInArrow(_compare(self.percent, likeliest), CANDIDATE)
+        if not likeliest:
+            return found.select("a", "b").distinct()
+        best = F.struct("apart", "a", "b")
+        ends = found.select(F.col("a").alias("v"), best.alias("p")).unionByName(found.select(F.col("b").alias("v"), best.alias("p")))
+        return ends.groupBy("v").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
 
     def nearest(self, meetings: DataFrame) -> DataFrame:
         """Of the meetings (v, b), one pair (a, b) per v: with the b it meets most often."""
         often = meetings.groupBy("v", "b").count().groupBy("v").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         return often.select(F.col("v").alias("a"), "b")
 
-    def across(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of one node and two components that sizes and signatures allow."""
-        x = left.select("node", F.col("v").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("sig").alias("sa"))
-        y = right.select("node", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("sig").alias("sb"))
-        other = F.col("a") > F.col("b") if left is right else F.lit(True)
-        near = x.join(y, "node").where((F.col("ca") != F.col("cb")) & self.fits("na", "nb") & other).where(_agree("sa", "sb"))
-        return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
 
 def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(key, text_hash, n_shingles, component, kept) for every row of docs.

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,31 +63,91 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,width,small,work", [(1, 4, 32, 32), (2, 5, 4, 0)])
-def test_components_match_all_pairs(frame, monkeypatch, seed, width, small, work):
+@pytest.mark.parametrize("seed,width,small,chunk", [(1, 4, 64, 2048), (2, 5, 4, 9), (3, 4, 1, 2048)])
+def test_components_match_all_pairs(frame, monkeypatch, seed, width, small, chunk):
     monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "WORK", work)
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "ROUNDS", 3)
     rows = corpus(seed)
     out = neardup.near_duplicates(frame(rows, "doc_id long, text string"), "doc_id", "text", width=width)
     assert answer(out) == plain(rows, width)
 
 
-def test_the_exact_rest(frame, monkeypatch):
+def test_what_never_shrinks_is_compared_in_pieces(frame, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 1)
     monkeypatch.setattr(neardup, "ROUNDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "CHUNK", 7)
+    monkeypatch.setattr(neardup, "BUCKET", 100)
     rows = corpus(3)
     out = neardup.near_duplicates(frame(rows, "doc_id long, text string"), "doc_id", "text", width=4)
     assert answer(out) == plain(rows, 4)
 
 
-def test_large_first_nodes_are_compared_whatever_branching_loses(frame, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 1)
-    monkeypatch.setattr(neardup, "WORK", 0)
-    monkeypatch.setattr(neardup, "_descend", lambda node, sig: F.array("v"))
-    rows = corpus(3)
+def walk(pairs, levels, similarity, seed):
+    """Share of pairs of signatures, agreeing in each place with the given chance, that still share a node so many levels below some first branch."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**32, (pairs, neardup.SIGNATURE), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < similarity, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    alive = np.zeros(pairs, bool)
+    for tree, i in neardup.root_coordinates():
+        rows = np.flatnonzero(a[:, i] == b[:, i])
+        node = neardup._child(neardup._mix(np.full(pairs, tree + 1, np.uint64)), np.full(pairs, i), a[:, i])[rows]
+        for _ in range(levels):
+            (na, ra), (nb, rb) = neardup._branch(node, rows, a), neardup._branch(node, rows, b)
+            both = set(zip(na.tolist(), ra.tolist())) & set(zip(nb.tolist(), rb.tolist()))
+            node, rows = np.array([x for x, _ in both], np.uint64), np.array([x for _, x in both], np.int64)
+        alive[rows] = True
+    return alive.mean()
+
+
+def test_branching_alone_reaches_the_recall(frame):
+    """Without any small node or piece on the way: pairs of similarity 0.8 still meet many levels down."""
+    assert walk(4000, 6, 0.8, 1) >= 0.999 and walk(1500, 12, 0.8, 2) >= 0.998 and walk(1500, 12, 0.9, 3) == 1
+
+
+def test_recursion_finds_the_pairs(frame, monkeypatch):
+    """Many texts around one passage: nodes of several components branch down to small ones, and nothing else decides."""
+    turns = []
+    descend = neardup._Join.open_nodes
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup._Join, "open_nodes", lambda self, rows: turns.append(1) or descend(self, rows))
+    monkeypatch.setattr(neardup._Join, "nearest", lambda self, meetings: meetings.where("false").select(F.col("v").alias("a"), "b"))
+    rng = random.Random(6)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(150):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(55)]
+        rows.append(" ".join(passage + own))
+        own[rng.randrange(30, 50)] = "other"
+        own[-1] = "last"
+        rows.append(" ".join(passage + own))
+    rows = list(enumerate(rows))
     out = neardup.near_duplicates(frame(rows, "doc_id long, text string"), "doc_id", "text", width=4)
-    assert answer(out) == plain(rows, 4)
+    assert answer(out) == plain(rows, 4) and len(turns) > 2
+
+
+def test_sketches_dismiss_no_link():
+    rng = np.random.default_rng(4)
+    for n in (3, 20, 300, 5000, 40000):
+        for _ in range(30):
+            total = rng.integers(0, 2**63, n, dtype=np.uint64)
+            both = int(np.ceil(0.8 * n))
+            cut = both + int(rng.integers(0, n - both + 1))
+            a, b = np.unique(total[:cut]), np.unique(np.concatenate((total[:both], total[cut:])))
+            sketches = [neardup.signature(x) + neardup.odd_bits(x) for x in (a, b)]
+            values, odd = neardup._sketches(sketches)
+            apart = int(np.bitwise_count(odd[0] ^ odd[1]).sum())
+            assert apart <= neardup.odd_limits(np.array([len(a) + len(b)]), 80)[0]
+    far = [neardup.odd_bits(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(2)]
+    assert int(np.bitwise_count(np.frombuffer(far[0], np.uint64) ^ np.frombuffer(far[1], np.uint64)).sum()) > 3 * neardup.odd_limits(np.array([600]), 80)[0]
+
+
+def test_pairs_of_groups_and_roles():
+    rng = np.random.default_rng(5)
+    g, role, c = np.sort(rng.integers(0, 30, 200)), np.zeros(200, np.int64), rng.integers(0, 9, 200)
+    role[g % 2 == 1] = rng.integers(1, 3, (g % 2 == 1).sum())
+    got = sorted((int(a), int(b)) for i, j in neardup.pairs_within(g, role, c) for a, b in zip(i, j))
+    meet = {(0, 0), (1, 2), (2, 1)}
+    assert got == [(i, j) for i in range(200) for j in range(i + 1, 200) if g[i] == g[j] and c[i] != c[j] and (role[i], role[j]) in meet]
 
 
 def test_edges(frame):
