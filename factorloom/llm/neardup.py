@@ -1,13 +1,15 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 Every text becomes its set of word shingles; equal sets are one vertex. Each of TREES trees branches the vertices recursively: a node chooses one
-or two of SIGNATURE minwise tokens, by its own hash, and a vertex goes to the child named by its value there. Nodes of at most
-SMALL vertices are compared exhaustively, larger ones branch on, LEVELS levels a round.
+or two of SIGNATURE minwise tokens, by its own hash, and a vertex goes to the child named by its value there. Nodes of at most MEDIUM
+vertices are compared exhaustively, larger ones branch on, LEVELS levels a round: up to there a comparison of two sketches is so
+much cheaper than another row of the recursion that branching a node of alike texts would cost more than it saves.
 
 Recall: half of the nodes choose two tokens, so a pair of similarity 0.8 shares 1.2 children on average, and its common nodes die out with a chance of 0.375
 below any node. The trees start with 20 first branches between them, each shared with a chance of 0.8, so a pair whose common nodes all stay large is
-missed with a chance of (1 - 0.8 * 0.625)^20, 1e-6; pairs of higher similarity less. All trees draw their tokens from one signature, as a set keeps it
-once; the chances take its places as independent.
+missed with a chance of (1 - 0.8 * 0.625)^20, 1e-6; pairs of higher similarity less. Of first nodes above SMALL that need no branching, those of EXACT
+branches are compared, which a pair misses with a chance of 0.2^EXACT, 2.6e-6; where a pair's nodes are of both kinds the chance stays
+below 1e-5. All trees draw their tokens from one signature; the chances take its places as independent.
 
 Only components are wanted, so no node emits all its pairs:
 1. In every first node each vertex meets the smallest vertex there; the one it meets most often is its pair. Groups of copies, however large,
@@ -15,8 +17,8 @@ Only components are wanted, so no node emits all its pairs:
 2. Nodes whose vertices are all in one component are done. The rest recurse. Where one component holds half of a large node or more, as with a group
    of copies that no token can part, its vertices are compared with the others of the node in pieces of CHUNK by CHUNK and then leave it; the others branch on.
    What is still large after ROUNDS rounds is compared in such pieces too, so the result does not hang on a node's shrinking.
-3. Of the pairs that small nodes and pieces allow, each vertex first gives its likeliest; links found join components. What is then still between two
-   components is compared without exception.
+3. Of the pairs that small nodes and pieces allow, each two components first give their likeliest; links found join components. Nodes where that one was no link, but others
+   may be, are compared again with MORE and in the end all of their pairs.
 A pair is looked at in full only if its signatures agree in AGREE places, which a pair of similarity 0.8 misses with a chance below 2e-6, if the sizes allow
 the similarity, and if its odd sketches allow it: ODD bits that say of each shingle hash whether it came an odd number of times, so that two sketches differ in about as many
 bits as the sets in shingles; DEVIATIONS standard deviations of room are left. Links are confirmed on the full shingle sets.
@@ -40,9 +42,9 @@ from ..session import materialize
 from .common import fresh, query, sized, table
 from .graph import components
 
-TREES, SIGNATURE, SMALL, LEVELS, ROUNDS, CHUNK, BUCKET = 16, 64, 64, 2, 12, 2048, 4096
+TREES, SIGNATURE, SMALL, MEDIUM, EXACT, LEVELS, ROUNDS, CHUNK, BUCKET, MORE = 16, 64, 64, 2048, 8, 2, 12, 2048, 4096, 64
 AGREE = 35  # of SIGNATURE places
-ODD, DEVIATIONS = 2048, 6
+ODD, DEVIATIONS = 1024, 6
 WIDE = 4 * SIGNATURE + ODD // 8  # bytes of a sketch: minwise values, then the odd bits
 _RNG = np.random.default_rng(20240501)
 _MASKS, _ODD = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64), _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
@@ -218,34 +220,33 @@ def pairs_within(groups: np.ndarray, roles: np.ndarray, components: np.ndarray):
         yield tuple(map(np.concatenate, zip(*some)))
 
 
-CANDIDATE = "a long, b long, apart double"
+CANDIDATE = "g long, a long, b long, more boolean"
 
 
-def _compare(percent: int, likeliest: bool):
-    """Likely pairs (a, b) of a bucket of nodes and pieces; the likeliest of each vertex, or all. apart: differing bits in relation to the limit."""
+def _compare(percent: int, most: int | None):
+    """Likely pairs (a, b) of a bucket of nodes and pieces: the `most` likeliest of two components of a node, or all; more: there are others."""
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("g")
         v, g, role, c, n = (t.column(x).to_numpy() for x in ("v", "g", "role", "c", "n"))
         values, odd = _sketches(t.column("sig").to_pylist())
-        out = []
+        out = [pd.DataFrame({x: pd.Series(dtype="int64") for x in ("g", "a", "b")} | {"more": pd.Series(dtype="bool")})]
         for i, j in pairs_within(g, role, c):
             at, bits = likely(n, values, odd, i, j, percent)
             i, j = i[at], j[at]
-            found = pd.DataFrame({"a": np.maximum(v[i], v[j]), "b": np.minimum(v[i], v[j]), "apart": bits / odd_limits(n[i] + n[j], percent)}).drop_duplicates(["a", "b"])
-            out.append(_likeliest(found) if likeliest else found)
-        every = pd.concat(out).drop_duplicates(["a", "b"]) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "apart": pd.Series(dtype="float64")})
-        return pa.Table.from_pandas(_likeliest(every) if likeliest else every, preserve_index=False)
+            apart = bits / odd_limits(n[i] + n[j], percent)
+            found = pd.DataFrame({"g": g[i], "a": np.maximum(v[i], v[j]), "b": np.minimum(v[i], v[j]), "x": np.maximum(c[i], c[j]), "y": np.minimum(c[i], c[j]), "apart": apart, "more": False})
+            if most is not None and len(found):
+                found = found.sort_values(["apart", "a", "b"], kind="stable")
+                two = found.groupby(["g", "x", "y"], sort=False)
+                place, size = two.cumcount().to_numpy(), two["a"].transform("size").to_numpy()
+                found = found.assign(more=size > most)[place < most]
+            out.append(found[["g", "a", "b", "more"]])
+        return pa.Table.from_pandas(pd.concat(out), preserve_index=False)
 
     return compare
 
 
-def _likeliest(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The pairs that are the likeliest of one of their ends."""
-    ends = pd.concat((pairs.assign(v=pairs["a"]), pairs.assign(v=pairs["b"]))).sort_values(["apart", "a", "b"], kind="stable")
-    return ends.drop_duplicates("v")[["a", "b", "apart"]].drop_duplicates(["a", "b"])
-
-
 def linked(x: bytes, y: bytes, percent: int) -> bool:
     """Do two sets, as sorted 64-bit integers, reach the similarity?"""
     both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -309,44 +310,52 @@ class _Join:
             self.labels = materialize(old.unionByName(new), "labels")
 
     def run(self) -> None:
-        nodes = materialize(self.vertices.select("v", "n", F.explode(_roots("sig")).alias("node")), "nodes")
+        nodes = materialize(self.vertices.select("v", "n", F.posexplode(_roots("sig")).alias("i", "node")), "nodes")
         # 1: every vertex with the smallest of its node
         heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("v", "n")).alias("p")).where("size > 1")
-        met = materialize(nodes.join(heads, "node").select("node", "v", "n", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
+        met = materialize(nodes.join(heads, "node").select("node", "i", "v", "n", F.col("p.v").alias("b"), F.col("p.n").alias("bn")), "met")
         self.confirm(self.allowed(self.nearest(met.where((F.col("v") != F.col("b")) & self.fits("n", "bn")).select("v", "b"))))
         # 2: down the trees, as long as large nodes hold several components
-        rows, leaves = met.select("node", "v"), []
+        rows, leaves = met.select("node", "i", "v"), []
         for turn in range(ROUNDS + 1):
             here = self.open_nodes(rows)
             leaves.append(materialize(self.leaves(here, turn == ROUNDS), "leaves"))
-            on = here.where((F.col("size") > SMALL) & ~F.col("leaves"))
+            on = here.where((F.col("size") > MEDIUM) & ~F.col("leaves"))
             if turn == ROUNDS or on.isEmpty():
                 break
-            rows = materialize(on.select("node", "v").join(self.sigs, "v").select("v", F.explode(_descend("node", "sig")).alias("node")), "nodes")
-        # 3: the likeliest pair of every vertex, then whatever is still between two components
-        for likeliest in (True, False):
-            self.confirm(self.candidates(leaves, likeliest))
+            # below the first nodes every node counts
+            rows = materialize(on.select("node", "v").join(self.sigs, "v").select("v", F.lit(0).alias("i"), F.explode(_descend("node", "sig")).alias("node")), "nodes")
+        # 3: the likeliest pairs of two components, and more where these are no links
+        left = functools.reduce(DataFrame.unionByName, leaves)
+        for most in (1, MORE, None):
+            pairs = self.candidates(left, most)
+            self.confirm(pairs.select("a", "b").distinct())
+            if most is None or (again := pairs.where("more")).isEmpty():
+                break
+            ends = self.label(again.select("g", "b", F.col("a").alias("v"))).select("g", F.col("c").alias("x"), F.col("b").alias("v"))
+            unlinked = self.label(ends).where("c <> x").select("g").distinct()
+            left = materialize(left.join(materialize(unlinked, "again"), "g", "left_semi"), "leaves")
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
-        """The rows (node, v) of nodes of several components: component c, the node's largest component main with m vertices, and size.
+        """The rows (node, i, v) of nodes of several components: component c, the node's largest component main with m vertices, and size.
 
-        leaves: the vertex is of a component with half of the node or more, which does not branch on. left: how many do.
+        half: main has half of a large node or more. leaves: the vertex does not branch on, as it is of main, or one of few others.
         """
-        here = self.label(rows).select("node", "v", "c")
+        here = self.label(rows).select("node", "i", "v", "c")
         count = here.groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.sum("m").alias("size"), F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("k"))
         state = count.where("k > 1").select("node", "size", F.col("x.m").alias("m"), F.col("x.c").alias("main"))
-        half = (F.col("size") > SMALL) & (2 * F.col("m") >= F.col("size"))
-        open_ = here.join(state, "node").withColumn("half", half).withColumn("leaves", F.col("half") & ((F.col("c") == F.col("main")) | (F.col("size") - F.col("m") <= SMALL)))
-        return materialize(open_, "open-nodes")
+        half = (F.col("size") > MEDIUM) & (2 * F.col("m") >= F.col("size"))
+        open_ = here.join(state, "node").withColumn("half", half).withColumn("leaves", F.col("half") & ((F.col("c") == F.col("main")) | (F.col("size") - F.col("m") <= MEDIUM)))
+        return materialize(open_.where((F.col("size") <= SMALL) | (F.col("size") > MEDIUM) | (F.col("i") < EXACT)), "open-nodes")
 
     def leaves(self, here: DataFrame, last: bool) -> DataFrame:
         """What is compared: (g, v, role), g a small node or a piece of a large one. Roles: 0 meets 0, 1 meets 2."""
         g, v = F.col("node").alias("g"), F.col("v")
-        small = here.where(F.col("size") <= SMALL).select(g, v, F.lit(0).alias("role"))
+        small = here.where(F.col("size") <= MEDIUM).select(g, v, F.lit(0).alias("role"))
         # the few others of a node that one component rules are a small node of their own
         few = here.where(F.col("half") & (F.col("c") != F.col("main")) & F.col("leaves")).select(F.xxhash64("node", F.lit("few")).alias("g"), v, F.lit(0).alias("role"))
         # the others against the main component, or in the last round against all
-        large = here.where(F.col("size") > SMALL if last else F.col("half"))
+        large = here.where(F.col("size") > MEDIUM if last else F.col("half"))
         against = F.lit(True) if last else F.col("c") == F.col("main")
         pieces = lambda n: F.greatest(F.ceil(n / CHUNK).cast("long"), F.lit(1).cast("long"))
         rest, them = pieces(F.col("size") - F.col("m")), pieces(F.col("size") if last else F.col("m"))
@@ -357,19 +366,14 @@ class _Join:
         tiles = ones.unionByName(twos).select(F.xxhash64("node", "i", "j").alias("g"), "v", "role")
         return small.unionByName(few).unionByName(tiles)
 
-    def candidates(self, leaves: list[DataFrame], likeliest: bool) -> DataFrame:
-        """Likely pairs (a, b) of two components: each vertex's likeliest, or all."""
-        here = self.label(functools.reduce(DataFrame.unionByName, leaves)).select("g", "v", "role", "c")
+    def candidates(self, leaves: DataFrame, most: int | None) -> DataFrame:
+        """Likely pairs (g, a, b, more) of two components."""
+        here = self.label(leaves).select("g", "v", "role", "c")
         state = here.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
         open_ = materialize(here.join(state, "g", "left_semi"), "open-leaves")
         buckets = max(1, -(-open_.count() // BUCKET))
         rows = open_.join(self.sigs, "v").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
-        found = rows.groupBy("bucket").applyInArrow(_compare(self.percent, likeliest), CANDIDATE)
-        if not likeliest:
-            return found.select("a", "b").distinct()
-        best = F.struct("apart", "a", "b")
-        ends = found.select(F.col("a").alias("v"), best.alias("p")).unionByName(found.select(F.col("b").alias("v"), best.alias("p")))
-        return ends.groupBy("v").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+        return materialize(rows.groupBy("bucket").applyInArrow(_compare(self.percent, most), CANDIDATE), "candidates")
 
     def nearest(self, meetings: DataFrame) -> DataFrame:
         """Of the meetings (v, b), one pair (a, b) per v: with the b it meets most often."""

@@ -63,9 +63,11 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,width,small,chunk", [(1, 4, 64, 2048), (2, 5, 4, 9), (3, 4, 1, 2048)])
+@pytest.mark.parametrize("seed,width,small,chunk", [(1, 4, 64, 2048), (2, 5, 4, 9)])
 def test_components_match_all_pairs(frame, monkeypatch, seed, width, small, chunk):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "MEDIUM", 2 * small)
+    monkeypatch.setattr(neardup, "MORE", 2)
     monkeypatch.setattr(neardup, "CHUNK", chunk)
     monkeypatch.setattr(neardup, "ROUNDS", 3)
     rows = corpus(seed)
@@ -75,6 +77,7 @@ def test_components_match_all_pairs(frame, monkeypatch, seed, width, small, chun
 
 def test_what_never_shrinks_is_compared_in_pieces(frame, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "MEDIUM", 1)
     monkeypatch.setattr(neardup, "ROUNDS", 0)
     monkeypatch.setattr(neardup, "CHUNK", 7)
     monkeypatch.setattr(neardup, "BUCKET", 100)
@@ -110,6 +113,7 @@ def test_recursion_finds_the_pairs(frame, monkeypatch):
     turns = []
     descend = neardup._Join.open_nodes
     monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "MEDIUM", 8)
     monkeypatch.setattr(neardup._Join, "open_nodes", lambda self, rows: turns.append(1) or descend(self, rows))
     monkeypatch.setattr(neardup._Join, "nearest", lambda self, meetings: meetings.where("false").select(F.col("v").alias("a"), "b"))
     rng = random.Random(6)
