@@ -17,8 +17,9 @@ Only components are wanted, so no node emits all its pairs:
 2. Nodes whose vertices are all in one component are done. The rest recurse. Where one component holds half of a large node or more, as with a group
    of copies that no token can part, its vertices are compared with the others of the node in pieces of CHUNK by CHUNK and then leave it; the others branch on.
    What is still large after ROUNDS rounds is compared in such pieces too, so the result does not hang on a node's shrinking.
-3. Of the pairs that small nodes and pieces allow, each two components first give their likeliest; links found join components. Nodes where that one was no link, but others
-   may be, are compared again with MORE and in the end all of their pairs.
+3. Of the pairs that small nodes and pieces allow, each vertex first gives its likeliest; links found join components. Vertices that may then still be linked
+   to another component meet again in their nodes, with their full sets, and a node answers with the links that join components, at most one fewer
+   than its vertices. A node's sets are split to pieces of at most about SHINGLES.
 A pair is looked at in full only if its signatures agree in AGREE places, which a pair of similarity 0.8 misses with a chance below 2e-6, if the sizes allow
 the similarity, and if its odd sketches allow it: ODD bits that say of each shingle hash whether it came an odd number of times, so that two sketches differ in about as many
 bits as the sets in shingles; DEVIATIONS standard deviations of room are left. Links are confirmed on the full shingle sets.
@@ -42,7 +43,7 @@ from ..session import materialize
 from .common import fresh, query, sized, table
 from .graph import components
 
-TREES, SIGNATURE, SMALL, MEDIUM, EXACT, LEVELS, ROUNDS, CHUNK, BUCKET, MORE = 16, 64, 64, 2048, 8, 2, 12, 2048, 4096, 64
+TREES, SIGNATURE, SMALL, MEDIUM, EXACT, LEVELS, ROUNDS, CHUNK, BUCKET, SHINGLES, BLOCK = 16, 64, 64, 2048, 8, 2, 12, 2048, 4096, 1 << 20, 128
 AGREE = 35  # of SIGNATURE places
 ODD, DEVIATIONS = 1024, 6
 WIDE = 4 * SIGNATURE + ODD // 8  # bytes of a sketch: minwise values, then the odd bits
@@ -220,33 +221,103 @@ def pairs_within(groups: np.ndarray, roles: np.ndarray, components: np.ndarray):
         yield tuple(map(np.concatenate, zip(*some)))
 
 
-CANDIDATE = "g long, a long, b long, more boolean"
+PAIR, MEETING = "a long, b long, apart double", "g long, v long, role int"
 
 
-def _compare(percent: int, most: int | None):
-    """Likely pairs (a, b) of a bucket of nodes and pieces: the `most` likeliest of two components of a node, or all; more: there are others."""
+def _compare(percent: int, likeliest: bool):
+    """Of a bucket of nodes and pieces: the likeliest pair (a, b) of each vertex, or else the vertices (g, v, role) that have any likely pair.
+
+    apart: differing bits of the odd sketches in relation to their limit.
+    """
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("g")
         v, g, role, c, n = (t.column(x).to_numpy() for x in ("v", "g", "role", "c", "n"))
         values, odd = _sketches(t.column("sig").to_pylist())
-        out = [pd.DataFrame({x: pd.Series(dtype="int64") for x in ("g", "a", "b")} | {"more": pd.Series(dtype="bool")})]
+        best, partner = np.full(len(v), np.inf), np.zeros(len(v), np.int64)
         for i, j in pairs_within(g, role, c):
             at, bits = likely(n, values, odd, i, j, percent)
             i, j = i[at], j[at]
             apart = bits / odd_limits(n[i] + n[j], percent)
-            found = pd.DataFrame({"g": g[i], "a": np.maximum(v[i], v[j]), "b": np.minimum(v[i], v[j]), "x": np.maximum(c[i], c[j]), "y": np.minimum(c[i], c[j]), "apart": apart, "more": False})
-            if most is not None and len(found):
-                found = found.sort_values(["apart", "a", "b"], kind="stable")
-                two = found.groupby(["g", "x", "y"], sort=False)
-                place, size = two.cumcount().to_numpy(), two["a"].transform("size").to_numpy()
-                found = found.assign(more=size > most)[place < most]
-            out.append(found[["g", "a", "b", "more"]])
-        return pa.Table.from_pandas(pd.concat(out), preserve_index=False)
+            for x, y in ((i, j), (j, i)):
+                # the nearest partner of each place, the smallest vertex among equals
+                order = np.lexsort((v[y], apart, x))
+                x, y, d = x[order], y[order], apart[order]
+                first = np.flatnonzero(np.diff(x, prepend=-1))
+                x, y, d = x[first], v[y[first]], d[first]
+                nearer = (d < best[x]) | ((d == best[x]) & (y < partner[x]))
+                best[x[nearer]], partner[x[nearer]] = d[nearer], y[nearer]
+        some = np.isfinite(best)
+        if not likeliest:
+            return pa.table({"g": g[some], "v": v[some], "role": role[some]})
+        own = pd.DataFrame({"a": v[some], "b": partner[some], "apart": best[some]}).sort_values(["apart", "b"], kind="stable").drop_duplicates("a")
+        return pa.Table.from_pandas(own, preserve_index=False)
 
     return compare
 
 
+def _links_within(percent: int):
+    """Of groups of vertices with their sets: links that join components, at most one fewer than a group's vertices."""
+
+    def links_within(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("g", "ascending"), ("v", "ascending")])
+        v, g, role, c, n = (t.column(x).to_numpy() for x in ("v", "g", "role", "c", "n"))
+        sets, ends, out = t.column("s"), [0, *np.flatnonzero(np.diff(g)) + 1, len(g)], []
+        for a, b in zip(ends, ends[1:]):
+            own = [sets[k].as_py() for k in range(a, b)]
+            out += [(int(v[a + i]), int(v[a + j])) for i, j in joining_links(role[a:b], c[a:b], n[a:b], own, percent)]
+        return pa.table({x: pa.array([p[k] for p in out], pa.int64()) for k, x in enumerate("ab")})
+
+    return links_within
+
+
+def joining_links(role: np.ndarray, c: np.ndarray, n: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of places whose roles meet, each joining two components that no link before it has joined; BLOCK by BLOCK places at a time."""
+    names, comp = np.unique(c, return_inverse=True)
+    comp, out = comp.copy(), []
+    for a in range(0, len(c), BLOCK):
+        for b in range(a, len(c), BLOCK):
+            i, j = np.arange(a, min(a + BLOCK, len(c))), np.arange(b, min(b + BLOCK, len(c)))
+            meet = np.where(role[i][:, None] == 0, role[j][None] == 0, role[i][:, None] + role[j][None] == 3)
+            may = meet & (comp[i][:, None] != comp[j][None]) & (100 * np.minimum(n[i][:, None], n[j][None]) >= percent * np.maximum(n[i][:, None], n[j][None]))
+            some, others = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+            if not some.size:
+                continue
+            both = np.zeros(may.shape, np.int64)
+            both[np.ix_(some, others)] = intersections([sets[x] for x in i[some]], [sets[x] for x in j[others]])
+            may &= 100 * both >= percent * (n[i][:, None] + n[j][None] - both)
+            for x, y in zip(*np.nonzero(may)):
+                p, q = comp[i[x]], comp[j[y]]
+                if p != q:
+                    comp[comp == p] = q
+                    out.append((i[x], j[y]))
+    return out
+
+
+def intersections(a: list[bytes], b: list[bytes], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b.
+
+    The shingles that both sides have become columns of two 0/1 matrices, some columns at a time; their product counts exactly.
+    """
+    total = np.zeros((len(a), len(b)), np.int64)
+    if not a or not b:
+        return total
+    x, y = (np.concatenate([np.frombuffer(s, np.uint64) for s in side]) for side in (a, b))
+    shared = np.intersect1d(x, y)
+    rows, cols = (np.repeat(np.arange(len(side)), [len(s) // 8 for s in side]) for side in (a, b))
+    px, py = np.searchsorted(shared, x), np.searchsorted(shared, y)
+    ix, iy = px < len(shared), py < len(shared)
+    ix[ix], iy[iy] = shared[px[ix]] == x[ix], shared[py[iy]] == y[iy]
+    for start in range(0, len(shared), columns):
+        ends = min(columns, len(shared) - start)
+        left, right = np.zeros((len(a), ends), np.float32), np.zeros((len(b), ends), np.float32)
+        kx, ky = ix & (px >= start) & (px < start + ends), iy & (py >= start) & (py < start + ends)
+        left[rows[kx], px[kx] - start] = 1
+        right[cols[ky], py[ky] - start] = 1
+        total += (left @ right.T).astype(np.int64)
+    return total
+
+
 def linked(x: bytes, y: bytes, percent: int) -> bool:
     """Do two sets, as sorted 64-bit integers, reach the similarity?"""
     both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -296,7 +367,11 @@ class _Join:
             return
         sets = self.sets(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("v")))
         j = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b")
-        links = materialize(j.where(_links_of(self.percent)("sa", "sb")).select("a", "b"), "links")
+        self.join(j.where(_links_of(self.percent)("sa", "sb")).select("a", "b"))
+
+    def join(self, links: DataFrame) -> None:
+        """Merge the labels of linked vertices (a, b)."""
+        links = materialize(links, "links")
         if links.isEmpty():
             return
         ends = self.label(links.select("b", F.col("a").alias("v"))).select("b", F.col("c").alias("a"))
@@ -325,16 +400,12 @@ class _Join:
                 break
             # below the first nodes every node counts
             rows = materialize(on.select("node", "v").join(self.sigs, "v").select("v", F.lit(0).alias("i"), F.explode(_descend("node", "sig")).alias("node")), "nodes")
-        # 3: the likeliest pairs of two components, and more where these are no links
+        # 3: the likeliest pair of every vertex, then whatever is still between two components
         left = functools.reduce(DataFrame.unionByName, leaves)
-        for most in (1, MORE, None):
-            pairs = self.candidates(left, most)
-            self.confirm(pairs.select("a", "b").distinct())
-            if most is None or (again := pairs.where("more")).isEmpty():
-                break
-            ends = self.label(again.select("g", "b", F.col("a").alias("v"))).select("g", F.col("c").alias("x"), F.col("b").alias("v"))
-            unlinked = self.label(ends).where("c <> x").select("g").distinct()
-            left = materialize(left.join(materialize(unlinked, "again"), "g", "left_semi"), "leaves")
+        ends = self.compared(left, True)
+        best = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+        self.confirm(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        self.join(self.rest(self.compared(left, False)))
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
         """The rows (node, i, v) of nodes of several components: component c, the node's largest component main with m vertices, and size.
@@ -366,14 +437,36 @@ class _Join:
         tiles = ones.unionByName(twos).select(F.xxhash64("node", "i", "j").alias("g"), "v", "role")
         return small.unionByName(few).unionByName(tiles)
 
-    def candidates(self, leaves: DataFrame, most: int | None) -> DataFrame:
-        """Likely pairs (g, a, b, more) of two components."""
+    def open_leaves(self, leaves: DataFrame) -> DataFrame:
+        """The rows (g, v, role) of nodes and pieces that still hold several components, with component c."""
         here = self.label(leaves).select("g", "v", "role", "c")
         state = here.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-        open_ = materialize(here.join(state, "g", "left_semi"), "open-leaves")
+        return materialize(here.join(state, "g", "left_semi"), "open-leaves")
+
+    def compared(self, leaves: DataFrame, likeliest: bool) -> DataFrame:
+        """Likely pairs of two components: the likeliest (a, b, apart) of each vertex a and bucket, or the vertices (g, v, role) that have any."""
+        open_ = self.open_leaves(leaves)
         buckets = max(1, -(-open_.count() // BUCKET))
         rows = open_.join(self.sigs, "v").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
-        return materialize(rows.groupBy("bucket").applyInArrow(_compare(self.percent, most), CANDIDATE), "candidates")
+        return materialize(rows.groupBy("bucket").applyInArrow(_compare(self.percent, likeliest), PAIR if likeliest else MEETING), "compared")
+
+    def rest(self, meetings: DataFrame) -> DataFrame:
+        """The links (a, b) that join components among vertices (g, v, role), found with their full sets."""
+        open_ = self.open_leaves(meetings)
+        sets = self.sets(open_.select("v"))
+        rows = open_.join(self.vertices.select("v", "n"), "v")
+        total = materialize(rows.groupBy("g").agg(F.ceil(F.sum("n") / SHINGLES).cast("long").alias("k"), F.sum("n").alias("n")), "group-sizes")
+        buckets = max(1, -(-(total.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SHINGLES))
+        # pieces of a group meet each other and themselves
+        dealt = rows.join(total.select("g", "k"), "g").withColumn("p", F.pmod(F.xxhash64("v", F.lit(9)), F.col("k")))
+        every = dealt.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        alone, other = F.col("p") == F.col("q"), F.when(F.col("p") < F.col("q"), 1).otherwise(2)
+        both = every.select(
+            F.xxhash64("g", F.least("p", "q"), F.greatest("p", "q")).alias("g"), "v", "n", "c",
+            # what met as 0 with 0 meets as 1 with 2 between pieces; 1 and 2 stay
+            F.when(alone | (F.col("role") > 0), F.col("role")).otherwise(other).alias("role"))
+        found = both.join(sets, "v").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
+        return found.groupBy("bucket").applyInArrow(_links_within(self.percent), "a long, b long").distinct()
 
     def nearest(self, meetings: DataFrame) -> DataFrame:
         """Of the meetings (v, b), one pair (a, b) per v: with the b it meets most often."""

@@ -67,7 +67,7 @@ def corpus(seed):
 def test_components_match_all_pairs(frame, monkeypatch, seed, width, small, chunk):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "MEDIUM", 2 * small)
-    monkeypatch.setattr(neardup, "MORE", 2)
+    monkeypatch.setattr(neardup, "SHINGLES", 3000)
     monkeypatch.setattr(neardup, "CHUNK", chunk)
     monkeypatch.setattr(neardup, "ROUNDS", 3)
     rows = corpus(seed)
@@ -145,6 +145,33 @@ def test_sketches_dismiss_no_link():
     assert int(np.bitwise_count(np.frombuffer(far[0], np.uint64) ^ np.frombuffer(far[1], np.uint64)).sum()) > 3 * neardup.odd_limits(np.array([600]), 80)[0]
 
 
+def test_links_within_a_group_join_components():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: 300 - k], rng.integers(0, 2**63, k, dtype=np.uint64)))) for k in rng.integers(0, 120, 300)]
+    n, c = np.array(list(map(len, sets))), np.arange(300) // 2
+    for role in (np.zeros(300, np.int64), rng.integers(1, 3, 300)):
+        got = neardup.joining_links(role, c, n, [s.tobytes() for s in sets], 80)
+        parent = list(range(150))
+
+        def find(x):
+            return x if parent[x] == x else find(parent[x])
+
+        for i in range(300):
+            for j in range(i):
+                if (role[i] == 0 or role[i] != role[j]) and neardup.linked(sets[i].tobytes(), sets[j].tobytes(), 80):
+                    parent[find(c[i])] = find(c[j])
+        mine = list(range(150))
+
+        def seek(x):
+            return x if mine[x] == x else seek(mine[x])
+
+        for i, j in got:
+            assert neardup.linked(sets[i].tobytes(), sets[j].tobytes(), 80) and seek(c[i]) != seek(c[j])
+            mine[seek(c[i])] = seek(c[j])
+        assert len({find(x) for x in range(150)}) == len({seek(x) for x in range(150)}) < 150 and len(got) < 300
+
+
 def test_pairs_of_groups_and_roles():
     rng = np.random.default_rng(5)
     g, role, c = np.sort(rng.integers(0, 30, 200)), np.zeros(200, np.int64), rng.integers(0, 9, 200)
