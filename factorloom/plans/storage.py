@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import WEIGHTS
 from ..functions.common import r6
 from ..operators import events
+from ..operators.distribution import attach
 from ..oracles.base import US, statement
 from ..session import new_path
 from ..sources import readers, writers
@@ -151,12 +152,12 @@ def _(t):
     return readers.read_snapshots(t.spark, stored_snapshots(t), SNAP_ROWS, "1998-01-01", "2000-12-31", 9, 12).select("sid", "score", "snapshot_date")
 
 
-@query("S10_idempotent_snapshot_sink", statement("snaps", "SELECT d AS snapshot_date, count(*) AS n FROM snaps GROUP BY d"))
+@query("S10_idempotent_snapshot_sink", statement("snaps", "SELECT d AS snapshot_date, count(*) AS n, round(sum(score), 6) AS total FROM snaps GROUP BY d"))
 def _(t):
+    """Other scores for dates that are there are kept out."""
     path = stored_snapshots(t)
-    again = t.snaps.where("d < DATE'1999-01-01'").select("sid", "ticker", "score", c("d").alias("snapshot_date"))
-    writers.write_snapshot(again, path)
-    return t.spark.read.schema(f"{SNAP_ROWS}, snapshot_date date").parquet(path).groupBy("snapshot_date").agg(N().alias("n"))
+    writers.write_snapshot(t.snaps.where("d < DATE'1999-01-01'").select("sid", "ticker", (c("score") + 1).alias("score"), c("d").alias("snapshot_date")), path)
+    return readers.committed(t.spark, path, SNAP_ROWS).groupBy("snapshot_date").agg(N().alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
 @query("S11_backfill_artefacts", statement("snaps", "SELECT d AS snapshot_date, count(*) AS n, round(sum(score), 6) AS total FROM snaps GROUP BY d"))
@@ -166,7 +167,7 @@ def _(t):
     found = t.spark.read.schema(SNAP_ROWS).option("recursiveFileLookup", "true").json(src)
     dated = found.withColumn("snapshot_date", F.to_date(F.regexp_extract(F.input_file_name(), r"run=(\d{4}-\d{2}-\d{2})", 1)))
     writers.write_snapshot(dated, dst)
-    back = t.spark.read.schema(f"{SNAP_ROWS}, snapshot_date date").parquet(dst)
+    back = readers.committed(t.spark, dst, SNAP_ROWS)
     return back.groupBy("snapshot_date").agg(N().alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
@@ -193,7 +194,7 @@ def _(t):
 
 @query("S14_previous_scores", statement("snaps", "SELECT sid, score, d AS snapshot_date FROM snaps WHERE d = (SELECT max(d) FROM snaps WHERE d < DATE '2001-03-15')"))
 def _(t):
-    s = t.spark.read.schema(f"{SNAP_ROWS}, snapshot_date date").parquet(stored_snapshots(t))
+    s = readers.committed(t.spark, stored_snapshots(t), SNAP_ROWS)
     before = s.where("snapshot_date < DATE'2001-03-15'")
     last = before.agg(F.max("snapshot_date")).scalar()
     return before.where(c("snapshot_date") == last).groupBy("sid", "snapshot_date").agg(F.min("score").alias("score")).select("sid", "score", "snapshot_date")
@@ -249,7 +250,7 @@ def _(t):
 
 @query("S21_usable_sources", f"SELECT e.event_id, s.status NOT IN ('stale', 'failed') AS usable, CASE WHEN s.status NOT IN ('stale', 'failed') THEN e.value ELSE -1.0 END AS value FROM events e LEFT JOIN {STATUS} s ON e.event_type = s.source")
 def _(t):
-    j = t.events.join(source_status(t).select(c("source").alias("event_type"), "status"), "event_type", "left")
+    j = attach(t.events, source_status(t).select(c("source").alias("event_type"), "status"), ["event_type"])
     usable = ~F.coalesce(c("status").isin("stale", "failed"), F.lit(False))
     return j.select("event_id", usable.alias("usable"), F.coalesce(F.when(usable, c("value")), F.lit(-1.0)).alias("value"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # AQE splits a skewed shuffle partition at run time, and broadcasts a join side only after
@@ -65,6 +66,37 @@ def version(spark: SparkSession, folder: str) -> int:
     return max((s.getModificationTime() for s in fs.listStatus(where)), default=0)
 
 
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none if it is not there."""
+    fs, where = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _files(spark, path)
+    fs.delete(where, True)
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one already; its whole content appears at once. Says whether it was written."""
+    fs, where = _files(spark, path)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    aside = jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        # without options a rename never replaces
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(aside, where, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+            raise
+        fs.delete(aside, False)
+        return False
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Delete every table that this application wrote through new_path, and its catalog entries; returns how many.
 

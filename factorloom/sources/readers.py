@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import col
+from ..operators.distribution import attach
+from ..session import materialize, names_below
 
 REGISTRY_ITEM = "array<struct<ticker:string,sector:string,cap_tier:string>>"
 
@@ -45,34 +49,49 @@ def sniff_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Dumps of mixed format below one folder, each file read as what it is; adds `bad`, the text of what did not parse.
 
     The first line that is not blank tells the format of a file: `[` or a lone `{` is JSON over several lines, `{` one JSON object a line, anything
-    else CSV with a header, whose cells are matched by name. Files of one format, and CSV files of one header, are read together, so
-    the driver sees one short line per file. Rows without a value in any column are left out unless they are bad.
+    else CSV with a header, whose whole line names the cells of that file, of any width. Rows without a value in any column are left out unless they are bad.
+
+    Formats and headers are a table of one row per file that is joined back to the lines; the driver sees nothing but the widest header's number of cells. A file of JSON over
+    several lines is put together in one row, as its parser needs it whole; all other lines stay where they are.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    seen = lines.select(F.col("_metadata.file_path").alias("file"), F.substring(F.trim("value"), 1, 4000).alias("line"), place.alias("place"))
-    looks = seen.where("line <> ''").groupBy("file").agg(F.min_by("line", "place").alias("line")).collect()
-    groups: dict[tuple, list] = {}
-    for r in looks:
-        kind = ("array",) if r["line"][0] == "[" or r["line"] == "{" else ("lines",) if r["line"][0] == "{" else ("csv", r["line"])
-        groups.setdefault(kind, []).append(r["file"])
     fields = spark.createDataFrame([], schema).schema
-    out = spark.createDataFrame([], f"{schema}, bad string")
-    for kind, files in sorted(groups.items()):
-        if kind[0] == "csv":
-            raw = spark.read.csv(files, header=True, mode="PERMISSIVE")
-            there = {n.strip().lower(): n for n in raw.columns}
-            cells = [(F.col(f"`{there[f.name.lower()]}`") if f.name.lower() in there else F.lit(None).cast("string")).alias(f.name) for f in fields]
-            typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields]
-            wrong = F.lit(False)
-            for f in fields:
-                wrong = wrong | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
-            rows = raw.select(*cells).select(*typed, F.when(wrong, F.concat_ws(",", *[f.name for f in fields])).alias("bad"))
-        else:
-            reader = spark.read.option("multiLine", kind[0] == "array").option("columnNameOfCorruptRecord", "bad")
-            rows = reader.schema(f"{schema}, bad string").json(files, mode="PERMISSIVE").select(*fields.names, "bad")
-        out = out.unionByName(rows)
-    return out.dropna(how="all")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = materialize(spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")), "lines")
+    first = lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("start"))
+    head = F.trim("head")
+    kind = F.when(head.startswith("[") | (head == "{"), "array").when(head.startswith("{"), "lines").otherwise("csv")
+    width = first.agg(F.coalesce(F.max(F.length("head") - F.length(F.replace("head", F.lit(","), F.lit(""))) + 1), F.lit(1))).first()[0]
+    row = ", ".join(f"c{i} string" for i in range(width))
+
+    def split(df: DataFrame, line: str, name: str) -> DataFrame:
+        """The cells of a line as an array; a generator, so that each line is parsed once."""
+        cells = df.select(*df.columns, F.inline(F.array(F.from_csv(line, row))))
+        return cells.select(*df.columns, F.array(*[f"c{i}" for i in range(width)]).alias(name))
+
+    files = split(first.select("file", "start", "head", kind.alias("kind")), "head", "names")
+    names = F.when(F.col("kind") == "csv", F.transform("names", lambda n: F.lower(F.trim(n))))
+    there = attach(lines, files.select("file", "start", "kind", names.alias("names")), ["file"], "inner")
+
+    dump = split(there.where("kind = 'csv' AND place > start AND trim(value) <> ''").select("names", "value"), "value", "cells")
+    cell = {f.name: F.get("cells", (F.array_position("names", f.name.lower()) - 1).cast("int")) for f in fields}
+    wrong = F.lit(False)
+    for f in fields:
+        wrong = wrong | (cell[f.name].isNotNull() & cell[f.name].try_cast(f.dataType).isNull())
+    typed = [F.when(F.array_contains("names", f.name.lower()), cell[f.name].try_cast(f.dataType)).alias(f.name) for f in fields]
+    csv = dump.select(*typed, F.when(wrong, F.col("value")).alias("bad"))
+
+    lenient = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+    objects = there.where("kind = 'lines' AND trim(value) <> ''").select(F.from_json("value", f"{schema}, bad string", lenient).alias("r")).select("r.*")
+    whole = there.where("kind = 'array'").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    read = whole.select("value", F.from_json("value", f"array<struct<{schema_of(fields)}, bad:string>>", lenient).alias("items"))
+    broken = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], F.col("value").alias("bad")))
+    arrays = read.select(F.inline(F.coalesce("items", broken)))
+    return csv.unionByName(objects).unionByName(arrays).dropna(how="all")
+
+
+def schema_of(fields) -> str:
+    """Fields as they stand in a struct type's name."""
+    return ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,12 +130,22 @@ def is_key_role(title) -> Column:
     return F.upper(col(title)).rlike("|".join(KEY_ROLES))
 
 
+def committed(spark: SparkSession, path: str, schema: str, day: str = "snapshot_date") -> DataFrame:
+    """The rows of committed dates with their date, see `writers.write_snapshot`; what is not committed is not looked at."""
+    rows = f"{schema}, run string, {day} date"
+    if not (dates := [x for x in names_below(spark, f"{path}/commits") if x.startswith(f"{day}=")]):
+        return spark.createDataFrame([], rows).drop("run")
+    said = spark.read.text([f"{path}/commits/{x}" for x in dates], wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("date")).collect()
+    parts = [f"{path}/parts/run={r['value']}/{unquote(r['date'])}" for r in said]
+    return spark.read.schema(rows).option("basePath", f"{path}/parts").parquet(*parts).drop("run")
+
+
 def read_snapshots(spark: SparkSession, path: str, schema: str, start: str, end: str, min_rows: int, min_snapshots: int | None = None) -> DataFrame:
-    """Dated partitions in range, thin ones left out; too few left stops the run.
+    """Committed dates in range, thin ones left out; too few left stops the run.
 
     Row counts per date are a grouped aggregate joined back, so no date is gathered in one task.
     """
-    raw = spark.read.schema(f"{schema}, snapshot_date date").parquet(path).where(F.col("snapshot_date").between(start, end))
+    raw = committed(spark, path, schema).where(F.col("snapshot_date").between(start, end))
     ok = raw.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
     if min_snapshots is not None:
         found = ok.count()

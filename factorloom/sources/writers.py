@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def write_snapshot(df: DataFrame, path: str, day: str = "snapshot_date") -> None:
-    """One partition per date; writing the same dates again replaces exactly those partitions."""
-    df.repartition(F.col(day), F.pmod(F.xxhash64("ticker"), F.lit(16))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(day).parquet(path)
+from ..session import delete, names_below, put_if_absent
+
+
+def write_snapshot(df: DataFrame, path: str, day: str = "snapshot_date") -> list[str]:
+    """Dated snapshots of which the first write of a date stays; returns the dates that this call committed.
+
+    All rows are written aside first, a folder per run and date. A date then becomes visible by one small file that names its run and is put in place only if
+    there is none yet, in one step of the file system; `readers.committed` reads what such files name. So a date is never replaced or mixed, two writers at
+    once leave one of their versions, and a write that was killed leaves nothing to see. The driver handles dates, never rows.
+    """
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    parts = f"{path}/parts/run={run}"
+    # dealt by date, where Spark splits a large date and puts small ones together
+    df.hint("rebalance", day).write.partitionBy(day).parquet(parts)
+    won = []
+    for folder in sorted(x for x in names_below(spark, parts) if x.startswith(f"{day}=")):
+        if put_if_absent(spark, f"{path}/commits/{folder}", run):
+            won.append(folder.partition("=")[2])
+        else:
+            delete(spark, f"{parts}/{folder}")
+    return won
 
 
 def append_log(df: DataFrame, path: str) -> None:
