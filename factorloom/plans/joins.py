@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..config import REGION_MARKET, ROUNDTRIP_COST
 from ..functions import price, regime
 from ..functions.common import lookup, r6, ratio
-from ..operators import events, joins, quality, research, ts
+from ..operators import events, joins, quality, research, scan, ts
+from ..operators.distribution import attach
 from ..oracles.base import BADGE, clip, flow13f, statement
 from ..views import count_when
 from .composites import PILLAR_VIEWS, pillar_rows
@@ -166,6 +167,27 @@ def trades_plan(t, cost=None):
     return research.backtest(t.signals, t.bars, t.bench_bars, [1, 3, 6], cost)
 
 
+@query("J06_asof_quote_intraday", """
+    WITH f AS (SELECT user_id, ts AS quote_ts, arg_max(value, event_id) AS quote FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+    SELECT e.event_id, e.user_id, f.quote_ts, f.quote FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN f ON e.user_id = f.user_id AND e.ts >= f.quote_ts""")
+def _(t):
+    """Facts by the microsecond, a key of any length."""
+    quotes = t.events.where("event_type = 'click'").select("user_id", c("ts").alias("quote_ts"), c("value").alias("quote"), c("event_id").alias("tie"))
+    buys = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return scan.asof_scan(buys, quotes, "user_id", "ts", "quote_ts", ["quote"], "tie").select("event_id", "user_id", "quote_ts", "quote")
+
+
+@query("J10_nth_tick_intraday", """
+    WITH n AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events WHERE event_type = 'click'),
+    b AS (SELECT event_id, e.user_id, e.ts, coalesce(n.no, 0) AS before FROM (SELECT * FROM events WHERE event_type = 'purchase') e
+      ASOF LEFT JOIN (SELECT user_id, ts, max(no) AS no FROM n GROUP BY 1, 2) n ON e.user_id = n.user_id AND e.ts > n.ts)
+    SELECT b.event_id, k.k, n.value AS price FROM b CROSS JOIN (VALUES (0), (1), (4)) k(k) LEFT JOIN n ON n.user_id = b.user_id AND n.no = b.before + 1 + k.k""")
+def _(t):
+    clicks = t.events.where("event_type = 'click'").select("user_id", "ts", "event_id", c("value").alias("price"))
+    buys = t.events.where("event_type = 'purchase'").select(c("event_id").alias("buy"), "user_id", c("ts").alias("anchor"))
+    return scan.nth_after(buys, clicks, [0, 1, 4], "user_id", "anchor", "ts", "event_id", "price").select(c("buy").alias("event_id"), "k", "price")
+
+
 @query("J10_nth_bar_price", statement("ent nb", "SELECT s.sid, s.anchor, k.k, e.close AS price FROM ent s CROSS JOIN (VALUES (0), (1), (4)) k(k) LEFT JOIN nb e ON e.sid = s.sid AND e.bar_no = s.bar_no + k.k", extra=BARS_NO))
 def _(t):
     return joins.offset_prices(t.signals.select("sid", "anchor"), t.bars, [0, 1, 4]).select("sid", "anchor", "k", "price")
@@ -204,7 +226,7 @@ def _(t):
 def _(t):
     b = t.bars.join(t.universe.select("sid", "market", F.lower("sector").alias("sector")), "sid")
     level = b.groupBy("market", "d", "sector").agg((F.sum(c("close") * c("volume")) / F.sum("volume")).alias("level"))
-    return b.join(level, ["market", "d", "sector"]).select("sid", "d", r6(ratio("close", "level")).alias("relative"))
+    return attach(b, level, ["market", "d", "sector"], "inner").select("sid", "d", r6(ratio("close", "level")).alias("relative"))
 
 
 HOLD = {"hold": (("tx", "parts"), """

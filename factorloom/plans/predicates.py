@@ -8,8 +8,11 @@ from ..config import ASIA_SUFFIXES, EU_SUFFIXES, SUFFIX_CURRENCY, WEIGHTS, weigh
 from ..functions import ownership, regime
 from ..functions.common import r6
 from ..operators import bundles, quality, ranking
+from ..operators.distribution import attach
+from ..operators.scan import Scan
 from ..oracles.base import BADGE, FACTORS, statement
 from ..oracles.factors import FACTOR_VIEWS, PILLAR_SQL
+from ..session import materialize
 from ..views import US_FACTORS
 from .composites import DATED, dated, values
 from .factors import digits
@@ -92,7 +95,7 @@ def event_issues(t):
     last = t.events.groupBy(c("event_type").alias("source")).agg(F.max("ts").alias("last"))
     last = last.withColumn("last", F.when(c("source") == "error", c("last") - F.expr("INTERVAL 5 DAYS")).otherwise(c("last")))
     age = (F.unix_micros(F.lit(NOW).cast("timestamp")) - F.unix_micros("last")) / 3.6e9
-    j = rows.join(last.select("source", age.alias("source_age")), "source", "left")
+    j = attach(rows, last.select("source", age.alias("source_age")), ["source"])
     ts = F.try_to_timestamp("computed_at", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     return j.select("event_id", "source", quality.date_issue(ts, c("source_age"), NOW).alias("code"))
 
@@ -114,6 +117,26 @@ def _(t):
     return clean.select("event_id", "source")
 
 
+@query("P09_quarantine_in_force", statement("codes", "SELECT event_id, source FROM codes WHERE source <> 'error' AND (code IS NULL OR code = 'STALE_DATA')", extra=DATE_CODES))
+def _(t):
+    """The share of failed rows stays below the stop."""
+    return quality.split_quarantine(event_issues(t).where("source <> 'error'"))[0].select("event_id", "source")
+
+
+@query("P09_quarantine_stops", statement("codes", "SELECT source, count(*) AS n, count(*) FILTER (code IN ('STALE_SOURCE', 'INVALID_DATE', 'FUTURE_DATE')) > 0.2 * count(*) AS stopped FROM codes GROUP BY source", extra=DATE_CODES))
+def _(t):
+    """Each source by itself, as a run of its own: the stop holds for the one whose feed is stale, and for no other."""
+    issues = materialize(event_issues(t), "issues")
+    out = []
+    for r in issues.groupBy("source").count().collect():
+        try:
+            quality.split_quarantine(issues.where(c("source") == r["source"]))
+            out.append((r["source"], r["count"], False))
+        except quality.IntegrityError:
+            out.append((r["source"], r["count"], True))
+    return t.spark.createDataFrame(out, "source string, n long, stopped boolean")
+
+
 @query("P09_issue_counts", statement("codes", "SELECT code, count(*) AS n FROM codes WHERE code IS NOT NULL GROUP BY code", extra=DATE_CODES))
 def _(t):
     return event_issues(t).where("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
@@ -263,18 +286,8 @@ def _(t):
 
 
 def quotes(t):
-    """Events with the previous event of the same user as the standing quote.
-
-    The quote is looked up per (user, hour) plus the last one of earlier hours, so a busy user is
-    split over its hours and the carry runs over one row per hour.
-    """
-    from pyspark.sql import Window
-
-    e = t.events.select("event_id", "user_id", "ts", F.date_trunc("hour", "ts").alias("d"))
-    hour = Window.partitionBy("user_id", "d").orderBy("ts", "event_id")
-    ends = e.groupBy("user_id", "d").agg(F.max("ts").alias("last"))
-    carry = ends.select("user_id", "d", F.lag("last").over(Window.partitionBy("user_id").orderBy("d")).alias("carry"))
-    return e.join(carry, ["user_id", "d"]).withColumn("quoted", F.coalesce(F.lag("ts").over(hour), "carry"))
+    """Events with the previous event of the same user as the standing quote, however many events a user has in an hour."""
+    return Scan(t.events.select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"]).previous("ts", "quoted").done()
 
 
 @query("P29_us_session", f"SELECT event_id, {SESSION} AS open FROM {NY} z")

@@ -11,7 +11,7 @@ from ..functions.common import ratio
 from ..oracles.base import statement
 from ..operators import quality, ranking
 from ..session import new_path
-from ..streaming import jobs
+from ..streaming import jobs, ordered
 from ..views import SCHEMAS, count_when
 from .registry import query
 
@@ -66,38 +66,29 @@ def _(t):
 TRANSITION_SQL = "SELECT event_id, user_id, prev, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) z WHERE prev <> event_type"
 
 
-def staged(t, df, day, cuts, label):
-    """(path, deliveries): the rows as a feed would bring them, one append per span in time order."""
+def staged(t, df, ts, parts, label, ahead=None):
+    """(path, deliveries): the rows as a feed would bring them in any order, dealt by hash of all columns; if wanted, a last delivery far ahead in time."""
     path = new_path(t.spark, label)
-    bounds = [None, *cuts, None]
 
-    def delivery(lo, hi):
-        def go():
-            part = df if lo is None else df.where(c(day) >= F.lit(lo))
-            part = part if hi is None else part.where(c(day) < F.lit(hi))
-            part.write.mode("append").parquet(path)
+    def delivery(i):
+        return lambda: df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i).write.mode("append").parquet(path)
 
-        return go
-
-    return path, [delivery(lo, hi) for lo, hi in zip(bounds, bounds[1:])]
-
-
-CUTS = [dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 21)]
+    end = [lambda: ordered.heartbeat(df, ts, ahead).write.mode("append").parquet(path)] if ahead else []
+    return path, [*map(delivery, reversed(range(parts))), *end]
 
 
 @query("R04_transition_stream", TRANSITION_SQL)
 def _(t):
-    path, feed = staged(t, t.events, "ts", CUTS, "feed")
-    state = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("last", T.StringType()), T.StructField("ts", T.TimestampType())])
-    out = T.StructType([T.StructField(n, k) for n, k in (("event_id", T.LongType()), ("user_id", T.LongType()), ("prev", T.StringType()), ("event_type", T.StringType()))])
+    """The labels of a user in event order from deliveries in any order."""
+    path, feed = staged(t, t.events, "ts", 3, "feed", "90 DAYS")
 
-    def step(batch, before):
-        found = jobs.transitions(batch, "user_id", "ts", "event_id", "event_type", before)
-        newest = batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"), F.max("ts").alias("ts"))
-        merged = before.unionByName(newest).groupBy("user_id").agg(F.max_by("last", "ts").alias("last"), F.max("ts").alias("ts"))
-        return merged, found.select("event_id", "user_id", "prev", "event_type")
+    def fold(key, state, row):
+        _, tie, label = row
+        changed = state is not None and state[0] is not None and label is not None and state[0] != label
+        return (label,), [(tie, key[0], state[0], label)] if changed else []
 
-    return jobs.run_with_state(lambda: jobs.file_stream(t.spark, path, SCHEMAS["events"]), state, out, "transitions", step, feed).drop("batch")
+    out = "event_id long, user_id long, prev string, event_type string"
+    return ordered.in_order(lambda: jobs.file_stream(t.spark, path, SCHEMAS["events"]), "user_id", "ts", "event_id", ["event_type"], "60 days", "last string", out, fold, "transitions", feed)
 
 
 @query("R04_transition_batch", TRANSITION_SQL)
@@ -122,17 +113,21 @@ def _(t):
 
 @query("R05_failure_streak_stream", STREAK_SQL)
 def _(t):
-    path, feed = staged(t, t.events, "ts", CUTS, "feed")
-    state = T.StructType([T.StructField("feed", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("run", T.TimestampType())])
-    out = T.StructType([T.StructField("feed", T.LongType()), T.StructField("run", T.TimestampType()), T.StructField("streak", T.LongType()), T.StructField("escalate", T.BooleanType())])
+    """Hourly runs are closed by the watermark, and their streaks follow from the store's count, whatever the order of deliveries."""
+    path, feed = staged(t, t.events, "ts", 3, "feed", "90 DAYS")
 
-    def step(batch, before):
-        s = jobs.failure_streaks(feed_runs(batch), "feed", "run", "ok", before)
-        newest = s.groupBy("feed").agg(F.max_by("streak", "run").alias("streak"), F.max("run").alias("run"))
-        merged = before.unionByName(newest).groupBy("feed").agg(F.max_by("streak", "run").alias("streak"), F.max("run").alias("run"))
-        return merged, s.select("feed", "run", "streak", "escalate")
+    def runs():
+        e = jobs.file_stream(t.spark, path, SCHEMAS["events"]).withWatermark("ts", "60 days")
+        hours = e.groupBy(F.window("ts", "1 hour").alias("w"), (c("user_id") % 5).alias("feed")).agg(N().alias("n"), count_when(c("event_type") == "error").alias("bad"))
+        return hours.select("feed", F.window_time("w").alias("t"), F.unix_micros("w.start").alias("run"), (ratio("bad", "n") < 0.3).alias("ok"))
+
+    def fold(key, state, row):
+        _, run, ok = row
+        streak = 0 if ok else (state[0] if state else 0) + 1
+        return (streak,), [(key[0], run, streak, streak >= 3)]
 
-    return jobs.run_with_state(lambda: jobs.file_stream(t.spark, path, SCHEMAS["events"]), state, out, "streaks", step, feed).drop("batch")
+    out = ordered.in_order(runs, "feed", "t", "run", ["ok"], None, "streak long", "feed long, run long, streak long, escalate boolean", fold, "streaks", feed)
+    return out.where("feed IS NOT NULL").withColumn("run", F.timestamp_micros("run"))
 
 
 @query("R06_tenure_batch", statement("snaps", """SELECT market, ticker, d, row_number() OVER (PARTITION BY market, ticker, m - rn ORDER BY m) AS run FROM (SELECT *, row_number() OVER (PARTITION BY market, ticker ORDER BY m) AS rn FROM (
@@ -163,9 +158,10 @@ def tenure_sql(n=5, most=2):
 
 @query("R06_tenure_stream", tenure_sql())
 def _(t):
-    """Yearly desks with cooldown: tenure carried over the runs, names on cooldown sit one run out."""
-    path, feed = staged(t, t.snaps.select("sid", "ticker", "market", "d", "score"), "d", YEARS, "desks")
+    """Yearly desks with cooldown: tenure carried over the runs, names on cooldown sit one run out. Years come in any order."""
     fields = (("sid", T.LongType()), ("ticker", T.StringType()), ("market", T.StringType()), ("d", T.DateType()), ("score", T.DoubleType()))
+    path, feed = staged(t, t.snaps.select(*[n for n, _ in fields]), "d", 3, "desks")
+    rows = T.StructType([T.StructField(n, k) for n, k in fields])
     state = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("tenure", T.IntegerType())])
     out = T.StructType([T.StructField(n, k) for n, k in (("market", T.StringType()), ("ticker", T.StringType()), ("action", T.StringType()), ("tenure", T.IntegerType()), ("year", T.IntegerType()))])
 
@@ -174,8 +170,9 @@ def _(t):
         moves = ranking.cooled_top_n(desk, before, 5, 2, ["market"])
         return ranking.update_tenure(before, moves), moves.select("market", "ticker", "action", "tenure", "year")
 
-    schema = T.StructType([T.StructField(n, k) for n, k in fields])
-    return jobs.run_with_state(lambda: jobs.file_stream(t.spark, path, schema), state, out, "tenure", step, feed).drop("batch")
+    # desks run from one of YEARS to the next
+    period = sum((c("d") >= F.lit(y)).cast("long") for y in YEARS)
+    return ordered.in_periods(lambda: jobs.file_stream(t.spark, path, rows), rows, period, len(YEARS), state, ["ticker"], out, "tenure", step, feed)
 
 
 @query("R07_dead_feed_streak", """SELECT user_id, DATE '2024-01-31' - max(CAST(ts AS DATE)) FILTER (event_type = 'purchase') AS dead_days, count(*) FILTER (event_type = 'purchase') = 0 AS never FROM events GROUP BY user_id""")

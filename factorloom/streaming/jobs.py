@@ -1,18 +1,17 @@
-"""Structured Streaming jobs: windowed counts, routing, and keyed state carried in tables.
+"""Structured Streaming jobs: windowed counts and routing; and the batch forms of the stateful ones.
 
-Each job runs with an availableNow trigger and ends by itself. Checkpoints, outputs and state live
+Each job runs with an availableNow trigger and ends by itself. Checkpoints and outputs live
 in the shared folder, so a restarted driver or a lost executor continues from the last batch.
 Every batch writes to a path named by its batch id and overwrites it, so a replay changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.scan import Scan
 from ..session import new_path
 
 
@@ -72,65 +71,20 @@ def route(stream: DataFrame, code: str, label: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 
-def run_with_state(make_stream: Callable[[], DataFrame], state_schema: T.StructType, out_schema: T.StructType, label: str,
-                   step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-                   deliveries: Iterable[Callable[[], None]] = (lambda: None,)) -> DataFrame:
-    """Carry a keyed state table across micro-batches: step(batch, state) -> (new state, output).
-
-    Batch n reads the state of batch n-1 and writes its own; both are plain tables, so state of any
-    size is partitioned and joined like other data. Each delivery brings files and is followed by one
-    availableNow run on the same checkpoint, as a scheduled job would do.
-    """
-    base, spark = None, None
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(state_schema).parquet(f"{base}/state/{batch_id - 1}") if batch_id else session.createDataFrame([], state_schema)
-        state, out = step(batch, before)
-        state.write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
-        out.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-
-    for deliver in deliveries:
-        deliver()
-        stream = make_stream()
-        spark = stream.sparkSession
-        base = base or new_path(spark, label)
-        stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return spark.read.schema(T.StructType([*out_schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
-
-
 # --- batch forms of the stateful operators ---------------------------------------------------
 
 
-def transitions(rows: DataFrame, key: str, ts: str, tie: str, label: str, before: DataFrame | None = None) -> DataFrame:
-    """Rows whose label differs from the previous one of their key.
+def transitions(rows: DataFrame, key: str, ts: str, tie: str, label: str) -> DataFrame:
+    """Rows whose label differs from the previous one of their key, which may be of any length."""
+    s = Scan(rows, [key], [ts, tie]).previous(label, "prev").done()
+    return s.where(F.col("prev").isNotNull() & (F.col("prev") != F.col(label)))
 
-    The previous label comes from the same hour, else from the newest earlier hour, else from the
-    carried state, so a busy key is split over its hours.
-    """
-    e = rows.withColumn("_h", F.date_trunc("hour", ts))
-    inside = F.lag(label).over(Window.partitionBy(key, "_h").orderBy(ts, tie))
-    ends = e.groupBy(key, "_h").agg(F.max_by(label, F.struct(ts, tie)).alias("_end"))
-    carry = ends.select(key, "_h", F.lag("_end").over(Window.partitionBy(key).orderBy("_h")).alias("_carry"))
-    j = e.withColumn("_in", inside).join(carry, [key, "_h"])
-    prev = F.coalesce("_in", "_carry")
-    if before is not None:
-        j = j.join(before.select(key, F.col("last").alias("_before")), key, "left")
-        prev = F.coalesce(prev, "_before")
-    return j.withColumn("prev", prev).where(F.col("prev").isNotNull() & (F.col("prev") != F.col(label))).drop(*[x for x in j.columns if x.startswith("_")])
-
-
-def failure_streaks(runs: DataFrame, key: str, order: str, ok: str, before: DataFrame | None = None, escalate: int = 3) -> DataFrame:
-    """Consecutive failures up to each run, and whether that run escalates; one row per run and key."""
-    w = Window.partitionBy(key).orderBy(order)
-    island = F.sum(F.col(ok).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    r = runs.withColumn("_island", island)
-    inside = F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(key, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    r = r.withColumn("streak", inside.cast("long"))
-    if before is not None:
-        r = r.join(before.select(key, F.col("streak").alias("_s")), key, "left")
-        r = r.withColumn("streak", F.when(F.col("_island") == 0, F.col("streak") + F.coalesce("_s", F.lit(0))).otherwise(F.col("streak"))).drop("_s")
-    return r.withColumn("escalate", F.col("streak") >= escalate).drop("_island")
+
+def failure_streaks(runs: DataFrame, key: str, order: str, ok: str, escalate: int = 3) -> DataFrame:
+    """Consecutive failures up to each run, and whether that run escalates: failures so far less those up to the last success."""
+    s = Scan(runs, [key], [order]).total((~F.col(ok)).cast("long"), "_bad").latest(F.when(F.col(ok), F.col("_bad")), "_then").done()
+    s = s.withColumn("streak", F.col("_bad") - F.coalesce("_then", F.lit(0)))
+    return s.withColumn("escalate", F.col("streak") >= escalate).drop("_bad", "_then")
 
 
 def run_lengths(rows: DataFrame, keys: list[str], index: str) -> DataFrame:

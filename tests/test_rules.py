@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from factorloom import config
 from factorloom.functions import consensus, fundamentals, ownership, price, regime, text
 from factorloom.operators import audit, quality, ranking
-from factorloom.session import new_path
+from factorloom.session import names_below, new_path, put_if_absent
 from factorloom.sources import readers, writers
-from factorloom.streaming import jobs
+from factorloom.streaming import jobs, ordered
 
 
 def one(spark, expr):
@@ -122,37 +122,100 @@ def test_cell_coercion(spark):
     assert got == [(12, None, None), (None, 1.5, None), (None, None, None), (None, None, None), (None, None, "abc"), (None, 1000.0, None)]
 
 
-def test_snapshot_rewrite_replaces_only_its_dates(spark):
-    path = new_path(spark, "snap-test")
-    day = lambda d, v: spark.createDataFrame([("A", v, dt.date(2020, 1, d))], "ticker string, score double, snapshot_date date")
-    writers.write_snapshot(day(1, 0.1).unionByName(day(2, 0.2)), path)
-    writers.write_snapshot(day(2, 0.9), path)
-    rows = spark.read.schema("ticker string, score double, snapshot_date date").parquet(path).orderBy("snapshot_date").collect()
-    assert [r["score"] for r in rows] == [0.1, 0.9]
+def test_first_write_of_a_date_stays(spark):
+    path, schema = new_path(spark, "snap-test"), "ticker string, score double"
+    day = lambda d, v: spark.createDataFrame([("A", v, dt.date(2020, 1, d))], f"{schema}, snapshot_date date")
+    assert readers.committed(spark, path, schema).collect() == []
+    assert writers.write_snapshot(day(1, 0.1).unionByName(day(2, 0.2)), path) == ["2020-01-01", "2020-01-02"]
+    assert writers.write_snapshot(day(2, 0.9).unionByName(day(3, 0.3)), path) == ["2020-01-03"]
+    # a write that was killed before it committed
+    day(4, 0.4).write.partitionBy("snapshot_date").parquet(f"{path}/parts/run=killed")
+    day(1, 0.5).write.partitionBy("snapshot_date").parquet(f"{path}/parts/run=late")
+    rows = readers.committed(spark, path, schema).orderBy("snapshot_date").collect()
+    assert [(r["snapshot_date"].day, r["score"]) for r in rows] == [(1, 0.1), (2, 0.2), (3, 0.3)]
     with pytest.raises(quality.IntegrityError):
-        readers.read_snapshots(spark, path, "ticker string, score double", "2020-01-01", "2020-12-31", 1, 60)
+        readers.read_snapshots(spark, path, schema, "2020-01-01", "2020-12-31", 1, 60)
+
+
+def test_only_one_of_two_writers_puts_a_file(spark):
+    path = new_path(spark, "commit-test")
+    assert [put_if_absent(spark, f"{path}/x", who) for who in ("one", "two")] == [True, False]
+    assert [r[0] for r in spark.read.text(f"{path}/x").collect()] == ["one"] and names_below(spark, path) == ["x"]
+
+
+def test_bulk_files_keep_their_own_long_headers(spark, tmp_path):
+    """Two headers that are equal for more than 4,000 characters, and JSON in three layouts."""
+    wide = ",".join(f"note_{i:04}" for i in range(500))
+    (tmp_path / "a.csv").write_text(f"{wide},row_id,symbol\n" + "x," * 500 + '1,"A, Inc"\n\n' + "y," * 500 + "one,B\n")
+    (tmp_path / "b.csv").write_text(f"{wide},Symbol,ROW_ID\n" + "x," * 500 + "C,2\n")
+    (tmp_path / "c.json").write_text('\n{"row_id": 3, "symbol": "D"}\n{broken\n')
+    (tmp_path / "d.json").write_text('[{"row_id": 4, "symbol": "E"},\n {"row_id": 5}]')
+    (tmp_path / "e.json").write_text('{\n"row_id": 6,\n"symbol": "F"}')
+    (tmp_path / "f.json").write_text("[{")
+    (tmp_path / "g.csv").write_text("")
+    got = readers.sniff_bulk(spark, str(tmp_path), "row_id long, symbol string").collect()
+    assert {(r["row_id"], r["symbol"]) for r in got if not r["bad"]} == {(1, "A, Inc"), (2, "C"), (3, "D"), (4, "E"), (5, None), (6, "F")}
+    assert sorted(r["bad"][-9:] for r in got if r["bad"]) == sorted(["y,y,one,B", "{broken", "[{"])
 
 
 def test_missing_dump_is_empty(spark):
     assert readers.read_tolerant(spark, new_path(spark, "nowhere"), "a long").count() == 0
 
 
-def test_state_survives_batches(spark):
-    path = new_path(spark, "feed-test")
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("run", T.IntegerType()), T.StructField("ok", T.BooleanType())])
-    for runs in ([(1, 1, False), (1, 2, False), (2, 1, True)], [(1, 3, False), (2, 2, False)], [(1, 4, True), (2, 3, False), (1, 5, False)]):
-        spark.createDataFrame(runs, schema).coalesce(1).write.mode("append").parquet(path)
-    state = T.StructType([T.StructField("k", T.LongType()), T.StructField("streak", T.LongType()), T.StructField("run", T.IntegerType())])
-    out = T.StructType([T.StructField("k", T.LongType()), T.StructField("run", T.IntegerType()), T.StructField("streak", T.LongType())])
+RUNS = [(1, 1, False), (1, 2, False), (1, 3, False), (1, 4, True), (1, 5, False), (2, 1, True), (2, 2, False), (2, 3, False), (None, 1, False)]
+STREAKS = [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 0), (1, 5, 1), (2, 1, 0), (2, 2, 1), (2, 3, 2), (None, 1, 1)]
 
-    def step(batch, before):
-        s = jobs.failure_streaks(batch, "k", "run", "ok", before)
-        new = s.groupBy("k").agg(F.max_by("streak", "run").alias("streak"), F.max("run").alias("run"))
-        merged = before.unionByName(new).groupBy("k").agg(F.max_by("streak", "run").alias("streak"), F.max("run").alias("run"))
-        return merged, s.select("k", "run", "streak")
 
-    got = jobs.run_with_state(lambda: jobs.file_stream(spark, path, schema, files_per_batch=1), state, out, "streak-test", step)
-    assert sorted((r["k"], r["run"], r["streak"]) for r in got.collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 0), (1, 5, 1), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
+def test_streaks_of_runs(spark):
+    got = jobs.failure_streaks(spark.createDataFrame(RUNS, "k long, run int, ok boolean"), "k", "run", "ok").collect()
+    assert {(r["k"], r["run"], r["streak"], r["escalate"]) for r in got} == {(*x, x[2] >= 3) for x in STREAKS}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+def test_state_does_not_depend_on_the_order_of_deliveries(spark, order):
+    """Streaks of runs from a feed whose files come in any order, against the batch answer."""
+    path, at = new_path(spark, "feed-test"), dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(k, at + dt.timedelta(hours=run), run, ok) for k, run, ok in RUNS], "k long, ts timestamp, run long, ok boolean")
+    deliver = lambda i: lambda: rows.where(F.col("run") % 3 == i).write.mode("append").parquet(path)
+    end = lambda: ordered.heartbeat(rows, "ts", "20 DAYS").write.mode("append").parquet(path)
+
+    def fold(key, state, row):
+        _, run, ok = row
+        streak = 0 if ok else (state[0] if state else 0) + 1
+        return (streak,), [(key[0], run, streak)]
+
+    got = ordered.in_order(lambda: jobs.file_stream(spark, path, rows.schema), "k", "ts", "run", ["ok"], "10 days", "streak long", "k long, run long, streak long", fold, "order-test", [*map(deliver, order), end])
+    assert {tuple(r) for r in got.collect()} == set(STREAKS)
+
+
+def test_rows_beyond_the_lateness_stop_the_run(spark):
+    path, at = new_path(spark, "late-test"), dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, at + dt.timedelta(days=d), d) for d in (0, 9, 10)], "k long, ts timestamp, n long")
+    deliver = lambda d: lambda: rows.where(F.col("n") == d).write.mode("append").parquet(path)
+    with pytest.raises(RuntimeError, match="lateness"):
+        ordered.in_order(lambda: jobs.file_stream(spark, path, rows.schema), "k", "ts", "n", [], "2 days", "n long", "k long", lambda k, s, r: ((r[1],), []), "late-test", map(deliver, (9, 10, 0)))
+
+
+def test_periods_run_in_order_and_log_changed_keys_only(spark):
+    path = new_path(spark, "period-test")
+    rows = spark.createDataFrame([(p, k) for p, ks in ((1, "ab"), (2, "bc"), (3, "b"), (4, "ab")) for k in ks], "p long, k string")
+    deliver = lambda *ps: lambda: rows.where(F.col("p").isin(*ps)).write.mode("append").parquet(path)
+    state, out = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())]), T.StructType([T.StructField("p", T.LongType()), T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
+    logged = []
+
+    def step(batch, before):
+        after = batch.join(before, "k", "left").select("p", "k", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+        logged.append(ordered._log(before, after, state, ["k"]).count())
+        return after.select("k", "n"), after
+
+    run = lambda *feed: ordered.in_periods(lambda: jobs.file_stream(spark, path, rows.schema), rows.schema, F.col("p"), 1, state, ["k"], out, "period-test", step, feed)
+    got = run(deliver(2), deliver(1, 3), deliver(4))
+    # a counts one in a row, b four, c one; a key that is not in a period has no state any more
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 1), (1, "b", 1), (2, "b", 2), (2, "c", 1), (3, "b", 3), (4, "a", 1), (4, "b", 4)}
+    assert logged == [2, 3, 2, 2]
+    path = new_path(spark, "period-test")
+    with pytest.raises(Exception, match="after it was closed"):
+        run(deliver(2), deliver(4), deliver(1))
 
 
 def test_streams_count_every_row_of_a_table_of_files(spark, tmp_path):
