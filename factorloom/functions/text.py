@@ -24,12 +24,46 @@ MAINTAIN_PHRASES = (
 )
 
 
-def phrase_count(text, phrases) -> Column:
-    """Occurrences of each phrase, summed over the list (phrases may overlap each other)."""
-    total = F.lit(0)
-    for p in phrases:
-        total = total + F.regexp_count(col(text), F.lit(re.escape(p).replace("\\ ", " ").replace("\\-", "-")))
-    return total
+def _automaton(phrases) -> str:
+    """Pattern of a letter tree that takes the longest of the phrases at a place."""
+    heads: dict[str, list[str]] = {}
+    for p in sorted(set(phrases)):
+        if p:
+            heads.setdefault(p[0], []).append(p[1:])
+    # beyond the first letter of all phrases nothing is tried
+    branches = [re.escape(h) + _automaton(tails) for h, tails in heads.items()]
+    some = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+    return "" if not branches else f"(?:{some})?" if "" in phrases else some
+
+
+def _repeats_itself(phrase: str) -> bool:
+    """Can a phrase begin again before it has ended?"""
+    return any(phrase.startswith(phrase[i:]) for i in range(1, len(phrase)))
+
+
+def phrase_counts(text, **classes) -> Column:
+    """struct of one count per class: occurrences of each of its phrases, summed; phrases may overlap each other.
+
+    One pass over the text: an automaton of all phrases looks ahead at every place and gives the longest phrase there; a literal table says how
+    many phrases of each class begin with it, shorter ones that it starts with included. A phrase that can begin before its last occurrence has ended is looked for by
+    itself as well, if it was seen twice, as such occurrences count once.
+    """
+    every = sorted({p for ps in classes.values() for p in ps})
+    if "" in every:
+        raise ValueError("an empty phrase")
+    found = F.regexp_extract_all(col(text), F.lit(f"(?=({_automaton(every)}))"), F.lit(1))
+    begins = {n: F.create_map(*[F.lit(x) for p in every for x in (p, sum(p.startswith(q) for q in ps))]) for n, ps in classes.items()}
+    start = F.struct(*[F.lit(0).alias(n) for n in classes])
+    own = [p for p in every if _repeats_itself(p)]
+
+    def counted(hits):
+        n = F.aggregate(hits, start, lambda acc, h: F.struct(*[(acc[c] + begins[c][h]).alias(c) for c in classes]))
+        seen = {p: F.size(F.filter(hits, lambda h, p=p: h.startswith(p))) for p in own}
+        less = {p: F.when(seen[p] > 1, seen[p] - F.regexp_count(col(text), F.lit(re.escape(p).replace("\\ ", " ").replace("\\-", "-")))).otherwise(0) for p in own}
+        return F.struct(*[(n[c] - sum((ps.count(p) * less[p] for p in own if p in ps), F.lit(0))).alias(c) for c, ps in classes.items()])
+
+    # one element, so that the hits are found once
+    return F.element_at(F.transform(F.array(found), counted), 1)
 
 
 def tone(n_raise, n_lower, n_maintain) -> Column:
@@ -45,10 +79,9 @@ def tone(n_raise, n_lower, n_maintain) -> Column:
 
 def transcript_tone(text, raises=RAISE_PHRASES, lowers=LOWER_PHRASES, maintains=MAINTAIN_PHRASES) -> Column:
     low = F.lower(col(text))
-    return F.when(
-        F.length(low) > 0,
-        tone(phrase_count(low, raises), phrase_count(low, lowers), phrase_count(low, maintains)),
-    )
+    # one element, so that the counts are made once and read three times
+    said = F.transform(F.array(phrase_counts(low, up=raises, down=lowers, keep=maintains)), lambda n: tone(n["up"], n["down"], n["keep"]))
+    return F.when(F.length(low) > 0, F.element_at(said, 1))
 
 
 # Headline words counted as good and bad news.

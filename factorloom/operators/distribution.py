@@ -29,14 +29,23 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(other, cond, how).drop(*[f"_on_{k}" for k in keys])
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, cell_rows: int | None = None) -> DataFrame:
     """(keys, value, cnt, less, n): rows per value, rows strictly below it, rows in the group; null values are left out.
 
     Without keys the whole table is one group.
     """
     counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")), "value-counts")
-    spark = df.sparkSession
-    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(counts.count() / cell_rows))
+    return counted_ranks(counts, keys, value, cell_rows)
+
+
+def counted_ranks(counts: DataFrame, keys: list[str], value: str, cell_rows: int | None = None) -> DataFrame:
+    """The same from a written table of (keys, value, cnt), other columns kept out. Values that all fit one cell are not dealt out: no group can be larger."""
+    spark, total, cell_rows = counts.sparkSession, counts.count(), cell_rows or CELL_ROWS
+    if total <= cell_rows:
+        one = Window.partitionBy(*(keys or [F.lit(0)]))
+        below = F.sum("cnt").over(one.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+        return counts.select(*keys, value, "cnt", F.coalesce(below, F.lit(0)).alias("less"), F.sum("cnt").over(one).alias("n"))
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / cell_rows))
     dealt = counts.repartitionByRange(cells, *keys, value).withColumn("_cell", F.spark_partition_id())
     dealt = materialize(dealt, "value-cells")
     group = keys or [F.lit(0)]
@@ -68,7 +77,11 @@ def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str) ->
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per group: one row of keys plus one column per point."""
-    r = value_ranks(df.withColumn(value, F.col(value).cast("double")), keys, value)
+    return interpolated(value_ranks(df.withColumn(value, F.col(value).cast("double")), keys, value), keys, value, points)
+
+
+def interpolated(r: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """The percentiles that value_ranks or counted_ranks imply."""
 
     def value_at(index: Column) -> Column:
         return F.max(F.when((F.col("less") <= index) & (index < F.col("less") + F.col("cnt")), F.col(value)))

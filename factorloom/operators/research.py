@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.common import ratio
 from ..session import materialize
 from . import joins, xs
-from .distribution import attach, percentiles, with_average_rank
+from .distribution import attach, counted_ranks, interpolated, join_on, percentiles, with_average_rank
 
 
 def snapshot_ic(long: DataFrame, label: str = "fwd", keys=("d", "factor"), score: str = "score") -> DataFrame:
@@ -81,6 +81,33 @@ def horizon_stats(trades: DataFrame, keys: list[str], ret: str = "ret") -> DataF
     return s.join(percentiles(rows, keys, ret, {"median_return": 0.5}), keys)
 
 
+def horizon_stats_by(trades: DataFrame, kinds: list[str], horizon: str = "horizon", ret: str = "ret") -> DataFrame:
+    """(kind, label, horizon, ...): horizon_stats for every one of several groupings, from one look at the trades.
+
+    GROUPING SETS reduce the trades to counts per (grouping, label, horizon, return), map-side first. All figures, exact medians included, come from that table, and the
+    grouping id tells a missing label from a column that is not grouped by.
+    """
+    columns = [*kinds, horizon, ret]
+    sets = [[k, horizon, ret] for k in kinds]
+    # bit i of the id, from the left, is 1 where column i is not in the set
+    ids = {k: sum(1 << (len(columns) - 1 - i) for i, x in enumerate(columns) if x not in s) for k, s in zip(kinds, sets)}
+    known = trades.where(F.col(ret).isNotNull())
+    grouped = known.groupingSets([[F.col(x) for x in s] for s in sets], *map(F.col, columns)).agg(
+        F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("cnt"), F.sum("alpha").alias("_alpha"), F.count("alpha").alias("_alphas"))
+    kind, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, i in ids.items():
+        kind, label = F.when(F.col("_id") == i, F.lit(k)).otherwise(kind), F.when(F.col("_id") == i, F.col(k)).otherwise(label)
+    keys = ["kind", "label", horizon]
+    counts = materialize(grouped.select(kind.alias("kind"), label.alias("label"), horizon, ret, "cnt", "_alpha", "_alphas"), "return-counts")
+    r, k = F.col(ret), F.col("cnt")
+    s = counts.groupBy(*keys).agg(
+        F.sum(k).alias("n"), (F.sum(F.when(r > 0, k).otherwise(0)) / F.sum(k)).alias("win_rate"), (F.sum(r * k) / F.sum(k)).alias("avg_return"),
+        F.min(r).alias("worst_return"), ratio(F.sum(F.when(r > 0, r * k)), F.abs(F.sum(F.when(r < 0, r * k)))).alias("profit_factor"),
+        F.coalesce(F.try_divide(F.sum("_alpha"), F.sum("_alphas")), F.lit(0.0)).alias("avg_alpha"),
+    )
+    return join_on(s, interpolated(counted_ranks(counts.select(*keys, ret, "cnt"), keys, ret), keys, ret, {"median_return": 0.5}), keys)
+
+
 def factor_correlations(long: DataFrame, factors: list[str], max_null: float = 0.5, sparse: float = 0.20) -> DataFrame:
     """Rank correlation of each factor pair per market, with densities and flags.
 
@@ -143,19 +170,35 @@ def two_bar_returns(bars: DataFrame, pools: DataFrame, min_obs: int = 10) -> Dat
     return r.join(mean, ["pool", "slot"]).select("pool", "slot", (F.col("j") / 2).cast("int").alias("obs"), (F.col("r") - F.col("m")).alias("r"))
 
 
+def gram(values: DataFrame, pool: str, slot: str, obs: str, value: str, obs_block: int = 256, name_block: int = 32) -> DataFrame:
+    """(pool, i, j, xy), i <= j: sums of products over the observations of a pool, for any number of names.
+
+    Values are packed to blocks of names by blocks of observations. Only blocks meet, each pair of name blocks once per block of observations, so
+    what is shuffled are packed blocks, and an observation never yields a row per pair; sums of a pair over blocks combine map-side. An observation that a name
+    lacks counts as 0.
+    """
+    cell = values.withColumns({"_b": F.floor(F.col(obs) / obs_block), "_o": F.pmod(F.col(obs), F.lit(obs_block)).cast("int"), "_p": F.floor(F.col(slot) / name_block)})
+    line = cell.groupBy(pool, "_b", "_p", slot).agg(F.map_from_entries(F.collect_list(F.struct("_o", F.col(value).cast("double")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(obs_block - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    packs = materialize(line.groupBy(pool, "_b", "_p").agg(F.collect_list(F.struct(F.col(slot).alias("s"), dense.alias("r"))).alias("names")), "return-blocks")
+    other = packs.select(F.col(pool).alias("_pool"), F.col("_b").alias("_block"), F.col("_p").alias("_q"), F.col("names").alias("others"))
+    met = packs.join(other, F.col(pool).eqNullSafe(F.col("_pool")) & (F.col("_b") == F.col("_block")) & (F.col("_p") <= F.col("_q")))
+    each = met.select(pool, F.explode("names").alias("a"), "others").select(pool, "a", F.explode("others").alias("b")).where("a.s <= b.s")
+    dot = F.aggregate(F.zip_with("a.r", "b.r", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    return each.groupBy(pool, F.col("a.s").alias("i"), F.col("b.s").alias("j")).agg(F.sum(dot).alias("xy"))
+
+
 def shrunk_covariance(returns: DataFrame) -> DataFrame:
-    """(pool, i, j, cov): covariance shrunk towards a scaled identity (Ledoit and Wolf 2004).
+    """(pool, i, j, cov): covariance shrunk towards a scaled identity (Ledoit and Wolf 2004), for pools of any number of names.
 
-    A pool has at most 20 slots, so an observation yields at most 400 products, summed per slot pair.
+    returns: (pool, slot, obs, r), centred, every slot of a pool with the same observations. All that the shrinkage needs follows from the blocked sums of products and from one
+    sum per observation.
     """
-    obs = returns.groupBy("pool", "obs").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "r"))).alias("v"), F.sum(F.col("r") * F.col("r")).alias("q")
-    )
-    per_obs = obs.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q") * F.col("q")).alias("beta_sum"), F.max(F.size("v")).alias("p"))
-    products = obs.select("pool", F.explode("v").alias("a"), "v").select("pool", "a", F.explode("v").alias("b")).groupBy(
-        "pool", F.col("a.slot").alias("i"), F.col("b.slot").alias("j")
-    ).agg(F.sum(F.col("a.r") * F.col("b.r")).alias("xy"))
-    s = products.join(per_obs, "pool").withColumn("s", F.col("xy") / F.col("n"))
+    per_obs = returns.groupBy("pool", "obs").agg(F.sum(F.col("r") * F.col("r")).alias("q"), F.count(F.lit(1)).alias("p"))
+    per_obs = per_obs.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q") * F.col("q")).alias("beta_sum"), F.max("p").alias("p"))
+    upper = attach(gram(returns, "pool", "slot", "obs", "r"), per_obs, ["pool"], "inner").withColumn("s", F.col("xy") / F.col("n"))
+    s = upper.unionByName(upper.where("i <> j").withColumns({"i": F.col("j"), "j": F.col("i")}))
+    s = materialize(s, "covariances")
     tot = s.groupBy("pool").agg(
         F.sum(F.col("s") * F.col("s")).alias("delta_sum"), F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("trace"),
         F.max("n").alias("n"), F.max("p").alias("p"), F.max("beta_sum").alias("beta_sum"),
@@ -164,6 +207,6 @@ def shrunk_covariance(returns: DataFrame) -> DataFrame:
     beta = (F.col("beta_sum") / F.col("n") - F.col("delta_sum")) / (F.col("p") * F.col("n"))
     delta = (F.col("delta_sum") - 2.0 * mu * F.col("trace") + F.col("p") * mu * mu) / F.col("p")
     shrink = tot.select("pool", mu.alias("mu"), F.coalesce(F.try_divide(F.least(beta, delta), delta), F.lit(0.0)).alias("shrink"))
-    return s.select("pool", "i", "j", "s").join(shrink, "pool").select(
+    return attach(s.select("pool", "i", "j", "s"), shrink, ["pool"], "inner").select(
         "pool", "i", "j", ((1.0 - F.col("shrink")) * F.col("s") + F.when(F.col("i") == F.col("j"), F.col("shrink") * F.col("mu")).otherwise(0.0)).alias("cov")
     )

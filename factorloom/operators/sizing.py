@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import TARGET_VOL
 from ..functions.common import lookup, ratio
 from ..functions.regime import sizing_regime
+from .distribution import attach
 
 MAX_POSITION = 0.10
 MAX_SECTOR = 0.30
@@ -21,7 +22,7 @@ def equal_anchors(df: DataFrame, keys: list[str], floor: float = 10e9) -> DataFr
     """Equal weight for every name above the cap floor; the count is a grouped aggregate joined back."""
     large = df.where(F.col("market_cap") > floor)
     n = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return large.join(n, keys).withColumn("weight", 1.0 / F.col("n"))
+    return attach(large, n, keys, "inner").withColumn("weight", 1.0 / F.col("n"))
 
 
 def score_proportional(df: DataFrame, keys: list[str], score: str = "final_score", cap: float = MAX_POSITION) -> DataFrame:

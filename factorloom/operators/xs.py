@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -68,25 +68,25 @@ def neutralise(long: DataFrame, value: str = "score", factor: str = "factor", pr
                fallback=("market", "cap_tier"), zero_is_dead: Column | None = None, min_bucket: int = MIN_BUCKET) -> DataFrame:
     """Two-stage bucket z-scores through a logistic, on long rows; adds `neutral` and `level`.
 
-    Stage one uses the narrow bucket. Rows in buckets that are too small go to stage two, whose
-    statistics cover only those rows; what is still too small keeps its raw score. Statistics are
-    grouped aggregates joined back, never a window over a bucket.
+    Stage one uses the narrow bucket. Rows in buckets that are too small go to stage two, whose statistics cover only those rows; what is still too small
+    keeps its raw score. The rows are aggregated once, to count, mean and deviation of the narrow buckets; the wider ones are merged from those, as all
+    keys of `fallback` are in `primary`. So there is one table of statistics, of one row per narrow bucket, and one join back to the rows.
     """
+    if not set(fallback) <= set(primary):
+        raise ValueError("the wider bucket must be made of whole narrow ones")
     dead = zero_is_dead if zero_is_dead is not None else F.lit(True)
     x = F.col(value).cast("double")
     active = x.isNotNull() & ~(dead & (x == 0))
     rows = long.withColumn("_x", F.when(active, x))
     k1, k2 = [factor, *primary], [factor, *fallback]
-
-    def stats(df, keys, tag):
-        return df.where(F.col("_x").isNotNull()).groupBy(*keys).agg(
-            F.count("_x").alias(f"_n{tag}"), F.avg("_x").alias(f"_m{tag}"), F.stddev_pop("_x").alias(f"_s{tag}")
-        )
-
-    one = attach(rows, stats(rows, k1, 1), k1)
+    narrow = rows.where(F.col("_x").isNotNull()).groupBy(*k1).agg(F.count("_x").alias("_n1"), F.avg("_x").alias("_m1"), F.stddev_pop("_x").alias("_s1"))
+    # over the small narrow buckets of a wide one: as many rows as there are values of the further keys
+    wide = Window.partitionBy(*k2, F.col("_n1") < min_bucket)
+    stats = narrow.withColumn("_n2", F.sum("_n1").over(wide)).withColumn("_m2", F.sum(F.col("_n1") * F.col("_m1")).over(wide) / F.col("_n2"))
+    spread = F.pow("_s1", F.lit(2)) + F.pow(F.col("_m1") - F.col("_m2"), F.lit(2))
+    stats = stats.withColumn("_s2", F.sqrt(F.sum(F.col("_n1") * spread).over(wide) / F.col("_n2")))
+    two = attach(rows, stats, k1)
     big = F.coalesce(F.col("_n1") >= min_bucket, F.lit(False))
-    rest = one.where(~big)
-    two = attach(one, stats(rest, k2, 2), k2)
     big2 = F.coalesce(F.col("_n2") >= min_bucket, F.lit(False))
     neutral = (
         F.when(x.isNull(), None)

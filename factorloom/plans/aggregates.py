@@ -124,12 +124,7 @@ def _(t):
     SELECT 'badge' AS kind, badge AS label, horizon, {STATS} FROM trades WHERE ret IS NOT NULL GROUP BY badge, horizon UNION ALL SELECT 'cap_tier', cap_tier, horizon, {STATS} FROM trades WHERE ret IS NOT NULL AND horizon = 3 GROUP BY cap_tier, horizon
     UNION ALL SELECT 'era', era, horizon, {STATS} FROM trades WHERE ret IS NOT NULL AND horizon = 3 GROUP BY era, horizon""", extra=BARS_NO))
 def _(t):
-    def group(kind, when=True):
-        return F.when(F.lit(True) if when is True else when, F.struct(F.lit(kind).alias("kind"), c(kind).alias("label")))
-
-    mid = c("horizon") == 3
-    rows = trades(t).select("horizon", "ret", "alpha", F.explode(F.array_compact(F.array(group("badge"), group("cap_tier", mid), group("era", mid)))).alias("g"))
-    s = research.horizon_stats(rows.select("horizon", "ret", "alpha", "g.kind", "g.label"), ["kind", "label", "horizon"])
+    s = research.horizon_stats_by(trades(t), ["badge", "cap_tier", "era"]).where("kind = 'badge' OR horizon = 3")
     return s.select("kind", "label", "horizon", "n", *[r6(k).alias(k) for k in STAT_COLUMNS])
 
 
@@ -234,11 +229,12 @@ def ic_rows(t):
     return t.stored("ic", lambda: research.snapshot_ic(t.snaps_long, "fwd_x"))
 
 
-@query("W13_spearman_by_market", statement("sl", """SELECT d, market, n, round(CASE WHEN sa > 1e-12 AND sb > 1e-12 THEN covar / (sa * sb) END, 6) AS rho FROM (SELECT d, market, count(*) AS n, covar_pop(ra, rb) AS covar, stddev_pop(ra) AS sa, stddev_pop(rb) AS sb FROM (
-    SELECT d, market, rank() OVER (PARTITION BY d, market ORDER BY score) + (count(*) OVER (PARTITION BY d, market, score) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY d, market ORDER BY fwd_x) + (count(*) OVER (PARTITION BY d, market, fwd_x) - 1) / 2.0 AS rb
-    FROM sl WHERE factor = 'mom' AND score IS NOT NULL AND fwd_x IS NOT NULL) r GROUP BY 1, 2) z"""))
+@query("W13_spearman_by_market", statement("sl", """SELECT d, market, factor, n, round(CASE WHEN sa > 1e-12 AND sb > 1e-12 THEN covar / (sa * sb) END, 6) AS rho FROM (SELECT d, market, factor, count(*) AS n, covar_pop(ra, rb) AS covar, stddev_pop(ra) AS sa, stddev_pop(rb) AS sb FROM (
+    SELECT d, market, factor, rank() OVER (PARTITION BY d, market, factor ORDER BY score) + (count(*) OVER (PARTITION BY d, market, factor, score) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY d, market, factor ORDER BY fwd_x) + (count(*) OVER (PARTITION BY d, market, factor, fwd_x) - 1) / 2.0 AS rb
+    FROM sl WHERE score IS NOT NULL AND fwd_x IS NOT NULL) r GROUP BY 1, 2, 3) z"""))
 def _(t):
-    return xs.spearman(t.snaps, ["d", "market"], "mom", "fwd_x").select("d", "market", "n", r6("rho").alias("rho"))
+    """Every factor of every snapshot and market in one pass."""
+    return xs.spearman(t.snaps_long, ["d", "market", "factor"], "score", "fwd_x").select("d", "market", "factor", "n", r6("rho").alias("rho"))
 
 
 @query("W14_snapshot_ic", statement("ics", "SELECT d, factor, n, round(ic, 6) AS ic FROM ics", extra=IC_VIEWS))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..config import MARKET_MASK, PILLARS, ROUNDTRIP_COST, SIGNED_FACTORS, WEIGHTS, market_mask, weight_table
 from ..functions import price, regime
 from ..functions.common import lookup, r6, ratio
-from ..operators import bundles, composite, xs
+from ..operators import bundles, composite, ts, xs
+from ..operators.distribution import attach
 from ..oracles.base import BADGE, FACTORS, statement
 from ..oracles.factors import FACTOR_VIEWS, PILLAR_SQL
 from .registry import query
@@ -30,7 +31,7 @@ MASK_SQL = "(SELECT v.market, v.factor FROM (VALUES " + ", ".join(f"('{m}', '{f}
 def dated(t):
     """Entries spread over the months of the volatility series, joined to it."""
     e = t.entries.withColumn("d", F.add_months(F.lit("1995-01-01").cast("date"), (c("pid") % 83).cast("int")))
-    return e.join(t.vix, "d", "left")
+    return attach(e, t.vix, ["d"])
 
 
 DATED = {"dated": (("entries", "vix"), "SELECT * FROM (SELECT *, CAST(DATE '1995-01-01' + to_months((pid % 83)::INT) AS DATE) AS d FROM entries) e LEFT JOIN vix USING (d)")}
@@ -97,13 +98,30 @@ NORM_SQL = """SELECT pid, ticker, market, factor, score, CASE WHEN mn = 0 AND mx
 NORM_VIEW = {"nrm": (("ls",), NORM_SQL)}
 
 
-@query("C06_traded_composite", statement("nrm entries", f"""
-    SELECT ticker, round(raw, 6) AS raw_score, round(raw * 0.8 * 0.95 * {GATE}, 6) AS final_score, {BADGE.format(f'round(raw * 0.8 * 0.95 * {GATE}, 6)')} AS badge
-    FROM entries JOIN (SELECT ticker, sum(a / t * norm) AS raw FROM (SELECT *, sum(a) OVER (PARTITION BY ticker) AS t FROM (
-        SELECT ticker, norm, CASE WHEN score IS NOT NULL THEN weight ELSE 0.0 END AS a FROM nrm JOIN {W_US} x USING (factor)) y) z GROUP BY ticker) r USING (ticker)""", extra=NORM_VIEW))
+def macro_entries(t, index):
+    """Entries with the volatility of their date, and the multiplier of the state that the index had then."""
+    levels = t.bars.where(c("sid") == index).select("d", c("close").alias("bench"))
+    state = ts.bench_returns(levels).select("d", lookup(price.MOMENTUM_MULTIPLIER, price.bench_regime("r12", "r3")).alias("mult"))
+    return attach(dated(t), state, ["d"]).select("ticker", "quality_raw", "vix", F.coalesce("mult", F.lit(1.0)).alias("mult"))
+
+
+
+# the multiplier of each name's state on its date
+STATE_SQL = """SELECT sid, d, CASE WHEN r3 < -0.20 THEN 'BEAR_CRASH' WHEN r3 < -0.10 THEN 'BEAR_MOMENTUM' WHEN r12 < -0.15 THEN 'BEAR_TREND' WHEN r12 > 0.30 THEN 'BULL_STRONG' ELSE 'NORMAL' END AS state
+    FROM (SELECT sid, d, lag(close, 1) OVER w / lag(close, 12) OVER w - 1 AS r12, close / lag(close, 3) OVER w - 1 AS r3 FROM bars WINDOW w AS (PARTITION BY sid ORDER BY d)) z"""
+MACRO_VIEWS = {**DATED, **NORM_VIEW, "macro": (("dated", "bars"), f"""SELECT ticker, quality_raw, vix, CASE state WHEN 'BEAR_CRASH' THEN 0.3 WHEN 'BEAR_MOMENTUM' THEN 0.55 WHEN 'BEAR_TREND' THEN 0.7 WHEN 'BULL_STRONG' THEN 0.95 ELSE 1.0 END::DOUBLE AS mult
+    FROM dated LEFT JOIN (SELECT d, state FROM ({STATE_SQL}) q WHERE sid = 1) r USING (d)""")}
+TRADED = f"raw * {VOL} * mult * {GATE}"
+
+
+@query("C06_traded_composite", statement("nrm macro", f"""
+    SELECT ticker, round(raw, 6) AS raw_score, round({TRADED}, 6) AS final_score, {BADGE.format(f'round({TRADED}, 6)')} AS badge
+    FROM macro JOIN (SELECT ticker, sum(a / t * norm) AS raw FROM (SELECT *, sum(a) OVER (PARTITION BY ticker) AS t FROM (
+        SELECT ticker, norm, CASE WHEN score IS NOT NULL THEN weight ELSE 0.0 END AS a FROM nrm JOIN {W_US} x USING (factor)) y) z GROUP BY ticker) r USING (ticker)""", extra=MACRO_VIEWS))
 def _(t):
+    """Volatility and momentum state of each entry's own date; the state is that of a single index, here the first name's bars."""
     norm = xs.normalise_factors(t.long_scores, ["factor"])
-    out = composite.traded(norm, w_us(t), t.entries.select("ticker", "quality_raw"), F.lit(25.0), F.lit(price.MOMENTUM_MULTIPLIER["BULL_STRONG"]))
+    out = composite.traded(norm, w_us(t), macro_entries(t, 1), c("vix"), c("mult"))
     return out.select("ticker", r6("raw_score").alias("raw_score"), r6("final_score").alias("final_score"), "badge")
 
 
@@ -208,9 +226,14 @@ def _(t):
            WHEN vix >= 20 OR a <= -0.05 THEN 'BEAR' WHEN a >= 0.02 THEN 'BULL' ELSE 'NEUTRAL' END AS state
     FROM (SELECT d, bench / lag(bench, 3) OVER (ORDER BY d) - 1 AS a FROM bench) x JOIN vix USING (d) LEFT JOIN (SELECT d, close / lag(close, 3) OVER (ORDER BY d) - 1 AS b FROM bars WHERE sid = 1) y USING (d)"""))
 def _(t):
+    return market_states(t, t.bars.where("sid = 1"))
+
+
+def market_states(t, second):
+    """State per date from volatility, the benchmark and a second index, given as bars."""
     w = Window.partitionBy(F.lit(0)).orderBy("d")
     a = t.bench_bars.select("d", (ratio("bench", F.lag("bench", 3).over(w)) - 1).alias("a"))
-    b = t.bars.where("sid = 1").select("d", (ratio("close", F.lag("close", 3).over(Window.partitionBy("sid").orderBy("d"))) - 1).alias("b"))
+    b = second.select("d", (ratio("close", F.lag("close", 3).over(w)) - 1).alias("b"))
     return a.join(t.vix, "d").join(b, "d", "left").select("d", regime.market_state("vix", "a", "b").alias("state"))
 
 

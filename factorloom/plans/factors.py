@@ -340,10 +340,8 @@ def n_of(phrases):
     (CASE WHEN up + dn + ke = 0 THEN NULL WHEN up > dn AND up > ke THEN 0.80 WHEN dn > up AND dn > ke THEN 0.20 ELSE 0.55 END)::DOUBLE AS score
     FROM (SELECT doc_id, {n_of(UP)} AS up, {n_of(DOWN)} AS dn, {n_of(KEEP)} AS ke FROM documents WHERE length(text) > 0) z""")
 def _(t):
-    low = F.lower("text")
-    d = t.documents.where(F.length("text") > 0).select(
-        "doc_id", *[text.phrase_count(low, p).cast("long").alias(n) for n, p in (("n_raise", UP), ("n_lower", DOWN), ("n_keep", KEEP))]
-    )
+    said = t.documents.where(F.length("text") > 0).select("doc_id", text.phrase_counts(F.lower("text"), n_raise=UP, n_lower=DOWN, n_keep=KEEP).alias("n"))
+    d = said.select("doc_id", *[c(f"n.{n}").cast("long").alias(n) for n in ("n_raise", "n_lower", "n_keep")])
     return d.withColumn("score", text.tone("n_raise", "n_lower", "n_keep"))
 
 
@@ -364,13 +362,15 @@ def _(t):
     down = phrase(text.LOWER_PHRASES, id_)
     end = F.when(k == 0, phrase(text.RAISE_PHRASES, id_)).when(k == 1, F.concat_ws("; ", down, phrase(text.LOWER_PHRASES, id_ + 3))).when(k == 2, F.concat_ws("; ", phrase(text.MAINTAIN_PHRASES, id_), down))
     turns = t.conversations.withColumn("text", F.lower(F.concat_ws(" ", "text", end))).where(F.length("text") > 0)
-    d = turns.select("conv_id", "turn", *[text.phrase_count("text", p).cast("long").alias(n) for n, p in PHRASES])
+    said = turns.select("conv_id", "turn", text.phrase_counts("text", **dict(PHRASES)).alias("n"))
+    d = said.select("conv_id", "turn", *[c(f"n.{n}").cast("long").alias(n) for n, _ in PHRASES])
     return d.withColumn("score", text.tone("n_raise", "n_lower", "n_keep"))
 
 
 # --- bundles -----------------------------------------------------------------------------
 
 def bundle(name, region):
+    """The raw columns of one region's pillars."""
     names = bundles.region_factors(region)
     sql = "SELECT ticker, " + ", ".join(f"round({n}, {digits(n)}) AS {n}" for n in names) + f" FROM pin WHERE region = '{region}'"
 
@@ -382,6 +382,7 @@ def bundle(name, region):
 
 bundle("F48_pillar_inputs_us", "US")
 bundle("F49_pillar_inputs_intl", "EU")
+bundle("F49_pillar_inputs_asia", "ASIA")
 
 
 @query("F50_all_factors", statement("pin", "SELECT ticker, market, " + ", ".join(f"round({n}, {digits(n)}) AS {n}" for n in PILLAR_SQL) + " FROM pin", extra=FACTOR_VIEWS))

@@ -295,9 +295,9 @@ def _(t):
 
 
 @query("W25_adx_trend", statement("bars mv", f"""
-    SELECT sid, round(CASE WHEN adx IS NULL THEN 0.0 ELSE greatest(0.0, least(50.0, adx)) / 50 END, 6) AS score FROM (SELECT DISTINCT sid FROM mv) u LEFT JOIN ({wilder_sql('mv', 'sid', 14)}) a USING (sid)""", extra=TECH_VIEWS))
+    SELECT sid, round(adx, 6) AS adx, round(CASE WHEN adx IS NULL THEN 0.0 ELSE greatest(0.0, least(50.0, adx)) / 50 END, 6) AS score FROM (SELECT DISTINCT sid FROM mv) u LEFT JOIN ({wilder_sql('mv', 'sid', 14)}) a USING (sid)""", extra=TECH_VIEWS))
 def _(t):
-    return ts.adx(t.bars, 14).select("sid", r6(price.adx_score("adx")).alias("score"))
+    return ts.adx(t.bars, 14).select("sid", r6("adx").alias("adx"), r6(price.adx_score("adx")).alias("score"))
 
 
 @query("W26_bench_regime", statement("bench", """
@@ -309,6 +309,16 @@ def _(t):
     return b.select("d", r6("r12").alias("r12"), r6("r3").alias("r3"), price.bench_regime("r12", "r3").alias("regime"))
 
 
+@query("W26_name_regime", statement("bars", """
+    SELECT sid, d, CASE WHEN r3 < -0.20 THEN 'BEAR_CRASH' WHEN r3 < -0.10 THEN 'BEAR_MOMENTUM' WHEN r12 < -0.15 THEN 'BEAR_TREND' WHEN r12 > 0.30 THEN 'BULL_STRONG' ELSE 'NORMAL' END AS regime
+    FROM (SELECT sid, d, lag(close, 1) OVER w / lag(close, 12) OVER w - 1 AS r12, close / lag(close, 3) OVER w - 1 AS r3 FROM bars WINDOW w AS (PARTITION BY sid ORDER BY d)) z"""))
+def _(t):
+    """The same states for every name's own bars, where all of them occur."""
+    w = Window.partitionBy("sid").orderBy("d")
+    r12, r3 = ratio(F.lag("close", 1).over(w), F.lag("close", 12).over(w)) - 1, ratio("close", F.lag("close", 3).over(w)) - 1
+    return t.bars.select("sid", "d", r12.alias("r12"), r3.alias("r3")).select("sid", "d", price.bench_regime("r12", "r3").alias("regime"))
+
+
 @query("W27_bench_snapshot", statement("bench", """
     SELECT d, round(bench, 6) AS last, round(r1, 6) AS r1, round(r3, 6) AS r3, round(r12b, 6) AS r12
     FROM (SELECT d, bench, bench / lag(bench, 1) OVER w - 1 AS r1, bench / lag(bench, 3) OVER w - 1 AS r3, bench / lag(bench, 12) OVER w - 1 AS r12b FROM bench WINDOW w AS (ORDER BY d)) z
