@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import query, table
+from .common import fresh, query, table
 
 # Control strings of public chat templates.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -90,10 +90,10 @@ def fold(events: DataFrame) -> DataFrame:
     """(conv, turn, tie, role, text): final messages of a log (conv, turn, tie, seq, kind, role, text).
 
     A message is told by conv, turn and tie, null being a value like any other; its events are taken by seq (null
-    first), events of one seq by kind and text. conv comes back as text.
+    first), events of one seq by kind and text. conv comes back as text. A conversation's messages come out together and in order.
     """
     e = events.select(F.col("conv").cast("string").alias("conv"), F.col("turn").cast("long").cast("string").alias("turn"), F.col("tie").cast("string").alias("tie"), "seq", "kind", "role", "text")
-    spread = e.repartition("conv", "turn", "tie").sortWithinPartitions("conv", "turn", "tie", "seq", "kind", "text")
+    spread = e.repartition("conv").sortWithinPartitions("conv", "turn", "tie", "seq", "kind", "text")
     return spread.drop("seq").mapInPandas(_fold, FOLDED)
 
 
@@ -107,9 +107,13 @@ def _render(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
 
 
 def format_turns(messages: DataFrame) -> DataFrame:
-    """Add formatted, loss_from and loss_to to messages (…, role, text): the loss mask is [loss_from, loss_to) in code points of the turn."""
-    cols = messages.columns
-    return messages.withColumn("_t", _render("role", "text")).select(*cols, "_t.*")
+    """Add formatted, loss_from and loss_to to messages (…, role, text): the loss mask is [loss_from, loss_to) in code points of the turn.
+
+    Other columns stay as they are; a name that is taken gets a trailing underscore.
+    """
+    turn, *names = fresh(messages, "_turn", "formatted", "loss_from", "loss_to")
+    made = messages.withColumn(turn, _render("role", "text"))
+    return made.select(*messages.columns, *[F.col(f"{turn}.{f.name}").alias(n) for f, n in zip(TURN.fields, names)])
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,12 +141,13 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([row()], columns=names)
 
 
-def digests(turns: DataFrame) -> DataFrame:
+def digests(turns: DataFrame, placed: bool = False) -> DataFrame:
     """Per conversation: what its formatted turns say when read back, as digests.
 
-    A digest of a conversation goes through its turns in order, so one task streams them; it holds one batch and a hash state.
+    A digest of a conversation goes through its turns in order, so one task streams them; it holds one batch and a hash state. placed: turns are
+    where `fold` left them, conversation by conversation and in order, and need not move again.
     """
-    order = turns.repartition("conv").sortWithinPartitions("conv", "turn", "tie")
+    order = turns if placed else turns.repartition("conv").sortWithinPartitions("conv", "turn", "tie")
     return order.select("conv", "formatted", "loss_from", "loss_to").mapInPandas(_digests, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -152,9 +157,10 @@ def replay(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
     Trained turns were streamed in chunks after a regenerated draft, others were edited once. Rows of one turn follow each other by role and
     text digest; repeated rows are turns of their own.
     """
-    r = rows.groupBy(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(text, F.lit("")).alias("text")).count()
-    r = r.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
-    r = r.withColumn("tie", F.concat_ws(" ", F.coalesce("role", F.lit("")), F.sha2("text", 256), F.lpad(F.col("copy").cast("string"), 12, "0")))
+    r = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    # the number tells repeated rows apart; they are alike, so it does not matter which has which
+    r = r.withColumn("copy", F.monotonically_increasing_id().cast("string"))
+    r = r.withColumn("tie", F.concat_ws(" ", F.coalesce("role", F.lit("")), F.sha2("text", 256), F.lpad("copy", 20, "0")))
     draft = F.substring("text", 1, 40)
     event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
     head = [event(0, "start", F.lit(None).cast("string")), event(1, "delta", draft)]
@@ -172,5 +178,5 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
-    out = digests(format_turns(fold(replay(rows, "conv_id", "turn", "role", "text"))))
+    out = digests(format_turns(fold(replay(rows, "conv_id", "turn", "role", "text"))), placed=True)
     return out.select(F.col("conv").cast("long").alias("conv_id"), *out.columns[1:])

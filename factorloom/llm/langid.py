@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .common import fresh, query, sized, table
 
-DIMS, SAMPLE, CLUSTERS, MARGIN, NONE = 8192, 400, 3, 0.15, "und"
+DIMS, SAMPLE, CLUSTERS, MARGIN, NONE, MOST_LABELS = 8192, 400, 3, 0.15, "und", 1000
 #: Texts whose number of letters has as many bits share a distance limit per language; a limit of its own needs so many learned texts.
 BUCKETS, FIRST_BUCKET, LEAST = 24, 7, 100
 #: The share of learned texts below the limit without the margin; distances are counted in so many steps from 0 to 1.
@@ -82,11 +82,18 @@ def document_frequencies(docs: DataFrame, text: str, dims: int = DIMS) -> np.nda
     return out
 
 
-def sample_rows(docs: DataFrame, key: str, label: str, size: int = SAMPLE) -> DataFrame:
-    """About `size` rows of each label, by hash of the key: the same rows whatever the partitions."""
-    counts = materialize(docs.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n")), "label-counts")
-    mine = F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * size / F.col("_n")
-    return docs.join(sized(counts, 100), F.col(label) == F.col("_l")).where(mine).drop("_l", "_n")
+def sample_rows(docs: DataFrame, key: str, text: str, label: str, size: int = SAMPLE) -> DataFrame:
+    """About `size` rows of each label, by hash of key and text: the same rows whatever the partitions. Rows that repeat both count once.
+
+    So a key or a text that very many rows share takes one place, and as there may be MOST_LABELS labels at most (more raise an error), the sample is bounded.
+    """
+    one = docs.select(F.col(key).alias("k"), F.col(text).alias("x"), F.col(label).alias("l"), F.xxhash64(F.lit(3), F.col(key), F.col(text)).alias("h"))
+    counts = materialize(one.groupBy("l").agg(F.approx_count_distinct("h", 0.01).alias("n")), "label-counts")
+    labels = counts.count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"{labels} labels; a model of languages takes {MOST_LABELS}")
+    drawn = one.join(sized(counts.withColumnRenamed("l", "_l"), 100), F.col("l") == F.col("_l")).where(F.pmod("h", F.lit(1 << 40)) < F.lit(float(1 << 40)) * size / F.col("n"))
+    return drawn.dropDuplicates(["l", "h"]).select(F.col("x").alias(text), F.col("l").alias(label))
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -126,7 +133,7 @@ def fit(docs: DataFrame, key: str, text: str, label: str, dims: int = DIMS, samp
         return pd.DataFrame(out, columns=["at", "v", "n"])
 
     by: dict[str, list] = {}
-    for r in sample_rows(rows, key, label, sample).select(label, vectors(text).alias("x")).orderBy(label, "x.n", "x.v").collect():
+    for r in sample_rows(rows, key, text, label, sample).select(label, vectors(text).alias("x")).orderBy(label, "x.n", "x.v").collect():
         if r["x"]["n"]:
             by.setdefault(r[label], []).append(r["x"])
     parts, langs = [], []

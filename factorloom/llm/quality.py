@@ -136,13 +136,14 @@ def best_of(rule: str) -> Column:
 
 
 def judge(docs: DataFrame, s: str, stratum: str, limits: DataFrame, kept: str, reason: str) -> DataFrame:
-    """Add `kept` and `reason` (the first rule that rejects, `base` before all others, else null)."""
-    limits = limits.select(F.struct("stratum").alias("_limit_of"), F.struct(*RULES).alias("_limit"))
-    j = docs.join(sized(limits, 200), F.struct(F.col(stratum).alias("stratum")) == F.col("_limit_of"), "left")
+    """Add `kept` and `reason` (the first rule that rejects, `base` before all others, else null). Further columns may have any name but these two."""
+    of, limit = fresh(docs, "_limit_of", "_limit")
+    limits = limits.select(F.struct("stratum").alias(of), F.struct(*RULES).alias(limit))
+    j = docs.join(sized(limits, 200), F.struct(F.col(stratum).alias("stratum")) == F.col(of), "left")
     why = F.when(base_failed(s), F.lit("base"))
     for rule, (num, den, _) in RULES.items():
-        why = why.when(100 * F.col(f"{s}.{num}") > F.col(f"_limit.{rule}") * F.col(f"{s}.{den}"), F.lit(rule))
-    return j.withColumn(reason, why).withColumn(kept, F.col(reason).isNull()).drop("_limit_of", "_limit")
+        why = why.when(100 * F.col(f"{s}.{num}") > F.col(f"{limit}.{rule}") * F.col(f"{s}.{den}"), F.lit(rule))
+    return j.withColumn(reason, why).withColumn(kept, F.col(reason).isNull()).drop(of, limit)
 
 
 def one_label(labels: DataFrame, key: str, value: str) -> DataFrame:
@@ -153,12 +154,13 @@ def one_label(labels: DataFrame, key: str, value: str) -> DataFrame:
 def filter_quality(docs: DataFrame, key: str, text: str, stratum: str, labels: DataFrame, value: str = "quality") -> DataFrame:
     """The rows of docs that the base rule and the guaranteed rules keep, with their own columns.
 
-    Null and empty texts have no words and go. Repeated rows share their verdict. An empty docs or labels table is fine: without labels
+    Null and empty texts have no words and go; very long ones are read whole. Columns of docs may have any names. Repeated rows share their verdict. An empty docs or labels table is fine: without labels
     no cutoff may be used and only the base rule rejects.
     """
     s, kept, reason = fresh(docs, "_stats", "_kept", "_reason")
-    marked = docs.select(key, text, stratum).join(one_label(labels, key, value), F.col(key) == F.col("_label_key"))
-    held = materialize(with_stats(marked, text, "_s").select(F.col(stratum).alias("_stratum"), "_good", "_s"), "holdout")
+    plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(stratum).alias("_stratum"))
+    marked = plain.join(one_label(labels, key, value), F.col("_key") == F.col("_label_key"))
+    held = materialize(with_stats(marked, "_text", "_s").select("_stratum", "_good", "_s"), "holdout")
     limits = materialize(cutoffs(held, "_s", "_stratum", "_good"), "cutoffs")
     return judge(with_stats(docs, text, s), s, stratum, limits, kept, reason).where(kept).select(*docs.columns)
 

@@ -58,3 +58,10 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()] + chat.PROBE
     assert Counter(tuple(r) for r in QUERIES["op4_chat_format"](spark, folder).collect()) == plain(rows)
+
+
+def test_names_that_are_taken(frame):
+    rows = frame([("user", "hi", "a", "b", 1), ("assistant", None, "a", "b", 2)], "role string, text string, formatted string, _turn string, _t int")
+    out = chat.format_turns(rows)
+    assert out.columns == [*rows.columns, "formatted_", "loss_from", "loss_to"]
+    assert [r["formatted"] for r in out.collect()] == ["a", "a"]

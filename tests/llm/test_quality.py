@@ -1,5 +1,6 @@
 """Quality statistics against plain versions, the binomial bound, and what cutoffs guarantee."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -62,3 +63,44 @@ def test_edges(frame):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "3", "None"]
     assert quality.filter_quality(docs.where("false"), "doc_id", "text", "lang", labels.where("false")).collect() == []
     assert quality.filter_quality(docs, "doc_id", "text", "lang", labels.where("false")).count() == 3
+
+
+def test_cutoffs_against_plain_sums(frame):
+    """Three strata, one of them null, with enough good rows for some cutoffs; every rule and cutoff by exact sums."""
+    rng, rows = random.Random(11), []
+    for lang, n in (("en", 2600), (None, 2300), ("de", 400)):
+        for i in range(n):
+            good = rng.random() < 0.85
+            words = rng.randint(0, 200)
+            s = {x: rng.randint(0, 3 if good else 60) for x in quality.STAT_NAMES} | {"n_words": words, "word_chars": words * rng.randint(3, 9), "n_repeat_words": rng.randint(0, words // 4), "n_lines": rng.randint(1, 60)}
+            rows.append((lang, rng.choice([good, good, good, None]), tuple(s[x] for x in quality.STAT_NAMES)))
+    df = frame(rows, "lang string, good boolean, s struct<" + ",".join(f"{x}:bigint" for x in quality.STAT_NAMES) + ">")
+    got = {r["stratum"]: r.asDict() for r in quality.cutoffs(df, "s", "lang", "good").collect()}
+    by = {}
+    for lang, good, s in rows:
+        s = dict(zip(quality.STAT_NAMES, s))
+        if good is not None and not (s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]):
+            by.setdefault(lang, []).append((good, s))
+    found = 0
+    for lang, some in by.items():
+        n = sum(g for g, _ in some)
+        for rule, (num, den, grid) in quality.RULES.items():
+            best = None
+            for c in grid:
+                hit = [g for g, s in some if 100 * s[num] > c * s[den]]
+                k, bad = sum(hit), len(hit) - sum(hit)
+                p = quality.ALPHA / len(quality.RULES)
+                exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
+                if exact <= quality.DELTA / (len(by) * len(quality.RULES)) and bad - quality.COST * k > 0:
+                    best = max(best or (float("-inf"), 0), (bad - quality.COST * k, c))
+            assert (got.get(lang) or {}).get(rule) == (best and best[1])
+            found += best is not None
+    assert found >= 2
+
+
+def test_columns_of_any_name(frame):
+    rows = labelled(frame, 200, 0)
+    docs = frame([(*r[:3], 1, "x", 2.0, "k", "t") for r in rows] + [(None, None, None, 1, "x", 2.0, "k", "t")], "doc_id long, text string, lang string, _limit int, _limit_of string, _stats double, _key string, _text string")
+    labels = frame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    out = quality.filter_quality(docs, "doc_id", "text", "lang", labels)
+    assert out.columns == docs.columns and out.count() == len(rows)
