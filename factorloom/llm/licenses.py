@@ -1,7 +1,7 @@
 """Licence scans by canonical digest: normalise a text, hash it whole, look the digest up.
 
-A text is brought to a canonical form (case, punctuation, copyright lines, comment marks and equivalent
-spellings removed), digested as a whole and hash-joined to the digests of known licence texts. The same
+A text is brought to a canonical form (mark-up, case, punctuation, copyright lines, comment marks, a leading line that only names
+a licence, and equivalent spellings removed), digested as a whole and hash-joined to the digests of known licence texts. The same
 lookup runs over every single line, for one-line notices inside other documents.
 
 Only texts that hold one of ANCHORS (letters only, checked on the lower-cased text) are normalised, if every known text holds
@@ -55,8 +55,27 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution.
 """
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
 TEXTS = {
-    "MIT": MIT, "ISC": ISC, "BSD-2-Clause": BSD2, "Zlib": ZLIB,
+    "MIT": MIT, "MIT-0": MIT.replace(", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "."),
+    "Unlicense": UNLICENSE, "BSL-1.0": BOOST, "ISC": ISC, "BSD-2-Clause": BSD2, "Zlib": ZLIB,
     "0BSD": ISC.replace("ISC License", "BSD Zero Clause License").replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),
 }
 BSD3 = BSD2.replace("BSD 2-Clause", "BSD 3-Clause").replace("THIS SOFTWARE IS PROVIDED", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
@@ -64,15 +83,27 @@ BSD3 = BSD2.replace("BSD 2-Clause", "BSD 3-Clause").replace("THIS SOFTWARE IS PR
 THIS SOFTWARE IS PROVIDED""")
 
 
+# Who else a BSD disclaimer may name in place of the copyright holders.
+BSD_PARTIES = (("AUTHOR", "AUTHOR"), ("AUTHORS", "AUTHORS"), ("AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"), ("REGENTS AND CONTRIBUTORS", "REGENTS OR CONTRIBUTORS"))
+END = "END OF TERMS AND CONDITIONS"
+
+
+def plain_texts() -> list[tuple[str, str]]:
+    """(identifier, text): short texts with their variants, and the long ones as they are."""
+    bsd = [("BSD-2-Clause", BSD2), ("BSD-3-Clause", BSD3)]
+    named = [(k, x.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", a).replace("COPYRIGHT HOLDER OR CONTRIBUTORS", b)) for k, x in bsd for a, b in BSD_PARTIES]
+    return [*TEXTS.items(), bsd[1], *named, *LONG_TEXTS.items()]
+
+
 def whole_texts() -> list[tuple[str, str]]:
     """(identifier, text) of all whole texts known: with and without what follows the terms, links of either scheme, a blank year kept or filled in."""
-    out = [*TEXTS.items(), ("BSD-3-Clause", BSD3)]
-    for name, text in LONG_TEXTS.items():
+    out = []
+    for name, text in plain_texts():
         # only the last line that says so ends the terms
-        head, end, tail = text.rpartition("END OF TERMS AND CONDITIONS")
+        head, end, tail = text.rpartition(END)
         for x in [text, head + end, head, text.replace("Copyright [yyyy]", "Copyright 2000")] if end else [text]:
             out += [(name, x.replace("https://", "http://")), (name, x.replace("http://", "https://"))]
-    return out
+    return sorted(set(out))
 
 
 NOTICES = {
@@ -99,14 +130,25 @@ SPELLINGS = {
     "per cent": "percent", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "sub license": "sublicense", "sub licence": "sublicense",
     "utilisation": "utilization", "while": "whilst", "wilful": "willful",
 }
+MOST_NOTICES = 10_000
 #: Every built-in text holds one of these runs of letters; see `scan` for others.
 ANCHORS = ("licen", "permission", "redistribut")
-COPYRIGHT_LINE = r"^(copyright( c)?( \d{4}\b| c\b| by\b|$).*|c \d{4}\b.*|all rights reserved|portions copyright .*)$"
+COPYRIGHT_LINE = r"^(copyright( c)?( \d{4}\b| c\b| by\b|$).*|copyright .*\b(19|20)\d\d\b.*|c \d{4}\b.*|all rights reserved|portions copyright .*)$"
+#: The name of a short licence, where a canonical text begins with it.
+TITLE = (
+    r"^(the )?(mit|expat|x11|isc|zlib|zlib libpng|unlicense|mit no attribution|mit 0|(new |simplified |modified |revised )?(0|2 clause |3 clause )?bsd( [023] clause| zero clause| two clause| three clause)?)"
+    r"( license| open source license| style license)?( (mit|expat|x11|isc|zlib|0bsd|mit 0|bsd( [023] clause)?|[023] clause( bsd)?( license)?|new|simplified|modified|revised))? "
+)
+#: Mark-up that breaks a line, and any other.
+BREAK_TAGS, TAGS = r"(?i)<(br|/?p|/?div|/?li|/?ul|/?ol|/?h[1-6]|/?pre|/?tr)\b[^<>]*>", r"</?[A-Za-z][^<>\n]*>"
+#: Clause three of BSD names an organisation.
+OWN_NAME, ANY_NAME = r"neither the names? of .{1,120}? nor the names of (its|their) contributors", "neither the name of the copyright owner nor the names of its contributors"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Array of canonical lines: lower case, words of letters and digits with one blank between them; copyright and empty lines are gone."""
-    plain = F.lower(F.regexp_replace(text, "[©]|\\([cC]\\)", " c "))
+    """Array of canonical lines: lower case, words of letters and digits with one blank between them; mark-up, copyright and empty lines are gone."""
+    bare = F.regexp_replace(F.regexp_replace(text, BREAK_TAGS, "\n"), TAGS, " ")
+    plain = F.lower(F.regexp_replace(bare, "[©]|\\([cC]\\)", " c "))
     words = F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}\n]+", " "), r"(?m)^ +| +$", "")
     return F.filter(F.split(spell(words), "\n"), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
 
@@ -120,8 +162,8 @@ def spell(words: Column) -> Column:
 
 
 def joined(lines: Column) -> Column:
-    """The whole canonical text: lines joined by blanks, and once more spelled, as a line break may lie within a pair of words."""
-    return spell(F.array_join(lines, " "))
+    """The whole canonical text: lines joined by blanks, and once more spelled, as a line break may lie within a pair of words; names in clause three are one, and a leading title is gone."""
+    return F.regexp_replace(F.regexp_replace(spell(F.array_join(lines, " ")), TITLE, ""), OWN_NAME, ANY_NAME)
 
 
 def digest(canonical: Column) -> Column:
@@ -147,13 +189,16 @@ def scan(docs: DataFrame, text: str, known: DataFrame | None = None) -> DataFram
     text, null where the text holds no anchor and so cannot be one. notice_ids: sorted identifiers of the lines that are
     known notices on their own, empty if none; n_notices: how many such lines. Null or empty texts match nothing.
     Rows and other columns stay as they are; clashing names get a trailing underscore.
-    `known` is the caller's own table like `known_licenses`: a list kept by hand. Its digests are broadcast if small; its notices become a
-    literal map. If any of its texts holds none of ANCHORS, all rows and lines are normalised.
+    Very long texts are normalised and digested whole. `known` is the caller's own table like `known_licenses`; its digests are counted and broadcast only if small, and its notices, MOST_NOTICES
+    at most (more raise an error), become a literal map. If any of its texts holds none of ANCHORS, all rows and lines are normalised.
     """
     known = known if known is not None else known_licenses(docs.sparkSession)
     lookup, lines, license_id, text_digest, ids, n = fresh(docs, "_known", "_lines", "license_id", "text_digest", "notice_ids", "n_notices")
     whole = known_digests(known).select(F.col("known_digest").alias(text_digest), F.col("known_id").alias(license_id))
-    pairs = [F.lit(v) for r in known_digests(known.where("kind = 'notice'")).collect() for v in r]
+    listed = known_digests(known.where("kind = 'notice'")).limit(MOST_NOTICES + 1).collect()
+    if len(listed) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} notices")
+    pairs = [F.lit(v) for r in listed for v in r]
     notice = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     anchored = known.where(~has_anchor(F.lower("body"))).isEmpty()
     may = has_anchor(F.lower(F.col(text))) if anchored else F.lit(True)
@@ -171,25 +216,49 @@ def has_anchor(x: Column) -> Column:
     return out
 
 
+def probes() -> list[tuple[int, str]]:
+    """(doc_id, text): whole texts in the forms that they have in the wild, with negative ids; the query adds them to the documents."""
+    body = MIT.partition("\n\n")[2]
+    terms = BSD2.partition("\n\n")[2]
+    page = "<p>MIT License</p>Copyright (c) 2020 Ann Lee<br/>" + body.replace("\n\n", "<br><br>").replace('"AS IS"', "<b>\"AS IS\"</b>")
+    forms = [
+        *[x for _, x in plain_texts()], "The MIT License (MIT)\n\nCopyright (c) 2015 Ann Lee\n\n" + body, body, "Copyright Ann Lee 2020\n\n" + body, "Copyright 2020 (c) Ann Lee <ann@example.org>\n" + body,
+        "Copyright (c) 2010, Ann Lee. All rights reserved.\n\n" + terms, "Copyright (c) 2010, Ann Lee\nAll rights reserved.\n\n" + terms, page, BSD3.replace("the copyright holder nor", "Example Corp. nor"), body + "\nNot quite.", body[:200],
+    ]
+    return [(-1 - i, x) for i, x in enumerate(forms)]
+
+
 def _sql() -> str:
+    """The same steps over the same known texts; long ones stand in it once and their variants are made from them there."""
+
     def text(x):
         return "'" + x.replace("'", "''") + "'"
 
-    known = ", ".join(f"({text(k)}, 'text', {text(v)})" for k, v in TEXTS.items()) + ", " + ", ".join(f"({text(v)}, 'notice', {text(k)})" for k, v in NOTICES.items())
-    words = r"regexp_replace(regexp_replace(lower(regexp_replace(body, '[©]|\([cC]\)', ' c ', 'g')), '[^\p{L}\p{N}\n]+', ' ', 'g'), '(?m)^ +| +$', '', 'g')"
-    spelled = "w"
-    for old, new in sorted(SPELLINGS.items(), key=lambda x: -len(x[0])):
-        spelled = rf"regexp_replace({spelled}, '\b{old}\b', '{new}', 'g')"
+    known = ", ".join(f"({text(k)}, 'text', {text(v)})" for k, v in plain_texts()) + ", " + ", ".join(f"({text(v)}, 'notice', {text(k)})" for k, v in NOTICES.items())
+    planted = ", ".join(f"({i}, {text(x)})" for i, x in probes())
+    bare = rf"regexp_replace(regexp_replace(body, '{BREAK_TAGS}', chr(10), 'g'), '{TAGS}', ' ', 'g')"
+    words = rf"regexp_replace(regexp_replace(lower(regexp_replace({bare}, '[©]|\([cC]\)', ' c ', 'g')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), '(?m)^ +| +$', '', 'g')"
+
+    def spelled(x):
+        for old, new in sorted(SPELLINGS.items(), key=lambda y: -len(y[0])):
+            x = rf"regexp_replace({x}, '\b{old}\b', '{new}', 'g')"
+        return x
+
     may = " OR ".join(f"contains(lower(body), '{a}')" for a in ANCHORS)
+    cut = f"length(body) - strpos(reverse(body), reverse('{END}')) - {len(END) - 1}"
     return rf"""
-WITH known AS (SELECT * FROM (VALUES {known}) v(known_id, kind, body)),
-texts AS (SELECT row_number() OVER () AS rn, doc_id, NULL AS known_id, NULL AS kind, text AS body FROM documents
+WITH listed AS (SELECT * FROM (VALUES {known}) v(known_id, kind, body)),
+ended AS (SELECT known_id, kind, unnest(CASE WHEN kind = 'text' AND contains(body, '{END}')
+          THEN [body, substr(body, 1, {cut} + {len(END)}), substr(body, 1, {cut}), replace(body, 'Copyright [yyyy]', 'Copyright 2000')] ELSE [body] END) AS body FROM listed),
+known AS (SELECT known_id, kind, unnest([replace(body, 'https://', 'http://'), replace(body, 'http://', 'https://')]) AS body FROM ended),
+texts AS (SELECT row_number() OVER () AS rn, doc_id, NULL AS known_id, NULL AS kind, body FROM (SELECT doc_id, text AS body FROM documents UNION ALL SELECT * FROM (VALUES {planted}) p(doc_id, body)) x
           UNION ALL SELECT -row_number() OVER (), NULL, known_id, kind, body FROM known),
 w AS (SELECT rn, doc_id, known_id, kind, CASE WHEN {may} THEN {words} END AS w FROM texts),
-c AS (SELECT rn, doc_id, known_id, kind, list_filter(string_split({spelled}, chr(10)), lambda x: x <> '' AND NOT regexp_full_match(x, '{COPYRIGHT_LINE}')) AS a FROM w),
-d AS (SELECT rn, doc_id, known_id, kind, a, sha256(array_to_string(a, ' ')) AS text_digest FROM c),
-k AS (SELECT text_digest, min(known_id) AS license_id FROM d WHERE rn < 0 GROUP BY 1),
-nk AS (SELECT text_digest, min(known_id) AS notice_id FROM d WHERE rn < 0 AND kind = 'notice' GROUP BY 1),
+c AS (SELECT rn, doc_id, known_id, kind, list_filter(string_split({spelled('w')}, chr(10)), lambda x: x <> '' AND NOT regexp_full_match(x, '{COPYRIGHT_LINE}')) AS a FROM w),
+j AS (SELECT *, array_to_string(a, ' ') AS s FROM c),
+d AS (SELECT rn, doc_id, known_id, kind, a, sha256(regexp_replace(regexp_replace({spelled('s')}, '{TITLE}', ''), '{OWN_NAME}', '{ANY_NAME}', 'g')) AS text_digest, s FROM j),
+k AS (SELECT text_digest, min(known_id) AS license_id FROM d WHERE rn < 0 AND s <> '' GROUP BY 1),
+nk AS (SELECT text_digest, min(known_id) AS notice_id FROM d WHERE rn < 0 AND kind = 'notice' AND s <> '' GROUP BY 1),
 l AS (SELECT rn, string_agg(DISTINCT notice_id, ',' ORDER BY notice_id) AS notice_ids, count(*) AS n_notices
       FROM (SELECT rn, unnest(a) AS line FROM d WHERE rn > 0) JOIN nk ON sha256(line) = nk.text_digest GROUP BY rn)
 SELECT doc_id, license_id, d.text_digest, coalesce(notice_ids, '') AS notice_ids, coalesce(n_notices, 0) AS n_notices
@@ -199,5 +268,6 @@ FROM d LEFT JOIN k USING (text_digest) LEFT JOIN l USING (rn) WHERE rn > 0
 
 @query("op1_license_scan", _sql())
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    out = scan(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = scan(docs.unionByName(spark.createDataFrame(probes(), docs.schema)), "text")
     return out.select("doc_id", "license_id", "text_digest", F.array_join("notice_ids", ",").alias("notice_ids"), "n_notices")

@@ -55,3 +55,15 @@ def test_own_known_text_without_an_anchor(frame):
     docs = frame([(0, "dedicated to the\nPublic Domain", "own"), (1, "some text\nNo rights reserved.", "own"), (2, "", "own"), (3, None, "own")], DOCS)
     got = {r["doc_id"]: (r["license_id_"], r["notice_ids"]) for r in licenses.scan(docs, "text", known).collect()}
     assert got == {0: ("PD", []), 1: (None, ["CC"]), 2: (None, []), 3: (None, [])}
+
+
+def test_forms_in_the_wild(frame):
+    """Titles in any words or none, copyright lines of any form, mark-up, and own names in clause three."""
+    got = found(frame, *[x for _, x in licenses.probes()])
+    n = len(licenses.plain_texts())
+    assert [got[i][0] for i in range(n)] == [k for k, _ in licenses.plain_texts()]
+    assert [got[i][0] for i in range(n, len(got))] == ["MIT"] * 4 + ["BSD-2-Clause"] * 2 + ["MIT", "BSD-3-Clause", None, None]
+    body = licenses.MIT.partition("\n\n")[2]
+    titles = ["MIT License", "The MIT License", "MIT", "# MIT License (MIT)", "The Expat License", "", "Apache License", "My own terms"]
+    got = found(frame, *[f"{t}\n\nCopyright 1999-2003, 2010 by Ann Lee and others\n{body}" for t in titles])
+    assert [got[i][0] for i in range(len(titles))] == ["MIT"] * 6 + [None] * 2
