@@ -456,7 +456,8 @@ class _Join:
         sets = self.sets(open_.select("v"))
         rows = open_.join(self.vertices.select("v", "n"), "v")
         total = materialize(rows.groupBy("g").agg(F.ceil(F.sum("n") / SHINGLES).cast("long").alias("k"), F.sum("n").alias("n")), "group-sizes")
-        buckets = max(1, -(-(total.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SHINGLES))
+        # a group of k pieces goes out k times
+        buckets = max(1, -(-(total.agg(F.coalesce(F.sum(F.col("n") * F.col("k")), F.lit(0))).first()[0]) // SHINGLES))
         # pieces of a group meet each other and themselves
         dealt = rows.join(total.select("g", "k"), "g").withColumn("p", F.pmod(F.xxhash64("v", F.lit(9)), F.col("k")))
         every = dealt.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
