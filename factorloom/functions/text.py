@@ -113,3 +113,52 @@ def buzz(n, full_at: float = 50.0) -> Column:
 def narrative(parts, n: int = 3, sep: str = " · ") -> Column:
     """The first n present parts in evidence order, joined; missing parts are skipped."""
     return F.array_join(F.slice(F.array_compact(F.array(*parts)), 1, n), sep)
+
+
+# Texts, limits and signs of the evidence line.
+NO_EVIDENCE, DOUBLE_SIGNAL, LINE_CHARS, NAME_CHARS = "no primary catalyst detected", " ⚠double-signal", 80, 12
+EPS_DAYS, MOMENTUM_FROM, MOMENTUM_RISK, FEW_ANALYSTS, LOW_REVISION, LOW_QUALITY = 90, 0.05, -0.10, 5, 0.35, 0.30
+
+
+def _tenths(x) -> Column:
+    """A number that is not negative, with one digit behind the point."""
+    n = F.round(col(x) * 10).cast("long")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def thousands(usd) -> Column:
+    """$12.3k, from $100k on without the digit."""
+    u = col(usd)
+    whole = F.concat(F.round(u / 1000).cast("long").cast("string"), F.lit("k"))
+    return F.concat(F.lit("$"), F.when(u >= 100_000, whole).otherwise(F.concat(_tenths(u / 1000), F.lit("k"))))
+
+
+def evidence_line(usd, tier, surprise, surprise_days, action, firm, action_days, purchases, member, relative, absolute, intl, analysts, correlated, revision, quality) -> Column:
+    """What speaks for a name, in at most LINE_CHARS: the first three of insider buys, earnings, rating change, congress and momentum, else the analysts' revision.
+
+    Missing inputs leave their part out. A market without a benchmark-relative momentum shows the absolute one and says so. Warnings follow: doubled
+    signals, and up to two of falling momentum, weak revisions and weak accounts.
+    """
+    name = lambda x: F.left(col(x), F.lit(NAME_CHARS))
+    some = lambda x: F.coalesce(col(x).cast("double"), F.lit(0.0))
+    rank = F.when((F.trim(col(tier)) != "") & (F.lower(F.trim(col(tier))) != "none"), F.concat(F.lit(" ["), F.trim(col(tier)), F.lit("]")))
+    insider = F.when(some(usd) > 0, F.concat(F.lit("Insider "), thousands(usd), F.coalesce(rank, F.lit(""))))
+    pct, days = _tenths(F.abs(col(surprise)) * 100), F.coalesce(col(surprise_days), F.lit(0)).cast("long")
+    eps = F.when(days <= EPS_DAYS, F.when(col(surprise) < 0, F.concat(F.lit("EPS miss "), pct, F.lit("%"))).otherwise(F.concat(F.lit("EPS +"), pct, F.lit("% · "), days.cast("string"), F.lit("d ago"))))
+    by = F.when(col(firm) != "", F.concat(F.lit(" "), name(firm)))
+    rated = F.when(col(action).isin("upgrade", "downgrade"), F.concat(F.upper(col(action)), F.coalesce(by, F.lit("")), F.lit(" "), F.coalesce(col(action_days), F.lit(0)).cast("long").cast("string"), F.lit("d")))
+    congress = F.when(some(purchases) > 0, F.concat(col(purchases).cast("long").cast("string"), F.lit("x congress buy · "), F.coalesce(name(member), F.lit("members"))))
+    alone = col(intl) & (some(relative) == 0)
+    rel = F.when(alone, some(absolute)).otherwise(some(relative))
+    moved = F.concat(F.when(rel >= 0, "+").otherwise("-"), _tenths(F.abs(rel) * 100), F.lit("% "), F.when(alone, "12-1m abs").otherwise("vs SPY 12m"))
+    momentum = F.when(F.abs(rel) > MOMENTUM_FROM, moved)
+    first = F.nullif(narrative([insider, eps, rated, congress, momentum]), F.lit(""))
+    fallback = F.when(some(analysts) >= FEW_ANALYSTS, F.concat(F.lit("analyst revision ("), col(analysts).cast("long").cast("string"), F.lit(" analysts)")))
+    line = F.left(F.coalesce(first, fallback, F.lit(NO_EVIDENCE)), F.lit(LINE_CHARS))
+    line = F.when(F.coalesce(col(correlated), F.lit(False)), F.concat(F.left(line, F.lit(LINE_CHARS - len(DOUBLE_SIGNAL))), F.lit(DOUBLE_SIGNAL))).otherwise(line)
+    weak = lambda x, below: (some(x) > 0) & (some(x) < below)
+    flags = narrative([
+        F.when(rel < MOMENTUM_RISK, F.concat(F.lit("⚠ mom "), F.round(rel * 100).cast("long").cast("string"), F.lit("%"))),
+        F.when(weak(revision, LOW_REVISION), "⚠ rev↓"), F.when(weak(quality, LOW_QUALITY), "⚠ F-Score↓"),
+    ], 2, " ")
+    return F.when(flags != "", F.left(F.concat(line, F.lit(" | "), flags), F.lit(LINE_CHARS))).otherwise(line)
