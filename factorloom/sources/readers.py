@@ -51,7 +51,7 @@ def sniff_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
     The first line that is not blank tells the format of a file: `[` or a lone `{` is JSON over several lines, `{` one JSON object a line, anything
     else CSV with a header, whose whole line names the cells of that file, of any width. Rows without a value in any column are left out unless they are bad.
 
-    Formats and headers are a table of one row per file that is joined back to the lines; the driver sees nothing but the widest header's number of cells. A file of JSON over
+    Formats and headers are a table of one row per file that is joined back to the lines; the driver sees nothing but the widest CSV header's number of cells. A file of JSON over
     several lines is put together in one row, as its parser needs it whole; all other lines stay where they are.
     """
     fields = spark.createDataFrame([], schema).schema
@@ -60,7 +60,8 @@ def sniff_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
     first = lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("start"))
     head = F.trim("head")
     kind = F.when(head.startswith("[") | (head == "{"), "array").when(head.startswith("{"), "lines").otherwise("csv")
-    width = first.agg(F.coalesce(F.max(F.length("head") - F.length(F.replace("head", F.lit(","), F.lit(""))) + 1), F.lit(1))).first()[0]
+    # the first line of an array may be the whole file, with a comma per cell of every row
+    width = first.where(kind == "csv").agg(F.coalesce(F.max(F.length("head") - F.length(F.replace("head", F.lit(","), F.lit(""))) + 1), F.lit(1))).first()[0]
     row = ", ".join(f"c{i} string" for i in range(width))
 
     def split(df: DataFrame, line: str, name: str) -> DataFrame:
@@ -68,7 +69,7 @@ def sniff_bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
         cells = df.select(*df.columns, F.inline(F.array(F.from_csv(line, row))))
         return cells.select(*df.columns, F.array(*[f"c{i}" for i in range(width)]).alias(name))
 
-    files = split(first.select("file", "start", "head", kind.alias("kind")), "head", "names")
+    files = split(first.select("file", "start", F.when(kind == "csv", F.col("head")).alias("head"), kind.alias("kind")), "head", "names")
     names = F.when(F.col("kind") == "csv", F.transform("names", lambda n: F.lower(F.trim(n))))
     there = attach(lines, files.select("file", "start", "kind", names.alias("names")), ["file"], "inner")
 

@@ -158,6 +158,18 @@ def test_bulk_files_keep_their_own_long_headers(spark, tmp_path):
     assert sorted(r["bad"][-9:] for r in got if r["bad"]) == sorted(["y,y,one,B", "{broken", "[{"])
 
 
+def test_bulk_arrays_on_one_line_do_not_widen_the_cells(spark, tmp_path, capsys):
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"row_id": {i}, "symbol": "S{i}"}}' for i in range(300)) + "]")
+    (tmp_path / "b.csv").write_text("row_id,symbol,note\n300,S300,x\n")
+    rows = readers.sniff_bulk(spark, str(tmp_path), "row_id long, symbol string")
+    assert {(r["row_id"], r["symbol"], r["bad"]) for r in rows.collect()} == {(i, f"S{i}", None) for i in range(301)}
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    rows.explain(True)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    plan = capsys.readouterr().out
+    assert "StructField(c2," in plan and "StructField(c3," not in plan
+
+
 def test_missing_dump_is_empty(spark):
     assert readers.read_tolerant(spark, new_path(spark, "nowhere"), "a long").count() == 0
 
