@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import col
 
+#: Rows that one task should make of the rows it was given.
+TASK_ROWS = 1_000_000
+
 
 def base_symbol(ticker) -> Column:
     return F.upper(F.trim(F.split_part(col(ticker), F.lit("."), F.lit(1))))
 
 
+def spread(df: DataFrame, each: int, task_rows: int | None = None) -> DataFrame:
+    """Rows dealt out evenly, ahead of a step that makes `each` rows of every one: no task then makes more than about `task_rows`.
+
+    A narrow table is few bytes and so one scan task, however many rows it turns into.
+    """
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(few, math.ceil(df.count() * each / (task_rows or TASK_ROWS))))
+
+
 def newest_per_day(df: DataFrame, key: str, day: str, order: str, value: str) -> DataFrame:
     """One row per (key, day): the value with the largest order column. Combines on the map side."""
     return df.groupBy(key, day).agg(F.max_by(value, order).alias(value))

@@ -100,7 +100,7 @@ def _(t):
         "cid", "filing_date", "o_orderkey", "amount",
     )
     days = F.sequence(F.lit(dt.date(1995, 3, 1)), F.lit(dt.date(2001, 7, 1)), F.expr("INTERVAL 2 MONTHS"))
-    grid = t.customer.select(c("c_custkey").alias("cid"), F.explode(days).alias("snapshot"))
+    grid = joins.spread(t.customer.select(c("c_custkey").alias("cid")), 39).select("cid", F.explode(days).alias("snapshot"))
     return joins.asof_join(grid, filings, "cid", "snapshot", "filing_date", "amount").select("cid", "snapshot", "filing_date", "amount")
 
 

@@ -95,6 +95,21 @@ def test_asof_never_looks_ahead(spark):
     assert (2, "2020-01-01", None) in got
 
 
+def test_rows_are_spread_before_they_are_multiplied(spark):
+    """A scan of one task: what each task makes stays bounded, and grows in tasks with the rows."""
+    for rows, tasks in ((400, 16), (1600, 63)):
+        some = joins.spread(spark.range(0, rows, 1, 1), 39, 1000)
+        made = some.select(F.explode(F.sequence(F.lit(1), F.lit(39)))).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(made) == tasks and sum(r["count"] for r in made) == 39 * rows and max(r["count"] for r in made) <= 1100
+
+
+def test_the_filing_grid_is_not_made_by_one_task(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["J06_asof_filing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Repartition ") == plan.count("Generate explode") == 2
+
+
 def test_nth_bar_after_the_last_is_missing(spark, walk):
     _, bars = walk
     sig = spark.createDataFrame([(1, dt.date(2004, 10, 15)), (1, dt.date(2005, 1, 1))], "sid long, anchor date")
