@@ -72,6 +72,20 @@ def test_spearman_matches_pandas(spark):
         assert got[k] == pytest.approx(g["x"].rank().corr(g["y"].rank()))
 
 
+def test_spearman_of_small_groups_moves_the_pairs_once(spark):
+    """Ties, null keys, missing values, both signs of zero: the same by windows and by cells, and the windows take one shuffle of the pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(k, f, x, y) for k in ("a", "b", None) for f in (1, 2) for x, y in zip(rng.choice([None, -0.0, 0.0, 1.0, 2.5, float("nan")], 60).tolist(), rng.normal(0, 1, 60).tolist())]
+    df = spark.createDataFrame([(k, f, x, None if i % 7 == 0 else y) for i, (k, f, x, y) in enumerate(rows)], "k string, f int, x double, y double")
+    small, large = xs.spearman(df, ["k", "f"], "x", "y"), xs.spearman(df, ["k", "f"], "x", "y", group_rows=1)
+    by = lambda d: {(r["k"], r["f"]): (r["n"], r["rho"]) for r in d.collect()}
+    assert by(small).keys() == by(large).keys() and len(by(small)) == 6
+    for key, (n, rho) in by(large).items():
+        assert by(small)[key] == (n, pytest.approx(rho))
+    plan = small._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_spearman_constant_side_is_null(spark):
     df = spark.createDataFrame([("a", 1.0, float(i)) for i in range(6)], "k string, x double, y double")
     assert xs.spearman(df, ["k"], "x", "y").first()["rho"] is None
