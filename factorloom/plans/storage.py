@@ -112,9 +112,10 @@ def _(t):
     p = t.insider_rows(code="P")
     # A filing holds one owner's transactions of one day.
     one = p.groupBy("pid", "insider_id", "d").agg(F.collect_list(F.struct(c("code"), c("shares").cast("double").alias("shares"), (c("value_c") / 100.0).alias("price"), c("d").cast("string").alias("day"))).alias("tx"))
-    one.select(
+    filings = one.select(
         c("pid").cast("string").alias("issuer"), c("d").cast("string").alias("filed"), F.struct(c("insider_id").cast("string").alias("id"), F.lit("CEO").alias("title")).alias("owner"), "tx"
-    ).write.format("xml").option("rootTag", "filings").option("rowTag", "filing").save(path)
+    )
+    writers.write_filings_xml(filings, path)
     rows = readers.read_filings_xml(t.spark, path)
     return rows.groupBy(c("issuer").cast("long").alias("pid")).agg(N().alias("n"), F.round(F.sum("value"), 2).alias("value"))
 

@@ -30,6 +30,15 @@ def write_snapshot(df: DataFrame, path: str, day: str = "snapshot_date") -> list
     return won
 
 
+#: Filings in one XML file; a reader takes such a file whole, in one task.
+FILE_FILINGS = 20_000
+
+
+def write_filings_xml(df: DataFrame, path: str, per_file: int = FILE_FILINGS) -> None:
+    """Ownership filings as XML, in files of at most `per_file`: a task that writes more begins further files."""
+    df.write.format("xml").option("rootTag", "filings").option("rowTag", "filing").option("maxRecordsPerFile", per_file).save(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

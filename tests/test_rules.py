@@ -170,6 +170,20 @@ def test_bulk_arrays_on_one_line_do_not_widen_the_cells(spark, tmp_path, capsys)
     assert "StructField(c2," in plan and "StructField(c3," not in plan
 
 
+def test_filings_are_written_in_bounded_files(spark, tmp_path):
+    """A reader takes an XML file whole, so files may not grow with what one task writes."""
+    from factorloom.sources import writers
+
+    tx = F.array(F.struct(F.lit("P").alias("code"), F.col("id").cast("double").alias("shares"), F.lit(2.0).alias("price"), F.lit("2001-01-01").alias("day")))
+    rows = spark.range(0, 95, 1, 1).select(
+        F.col("id").cast("string").alias("issuer"), F.lit("2001-01-02").alias("filed"), F.struct(F.lit("1").alias("id"), F.lit("CEO").alias("title")).alias("owner"), tx.alias("tx"))
+    path = str(tmp_path / "filings")
+    writers.write_filings_xml(rows, path, 10)
+    assert max(r["count"] for r in spark.read.text(path).where("value LIKE '%<filing>%'").groupBy(F.col("_metadata.file_path")).count().collect()) == 10
+    back = readers.read_filings_xml(spark, path)
+    assert sorted((int(r["issuer"]), r["value"]) for r in back.collect()) == [(i, 2.0 * i) for i in range(95)]
+
+
 def test_missing_dump_is_empty(spark):
     assert readers.read_tolerant(spark, new_path(spark, "nowhere"), "a long").count() == 0
 
