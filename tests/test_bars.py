@@ -103,10 +103,13 @@ def test_rows_are_spread_before_they_are_multiplied(spark):
         assert len(made) == tasks and sum(r["count"] for r in made) == 39 * rows and max(r["count"] for r in made) <= 1100
 
 
-def test_the_filing_grid_is_not_made_by_one_task(spark):
+def test_the_filing_grid_is_not_made_by_one_task(spark, tmp_path):
     from __spark_entry__ import queries
+    from factorloom.views import SCHEMAS
 
-    plan = queries()["J06_asof_filing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    for name in ("customer", "orders"):
+        spark.createDataFrame([], SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = queries()["J06_asof_filing"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
     assert plan.count("Repartition ") == plan.count("Generate explode") == 2
 
 

@@ -281,6 +281,18 @@ def test_bulk_files_are_read_by_what_they_are(spark, tmp_path):
     assert len([r for r in rows if r["bad"] is not None]) == 3
 
 
+def test_region_rows_are_joined_once(spark):
+    """Three figures of a report read them."""
+    from factorloom.plans import load_all
+    from factorloom.plans.aggregates import region_rows
+    from factorloom.views import Tables
+
+    load_all()
+    rows = region_rows(Tables(spark, "/root/testdata/sf0.001"))
+    assert rows.columns == ["ticker", "market", "s", "coverage", "low_coverage", "pid", "fwd"] and rows.count() > 0
+    assert "Join" not in rows._jdf.queryExecution().analyzed().toString()
+
+
 def test_stored_views_follow_their_tables_and_can_be_dropped(spark, tmp_path):
     from factorloom import session, views
 
